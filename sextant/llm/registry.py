@@ -1,8 +1,9 @@
 """Queries of the corpus operators, and their SQL where it can express them."""
 
-from sextant.llm import near_dedup
+from sextant.llm import language_id, near_dedup
 
 QUERIES = {
+    "op4_language_id": language_id.query,
     "op10_near_dedup": near_dedup.query,
 }
 SQL: dict[str, str] = {}
