@@ -1,10 +1,11 @@
 """Queries of the corpus operators, and their SQL where it can express them."""
 
-from sextant.llm import language_id, near_dedup, quality_rules
+from sextant.llm import language_id, near_dedup, pii, quality_rules
 
 QUERIES = {
     "op3_quality_rules": quality_rules.query,
     "op4_language_id": language_id.query,
+    "op5_pii": pii.query,
     "op10_near_dedup": near_dedup.query,
 }
 SQL: dict[str, str] = {"op3_quality_rules": quality_rules.SQL}
