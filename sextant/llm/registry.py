@@ -1,13 +1,14 @@
 """Queries of the corpus operators, and their SQL where it can express them."""
 
-from sextant.llm import decontamination, language_id, mixing, near_dedup, pii, quality_rules
+from sextant.llm import decontamination, language_id, mixing, near_dedup, pii, quality_rules, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
+    "op2_warc": warc.query,
     "op3_quality_rules": quality_rules.query,
     "op4_language_id": language_id.query,
     "op5_pii": pii.query,
     "op6_mixing": mixing.query,
     "op10_near_dedup": near_dedup.query,
 }
-SQL: dict[str, str] = {"op3_quality_rules": quality_rules.SQL}
+SQL: dict[str, str] = {"op2_warc": warc.SQL, "op3_quality_rules": quality_rules.SQL}
