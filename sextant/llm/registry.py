@@ -1,6 +1,6 @@
 """Queries of the corpus operators, and their SQL where it can express them."""
 
-from sextant.llm import decontamination, html_text, language_id, mixing, near_dedup, pii, quality_rules, warc
+from sextant.llm import decontamination, html_text, language_id, licenses, mixing, near_dedup, pii, quality_rules, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
@@ -10,6 +10,8 @@ QUERIES = {
     "op5_pii": pii.query,
     "op6_mixing": mixing.query,
     "op7_html_text": html_text.query,
+    "op8_licenses": licenses.query,
+    "op9_toxicity": toxicity.query,
     "op10_near_dedup": near_dedup.query,
 }
 SQL: dict[str, str] = {"op2_warc": warc.SQL, "op3_quality_rules": quality_rules.SQL}
