@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that are tokenised at once; longer texts go alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 WHITE_SPACE = " \t\n\r\x0b\x0c"
 
 _U = np.uint64

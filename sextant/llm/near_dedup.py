@@ -89,29 +89,31 @@ def _signatures(words: int):
             at, data = utf8(batch.column(1))
             for i, j in slices(at):
                 tokens = Words(at[i : j + 1], data)
-                n, key, sketch, bands = [], [], [], []
+                n, key, sketch, bands, codes = [], [], [], [], []
                 for k in range(j - i):
                     found = shingle_set(tokens.hash[tokens.first[k] : tokens.first[k + 1]], words)
                     n.append(len(found))
                     if not len(found):
-                        key.append(None), sketch.append(None), bands.append(None)
+                        key.append(None), sketch.append(None), bands.append(None), codes.append(None)
                         continue
                     least = minhash(found)
                     key.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                     sketch.append(odd_sketch(least).tobytes())
-                    bands.append(mix((least.reshape(BANDS, ROWS).astype(np.uint64) * _ROW).sum(axis=1, dtype=np.uint64) ^ _BAND).view(np.int64))
+                    band = mix((least.reshape(BANDS, ROWS).astype(np.uint64) * _ROW).sum(axis=1, dtype=np.uint64) ^ _BAND)
+                    bands.append(band.view(np.int64))
+                    codes.append(band.astype(np.uint32).tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "set_key", "sketch", "bands"],
+                    [batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(codes, pa.binary())],
+                    ["doc_id", "n_shingles", "set_key", "sketch", "bands", "codes"],
                 )
 
     return run
 
 
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, set_key, sketch, bands) of each document."""
+    """(doc_id, n_shingles, set_key, sketch, bands, codes) of each document."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _signatures(words), "doc_id long, n_shingles long, set_key binary, sketch binary, bands array<long>"
+        _signatures(words), "doc_id long, n_shingles long, set_key binary, sketch binary, bands array<long>, codes binary"
     )
 
 
@@ -162,17 +164,23 @@ def confirm(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> Da
 
 
 def _blocks(least: float):
-    """Candidates of different components in a pair of blocks of one bucket."""
+    """Candidates of different components in a pair of blocks of one bucket.
+
+    A pair that shares several buckets is returned by the first band alone: members carry short
+    codes of all their band keys.
+    """
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         side, ids, parts = (rows.column(c).to_numpy() for c in ("side", "id", "component"))
-        sketches = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
+        sketches, codes = (np.frombuffer(b"".join(rows.column(c).to_pylist()), t).reshape(len(ids), -1) for c, t in (("sketch", np.uint8), ("codes", np.uint32)))
+        band = int(np.flatnonzero((codes == np.uint32(key[0].as_py() & 0xFFFFFFFF)).all(axis=0))[0])
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         same = not len(right)  # a block with itself
         right = left if same else right
         a, b = [], []
         for i in left:
             near = right[(parts[right] != parts[i]) & ((ids[right] > ids[i]) if same else True)]
+            near = near[~(codes[near, :band] == codes[i, :band]).any(axis=1)]
             if len(near):
                 near = near[estimate(sketches[i], sketches[near]) >= least]
                 a.append(np.minimum(ids[i], ids[near]))
@@ -184,27 +192,24 @@ def _blocks(least: float):
 
 
 def _across(members: DataFrame, labels: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """Candidate pairs of different components from all buckets that hold several.
+    """Candidate pairs of different components from all buckets that hold several, each pair once.
 
-    The members of the bucket's smallest component stand aside from the rest: they are blocked
+    The members of the bucket's least component stand aside from the rest: they are blocked
     apart and two of their blocks never meet.
     """
     placed = keep(members.join(labels, "id"), "placed")
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", "low")
     placed = keep(placed.join(keep(mixed, "mixed"), "key"), "across").withColumn("main", F.col("component") == F.col("low"))
-    sizes = placed.groupBy("key").agg(F.count(F.when(F.col("main"), 1)).alias("n_main"), F.count(F.when(~F.col("main"), 1)).alias("n_rest"), F.sum(F.hash("id").cast("long")).alias("content"), F.min("id").alias("least_id"))
-    # equal member lists from several bands are compared once
-    sizes = sizes.groupBy("n_main", "n_rest", "content", "least_id").agg(F.min("key").alias("key"))
-    sizes = sizes.select("key", F.ceil(F.col("n_main") / BLOCK).alias("m"), F.ceil(F.col("n_rest") / BLOCK).alias("r"))
+    sizes = placed.groupBy("key").agg(F.ceil(F.count(F.when(F.col("main"), 1)) / BLOCK).alias("m"), F.ceil(F.count(F.when(~F.col("main"), 1)) / BLOCK).alias("r"))
     rows = placed.join(keep(sizes, "bucket_sizes"), "key").join(sketches, "id")
     block = F.when(F.col("main"), F.col("r") + F.expr("pmod(xxhash64(id), m)")).otherwise(F.expr("pmod(xxhash64(id), greatest(r, 1))"))
     rows = rows.withColumn("block", block)
     # a block of the rest meets all blocks; a block of the main component only those of the rest
     other = F.explode(F.when(F.col("main"), F.expr("sequence(0L, r - 1)")).otherwise(F.expr("sequence(0L, r + m - 1)")))
     rows = rows.withColumn("other", other).select(
-        "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "component", "sketch"
+        "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "component", "sketch", "codes"
     )
-    return rows.groupBy("key", "low", "high").applyInArrow(_blocks(least), "a long, b long").distinct()
+    return rows.groupBy("key", "low", "high").applyInArrow(_blocks(least), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
@@ -217,14 +222,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: int = THRESH
     known = signed.where("set_key is not null and doc_id is not null")
     classes = keep(known.groupBy("set_key").agg(F.min("doc_id").alias("id")), "classes")
     nodes = known.join(classes.select("set_key", F.col("id").alias("doc_id")), ["set_key", "doc_id"]).dropDuplicates(["doc_id"])
-    nodes = keep(nodes.select(F.col("doc_id").alias("id"), "sketch", "bands"), "nodes")
+    nodes = keep(nodes.select(F.col("doc_id").alias("id"), "sketch", "bands", "codes"), "nodes")
     buckets = nodes.select(F.explode("bands").alias("key"), "id")
     full = buckets.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last").select("key", "leader")
-    members = keep(buckets.join(keep(full, "leaders"), "key"), "members")
-    sketches = nodes.join(members.select("id").distinct(), "id", "left_semi").select("id", "sketch")
+    # merged, never broadcast: these sides grow with the documents
+    members = keep(buckets.join(keep(full, "leaders").hint("merge"), "key"), "members")
+    sketches = nodes.join(members.select("id").distinct(), "id", "left_semi").select("id", "sketch", "codes")
     sketches = keep(sketches, "sketches")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(sketches.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    texts = texts.join(sketches.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
     sets = keep(texts.mapInArrow(_sets(words), "id long, shingles binary"), "sets")
 
     least = _least(threshold)
