@@ -1,4 +1,6 @@
 """Registered queries and their SQL, by name."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from sextant.plans import changes, checks, evaluation, exports, ranking  # noqa: F401
+from sextant.plans.register import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
