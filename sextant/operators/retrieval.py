@@ -113,12 +113,14 @@ def cosine_top_k(queries: DataFrame, items: DataFrame, k: int, digits: int | Non
         raise ValueError("k is 1 at least")
     dim = check_library(items)
     held = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("vector").cast(V.DOUBLES).alias("vector"))
-    out, shards = None, 0
+    out = None
     for shard in _shards(items.select("item_id", "item_vector"), 8 * dim + 64, most):
         rows = shard.orderBy("item_id").collect()  # at most ``most`` bytes
+        if not rows:
+            continue
         run = _cosine([r.item_id for r in rows], _units(np.array([r.item_vector for r in rows], float)), k, digits)
         best = held.mapInArrow(run, "query_id string, item_id string, score double")
-        out, shards = best if out is None else out.unionByName(best), shards + 1
+        out = best if out is None else out.unionByName(best)
     return ranked(out, ["query_id"], k).select("query_id", "rank", "item_id", "score")
 
 
@@ -198,6 +200,8 @@ def hybrid_top_k(queries: DataFrame, items: DataFrame, memory: DataFrame, cells:
     for s in range(shards):
         mine = (lambda d: d if shards == 1 else d.where(F.expr(f"pmod(xxhash64(item_id), {shards}) = {s}")))  # noqa: B023
         rows = mine(items.select("item_id", "item_vector")).orderBy("item_id").collect()
+        if not rows:
+            continue
         place = {r.item_id: n for n, r in enumerate(rows)}
         kept = mine(active.select("item_id", "memory_id", "context_vector", "strength", F.unix_micros("updated_at").alias("updated"))).join(items.select("item_id"), "item_id", "left_semi").orderBy("item_id", "memory_id").collect()
         library_side = {"ids": [r.item_id for r in rows], "units": _units(np.array([r.item_vector for r in rows], float).reshape(len(rows), dim))}
