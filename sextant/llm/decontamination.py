@@ -6,11 +6,11 @@ every document is a query. Items are held by length class; for class 2**c, passa
 passage. A passage asks for all items whose score reaches ``SHARE`` of the score that the item
 has with itself.
 
-Block-max WAND works in two steps. The bound of a passage for each block, the sum of its terms'
-block maxima, is taken for all passages of a batch at once with NumPy; blocks whose bound stays
-below the least threshold in the block are skipped, as are their postings. In the blocks that
-remain, the cursors of the passage's terms are moved by the pivot rule, and items that reach
-their threshold are returned. These are verified by words: half of the shingles of the question
+Block-max WAND is evaluated for all passages of a batch at once, block by block. The pivot test,
+whether the block maxima of a passage's terms add up to the least threshold in a block, is made
+on the maxima alone (a shallow move); blocks that fail are skipped with their postings. In
+blocks that pass, the postings of the passage's terms in that block are read and added up (a
+deep move), and items that reach their own threshold are returned. These are verified by words: half of the shingles of the question
 and half of the words of the answer have to be in the passage. Where items have no answer
 column, the last sentence is taken as the answer.
 
@@ -62,7 +62,7 @@ def _hashes(text: str) -> np.ndarray:
 
 
 class Index:
-    """Impact-ordered blocks of items; items = [(item_id, text, question, answer)]."""
+    """Blocks of items with block maxima; items = [(item_id, text, question, answer)]."""
 
     def __init__(self, items: list[tuple]):
         rows = []
@@ -105,12 +105,13 @@ class Index:
         self.least = np.array([self.threshold[i:j].min() for i, j in self.block_items])
         self.bound = np.zeros((len(self.vocabulary) + 1, len(self.block_items)), np.float32)  # the last row: terms in no item
         np.maximum.at(self.bound, (term, block_of[place[item]]), impact.astype(np.float32))
-        self.postings: list[tuple[np.ndarray, np.ndarray]] = []
+        # postings by term and block, and where the run of each (term, block) starts
         by = np.lexsort((place[item], term))
-        cut = np.searchsorted(term[by], np.arange(len(self.vocabulary) + 1))
-        for t in range(len(self.vocabulary)):
-            x = by[cut[t] : cut[t + 1]]
-            self.postings.append((place[item[x]], impact[x]))
+        self.posting_place, self.posting_impact = place[item[by]], impact[by]
+        run = term[by] * len(self.block_items) + block_of[self.posting_place]
+        self.runs, first = np.unique(run, return_index=True)
+        self.run_start = np.r_[first, len(run)]
+        self.block_first = np.array([i for i, _ in self.block_items], int)
         # direct addressing of terms by the low bits of their hashes, then an exact comparison
         self.bits = max(8, math.ceil(math.log2(len(self.vocabulary) + 1)) + 4)
         self.slot = np.full(1 << self.bits, -1, np.int32)
@@ -133,47 +134,25 @@ class Index:
             hit[rest[ok]] = True
         return np.where(hit, t, -1)
 
-    def wand(self, terms: np.ndarray, blocks: np.ndarray) -> list[tuple[int, float]]:
-        """Items of the given blocks whose score with these distinct terms reaches their threshold."""
-        out = []
-        for b in blocks:
-            low, high = self.block_items[b]
-            cursors = []
-            for t in terms:
-                docs, impact = self.postings[t]
-                k = int(np.searchsorted(docs, low))
-                if k < len(docs) and docs[k] < high:
-                    cursors.append([int(docs[k]), k, t, float(self.bound[t, b])])
-            while cursors:
-                cursors.sort(key=lambda x: x[0])
-                total, pivot = 0.0, None
-                for n, x in enumerate(cursors):
-                    total += x[3]
-                    if total >= self.least[b] * (1 - 1e-6):
-                        pivot = n
-                        break
-                if pivot is None:
-                    break
-                item = cursors[pivot][0]
-                if cursors[0][0] == item:
-                    score = 0.0
-                    for x in cursors:
-                        if x[0] != item:
-                            break
-                        score += float(self.postings[x[2]][1][x[1]])
-                    if score >= self.threshold[item] * (1 - 1e-9):
-                        out.append((item, score))
-                    to = item + 1
-                    moved = [x for x in cursors if x[0] == item]
-                else:
-                    to = item
-                    moved = cursors[:pivot]
-                for x in moved:
-                    docs = self.postings[x[2]][0]
-                    x[1] += int(np.searchsorted(docs[x[1] :], to))
-                    x[0] = int(docs[x[1]]) if x[1] < len(docs) else high
-                cursors = [x for x in cursors if x[0] < high]
-        return out
+    def score(self, pair: np.ndarray, term: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pair, item, score) of the items whose score reaches their threshold.
+
+        ``block`` is the block of each pair of passage and block; ``term`` are the distinct terms
+        of the passage of ``pair``. Only the postings of a term that lie in the block are read.
+        """
+        want = term * len(self.block_items) + block[pair]
+        k = np.searchsorted(self.runs, want)
+        k[k == len(self.runs)] = 0
+        hit = self.runs[k] == want
+        k, pair = k[hit], pair[hit]
+        n = self.run_start[k + 1] - self.run_start[k]
+        at = np.repeat(self.run_start[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        cell = np.repeat(pair, n) * BLOCK + self.posting_place[at] - self.block_first[block[np.repeat(pair, n)]]
+        total = np.bincount(cell, self.posting_impact[at], len(block) * BLOCK)
+        found = np.flatnonzero(total)
+        item = self.block_first[block[found // BLOCK]] + found % BLOCK
+        good = total[found] >= self.threshold[item] * (1 - 1e-9)
+        return found[good] // BLOCK, item[good], total[found][good]
 
     def search(self, words: Words) -> list[tuple[int, int, float, float, float]]:
         """(text, item, score, question overlap, answer overlap) of verified passages, best of each pair."""
@@ -202,21 +181,25 @@ class Index:
             if not len(passages):
                 continue
             owner = np.repeat(np.arange(len(n_words)), parts_of)
-            cut = np.flatnonzero(np.r_[True, passages[1:] != passages[:-1], True])
-            for i, j in zip(cut[:-1], cut[1:], strict=True):
-                p = passages[i]
-                text = owner[p]
+            # distinct terms of each surviving pair: those of its segment and of the next
+            edge = np.searchsorted(seg, np.arange(len(total) + 1))
+            second = np.where(ends[passages], passages, passages + 1)
+            size = edge[second + 1] - edge[passages]
+            pair = np.repeat(np.arange(len(passages)), size)
+            at = np.repeat(edge[passages] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            both = np.unique(pair * np.int64(len(self.vocabulary)) + t[at])
+            found = self.score(both // len(self.vocabulary), both % len(self.vocabulary), blocks + first)
+            for k, item, score in zip(*found, strict=True):
+                p = passages[k]
+                text = int(owner[p])
                 start = words.first[text] + (p - begin[text]) * step
-                stop = min(start + 2 * step, words.first[text + 1])
-                own = words.hash[start:stop]
-                distinct = np.unique(term[start:stop])
-                found = self.wand(distinct[distinct >= 0], blocks[i:j] + first)
-                for item, score in found:
-                    q = self.question[item]
-                    near = np.isin(q, windows(own, self.question_words[item])).mean() if len(q) else 0.0
-                    answered = np.isin(self.answer[item], own).mean() if len(self.answer[item]) else 0.0
-                    if near >= LEAST_OVERLAP and answered >= LEAST_OVERLAP:
-                        best[text, item] = max(best.get((text, item), (0.0, 0.0, 0.0)), (score, float(near), float(answered)))
+                own = words.hash[start : min(start + 2 * step, words.first[text + 1])]
+                q = self.question[item]
+                near = np.isin(q, windows(own, self.question_words[item])).mean() if len(q) else 0.0
+                answered = np.isin(self.answer[item], own).mean() if len(self.answer[item]) else 0.0
+                if near >= LEAST_OVERLAP and answered >= LEAST_OVERLAP:
+                    key = (text, int(item))
+                    best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (float(score), float(near), float(answered)))
         return [(k, i, *v) for (k, i), v in sorted(best.items())]
 
 
