@@ -182,6 +182,26 @@ def mmd_pairs(rows: DataFrame, vector: str, first: str, second: str, digits: int
     return sums.select(F.round(F.greatest(F.lit(0.0), F.col("aa") + F.col("bb") - 2 * F.col("ab")), digits).alias("mmd2"), F.round("bw", digits).alias("bandwidth2"))
 
 
+def sign_flip_test(differences: DataFrame, keys: list[str], value: str = "difference", unit: str = "latent_event_id", permutations: int = 200, seed: int = SEED) -> DataFrame:
+    """(keys, n, mean_diff, p): paired permutation test of a zero mean.
+
+    A unit's sign in each permutation is a hash of (seed, permutation, unit), so sums are taken
+    where the rows lie and don't depend on partitions. The given order counts as one permutation.
+    """
+    up = F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col(unit)), 256), 1, 1) < "8"
+    each = differences.select(*keys, unit, F.col(value).alias("d"), F.explode(F.sequence(F.lit(0), F.lit(permutations))).alias("b"))
+    means = each.groupBy(*keys, "b").agg(F.count("*").alias("n"), F.avg(F.when((F.col("b") == 0) | up, F.col("d")).otherwise(-F.col("d"))).alias("m"))
+    observed = means.where("b = 0").select(*keys, "n", F.col("m").alias("mean_diff"))
+    return means.join(observed.select(*keys, "mean_diff"), keys).groupBy(*keys).agg(F.first("n").alias("n"), F.first("mean_diff").alias("mean_diff"), F.avg((F.abs("m") >= F.abs("mean_diff") - 1e-12).cast("double")).alias("p"))
+
+
+def holm(tests: DataFrame, family: list[str], order: list[str], p: str = "p") -> DataFrame:
+    """``p_holm``: p-values corrected for the tests of a family by Holm's step-down rule."""
+    ranked = Window.partitionBy(*family).orderBy(p, *order)
+    step = (F.count("*").over(Window.partitionBy(*family)) - F.row_number().over(ranked) + 1) * F.col(p)
+    return tests.withColumn("_s", step).withColumn("p_holm", F.least(F.lit(1.0), F.max("_s").over(ranked.rowsBetween(Window.unboundedPreceding, 0)))).drop("_s")
+
+
 #: Rows in a block, and bins of squared distances (unit vectors: 0 to 4), of the blocked MMD.
 MMD_BLOCK, MMD_BINS, MMD_TOP = 512, 40_000, 4.0
 

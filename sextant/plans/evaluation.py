@@ -94,6 +94,18 @@ def bootstrap_poisson_intervals(spark: SparkSession, d: str) -> DataFrame:
     return E.bootstrap_poisson(E.paired(_graded_rr(spark, d)), ["ranker", "contrast"], resamples=400)
 
 
+@query(f"""{_GRADED}, e AS (SELECT ranker, contrast, b, CASE WHEN b = 0 OR substr(sha256(concat_ws(':', '4242', b, latent_event_id)), 1, 1) < '8' THEN difference ELSE -difference END AS d FROM diff, unnest(range(0, 101)) AS bb(b)),
+    m AS (SELECT ranker, contrast, b, count(*) AS n, avg(d) AS m FROM e GROUP BY ALL), o AS (SELECT ranker, contrast, m AS mean_diff FROM m WHERE b = 0),
+    t AS (SELECT ranker, contrast, any_value(n) AS n, any_value(mean_diff) AS mean_diff, avg(CASE WHEN abs(m) >= abs(mean_diff) - 1e-12 THEN 1.0::DOUBLE ELSE 0 END) AS p FROM m JOIN o USING (ranker, contrast) GROUP BY ALL),
+    h AS (SELECT *, (count(*) OVER (PARTITION BY ranker) - row_number() OVER w + 1) * p AS s FROM t WINDOW w AS (PARTITION BY ranker ORDER BY p, contrast))
+    SELECT ranker, contrast, n, round(mean_diff, 9) + 0.0 AS mean_diff, round(p, 9) AS p, round(least(1, max(s) OVER (PARTITION BY ranker ORDER BY p, contrast ROWS UNBOUNDED PRECEDING)), 9) AS p_holm FROM h""")
+def permutation_tests(spark: SparkSession, d: str) -> DataFrame:
+    """Paired sign-flip tests of the contrasts, corrected within each ranker."""
+    tests = E.sign_flip_test(E.paired(_graded_rr(spark, d)), ["ranker", "contrast"], permutations=100)
+    out = E.holm(tests, ["ranker"], ["contrast"])
+    return out.select("ranker", "contrast", "n", (F.round("mean_diff", 9) + F.lit(0.0)).alias("mean_diff"), F.round("p", 9).alias("p"), F.round("p_holm", 9).alias("p_holm"))
+
+
 _SHIFT = """WITH x AS (SELECT split, i, fused[i] AS v, event_id FROM ev, unnest(range(1, 17)) AS r(i) WHERE split IN ('validation', 'ood_test')),
     mu AS (SELECT i, avg(v) FILTER (WHERE split = 'validation') AS a, avg(v) FILTER (WHERE split = 'ood_test') AS b FROM x GROUP BY i),
     cv AS (SELECT p.i, q.i AS j, covar_samp(p.v, q.v) FILTER (WHERE p.split = 'validation') - covar_samp(p.v, q.v) FILTER (WHERE p.split = 'ood_test') AS d FROM x p JOIN x q USING (event_id) GROUP BY 1, 2)"""
