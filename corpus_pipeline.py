@@ -11,23 +11,33 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.llm import decontamination, language_id, mixing, near_dedup, pii
 from sextant.llm.common import keep, table
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(row, text): all columns in one, so that no name meets an operator's own."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+
+
+def unpacked(df: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """The columns of docs from ``row``, some of them replaced."""
+    return df.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter go; a missing lang is filled with the predicted one."""
-    judged = language_id.identify(docs, carry=docs.columns).where("lang_pred <> 'und'")
-    return judged.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    judged = language_id.identify(packed(docs), language_id.sample(docs), ["row"]).where("lang_pred <> 'und'")
+    return unpacked(judged, docs, lang=F.coalesce("row.lang", "lang_pred"))
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies, the document with the least doc_id stays."""
     gone = near_dedup.near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)  # gone grows with docs
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,10 +47,10 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data are replaced by [KIND]; n_chars follows the text."""
-    found = pii.find(docs, docs.columns)
-    text = pii.redact(F.col("text"), F.col("found"))
-    n_chars = F.when(F.size("found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return found.withColumn("text", text).withColumn("n_chars", n_chars).select(*docs.columns)
+    found = pii.find(packed(docs), ["row"])
+    text = pii.redact(F.col("row.text"), F.col("found"))
+    n_chars = F.when(F.size("found") > 0, F.length(text).cast("long")).otherwise(F.col("row.n_chars"))
+    return unpacked(found, docs, text=text, n_chars=n_chars)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
