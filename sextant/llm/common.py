@@ -14,9 +14,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that are tokenised at once; longer texts go alone.
 SLICE_BYTES = 1 << 20
+#: Most bytes of a table that is broadcast.
+BROADCAST_BYTES = 32 << 20
 WHITE_SPACE = " \t\n\r\x0b\x0c"
 
 _U = np.uint64
@@ -55,6 +58,17 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` (a written table), marked for broadcast if its measured size is at most ``most`` bytes.
+
+    Beyond that the join shuffles both sides, and Spark splits skewed parts.
+    """
+    text = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if f.dataType.simpleString() in ("string", "binary")]
+    row = sum(text, F.lit(16 * (len(df.columns) + 1)))
+    size = df.agg(F.coalesce(F.sum(row), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= most else df.hint("merge")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (splitmix64)."""
     x = x ^ (x >> _U(30))

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sextant.llm.common import keep, table
+from sextant.llm.common import keep, small, table
 from sextant.llm.native import words
 
 ENTROPY = 0.97
@@ -106,7 +106,7 @@ def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, bud
     quota = keep(quota, "quota")
 
     block = F.expr(f"pmod(xxhash64({seed}, doc_id), blocks)")
-    placed = counted.join(quota, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("block", block)
+    placed = counted.join(small(quota), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("block", block)
     key = F.xxhash64(F.lit(seed), "source", "block", "passes")
     sums = placed.groupBy("source", "block", "passes", "rest").agg(F.sum("n_tokens").alias("block_tokens")).withColumn("key", key)
     before = F.sum("block_tokens").over(Window.partitionBy("source").orderBy("key", "block").rowsBetween(Window.unboundedPreceding, -1))
@@ -114,7 +114,7 @@ def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, bud
     left = F.col("rest") - F.col("before")
     # whole blocks, then the block at the border, of which the first documents are taken
     sums = sums.withColumn("part", F.when(left >= F.col("block_tokens"), "whole").when(left > 0, "border").otherwise("none")).withColumn("left", left)
-    rows = placed.join(sums.select(F.col("source").alias("s"), F.col("block").alias("b"), "part", "left"), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).drop("s", "b")
+    rows = placed.join(small(sums.select(F.col("source").alias("s"), F.col("block").alias("b"), "part", "left")), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).drop("s", "b")
     doc_key = lambda p: F.xxhash64(F.lit(seed), p, F.col("doc_id"))
     border = rows.where("part = 'border'")
     order = Window.partitionBy("source", "block").orderBy(doc_key(F.col("passes")), "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
