@@ -126,11 +126,14 @@ def cosine_top_k(queries: DataFrame, items: DataFrame, k: int, digits: int | Non
 
 def random_top_k(queries: DataFrame, items: DataFrame, k: int, seed: int, key: str = "query_id") -> DataFrame:
     """A reproducible random ranking of each query, which depends on the seed and ``key`` alone."""
-    ids = items.select("item_id").distinct()
-    keys = queries.select(F.col(key).alias("k")).distinct()
-    order = Window.partitionBy("k").orderBy(S.hash_order(seed, F.col("k"), F.col("item_id")), "item_id")
-    ranks = keys.join(ids).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return queries.select("query_id", F.col(key).alias("k")).join(ranks, "k").select("query_id", "rank", "item_id")
+    r = items.agg(F.count("*").alias("n"), F.sum(F.octet_length("item_id")).alias("bytes")).first()
+    if (r.bytes or 0) + 16 * r.n > LIBRARY_BYTES:
+        raise ValueError(f"{r.n} item ids; tasks hold {LIBRARY_BYTES} bytes at most")
+    # the ids as one array: each query orders them in its own row, and no row is shuffled
+    ids = items.agg(F.sort_array(F.collect_set("item_id")).alias("ids"))
+    order = F.sort_array(F.transform("ids", lambda i: F.struct(S.hash_order(seed, F.col("k"), i).alias("h"), i.alias("item_id"))))
+    best = queries.select("query_id", F.col(key).alias("k")).join(F.broadcast(ids)).select("query_id", F.posexplode(F.slice(order, 1, k)).alias("n", "x"))
+    return best.select("query_id", (F.col("n") + 1).alias("rank"), "x.item_id")
 
 
 Ranker = Callable[[DataFrame], DataFrame]

@@ -66,7 +66,7 @@ def test_fusion(spark):
     assert got[0] == pytest.approx([math.sqrt(0.5)] * 2) and got[1] == [1.0, 0.0] and got[2:] == [None, None, None]
     errors = [r.e for r in df.select(V.fusion_errors(m).alias("e")).collect()]
     assert errors[0] == [] and "no modality available" in errors[2] and "dimensions differ" in errors[3] and "no direction" in errors[4]
-    for names in ([], ["text", "text"], ["smell"]):
+    for names in ([], ["text", "text"], ["unknown"]):
         with pytest.raises(ValueError):
             V.select_modalities(names)
 
