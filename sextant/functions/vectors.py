@@ -96,6 +96,16 @@ def blend(a: Column, b: Column, share: Column) -> Column:
     return normalise(F.zip_with(a, b, lambda x, y: (1 - share) * x + share * y))
 
 
+def with_noise(v: Column, level: Column, *keys: Column) -> Column:
+    """The vector with uniform noise of up to ``level`` in each element, a hash of keys and place."""
+
+    def of(x: Column, i: Column) -> Column:
+        prefix = F.substring(F.sha2(F.concat_ws(":", *(k.cast("string") for k in keys), i.cast("string")), 256), 1, 8)
+        return x + level * (F.conv(prefix, 16, 10).cast("double") / F.lit(4294967295.0) * 2 - 1)
+
+    return F.transform(v, of)
+
+
 def apply_matrix(rows: Sequence[Sequence[float]], v: Column) -> Column:
     """Matrix (a literal) times vector."""
     return F.array(*(dot(F.array(*map(F.lit, map(float, r))), v) for r in rows))

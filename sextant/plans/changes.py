@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from sextant.operators import policy, retrieval
 from sextant.plans.ranking import K
 from sextant.plans.register import query
 from sextant.sources import tables as T
+from sextant.sources.scratch import new_folder
 from sextant.streaming import jobs
 
 _CHECKED = """checked AS (SELECT c.*, list_filter([CASE WHEN trim(c.reason) = '' THEN 'blank reason' END, CASE WHEN m.memory_id IS NULL THEN 'unknown memory' END, CASE WHEN c.corrected_at < m.updated_at THEN 'before last update' END,
@@ -175,20 +174,13 @@ def policy_conformance(spark: SparkSession, d: str) -> DataFrame:
     return policy.conformance(policy_decisions(spark, d), _expected(spark, d))
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/checkpoints"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query(f"{_DECIDE} SELECT request_id, outcome, rule_ids FROM dec")
 def policy_stream(spark: SparkSession, d: str) -> DataFrame:
     """Decisions on the orders as a stream, run until all that is there is read."""
-    out = _folder(spark, "decisions")
+    out = new_folder(spark, "decisions")
     schema = T.table(spark, d, "orders").schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/orders.parque[t]")  # a pattern: the table may be one file
-    job = jobs.decide_stream(T.requests_from(stream), T.limits(spark)).writeStream.format("parquet").option("checkpointLocation", _folder(spark, "decisions-log")).trigger(availableNow=True).start(out)
+    job = jobs.decide_stream(T.requests_from(stream), T.limits(spark)).writeStream.format("parquet").option("checkpointLocation", new_folder(spark, "decisions-log")).trigger(availableNow=True).start(out)
     job.awaitTermination()
     return spark.read.parquet(out).select("request_id", "outcome", "rule_ids")
 

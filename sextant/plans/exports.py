@@ -7,23 +7,23 @@ from pyspark.sql import functions as F
 
 from sextant.functions import vectors as V
 from sextant.operators import leakage
-from sextant.plans.changes import _folder
 from sextant.plans.register import query
 from sextant.sources import exports
 from sextant.sources import tables as T
+from sextant.sources.scratch import new_folder
 
 
 @query("SELECT item_id, family_id, list_transform(item_vector, lambda x: round(x, 9) + 0.0) AS item_vector FROM items")
 def items_as_json(spark: SparkSession, d: str) -> DataFrame:
     """The item library written as JSON lines in order of item_id and read back."""
-    path = _folder(spark, "items")
+    path = new_folder(spark, "items")
     exports.write(T.items(spark, d).select("item_id", "family_id", V.rounded(F.col("item_vector")).alias("item_vector")), path, "json", order="item_id")
     return spark.read.schema("item_id string, family_id int, item_vector array<double>").json(path)
 
 
 @query("SELECT event_id, split, template_id, target_item_id, target_family_id, list_transform(text_vector, lambda x: round(x, 9) + 0.0) AS text_vector FROM ev")
 def events_as_json(spark: SparkSession, d: str) -> DataFrame:
-    path = _folder(spark, "events")
+    path = new_folder(spark, "events")
     e = T.events(spark, d).select("event_id", "split", "template_id", "target_item_id", "target_family_id", V.rounded(F.col("text_vector")).alias("text_vector"))
     exports.write(e, path, "json", order="event_id")
     return spark.read.schema("event_id string, split string, template_id int, target_item_id string, target_family_id int, text_vector array<double>").json(path)
@@ -31,7 +31,7 @@ def events_as_json(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id, split, target_family_id, template_id FROM ev")
 def split_manifest_as_csv(spark: SparkSession, d: str) -> DataFrame:
-    path = _folder(spark, "splits")
+    path = new_folder(spark, "splits")
     exports.split_manifest(T.events(spark, d), path)
     return exports.read_split_manifest(spark, path)
 

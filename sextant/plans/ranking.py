@@ -144,6 +144,21 @@ def missing_modality_sweep(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+NOISE = (0.0, 0.1, 0.2, 0.3, 0.4)
+_NOISY = f"""WITH nz AS (SELECT event_id || '|' || level AS query_id, level, target_item_id AS item_id, list_transform(range(1, 17), lambda k: fused[k] + level * (CAST('0x' || substr(sha256(concat_ws(':', event_id, k - 1)), 1, 8) AS BIGINT)::DOUBLE / 4294967295.0::DOUBLE * 2 - 1)) AS f
+    FROM ev, (VALUES {', '.join(f"({x}::DOUBLE)" for x in NOISE)}) AS l(level) WHERE split = 'validation'), nq AS (SELECT query_id, {T.unit_sql('f')} AS vector FROM nz), nr AS (SELECT r.*, level FROM {rank_sql('nq')} r JOIN nz USING (query_id))"""
+
+
+@query(f"{_NOISY} {metrics_sql('nr', '(SELECT query_id, item_id FROM nz)', 'level')}")
+def noise_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Mean fusion on validation queries with growing noise."""
+    e = T.split_of(spark, d, "validation").withColumn("level", F.explode(F.array(*map(F.lit, NOISE)))).withColumn("query_id", F.concat_ws("|", "event_id", F.col("level").cast("string")))
+    q = e.select("query_id", V.with_noise(F.col("fused"), F.col("level"), F.col("event_id")).alias("vector"))
+    rankings = retrieval.cosine_top_k(q, T.items(spark, d), K, 9).join(e.select("query_id", "level"), "query_id")
+    per = metrics.per_query(rankings, e.select("query_id", F.col("target_item_id").alias("item_id")), K, ("level",))
+    return metrics.summary(per, ("level",), 9)
+
+
 @query("""WITH z AS (SELECT list_concat([1.0::DOUBLE], list_concat(ev.fused, items.item_vector)) AS z FROM ev JOIN items ON items.item_id = ev.target_item_id WHERE split = 'train')
     SELECT CAST(i - 1 AS INTEGER) AS i, CAST(j - 1 AS INTEGER) AS j, round(sum(z[i] * z[j]), 6) + 0.0 AS value FROM z, unnest(range(1, 34)) AS a(i), unnest(range(1, 34)) AS b(j) GROUP BY i, j""")
 def ridge_gram(spark: SparkSession, d: str) -> DataFrame:
