@@ -18,8 +18,8 @@ deviations of 252 samples).
 
 Edge cases: null text, empty text and text without words have an empty set and are linked with
 nothing; a text of fewer than five words is one shingle. A null doc_id is never linked: its
-component is null and it is kept. Rows that repeat a doc_id count as one document each with the
-component of its own text. An empty table gives an empty result; other columns are ignored.
+component is null and it is kept. Repeated rows get equal results; of rows that share a doc_id but
+not the text, each has the component of its own text, and links are confirmed on one of the texts. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -30,7 +30,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm.common import keep, shared_folder, table
+from sextant.llm.common import keep, table
+from sextant.sources.scratch import new_folder
 
 LEAST_BYTES = 100
 SPLIT_BYTES = 4 << 20
@@ -230,7 +231,7 @@ def read(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES) -> Da
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "warc")
     write(table(spark, sf_dir, "pages").withColumnRenamed("html", "payload"), folder)
     return read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

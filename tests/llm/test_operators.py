@@ -232,7 +232,7 @@ def test_warc_without_rows(spark, tmp_path):
 def page(k, extra=""):
     items = "".join(f"<li><a href='/{j}'>link {j + k}</a></li>" for j in range(3 + k % 3))
     paragraphs = "".join(f"<p>Paragraph {j} of page {k} &amp; more <b>bold</b> text" + ("</p>" if j % 2 else "") for j in range(2 + k % 2))
-    return f"<!DOCTYPE html><html><head><title>t</title><script>var a='</p>';</script></head><body><div class='cookie-notice'>Accept {k}</div><nav><ul>{items}</ul></nav><article><h1>Title  {k}</h1>{paragraphs}<div class=\"ad\">buy {k}</div></article>{extra}<section id='comments'><p>reader says {k}</p></section><form>mail <input></form><footer>&copy; {k}</footer></body></html>"
+    return f"<!DOCTYPE html><html><head><title>t</title><script>var a='</p>';</script></head><body><div class='cookie-notice'>Accept {k}</div><nav><ul>{items}</ul></nav><article><h1>Title  {k}</h1>{paragraphs}<div class=\"ad\">buy {k}</div><article class='comment'>me too {k}</article></article>{extra}<section id='comments'><p>reader says {k}</p></section><form>mail <input></form><footer>&copy; {k}</footer></body></html>"
 
 
 def test_html(spark):

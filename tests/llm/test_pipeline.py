@@ -4,14 +4,12 @@ import corpus_pipeline
 import pytest
 from test_operators import DE, EN, docs_of, words
 
-from sextant.llm.common import shared_folder
+from sextant.sources.scratch import new_folder
 
 
 @pytest.fixture(scope="module")
 def folder(spark):
-    import uuid
-
-    where = f"{shared_folder(spark)}/pipeline-test-{uuid.uuid4().hex}"
+    where = new_folder(spark, "pipeline-test")
     item = "Who built the very first lighthouse on the long western shore. The three brothers built it."
     rows = [(k, f"{EN if k % 2 else DE} {words(30, 100 * k)}", "en" if k % 2 else "de", "ab"[k % 3 == 0]) for k in range(30)]
     rows += [(100, rows[1][1], "en", "a"), (101, "123 !!", None, "a"), (102, f"{words(40, 9000)} {item}", "en", "b"), (103, f"{EN} {words(40, 8000)} write to me@home.org", None, "b"), (104, None, None, None)]
