@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sextant.llm.common import slices, table, utf8
 
@@ -42,8 +43,11 @@ def held_out() -> Column:
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, symbols: int = SAMPLE_SYMBOLS) -> dict[str, str]:
     """Text for each language, of at most ``rows`` rows and ``symbols`` letters or so."""
     from_ids = docs.where("lang is not null and doc_id is not null").where(~held_out()).select("doc_id", "lang").distinct()
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = from_ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows).drop("n")
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    ids = from_ids.withColumn("part", F.expr("pmod(xxhash64(doc_id, 1), 64)"))
+    for keys in (["lang", "part"], ["lang"]):  # parts first, so that no task gets the rows of a frequent language
+        ids = ids.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("n") <= rows)
+    ids = ids.drop("n", "part")
     each = max(1, symbols // 8)
     texts = docs.select("doc_id", "lang", F.substring("text", 1, each).alias("text")).where("text is not null").join(ids, ["doc_id", "lang"])
     out: dict[str, str] = {}
@@ -207,7 +211,7 @@ def identify(docs: DataFrame, model: dict[str, str] | None = None, carry: list[s
     model = sample(docs) if model is None else model
     carry = carry or ["doc_id"]
     columns = docs.select(*carry, F.col("text").cast("string").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema) + ", lang_pred string, score double, phrase_rate double"
+    schema = StructType(list(columns.schema.fields)).add("lang_pred", "string").add("score", "double").add("phrase_rate", "double")
     return columns.mapInArrow(_predict(model, len(carry)), schema).drop("_text")
 
 
