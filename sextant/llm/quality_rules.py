@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm.common import WHITE_SPACE, keep, table
+from sextant.llm.common import WHITE_SPACE, keep, small, table
 from sextant.llm.native import let, words
 
 WINDOW = 8
@@ -95,8 +95,8 @@ def judge(docs: DataFrame, carry: list[str] | None = None, host: str = "source",
     """Measures, base_failed and kept of each document, with its host's rate."""
     carry = carry or ["doc_id"]
     measured = keep(measures(docs, carry, host), "measures")
-    verdicts = host_verdicts(measured, limit).select("host", F.col("rate").alias("host_rate"), "host_kept")
-    joined = measured.join(verdicts, "host", "left")
+    verdicts = keep(host_verdicts(measured, limit).select("host", F.col("rate").alias("host_rate"), "host_kept"), "verdicts")
+    joined = measured.join(small(verdicts), "host", "left")
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce("host_kept", F.lit(True)))
 
 
