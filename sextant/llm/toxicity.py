@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm.common import keep, slices, table, utf8
+from sextant.llm.common import keep, slices, small, table, utf8
 
 SAMPLE_ROWS = 20_000
 MOST_TERMS = 400
@@ -242,8 +242,8 @@ def _document_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """(text, toxic) of at most ``rows`` labelled rows that aren't held out."""
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return keep(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id").select("text", "toxic"), "toxic_sample")
+    chosen = keep(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "sampled_labels")
+    return keep(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(small(chosen), "doc_id").select("text", "toxic"), "toxic_sample")
 
 
 def learn_terms(rows: DataFrame, most: int = MOST_TERMS) -> tuple[list[tuple[str, bool, float]], tuple[int, int]]:
