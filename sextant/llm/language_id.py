@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from sextant.llm.common import slices, table, utf8
+from sextant.llm.common import keep, slices, small, table, utf8
 
 SAMPLE_ROWS = 64
 SAMPLE_SYMBOLS = 20_000
@@ -47,9 +47,9 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, symbols: int = SAMPLE_SYMBO
     ids = from_ids.withColumn("part", F.expr("pmod(xxhash64(doc_id, 1), 64)"))
     for keys in (["lang", "part"], ["lang"]):  # parts first, so that no task gets the rows of a frequent language
         ids = ids.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("n") <= rows)
-    ids = ids.drop("n", "part")
+    ids = keep(ids.drop("n", "part"), "sampled_ids")
     each = max(1, symbols // 8)
-    texts = docs.select("doc_id", "lang", F.substring("text", 1, each).alias("text")).where("text is not null").join(ids, ["doc_id", "lang"])
+    texts = docs.select("doc_id", "lang", F.substring("text", 1, each).alias("text")).where("text is not null").join(small(ids), ["doc_id", "lang"])
     out: dict[str, str] = {}
     for r in sorted(texts.select("lang", "doc_id", "text").collect()):  # rows * languages texts at most
         if len(out.setdefault(r.lang, "")) < symbols:
