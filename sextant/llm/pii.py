@@ -37,7 +37,9 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 LOOSE_EMAIL = r"\b[A-Za-z0-9._%+-]{1,64}+\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]{1,63}+\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z]{2,12}\b"
 LOOSE_PHONE = r"(?<![0-9+.-])(?<![0-9]\x20)(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![\x20.-]?[0-9])"
-SECRET = r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|(?:sk|pk)_(?:live|test)_[A-Za-z0-9]{16,64})\b|(?<=(?:token|secret|apikey|api_key|password)\x20{0,2}[=:]\x20{0,2}[\"']?)[A-Za-z0-9_/+=-]{16,128}+"
+SECRET = r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|(?:sk|pk)_(?:live|test)_[A-Za-z0-9]{16,}+)\b|(?<=(?i:token|secret|apikey|api_key|password)\x20{0,2}[=:]\x20{0,2}[\"']?)[A-Za-z0-9_/+=-]{16,}+"
+#: What each text with a secret holds.
+SECRET_SIGN = r"AKIA|gh[pousr]_|[sp]k_(?:live|test)_|(?i:token|secret|apikey|api_key|password)\x20{0,2}[=:]"
 
 # Gazetteers of the labelers.
 TOP_LEVEL = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu", "us", "example", "biz", "co", "it", "nl", "ch", "at")
@@ -96,7 +98,7 @@ def loose_spans(text: Column, digit: Column) -> dict[str, Column]:
     return {
         "email": _if(F.rlike(text, F.lit(r"[(\[]at[)\]]")), matches(text, LOOSE_EMAIL)),
         "phone": _if(digit, matches(text, LOOSE_PHONE)),
-        "secret": _if(digit, matches(text, SECRET)),
+        "secret": _if(F.rlike(text, F.lit(SECRET_SIGN)), matches(text, SECRET)),
     }
 
 
@@ -144,8 +146,8 @@ def candidates(docs: DataFrame, carry: list[str]) -> DataFrame:
     base, loose = base_spans(text, digit), loose_spans(text, digit)
     each = [_labelled(k, True, text, v) for k, v in base.items()] + [_labelled(k, False, text, v) for k, v in loose.items()]
     held = docs.select(*carry, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
-    # texts without a digit, "@" or "(at)" are passed by at once
-    any_sign = F.rlike(text, F.lit(r"[0-9@]|[(\[]at[)\]]"))
+    # texts without a digit, "@", "(at)" or a sign of a secret are passed by at once
+    any_sign = F.rlike(text, F.lit(r"[0-9@]|[(\[]at[)\]]")) | F.rlike(text, F.lit(SECRET_SIGN))
     spans = F.concat(*each)
     return held.select(*carry, F.when(any_sign, spans).otherwise(F.array().cast(_SPANS)).alias("spans"))
 
@@ -228,7 +230,8 @@ def find(docs: DataFrame, carry: list[str] | None = None, least_odds: float = 0.
     """``carry`` with ``base`` and ``found``: arrays of (kind, s, e) by kind, then start.
 
     ``found`` holds the base spans and each looser candidate whose log odds reach ``least_odds``
-    and that overlaps no base span.
+    and that overlaps no base span; a secret only has to reach beyond the base spans in it, so that
+    a run of its digits that passes for a card doesn't leave the rest.
     """
     carry = carry or ["doc_id"]
     spans = keep(candidates(docs, carry), "pii_spans")
@@ -237,7 +240,7 @@ def find(docs: DataFrame, carry: list[str] | None = None, least_odds: float = 0.
     base = brief(F.filter("spans", lambda x: x["is_base"]))
     loose = F.filter("spans", lambda x: ~x["is_base"] & (_score(x, weights) >= least_odds))
     split = spans.select(*carry, base.alias("base"), brief(loose).alias("loose"))
-    apart = F.filter("loose", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    apart = F.filter("loose", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]) & ((x["kind"] != KINDS.index("secret")) | (b["s"] <= x["s"]) & (x["e"] <= b["e"]))))
     return split.select(*carry, "base", F.sort_array(F.concat("base", apart)).alias("found"))
 
 

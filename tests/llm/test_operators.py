@@ -182,6 +182,19 @@ def test_personal_data(spark, empty):
     assert pii.find(empty).count() == 0
 
 
+def test_secrets_of_any_case_and_length(spark):
+    hexes = hashlib.sha512(b"a").hexdigest() + hashlib.sha512(b"b").hexdigest()
+    secrets = [f'TOKEN = "{hexes[:40].upper()}"', f"Api_Key: {hexes[:32]}", f"password={hexes[:200]}", f"sk_live_{hexes[:100]}", f"pk_test_{hexes[:40]}", "secret=4111111111111111abcdefabcdef0123456789"] * 5
+    d = docs_of(spark, [(k, f"before {t} after", "en", "a") for k, t in enumerate(secrets)] + [(900, "PASSWORD: correcthorsebatterystaple", "en", "a"), (901, "a token of thanks", "en", "a")])
+    got = {r.doc_id: r.t for r in pii.find(d, ["doc_id", "text"]).select("doc_id", pii.redact(F.col("text"), F.col("found")).alias("t")).collect()}
+    for k, t in enumerate(secrets):
+        value = re.split("[=:] ?\"?", t)[-1].rstrip('"')
+        assert not any(value[j : j + 8] in got[k] for j in range(len(value) - 7)) and got[k].startswith("before ") and got[k].endswith(" after"), t
+    assert got[901] == "a token of thanks"
+    tried = {r.doc_id: [(pii.KINDS[x.kind], x.s, x.e) for x in r.spans] for r in pii.candidates(d, ["doc_id"]).where("doc_id >= 900").collect()}
+    assert tried == {900: [("secret", 10, 35)], 901: []}  # a secret needs no digit to be a candidate
+
+
 def test_em_orders_reliable_votes():
     belief = pii.expectation_maximisation([(0, (1, 1, 1, 0, 1), 50), (0, (0, -1, -1, 0, -1), 30), (0, (0, 1, 0, 1, 1), 5)])
     assert belief[0, (1, 1, 1, 0, 1)] > 0.9 > 0.1 > belief[0, (0, -1, -1, 0, -1)]
