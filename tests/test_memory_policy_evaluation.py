@@ -161,6 +161,13 @@ def test_split_plan(spark):
 
 
 @needs_data
+def test_the_audit_lists_every_violation(spark):
+    vector = F.array(F.lit(1.0))
+    events = spark.range(250).select(F.concat(F.lit("e"), F.col("id")).alias("event_id"), F.lit("train").alias("split"), F.col("id").alias("template_id"), F.lit("i").alias("target_item_id"), F.lit(1).alias("target_family_id"), *(vector.alias(f"{m}_vector") for m in ("text", "image", "audio")))
+    r = leakage.report(events.unionAll(events), spark.createDataFrame([("i", 1)], "item_id string, family_id int")).first()
+    assert r.duplicate_event_ids == sorted(f"e{k}" for k in range(250)) and r.n_duplicate_event_ids == 250 and r.duplicate_item_ids == [] and not r.passed
+
+
 def test_export_needs_a_clean_audit_and_tampering_shows(spark, tmp_path):
     items, events = tables.items(spark, DATA), tables.events(spark, DATA).drop("fused")
     assert leakage.report(events, items).first().passed
