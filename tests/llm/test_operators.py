@@ -259,6 +259,22 @@ def test_html(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_slots_of_the_wrapper_are_the_text(spark):
+    rows, want = [], {}
+    for k in range(12):  # template text without a telling class in the region, per-page ids, a small article element beside it
+        body = "".join(f"<p>Sentence {j} of story {k}, told at some length for its readers.</p>" for j in range(2 + k % 4))
+        rows.append((k, f"http://s.example/{k}", f"<html><body><div id='post-{k}' class='entry c{k}'><p>Reprinted with <b>permission</b>.</p>{body}<p>All stories end here.</p></div><article><p>Teaser {k % 5}</p></article></body></html>"))
+        want[k] = "\n".join(f"Sentence {j} of story {k}, told at some length for its readers." for j in range(2 + k % 4))
+    late = "".join(f"<p>Filler {j} of the page</p>" for j in range(3000))  # beyond any bounded prefix
+    rows += [(100 + k, f"http://t.example/{k}", f"<body>{late.replace('page', f'page {k}')}<div><p>Always here</p></div></body>") for k in range(4)]
+    rows += [(200 + k, f"http://u.example/{k}", "<body><p>Equal pages</p></body>") for k in range(5)]
+    for parts in (1, 5):
+        got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)).collect()}
+        assert {k: got[k] for k in want} == want
+        assert all("Always here" not in got[100 + k] and got[100 + k].count("\n") == 2999 for k in range(4))
+        assert all(got[200 + k] == "Equal pages" for k in range(5))
+
+
 def test_wrapper_has_slots_groups_and_optional_parts():
     kinds = []
 
