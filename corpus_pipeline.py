@@ -29,8 +29,9 @@ def unpacked(df: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter go; a missing lang is filled with the predicted one."""
-    judged = language_id.identify(packed(docs), language_id.sample(docs), ["row"]).where("lang_pred <> 'und'")
+    """Documents without a letter or in no learned language go; a missing lang is filled with the predicted one."""
+    model = language_id.sample(docs)
+    judged = language_id.identify(packed(docs), model, ["row"]).where(language_id.in_known_language(language_id.limits(model)))
     return unpacked(judged, docs, lang=F.coalesce("row.lang", "lang_pred"))
 
 

@@ -11,6 +11,12 @@ hashes), and ``SAMPLE_SYMBOLS`` symbols of them; that bound is the model's size,
 what is predicted. Whole texts are parsed, in blocks of ``BLOCK`` symbols: a phrase ends at the
 end of its block. Blocks of many texts run through the automata at once, as NumPy lanes.
 
+``limits`` tells known languages from others by the rate of phrases to symbols: automata of the
+first half of each sample parse its second half as it is (the rate of that language) and with its
+letters shuffled (the rate of unknown words of the same letters). A language's limit lies
+between the two, ``LIMIT_AT`` of the way up. ``in_known_language`` allows ``SPARE_PHRASES`` more,
+for names and the ends of short texts.
+
 Edge cases: a null text or one without a letter gives ``und`` and score 0. If no labelled row
 exists, every document is ``und``. Letters that the sample doesn't hold end each phrase in
 every language alike. Rows are judged alone, so repeated rows get equal results; an empty table
@@ -35,6 +41,9 @@ BLOCK = 256
 #: Alphabet: 0 for runs of anything but letters, 1 for letters not in the sample, then letters.
 MOST_LETTERS = 200
 
+LIMIT_AT = 0.6
+SPARE_PHRASES = 4
+
 
 def held_out() -> Column:
     return F.expr("crc32(cast(doc_id as string)) % 3 = 1")
@@ -165,10 +174,10 @@ class Parser:
             total[:, k] = np.bincount(owner, count[k], len(parts))
         return total, n, letters
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """(language, score, phrases for each symbol of the best language)."""
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """(language, score, phrases for each symbol of the best language, symbols)."""
         if not self.langs:
-            return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts))
+            return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts)), np.array([len(self.symbols(t)) for t in texts], np.int64)
         count, n, letters = self.phrases(texts)
         cost = count * self.weight
         best = cost.argmin(axis=1)
@@ -176,7 +185,30 @@ class Parser:
         odds = np.exp(-(cost - least) / np.sqrt(least + 1))
         score = np.where(letters, 1 / odds.sum(axis=1), 0.0)
         rate = count[np.arange(len(texts)), best] / np.maximum(n, 1)
-        return [self.langs[b] if ok else "und" for b, ok in zip(best, letters, strict=True)], score, rate
+        return [self.langs[b] if ok else "und" for b, ok in zip(best, letters, strict=True)], score, rate, n
+
+
+def limits(model: dict[str, str]) -> dict[str, float]:
+    """The highest phrase rate of texts in each language; 1, which all reach, for a sample of less than four blocks."""
+    half = Parser({k: v[: len(v) // 2] for k, v in model.items()})
+    out = {}
+    for k, lang in enumerate(half.langs):
+        rest = model[lang][len(model[lang]) // 2 :]
+        shuffled = "".join(np.random.default_rng(0).permutation(list(rest)))
+        rates = []
+        for text in (rest, shuffled):
+            count, n, _ = half.phrases([text[i : i + BLOCK] for i in range(0, len(text), BLOCK)])
+            rates.append(float(np.median(count[:, k] / np.maximum(n, 1))) if len(n) else 1.0)
+        out[lang] = rates[0] + LIMIT_AT * max(0.0, rates[1] - rates[0]) if len(model[lang]) >= 4 * BLOCK else 1.0
+    return out
+
+
+def in_known_language(limit: dict[str, float]) -> Column:
+    """Whether a row of ``identify`` has a letter and a phrase rate within its language's limit."""
+    if not limit:
+        return F.lit(False)
+    most = F.try_element_at(F.create_map(*(F.lit(x) for pair in limit.items() for x in pair)), F.col("lang_pred"))
+    return (F.col("lang_pred") != "und") & (F.col("phrase_rate") * F.col("n_symbols") <= F.coalesce(most, F.lit(1.0)) * F.col("n_symbols") + SPARE_PHRASES)
 
 
 _parsers: dict[tuple, Parser] = {}
@@ -197,21 +229,21 @@ def _predict(texts: dict[str, str], at_text: int):
             at, _ = utf8(batch.column(at_text))
             for i, j in slices(at):
                 part = batch.slice(i, j - i)
-                lang, score, rate = parser.predict([x or "" for x in part.column(at_text).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], [*part.schema.names, "lang_pred", "score", "phrase_rate"])
+                lang, score, rate, n = parser.predict([x or "" for x in part.column(at_text).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64()), pa.array(n, pa.int64())], [*part.schema.names, "lang_pred", "score", "phrase_rate", "n_symbols"])
 
     return run
 
 
 def identify(docs: DataFrame, model: dict[str, str] | None = None, carry: list[str] | None = None) -> DataFrame:
-    """``carry`` columns of docs with (lang_pred, score, phrase_rate) of their text.
+    """``carry`` columns of docs with (lang_pred, score, phrase_rate, n_symbols) of their text.
 
     ``model``: sample texts by language, of ``sample(docs)`` if none is given.
     """
     model = sample(docs) if model is None else model
     carry = carry or ["doc_id"]
     columns = docs.select(*carry, F.col("text").cast("string").alias("_text"))
-    schema = StructType(list(columns.schema.fields)).add("lang_pred", "string").add("score", "double").add("phrase_rate", "double")
+    schema = StructType(list(columns.schema.fields)).add("lang_pred", "string").add("score", "double").add("phrase_rate", "double").add("n_symbols", "long")
     return columns.mapInArrow(_predict(model, len(carry)), schema).drop("_text")
 
 

@@ -36,6 +36,19 @@ def test_stages(spark, folder):
     assert {r.doc_id for r in docs.select("doc_id").collect()} == ids  # every source is covered once
 
 
+def test_unlearned_languages_and_random_letters_go(spark):
+    import random
+
+    say = random.Random(3)
+    prose = lambda syllables: " ".join("".join(say.choices(syllables, k=say.randint(1, 3))) for _ in range(60))
+    tongues = {"en": "the and ing for tion was er on".split(), "de": "der und sch ein ich gen ver ung".split()}
+    rows = [(k, prose(tongues["en" if k % 2 else "de"]), "en" if k % 2 else "de", "a") for k in range(60)]
+    rows += [(100, prose("szcz wy owa nie prz ła ego ją".split()), None, "a"), (101, prose("kuk aan mat ylä joss oli sen hän".split()), None, "a"), (102, prose(list("abcdefghijklmnopqrstuvwxyz")), None, "a")]
+    rows += [(200, prose(tongues["en"]) + " Kowalski 12 https://x.org/ " + prose(tongues["de"]), None, "a"), (201, "the and", None, "a")]
+    got = {r.doc_id for r in corpus_pipeline.known_language(spark, docs_of(spark, rows), "").select("doc_id").collect()}
+    assert got == {*range(60), 200, 201}
+
+
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder).select("doc_id").distinct().count() == 31
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontamination", "pii", "mixing"]
