@@ -7,7 +7,8 @@ length and the number of symbols (the cross-parsing estimate of the relative ent
 language with the least value wins; ties go to the smaller name.
 
 Learned from ``SAMPLE_ROWS`` labelled rows for each language at most (those with the least
-hashes), and ``SAMPLE_SYMBOLS`` symbols of them; that bound is the model's size, not a limit on
+hashes), each by a window of it whose place is chosen by a hash, and ``SAMPLE_SYMBOLS`` symbols of
+them; every letter of these keeps its own symbol. That bound is the model's size, not a limit on
 what is predicted. Whole texts are parsed, in blocks of ``BLOCK`` symbols: a phrase ends at the
 end of its block. Blocks of many texts run through the automata at once, as NumPy lanes.
 
@@ -38,8 +39,7 @@ from sextant.llm.common import keep, slices, small, table, utf8
 SAMPLE_ROWS = 64
 SAMPLE_SYMBOLS = 20_000
 BLOCK = 256
-#: Alphabet: 0 for runs of anything but letters, 1 for letters not in the sample, then letters.
-MOST_LETTERS = 200
+# Alphabet: 0 for runs of anything but letters, 1 for letters not in the sample, then its letters.
 
 LIMIT_AT = 0.6
 SPARE_PHRASES = 4
@@ -58,7 +58,8 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, symbols: int = SAMPLE_SYMBO
         ids = ids.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("n") <= rows)
     ids = keep(ids.drop("n", "part"), "sampled_ids")
     each = max(1, symbols // 8)
-    texts = docs.select("doc_id", "lang", F.substring("text", 1, each).alias("text")).where("text is not null").join(small(ids), ["doc_id", "lang"])
+    at = F.expr(f"cast(1 + pmod(xxhash64(doc_id, 2), greatest(length(text) - {each} + 1, 1)) as int)")
+    texts = docs.select("doc_id", "lang", F.substr("text", at, F.lit(each)).alias("text")).where("text is not null").join(small(ids), ["doc_id", "lang"])
     out: dict[str, str] = {}
     for r in sorted(texts.select("lang", "doc_id", "text").collect()):  # rows * languages texts at most
         if len(out.setdefault(r.lang, "")) < symbols:
@@ -98,37 +99,66 @@ def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
 
 
 class Parser:
-    """The automata of all languages in one transition table."""
+    """The automata of all languages in one hash table of transitions, by state and symbol."""
 
     def __init__(self, texts: dict[str, str]):
         self.langs = sorted(texts)
-        letters: dict[str, int] = {}
-        for t in texts.values():
-            for c in t.lower():
-                if c.isalpha():
-                    letters[c] = letters.get(c, 0) + 1
-        kept = sorted(sorted(letters, key=lambda c: (-letters[c], c))[:MOST_LETTERS])
-        self.code = np.zeros(0x110000, np.uint8)
+        kept = sorted({c for t in texts.values() for c in t.lower() if c.isalpha()})
+        self.code = np.zeros(0x110000, np.int32)
         self.code[self._alphabetic()] = 1
         for k, c in enumerate(kept):
             self.code[ord(c)] = k + 2
         self.n = len(kept) + 2
-        tables, self.fresh, self.weight = [np.zeros((2, self.n), np.int32)], [], []
-        size = 2  # row 0: no state; row 1: a state without a way on, before a phrase and after an unknown letter
-        for lang in self.langs:
+        keys, values, self.weight = [], [], []
+        self.fresh = np.ones((len(self.langs), self.n), np.int32)
+        size = 2  # state 0: none; state 1: one without a way on, before a phrase and after an unknown letter
+        for i, lang in enumerate(self.langs):
             symbols = self.symbols(texts[lang])
             go = suffix_automaton(symbols.tolist())
-            rows = np.zeros((len(go), self.n), np.int32)
             for k, x in enumerate(go):
                 for c, to in x.items():
-                    rows[k, c] = to + size
-            self.fresh.append(np.where(rows[0], rows[0], 1))
-            tables.append(rows)
+                    keys.append((k + size) * self.n + c)
+                    values.append(to + size)
+            for c, to in go[0].items():
+                self.fresh[i, c] = to + size
             size += len(go)
             self.weight.append(np.log2(max(2, len(symbols))))
-        self.table = np.concatenate(tables).ravel()
-        self.fresh = np.array(self.fresh, np.int32).reshape(len(self.langs), self.n)
         self.weight = np.array(self.weight)
+        self._fill(np.array(keys, np.int64), np.array(values, np.int32))
+
+    def _fill(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Open addressing with steps of one; an eighth to a quarter of the slots is taken."""
+        bits = max(4, int(len(keys)).bit_length() + 2)
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys = np.full(1 << bits, -1, np.int64)
+        self.values = np.zeros(1 << bits, np.int32)
+        slot = self._slot(keys)
+        left = np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[slot[left]] < 0]
+            _, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            self.keys[slot[put]], self.values[slot[put]] = keys[put], values[put]
+            left = left[self.keys[slot[left]] != keys[left]]
+            slot[left] = (slot[left] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def _next(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The states after a symbol, 0 where there is no way on."""
+        key = (state.astype(np.int64) * self.n + symbol).ravel()
+        slot = self._slot(key)
+        held = self.keys[slot]
+        on = np.where(held == key, self.values[slot], 0)
+        left = np.flatnonzero((held != key) & (held >= 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & self.mask
+            held = self.keys[slot[left]]
+            hit = held == key[left]
+            on[left[hit]] = self.values[slot[left[hit]]]
+            left = left[~hit & (held >= 0)]
+        return on.reshape(state.shape)
 
     @staticmethod
     def _alphabetic() -> np.ndarray:
@@ -154,7 +184,7 @@ class Parser:
         length = np.minimum(BLOCK, n[owner] - inner * BLOCK)
         order = np.argsort(-length, kind="stable")
         owner, start, length = owner[order], start[order], length[order]
-        data = np.concatenate([*parts, np.zeros(1, np.uint8)])
+        data = np.concatenate([*parts, np.zeros(1, np.int32)])
         active = np.searchsorted(-length, -np.arange(1, BLOCK + 1), "right")  # blocks of more than t symbols
         g = len(self.langs)
         state = np.full((g, len(owner)), 1, np.int32)
@@ -164,7 +194,7 @@ class Parser:
             if not m:
                 break
             c = data[start[:m] + t]
-            on = self.table[state[:, :m] * np.int32(self.n) + c]
+            on = self._next(state[:, :m], c)
             dead = on == 0
             count[:, :m] += dead
             np.copyto(on, self.fresh[:, c], where=dead)

@@ -151,6 +151,35 @@ def test_phrases_by_a_plain_parse():
         assert p.phrases([text])[0][0, k] == count
 
 
+def test_every_sampled_letter_keeps_its_symbol():
+    import random
+
+    say = random.Random(5)
+    tongues = {lang: [chr(c) + chr(c + 1) for c in range(first, first + 600, 2)] for lang, first in (("a", 0x4E00), ("b", 0x5200), ("c", 0xAC00))}
+    tongues["d"] = list("abcdefgh")
+    prose = lambda words, n: "".join(say.choices(words, range(len(words), 0, -1), k=n))
+    model = {k: prose(v, 4000) for k, v in tongues.items()}
+    p = language_id.Parser(model)
+    assert len({int(p.symbols(c)[0]) for t in model.values() for c in t}) == len(set("".join(model.values())))
+    texts = {k: prose(v, 40) for k, v in tongues.items()}
+    assert p.predict(list(texts.values()))[0] == list(texts)
+    for text in texts.values():
+        symbols = p.symbols(text).tolist()
+        for k, lang in enumerate(p.langs):
+            count, at = 0, 0
+            while at < len(text):
+                n = 1
+                while at + n < len(text) and text[at : at + n + 1] in model[lang]:
+                    n += 1
+                at, count = at + n, count + 1
+            assert p.phrases([text])[0][0, k] == count and len(symbols) == len(text)
+
+
+def test_the_sample_isnt_only_the_beginnings_of_texts(spark):
+    d = docs_of(spark, [(k, "a" * 2500 + "b" * 50_000, "en", "a") for k in range(20)])
+    assert language_id.sample(d)["en"].count("b") > 10_000
+
+
 def base_spans(t):
     def luhn(x):
         v = [int(c) for c in reversed(x)]
