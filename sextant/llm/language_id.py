@@ -41,7 +41,7 @@ SAMPLE_SYMBOLS = 20_000
 BLOCK = 256
 # Alphabet: 0 for runs of anything but letters, 1 for letters not in the sample, then its letters.
 
-LIMIT_AT = 0.6
+LIMIT_AT = 0.8
 SPARE_PHRASES = 4
 
 
