@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.sources.scratch import new_folder
+from sextant.sources.scratch import discard, held, keep, new_folder, qualified, read_shard, sizes, write_shards  # noqa: F401
 
 #: Bytes of text that are tokenised at once; longer texts go alone.
 SLICE_BYTES = 1 << 20
@@ -38,17 +38,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs a re-read, not the work before it. The tables
-    stay until the folder is cleared, since results read them lazily.
-    """
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` (a written table), marked for broadcast if its measured size is at most ``most`` bytes.
 

@@ -14,11 +14,13 @@ first member of a range has to be searched for.
 Edge cases: a null payload is written as an empty one. Payloads under ``LEAST_BYTES`` are always
 responses. Rows that repeat the least page_id of their payload are all responses; where all
 page_ids of a payload are null, all its records are. A null url or page_id leaves its header
-out and reads back as null. No rows give no files, which read back as no records.
+out and reads back as null; a url that isn't a URI comes back as it was given. Columns beyond the
+three are ignored. No rows give no files, which read back as no records.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import uuid
 import zlib
@@ -30,15 +32,14 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm.common import keep, table
-from sextant.sources.scratch import new_folder
+from sextant.llm.common import discard, keep, new_folder, qualified, table
 
 LEAST_BYTES = 100
 SPLIT_BYTES = 4 << 20
 MAGIC = b"\x1f\x8b\x08"
 PIECE = 1 << 16
-#: A header is complete within so many bytes, else the candidate is no record.
-MOST_HEADER = 1 << 20
+#: Parts into which the rows of one payload are dealt when they meet its first page_id.
+SALTS = 8
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -55,7 +56,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, first: int | No
     block = http if revisit else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_record_id(page_id, digest)}", f"WARC-Date: {date}"]
     if url is not None:
-        head.append(f"WARC-Target-URI: {quote(url, safe=''.join(map(chr, range(33, 127))))}")
+        uri = quote(url, safe="".join(map(chr, range(33, 127))), errors="replace")
+        head.append(f"WARC-Target-URI: {uri}")
+        if uri != url:  # the URI is what readers expect, this is what was given
+            head.append(f"X-Page-URL-Base64: {base64.b64encode(url.encode('utf-8', 'replace')).decode()}")
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     head.append(f"WARC-Payload-Digest: sha256:{digest}")
@@ -90,14 +94,6 @@ def _write(folder: str, level: int):
     return run
 
 
-def qualified(spark: SparkSession, folder: str) -> str:
-    """The folder's full URI in the session's file systems, made if it doesn't exist."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    store.mkdirs(path)
-    return store.makeQualified(path).toString()
-
-
 def write(pages: DataFrame, folder: str, level: int = 6) -> DataFrame:
     """Write (page_id, url, payload) as WARC files; returns (file, records, bytes) of each file."""
     spark = pages.sparkSession
@@ -108,9 +104,14 @@ def write(pages: DataFrame, folder: str, level: int = 6) -> DataFrame:
     # ids and digests only; a table of the payloads that occur twice or more
     seen = held.where(long).select("page_id", digest.alias("digest")).groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first"))
     firsts = keep(seen.where("n > 1 and first is not null").select("digest", "first"), "warc_firsts")
-    rows = held.withColumn("digest", F.when(long, digest)).join(firsts, "digest", "left")
-    first = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return keep(rows.select("page_id", "url", "payload", first.alias("first")).mapInArrow(_write(folder, level), "file string, records long, bytes long"), "warc_manifest")
+    # short payloads meet nothing; the rows of one payload are dealt to several tasks
+    salted = firsts.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    mine = held.where(long).select("page_id", "url", "payload", digest.alias("digest"), F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int").alias("salt"))
+    joined = mine.join(salted, ["digest", "salt"], "left").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("first"))
+    rows = joined.unionByName(held.where(~long).select("page_id", "url", "payload", F.lit(None).cast("long").alias("first")))
+    manifest = keep(rows.mapInArrow(_write(folder, level), "file string, records long, bytes long"), "warc_manifest")
+    discard(firsts)
+    return manifest
 
 
 class _Range:
@@ -130,23 +131,23 @@ class _Range:
         self.at += n
 
 
-def header(data: bytes) -> tuple[dict[str, str], int] | None:
-    """The fields of a WARC header and where its block starts; None if it isn't complete."""
-    end = data.find(b"\r\n\r\n")
-    if end < 0:
-        return None
+def header(data: bytes) -> dict[str, str] | None:
+    """The fields of a WARC header, given without its empty last line; None if it isn't one."""
     fields = {}
-    for line in data[:end].split(b"\r\n")[1:]:
+    for line in data.split(b"\r\n")[1:]:
         name, sign, value = line.partition(b":")
         if not sign:
             return None
         fields[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
-    return (fields, end + 4) if fields.get("content-length", "").isdigit() and "warc-type" in fields else None
+    return fields if fields.get("content-length", "").isdigit() and "warc-type" in fields else None
 
 
 def _member(source: _Range) -> tuple[dict[str, str], bytes, int] | None:
-    """(fields, block, bytes of the member) if a record's member starts where the source stands."""
-    unpack, out, fields, used = zlib.decompressobj(31), bytearray(), None, 0
+    """(fields, block, bytes of the member) if a record's member starts where the source stands.
+
+    A header may have any length: it is looked for until its empty line or the member's end.
+    """
+    unpack, out, fields, used, start, seen = zlib.decompressobj(31), bytearray(), None, 0, 0, 0
     try:
         while True:
             if used >= len(source.data) and not source.more():
@@ -157,18 +158,20 @@ def _member(source: _Range) -> tuple[dict[str, str], bytes, int] | None:
             if fields is None:
                 if not bytes(out[:5]).startswith(b"WARC/"[: len(out)]):
                     return None
-                fields = header(bytes(out[:MOST_HEADER]))
-                if fields is None and len(out) >= MOST_HEADER:
-                    return None
+                end = out.find(b"\r\n\r\n", max(0, seen - 3))
+                seen = len(out)
+                if end >= 0:
+                    fields, start = header(bytes(out[:end])), end + 4
+                    if fields is None:
+                        return None
             if unpack.eof:
                 break
     except zlib.error:
         return None
     if fields is None:
         return None
-    names, start = fields
-    length = int(names["content-length"])
-    return (names, bytes(out[start : start + length]), used - len(unpack.unused_data)) if len(out) >= start + length else None
+    length = int(fields["content-length"])
+    return (fields, bytes(out[start : start + length]), used - len(unpack.unused_data)) if len(out) >= start + length else None
 
 
 def records(file: pa.NativeFile, start: int, stop: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -203,7 +206,8 @@ def _read(folder: str):
                         revisit = fields["warc-type"] == "revisit"
                         digest, ok = (kept, None) if revisit else ((d := hashlib.sha256(payload).hexdigest()), d == kept and len(payload) == length)
                         number = lambda k: int(fields[k]) if k in fields else None  # noqa: B023, E731
-                        rows.append((number("x-page-id"), fields.get("warc-target-uri"), fields["warc-type"], number("x-refers-to-page-id"), length, digest, ok, None if revisit else payload, name, at))
+                        url = base64.b64decode(fields["x-page-url-base64"]).decode("utf-8", "replace") if "x-page-url-base64" in fields else fields.get("warc-target-uri")
+                        rows.append((number("x-page-id"), url, fields["warc-type"], number("x-refers-to-page-id"), length, digest, ok, None if revisit else payload, name, at))
                         size += len(block)
                         if size >= SPLIT_BYTES:
                             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
@@ -230,10 +234,19 @@ def read(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES) -> Da
     return ranges.repartition(n, "file", "start").mapInArrow(_read(folder), SCHEMA)
 
 
+def complete(found: DataFrame, manifest: DataFrame) -> DataFrame:
+    """``found`` (a written table of records), if it has as many rows as the writer's manifest tells."""
+    written, read_back = manifest.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0], found.count()
+    if written != read_back:
+        raise ValueError(f"{written} records were written, {read_back} were read")
+    return found
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "warc")
-    write(table(spark, sf_dir, "pages").withColumnRenamed("html", "payload"), folder)
-    return read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    manifest = write(table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("payload")), folder)
+    found = keep(read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "warc_pages")
+    return complete(found, manifest)
 
 
 SQL = """
