@@ -34,7 +34,7 @@ PRIOR_ROWS = 20.0
 
 
 def repeated_words(w: Column, n: int = WINDOW) -> Column:
-    """Words in n-word windows that occur twice or more, first occurrences included."""
+    """Words in n-word windows that occur twice or more, first occurrences included; n: a power of two."""
 
     def covered(hashes: Column) -> Column:
         order = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -48,10 +48,17 @@ def repeated_words(w: Column, n: int = WINDOW) -> Column:
         add = lambda a, p: F.struct((p + n).alias("end"), (a["n"] + n - F.greatest(a["end"] - p, F.lit(0))).alias("n"))
         return let(order, lambda o: F.aggregate(places(o), start, add, lambda a: a["n"]))
 
+    def joined(h: Column, size: int) -> Column:
+        """Hashes of runs of 2 * size words from those of ``size`` words: each with its neighbour ``size`` on."""
+        left = F.slice(h, F.lit(1), F.size(h) - size)
+        return F.zip_with(left, F.slice(h, F.lit(size + 1), F.size(h) - size), lambda a, b: F.xxhash64(a, b))
+
+    def runs(h: Column, size: int) -> Column:
+        return h if size == n else let(joined(h, size), lambda x: runs(x, 2 * size))
+
     def of(h: Column) -> Column:
-        hashes = F.transform(F.sequence(F.lit(1), F.size(h) - n + 1), lambda i: F.xxhash64(F.slice(h, i, n)))
         return F.when(F.size(h) < n, F.lit(0).cast("long")).otherwise(
-            let(hashes, lambda x: F.when(F.size(F.array_distinct(x)) == F.size(x), F.lit(0).cast("long")).otherwise(covered(x)))
+            let(runs(h, 1), lambda x: F.when(F.size(F.array_distinct(x)) == F.size(x), F.lit(0).cast("long")).otherwise(covered(x)))
         )
 
     return let(F.transform(w, lambda x: F.xxhash64(x)), of)
