@@ -9,8 +9,9 @@ language with the least value wins; ties go to the smaller name.
 Learned from ``SAMPLE_ROWS`` labelled rows for each language at most (those with the least
 hashes), each by a window of it whose place is chosen by a hash, and ``SAMPLE_SYMBOLS`` symbols of
 them; every letter of these keeps its own symbol. That bound is the model's size, not a limit on
-what is predicted. Whole texts are parsed, in blocks of ``BLOCK`` symbols: a phrase ends at the
-end of its block. Blocks of many texts run through the automata at once, as NumPy lanes.
+what is predicted. Whole texts are parsed: blocks of ``BLOCK`` symbols of many texts run through the
+automata at once, as NumPy lanes, and then each block's first phrases are read again as the
+block before left them, until both readings agree. So the block's size doesn't change a result.
 
 ``limits`` tells known languages from others by the rate of phrases to symbols: automata of the
 first half of each sample parse its second half as it is (the rate of that language) and with its
@@ -188,7 +189,7 @@ class Parser:
         active = np.searchsorted(-length, -np.arange(1, BLOCK + 1), "right")  # blocks of more than t symbols
         g = len(self.langs)
         state = np.full((g, len(owner)), 1, np.int32)
-        count = np.zeros((g, len(owner)), np.int32)
+        begins = np.zeros((g, len(owner), BLOCK), bool)  # a phrase begins here, if one does at the block's start
         for t in range(BLOCK):
             m = active[t]
             if not m:
@@ -196,14 +197,56 @@ class Parser:
             c = data[start[:m] + t]
             on = self._next(state[:, :m], c)
             dead = on == 0
-            count[:, :m] += dead
+            begins[:, :m, t] = dead
             np.copyto(on, self.fresh[:, c], where=dead)
             state[:, :m] = on
+        count = begins.sum(axis=2)
+        place = np.argsort(order)  # where the sorted lanes hold each block
+        later = np.flatnonzero(inner > 0)
+        self._go_on(data, start, length, place[later - 1], place[later], state, begins, count)
         total = np.zeros((len(parts), g))
         for k in range(g):
             total[:, k] = np.bincount(owner, count[k], len(parts))
         return total, n, letters
 
+    def _go_on(self, data: np.ndarray, start: np.ndarray, length: np.ndarray, before: np.ndarray, after: np.ndarray, state: np.ndarray, begins: np.ndarray, count: np.ndarray) -> None:
+        """Let phrases go on over the ends of blocks: ``after`` are the blocks that follow those of ``before``.
+
+        A block is read again from the state in which the one before ended, until a phrase begins
+        where one began in the first reading: from there on both readings agree. A block in which
+        they never meet ends in another state, so the next one is read again, until no end changes.
+        ``count`` and ``state`` (languages x blocks) are brought up to date.
+        """
+        g = len(self.langs)
+        first, first_state = count.copy(), state.copy()
+        follows = np.full(state.shape[1], -1)
+        follows[before] = after
+        lang, lane, prior = np.repeat(np.arange(g), len(after)), np.tile(after, g), np.tile(before, g)
+        while len(lane):
+            now = state[lang, prior]
+            extra = np.zeros(len(lane), np.int64)  # phrases of the new reading less those of the first so far
+            ends = first_state[lang, lane]
+            on, t = np.arange(len(lane)), 0
+            while len(on):
+                c = data[start[lane[on]] + t]
+                to = self._next(now[on], c)
+                dead = to == 0
+                to = np.where(dead, self.fresh[lang[on], c], to)
+                was = begins[lang[on], lane[on], t]
+                extra[on] += dead.astype(np.int64) - was
+                now[on] = to
+                t += 1
+                stop = length[lane[on]] == t
+                ends[on[stop & ~(dead & was)]] = to[stop & ~(dead & was)]
+                on = on[~(dead & was) & ~stop]
+            count[lang, lane] = first[lang, lane] + extra
+            changed = ends != state[lang, lane]
+            state[lang[changed], lane[changed]] = ends[changed]
+            prior, lang = lane[changed], lang[changed]
+            lane = follows[prior]
+            keep = lane >= 0
+            lang, lane, prior = lang[keep], lane[keep], prior[keep]
+
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """(language, score, phrases for each symbol of the best language, symbols)."""
         if not self.langs:
