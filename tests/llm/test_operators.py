@@ -151,6 +151,31 @@ def test_phrases_by_a_plain_parse():
         assert p.phrases([text])[0][0, k] == count
 
 
+@pytest.mark.parametrize("block", [4, 64, 256])
+def test_phrases_go_on_over_the_ends_of_blocks(monkeypatch, block):
+    import random
+
+    monkeypatch.setattr(language_id, "BLOCK", block)
+    say = random.Random(1)
+    prose = lambda parts, n: "".join(say.choices(parts, k=n))
+    english, german = ["the ", "and ", "ing ", "tion", "er ", "on "], ["der ", "und ", "ein", "sch ", "ung "]
+    model = {"a": "aaaaaaab" * 40 + prose(english, 800), "b": prose(german, 800)}
+    p = language_id.Parser(model)
+    texts = ["a" * 3000, prose(english, 500), prose(german, 400) + "q" * 30 + prose(english, 200), "", "the", "aaaaaaab" * 200, prose(english + german, 900)]
+    got = p.phrases(texts)[0]
+    for row, text in zip(got, texts, strict=True):
+        symbols = "".join(map(chr, p.symbols(text)))
+        for k, lang in enumerate(p.langs):
+            known = "".join(map(chr, p.symbols(model[lang])))
+            count = at = 0
+            while at < len(symbols):
+                n = 1
+                while at + n < len(symbols) and symbols[at : at + n + 1] in known:
+                    n += 1
+                at, count = at + n, count + 1
+            assert row[k] == count
+
+
 def test_every_sampled_letter_keeps_its_symbol():
     import random
 
@@ -241,14 +266,57 @@ def test_decontamination(spark, docs, empty):
     kept = decontamination.clean(d, items)
     assert kept.columns == d.columns and kept.count() == len(ROWS) + 1
     assert decontamination.contaminated(empty, items).count() == 0 and decontamination.contaminated(docs, items.limit(0)).count() == 0
-    assert len(list(decontamination.shards(items, 100))) > 1
-    found = set()
-    for shard in decontamination.shards(items, 100):
-        found |= {(r.doc_id, r.item_id) for r in decontamination.contaminated(d, spark.createDataFrame([x[:2] for x in shard] or [(0, None)], "item_id long, text string")).collect()}
-    assert found == want
+    whole = {tuple(r)[:2]: tuple(r)[2:] for r in decontamination.contaminated(d, items).collect()}
+    assert len(decontamination.shards(items, 100)) > 1
+    parts = {tuple(r)[:2]: tuple(r)[2:] for r in decontamination.contaminated(d, items, 100).collect()}
+    assert set(parts) == want and all(abs(a - b) < 1e-9 for k in want for a, b in zip(whole[k], parts[k], strict=True))
+    assert decontamination.clean(d, items, 100).count() == len(ROWS) + 1
 
 
-PAGES = [(1, "http://a/1", "x" * 200), (2, "http://a/2", "x" * 200), (3, None, "y" * 99), (4, "http://a/é 4", "y" * 99), (5, "u", None), (6, "u", "é\r\n\r\n" * 40_000), (7, "u", "\x1f\x8b\x08" * 100), (2, "http://a/2", "x" * 200), (1, "http://a/1", "x" * 200), (None, "n", "x" * 200)]
+def test_block_max_wand_equals_bm25_over_all_items(spark):
+    import math
+    import random
+
+    say = random.Random(4)
+    vocabulary = [f"t{k}" for k in range(300)]
+    weights = [1 / (k + 1) for k in range(300)]
+    text = lambda n: " ".join(say.choices(vocabulary, weights, k=n))
+    items = [(k, f"{text(say.randint(2, 50))}. {text(say.randint(2, 12))}.") for k in range(120)]
+    items += [(200, items[3][1]), (201, None), (202, "")]
+    rows = [(k, text(say.randint(0, 400)), "en", "a") for k in range(60)]
+    rows += [(100 + k, f"{text(50)} {items[k][1]} {text(60)}", "en", "a") for k in range(20)]
+    words = lambda t: [w.lower() for w in (t or "").split()]
+    df, lengths = {}, [len(words(t)) for _, t in items if words(t)]
+    for _, t in items:
+        for w in set(words(t)):
+            df[w] = df.get(w, 0) + 1
+    mean, want = sum(lengths) / len(lengths), {}
+    grams = lambda w, n: {tuple(w[j : j + n]) for j in range(len(w) - n + 1)}
+    for item, t in items:
+        w = words(t)
+        if not w:
+            continue
+        impact = {x: math.log1p((len(lengths) - df[x] + 0.5) / (df[x] + 0.5)) * w.count(x) * 2.2 / (w.count(x) + 1.2 * (0.25 + 0.75 * len(w) / mean)) for x in set(w)}
+        step = 1 << max(4, math.ceil(math.log2(len(w))))
+        question, answer = (words(x) for x in decontamination.parts(t))
+        for doc, text_of, *_ in rows:
+            v = words(text_of)
+            for at in range(0, len(v), step):
+                own = v[at : at + 2 * step]
+                score = sum(s for x, s in impact.items() if x in own)
+                n = min(5, len(question))
+                near = sum(g in grams(own, n) for g in grams(question, n)) / len(grams(question, n))
+                answered = sum(x in own for x in answer) / len(answer)
+                if score >= 0.5 * sum(impact.values()) * (1 - 1e-9) and near >= 0.5 and answered >= 0.5:
+                    want[doc, item] = max(want.get((doc, item), (0,)), (score, near, answered))
+    table = spark.createDataFrame(items, "item_id long, text string")
+    assert len({d for d, _ in want}) >= 20 and (103, 200) in want
+    for most in (1 << 20, 1500):
+        got = {(r.doc_id, r.item_id): (r.score, r.question_overlap, r.answer_overlap) for r in decontamination.contaminated(docs_of(spark, rows), table, most).collect()}
+        assert set(got) == set(want) and all(abs(x - y) < 1e-9 for k in want for x, y in zip(got[k], want[k], strict=True))
+
+
+PAGES = [(1, "http://a/1", "x" * 200), (2, "http://a/2", "x" * 200), (3, None, "y" * 99), (4, "http://a/é 4", "y" * 99), (5, "u", None), (6, "u", "é\r\n\r\n" * 40_000), (7, "u", "\x1f\x8b\x08" * 100), (2, "http://a/2", "x" * 200), (1, "http://a/1", "x" * 200), (None, "n", "x" * 200), (8, "http://b/?q=a%20b c#\r\n\u2603", "z"), (9, "http://long/" + "p" * 1_500_000, "w" * 150)]
 
 
 @pytest.mark.parametrize("split", [64, 1000, 1 << 22])
@@ -263,6 +331,21 @@ def test_warc_round_trip(spark, tmp_path, split):
         revisit = len(b) >= 100 and p[0] == "x" and i != 1
         want.append((i or 0, len(b), hashlib.sha256(b).hexdigest(), "revisit" if revisit else "response", 1 if revisit else 0, None if revisit else True))
     assert got == sorted(want, key=lambda x: x[:5])
+    assert sorted((r.page_id or 0, r.url or "") for r in warc.read(spark, folder, split).collect()) == sorted((i or 0, u or "") for i, u, _ in PAGES)
+
+
+def test_warc_query_with_clashing_columns_and_a_lost_file(spark, tmp_path):
+    import os
+
+    rows = [(k, f"http://h/{k}", "a" * 120 if k % 3 else None, "other", 5, "d") for k in range(30)]
+    spark.createDataFrame(rows, "page_id long, url string, html string, payload string, first int, digest string").write.parquet(f"file://{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in warc.query(spark, str(tmp_path)).collect()}
+    assert got == {k: ("response", None, 0) if k % 3 == 0 else ("response", None, 120) if k == 1 else ("revisit", 1, 120) for k in range(30)}
+    folder = f"file://{tmp_path}/warc"
+    manifest = warc.write(spark.createDataFrame(PAGES, "page_id long, url string, payload string").repartition(3), folder)
+    os.remove(f"{tmp_path}/warc/{manifest.first().file}")
+    with pytest.raises(ValueError, match="were read"):
+        warc.complete(warc.read(spark, folder), manifest)
 
 
 def test_warc_without_rows(spark, tmp_path):
