@@ -1,21 +1,25 @@
 """Toxicity by a misspelling-tolerant lexicon and its context (operator 9).
 
 1. A lexicon is learned from a bounded sample of labelled rows: words and word beginnings that
-   are far more frequent in toxic documents (smoothed log odds on document frequencies).
-2. The lexicon is a trie; full terms accept one edit (none if they are short), beginnings accept
+   are more frequent in toxic documents than chance allows. With V terms tried, a term has to
+   reach log likelihood ``log(V) - SLACK``, so only a handful is there by luck, at any size of the sample.
+2. The lexicon is a trie; whole terms accept one edit (none if they are short), beginnings accept
    any ending. The Levenshtein automata of all terms are intersected with the trie and made
-   deterministic once; each state is a set of (trie node, edits left). All words of a batch run
-   through that table at once, as NumPy lanes.
+   deterministic as words need it; each state is a set of (trie node, edits spent). All words of a
+   batch run through that table at once, as NumPy lanes. A word that other documents of the sample
+   use is no misspelling, however near it is to a term.
 3. Each hit is weighed in its window of ``WINDOW`` words: quotation marks around it, words of
    saying before it and hits near it. A logistic regression over sums of these window scores,
    trained on the same sample, gives the score; so a quoted insult weighs other than abuse.
 
 The sample has ``SAMPLE_ROWS`` labelled rows at most (those with the least hashes of doc_id) and
-is the model's size; every row's whole text is scored.
+is the model's size; every row's whole text is scored, and terms, their letters and the words
+they meet may have any number and length.
 
 Edge cases: null and empty texts have no hit and get the score of the bias. Without labelled
 rows of both kinds the score is the toxic share of the sample (0.5 without any). Rows are judged
-alone; an empty table gives an empty result; columns beyond doc_id and text are ignored.
+alone, so repeated rows get equal scores; of several labels of a doc_id the toxic one counts. An
+empty table gives an empty result; columns beyond doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -29,17 +33,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm.common import keep, slices, small, table, utf8
+from sextant.llm.common import discard, keep, slices, small, table, utf8
 
 SAMPLE_ROWS = 20_000
-MOST_TERMS = 400
 LEAST_ROWS = 3
-LEAST_ODDS = 3.0
+LEAST_ODDS = 1.5
+#: A term's log likelihood may lie so much below the log of the number of terms tried.
+SLACK = 1.5
 #: Lengths of word beginnings that may become terms.
-PREFIXES = (4, 5, 6)
+BEGINNINGS = range(4, 13)
 #: Terms shorter than this accept no edit.
 FUZZY_LENGTH = 5
-LONGEST_WORD = 32
+#: Other documents of the sample that have to use a word before it counts as a word of its own.
+LEAST_OTHERS = 2
 WINDOW = 6
 THRESHOLD = 0.7
 
@@ -57,114 +63,120 @@ def held_out() -> Column:
 class Automaton:
     """Levenshtein automata of terms, intersected with their trie, as one transition table.
 
-    terms: (text, is a beginning, weight). ``table[state, letter]`` is the next state, 0 none;
-    accepting states tell a term and the edits spent.
+    terms: (text, is a beginning, weight). ``table[state, letter]`` is the next state, 0 none, -1
+    not made yet; states are made when a word first gets there. ``known``: words that are no
+    misspelling of a term.
     """
 
-    def __init__(self, terms: list[tuple[str, bool, float]]):
-        self.terms = terms
+    def __init__(self, terms: list[tuple[str, bool, float]], known: frozenset[str] = frozenset()):
+        self.terms, self.known = terms, known
         letters = sorted({c for t, _, _ in terms for c in t})
-        self.code = np.zeros(0x110000, np.uint8)  # 0: a letter of no term
-        for k, c in enumerate(letters[:250]):
+        self.code = np.zeros(0x110000, np.int32)  # 0: a letter of no term
+        for k, c in enumerate(letters):
             self.code[ord(c)] = k + 1
-        self.n = len(letters[:250]) + 1
-        children: list[dict[int, int]] = [{}]
-        ends: list[list[int]] = [[]]
-        edits = [0]  # most edits that a term below the node accepts
+        self.n = len(letters) + 1
+        self.children: list[dict[int, int]] = [{}]
+        self.ends: list[list[int]] = [[]]
+        self.edits = [0]  # most edits that a term below the node accepts
         for number, (t, beginning, _) in enumerate(terms):
-            node, allowed = 0, 1 if not beginning and len(t) >= FUZZY_LENGTH else 0
-            edits[0] = max(edits[0], allowed)
+            node, allowed = 0, self.allowed(number)
+            self.edits[0] = max(self.edits[0], allowed)
             for c in t:
                 k = int(self.code[ord(c)])
-                if k not in children[node]:
-                    children[node][k] = len(children)
-                    children.append({}), ends.append([]), edits.append(0)
-                node = children[node][k]
-                edits[node] = max(edits[node], allowed)
-            ends[node].append(number)
-
-        def close(active: dict[int, int]) -> frozenset:
-            """(node, edits spent) with skipped letters of terms; the least edits of each node."""
-            todo = list(active.items())
-            while todo:
-                node, spent = todo.pop()
-                if spent < edits[node]:
-                    for child in children[node].values():
-                        if spent + 1 <= edits[child] and active.get(child, 9) > spent + 1:
-                            active[child] = spent + 1
-                            todo.append((child, spent + 1))
-            return frozenset(active.items())
-
-        start = close({0: 0})
-        number_of = {frozenset(): 0, start: 1}
-        order, rows = [frozenset(), start], [np.zeros(self.n, np.int32)]
-        self.accepts: list[tuple[int, int]] = [(-1, 0)]  # (term, edits) at the end of a word
-        self.at_once: list[int] = [-1]  # a beginning that is complete here
-        k = 1
-        while k < len(order):
-            state = order[k]
-            row = np.zeros(self.n, np.int32)
-            whole, begun = (-1, 9), -1
-            for node, spent in state:
-                for t in ends[node]:
-                    if terms[t][1]:
-                        begun = t if begun < 0 or terms[t][2] > terms[begun][2] else begun
-                    elif spent <= (1 if len(terms[t][0]) >= FUZZY_LENGTH else 0) and (spent, t) < (whole[1], whole[0] if whole[0] >= 0 else 1 << 30):
-                        whole = (t, spent)
-            useful = {c for node, _ in state for c in children[node]} | ({0} if any(s < edits[v] for v, s in state) else set())
-            other = None  # all letters that are on no way do the same: an edit
-            for c in range(self.n):
-                if c not in useful and other is not None:
-                    row[c] = other
-                    continue
-                active: dict[int, int] = {}
-                for node, spent in state:
-                    to = children[node].get(c) if c else None
-                    if to is not None and spent <= edits[to] and active.get(to, 9) > spent:
-                        active[to] = spent
-                    if spent < edits[node]:
-                        if active.get(node, 9) > spent + 1:
-                            active[node] = spent + 1  # a letter too many
-                        for child in children[node].values():  # a wrong letter
-                            if spent + 1 <= edits[child] and active.get(child, 9) > spent + 1:
-                                active[child] = spent + 1
-                nxt = close(active)
-                if nxt not in number_of:
-                    number_of[nxt] = len(order)
-                    order.append(nxt)
-                row[c] = number_of[nxt]
-                if c not in useful:
-                    other = row[c]
-            rows.append(row)
-            self.accepts.append(whole if whole[0] >= 0 else (-1, 0))
-            self.at_once.append(begun)
-            k += 1
-        self.table = np.concatenate(rows).astype(np.int32)
-        self.term = np.array([t for t, _ in self.accepts])
-        self.spent = np.array([e for _, e in self.accepts])
-        self.begun = np.array(self.at_once)
+                if k not in self.children[node]:
+                    self.children[node][k] = len(self.children)
+                    self.children.append({}), self.ends.append([]), self.edits.append(0)
+                node = self.children[node][k]
+                self.edits[node] = max(self.edits[node], allowed)
+            self.ends[node].append(number)
         self.weights = np.array([w for _, _, w in terms] or [0.0])
+        self.number: dict[frozenset, int] = {}
+        self.order: list[frozenset] = []
+        self.table = np.zeros((16, self.n), np.int32)
+        self.whole = np.full((16, 2), -1)  # (term, edits) at the end of a word, the fewest edits first
+        self.begun = np.full(16, -1)  # a beginning that is complete here
+        self._state(frozenset())
+        self.table[0] = 0
+        self._state(self._close({0: 0}))
+
+    def allowed(self, number: int) -> int:
+        text, beginning, _ = self.terms[number]
+        return 1 if not beginning and len(text) >= FUZZY_LENGTH else 0
+
+    def _close(self, active: dict[int, int]) -> frozenset:
+        """(node, edits spent) with skipped letters of terms; the least edits of each node."""
+        todo = list(active.items())
+        while todo:
+            node, spent = todo.pop()
+            if spent < self.edits[node]:
+                for child in self.children[node].values():
+                    if spent + 1 <= self.edits[child] and active.get(child, 9) > spent + 1:
+                        active[child] = spent + 1
+                        todo.append((child, spent + 1))
+        return frozenset(active.items())
+
+    def _state(self, state: frozenset) -> int:
+        """The number of a state, made if it is new."""
+        k = self.number.get(state)
+        if k is not None:
+            return k
+        k = self.number[state] = len(self.order)
+        self.order.append(state)
+        if k == len(self.begun):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.whole = np.concatenate([self.whole, np.full_like(self.whole, -1)])
+            self.begun = np.concatenate([self.begun, np.full_like(self.begun, -1)])
+        self.table[k] = -1
+        best = lambda x: (x[1], -self.terms[x[0]][2], x[0])
+        here = [(t, spent) for node, spent in state for t in self.ends[node] if spent <= self.allowed(t)]
+        whole = min((x for x in here if not self.terms[x[0]][1]), key=best, default=(-1, 0))
+        self.whole[k] = whole
+        self.begun[k] = min((x for x in here if self.terms[x[0]][1]), key=best, default=(-1, 0))[0]
+        return k
+
+    def _step(self, k: int, c: int) -> int:
+        """The state after state k and letter c."""
+        active: dict[int, int] = {}
+        for node, spent in self.order[k]:
+            to = self.children[node].get(c) if c else None
+            if to is not None and spent <= self.edits[to] and active.get(to, 9) > spent:
+                active[to] = spent
+            if spent < self.edits[node]:
+                if active.get(node, 9) > spent + 1:
+                    active[node] = spent + 1  # a letter too many
+                for child in self.children[node].values():  # a wrong letter
+                    if spent + 1 <= self.edits[child] and active.get(child, 9) > spent + 1:
+                        active[child] = spent + 1
+        return self._state(self._close(active))
 
     def match(self, codes: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word, term, edits) of the words codes[start:stop] that match a term."""
+        """(word, term, edits) of the words codes[start:stop] that match a term: the best term of each."""
         lane = np.arange(len(start))
-        state = np.ones(len(start), np.int32)
-        word, term, spent = [], [], []
-        for t in range(LONGEST_WORD + 1):
+        state = np.ones(len(start), np.int64)
+        best, edits = np.full(len(start), -1), np.zeros(len(start), int)
+        t = 0
+        while len(lane):
             begun = self.begun[state]
-            done = stop[lane] - start[lane] == t
-            hit = begun >= 0
-            word.append(lane[hit]), term.append(begun[hit]), spent.append(np.zeros(hit.sum(), int))
-            whole = done & ~hit & (self.term[state] >= 0)
-            word.append(lane[whole]), term.append(self.term[state[whole]]), spent.append(self.spent[state[whole]])
-            on = ~done & ~hit
+            better = (begun >= 0) & ((best[lane] < 0) | (self.weights[begun] > self.weights[best[lane]]))
+            best[lane[better]] = begun[better]
+            on = stop[lane] - start[lane] > t
+            term, spent = self.whole[state[~on]].T
+            ended, old = lane[~on], best[lane[~on]]
+            better = (term >= 0) & ((old < 0) | (spent == 0) & (self.weights[term] > self.weights[old]))
+            best[ended[better]], edits[ended[better]] = term[better], spent[better]
             lane, state = lane[on], state[on]
-            state = self.table[state * self.n + codes[start[lane] + t]]
-            alive = state > 0
-            lane, state = lane[alive], state[alive]
-            if not len(lane):
-                break
-        return tuple(np.concatenate(x) for x in (word, term, spent))
+            letter = codes[start[lane] + t]
+            after = self.table[state, letter]
+            if (after < 0).any():
+                for k, c in np.unique(np.stack([state[after < 0], letter[after < 0]]), axis=1).T.tolist():
+                    to = self._step(k, c)
+                    self.table[k, c] = to
+                after = self.table[state, letter]
+            alive = after > 0
+            lane, state = lane[alive], after[alive].astype(np.int64)
+            t += 1
+        word = np.flatnonzero(best >= 0)
+        return word, best[word], edits[word]
 
 
 _SPACE, _LETTER, _QUOTE = 0, 1, 2
@@ -198,8 +210,10 @@ def features(texts: list[str], automaton: Automaton) -> np.ndarray:
     if not len(start):
         return out
     word, term, spent = automaton.match(automaton.code[points], start, stop)
-    order = np.argsort(word, kind="stable")
-    word, term, spent = word[order], term[order], spent[order]
+    spelled = lambda w: "".join(map(chr, points[start[w] : stop[w]]))
+    if automaton.known:
+        real = np.array([not e or spelled(w) not in automaton.known for w, e in zip(word, spent, strict=True)], bool)
+        word, term, spent = word[real], term[real], spent[real]
     weight = automaton.weights[term] if len(term) else np.zeros(0)
     owner = text_of[word]
     head = np.searchsorted(text_of, np.arange(len(texts)))
@@ -209,22 +223,22 @@ def features(texts: list[str], automaton: Automaton) -> np.ndarray:
         high = min(w + WINDOW, head[owner[k]] + n_words[owner[k]] - 1)
         before, after = kind[start[low] : start[w]], kind[stop[w] : stop[high] + 1]
         quoted[k] = (before == _QUOTE).any() and (after == _QUOTE).any()
-        said[k] = any("".join(map(chr, points[start[x] : stop[x]])) in SAYING for x in range(low, w))
-        near[k] = min(3, ((word >= low) & (word <= high) & (owner == owner[k])).sum() - 1) if len(word) < 5000 else min(3, np.searchsorted(word, high, "right") - np.searchsorted(word, low) - 1)
+        said[k] = any(spelled(x) in SAYING for x in range(low, w))
+        near[k] = np.searchsorted(word, high, "right") - np.searchsorted(word, low) - 1
     for name, v in (("hits", weight), ("exact", weight * (spent == 0)), ("fuzzy", weight * (spent > 0)), ("quoted", weight * quoted), ("said", weight * said), ("near", near)):
-        out[:, FEATURES.index(name)] = np.minimum(np.bincount(owner, v, len(texts)), 20)
+        out[:, FEATURES.index(name)] = np.log1p(np.bincount(owner, v, len(texts)))
     count = np.bincount(owner, minlength=len(texts))
     out[:, FEATURES.index("any")] = count > 0
-    out[:, FEATURES.index("density")] = np.minimum(1, 20 * count / np.maximum(n_words, 1))
+    out[:, FEATURES.index("density")] = np.log1p(20 * count / np.maximum(n_words, 1))
     return out
 
 
 def _terms(text: str) -> set[str]:
     out = set()
-    for w in TOKEN.findall(text.lower()):
-        if len(w) <= LONGEST_WORD and not w.isdigit():
+    for w in set(TOKEN.findall(text.lower())):
+        if not w.isdigit():
             out.add(w)
-            out.update(w[:p] + "*" for p in PREFIXES if len(w) > p)
+            out.update(w[:p] + "*" for p in BEGINNINGS if len(w) > p)
     return out
 
 
@@ -246,40 +260,62 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataF
     return keep(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(small(chosen), "doc_id").select("text", "toxic"), "toxic_sample")
 
 
-def learn_terms(rows: DataFrame, most: int = MOST_TERMS) -> tuple[list[tuple[str, bool, float]], tuple[int, int]]:
-    """The lexicon with log odds, and the numbers of other and toxic rows."""
+def likelihood(a: Column, b: Column, share: float) -> Column:
+    """Log likelihood ratio of a toxic rows of a + b, against the share of toxic rows."""
+    n, p = a + b, a / (a + b)
+    return n * (p * F.log(p / share) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - share))).otherwise(0.0))
+
+
+def learn_terms(rows: DataFrame) -> tuple[list[tuple[str, bool, float]], frozenset[str], tuple[int, int]]:
+    """The lexicon with log odds, words that are no misspelling of it, and the numbers of other and toxic rows."""
     size = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     other, toxic = size.get(0, 0), size.get(1, 0)
     if not other or not toxic:
-        return [], (other, toxic)
+        return [], frozenset(), (other, toxic)
     counts = rows.select("text", "toxic").mapInArrow(_document_terms, "term string, toxic int, n long")
-    # only words of toxic rows can be terms
-    per = counts.groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b")).where(F.col("a") >= LEAST_ROWS)
+    per = keep(counts.groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b")).where(F.col("a") + F.col("b") >= LEAST_OTHERS), "term_counts")
+    tried = per.where(F.col("a") + F.col("b") >= LEAST_ROWS).count()
     odds = F.log((F.col("a") + 0.5) / (toxic + 1.0)) - F.log((F.col("b") + 0.5) / (other + 1.0))
-    gain = F.col("a") * odds
-    best = per.withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS).orderBy(gain.desc(), "term").limit(4 * most).collect()
-    chosen: list[tuple[str, bool, float]] = []
-    rank = {r.term: (r.a, r.odds) for r in best}
-    for r in best:
-        beginning = r.term.endswith("*")
-        stem = r.term.rstrip("*")
-        shorter = [stem[:p] + "*" for p in PREFIXES if p < len(stem) or not beginning and p <= len(stem)]
-        # a word or long beginning that a shorter beginning explains as surely is left out, and a
-        # beginning that has one word only is that word
-        if any(s in rank and rank[s][0] >= r.a and rank[s][1] >= r.odds - 0.5 and rank[s][0] > 1.3 * r.a for s in shorter):
-            continue
-        if beginning and any(not t.endswith("*") and t.startswith(stem) and rank[t][0] >= 0.7 * r.a for t in rank):
-            continue
-        chosen.append((stem, beginning, round(float(r.odds), 6)))
-        if len(chosen) == most:
-            break
-    return chosen, (other, toxic)
+    sure = per.where(F.col("a") >= LEAST_ROWS).withColumn("odds", odds).withColumn("gain", likelihood(F.col("a"), F.col("b"), toxic / (other + toxic)))
+    # a part of the sample's terms, which is the model's size
+    best = sure.where((F.col("odds") >= LEAST_ODDS) & (F.col("gain") >= math.log(max(2, tried)) - SLACK)).orderBy(F.col("gain").desc(), "term").collect()
+    words = {r.term for r in best if not r.term.endswith("*")}
+    chosen: list[tuple[str, bool, float]] = [(r.term, False, round(float(r.odds), 6)) for r in best if r.term in words]
+    begun = {r.term[:-1]: r for r in best if r.term.endswith("*")}
+    for stem, r in begun.items():
+        # a longer term in nearly the same rows is surer, and a shorter beginning that is as sure says the same
+        longer = any(x.term.startswith(stem) and x.term != r.term and x.a >= 0.9 * r.a and x.odds >= r.odds for x in best)
+        shorter = any(stem[:k] in begun and begun[stem[:k]].odds >= r.odds - 0.3 for k in range(1, len(stem)))
+        if not longer and not shorter:
+            chosen.append((stem, True, round(float(r.odds), 6)))
+    fuzzy = Automaton([t for t in chosen if not t[1] and len(t[0]) >= FUZZY_LENGTH])
+    own = per.where((F.col("b") >= LEAST_OTHERS) & ~F.col("term").endswith("*")).select("term")
+    known = own.mapInArrow(_near(fuzzy), "term string").collect() if fuzzy.terms else []
+    discard(per)
+    return chosen, frozenset(r.term for r in known), (other, toxic)
+
+
+def _near(automaton: Automaton):
+    """Words within an edit of a term, none itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            points = np.frombuffer("".join(words).encode("utf-32-le", "replace"), np.uint32)
+            stop = np.cumsum([len(w) for w in words])
+            word, _, spent = automaton.match(automaton.code[points], stop - [len(w) for w in words], stop)
+            yield pa.RecordBatch.from_arrays([pa.array([words[k] for k in word[spent > 0]], pa.string())], ["term"])
+
+    return run
+
+
+Lexicon = tuple[list[tuple[str, bool, float]], frozenset[str]]
 
 
-def _features(terms: list[tuple[str, bool, float]]):
+def _features(lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(terms)
         for batch in batches:
+            automaton = _automaton(lexicon)
             at, _ = utf8(batch.column(0))
             for i, j in slices(at):
                 found = features([x or "" for x in batch.column(0).slice(i, j - i).to_pylist()], automaton)
@@ -291,11 +327,11 @@ def _features(terms: list[tuple[str, bool, float]]):
 _automata: dict[tuple, Automaton] = {}
 
 
-def _automaton(terms: list[tuple[str, bool, float]]) -> Automaton:
-    key = tuple(terms)
+def _automaton(lexicon: Lexicon) -> Automaton:
+    key = (tuple(lexicon[0]), lexicon[1])
     if key not in _automata:
         _automata.clear()
-        _automata[key] = Automaton(terms)
+        _automata[key] = Automaton(*lexicon)
     return _automata[key]
 
 
@@ -313,25 +349,25 @@ def regression(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int =
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[tuple[str, bool, float]], list[float]]:
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[Lexicon, list[float]]:
     """(lexicon, weights with the bias first) from the labelled sample."""
     chosen = sample(docs, labels, rows)
-    terms, (other, toxic) = learn_terms(chosen)
+    terms, known, (other, toxic) = learn_terms(chosen)
     if not terms:
         share = (toxic + 0.5) / (other + toxic + 1) if other or toxic else 0.5
-        return [], [math.log(share / (1 - share))] + [0.0] * len(FEATURES)
+        return ([], known), [math.log(share / (1 - share))] + [0.0] * len(FEATURES)
     # equal feature vectors are counted, so what reaches the driver is bounded by the sample
-    held = chosen.mapInArrow(_features(terms), "x array<double>, toxic int").groupBy("x", "toxic").count().orderBy("x", "toxic").collect()
+    held = chosen.mapInArrow(_features((terms, known)), "x array<double>, toxic int").groupBy("x", "toxic").count().orderBy("x", "toxic").collect()
     n = np.array([r["count"] for r in held])
     x, y = np.repeat(np.array([r.x for r in held]), n, axis=0), np.repeat(np.array([r.toxic for r in held], float), n)
-    return terms, [round(float(v), 9) for v in regression(x, y)]
+    return (terms, known), [round(float(v), 9) for v in regression(x, y)]
 
 
-def _score(terms: list[tuple[str, bool, float]], weights: list[float]):
+def _score(lexicon: Lexicon, weights: list[float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(terms)
         w = np.array(weights)
         for batch in batches:
+            automaton = _automaton(lexicon)
             at, _ = utf8(batch.column(1))
             for i, j in slices(at):
                 x = features([t or "" for t in batch.column(1).slice(i, j - i).to_pylist()], automaton)
@@ -341,11 +377,11 @@ def _score(terms: list[tuple[str, bool, float]], weights: list[float]):
     return run
 
 
-def score(docs: DataFrame, labels: DataFrame | None = None, model: tuple[list, list[float]] | None = None) -> DataFrame:
-    """(doc_id, score, hits) of each document."""
-    terms, weights = train(docs, labels) if model is None else model
+def score(docs: DataFrame, labels: DataFrame | None = None, model: tuple[Lexicon, list[float]] | None = None) -> DataFrame:
+    """(doc_id, score, hits) of each document; hits: log of 1 and the sum of its hits' weights."""
+    lexicon, weights = train(docs, labels) if model is None else model
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_score(terms, weights), f"doc_id {kind}, score double, hits double")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_score(lexicon, weights), f"doc_id {kind}, score double, hits double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -456,6 +456,30 @@ def test_automaton_equals_edit_distance():
     assert got == want
 
 
+def test_terms_of_any_letters_and_length():
+    import numpy as np
+
+    terms = [("".join(chr(0x4E00 + 7 * k + j) for j in range(7)), False, 1.0) for k in range(120)] + [("z" * 50, False, 1.0)]
+    a = toxicity.Automaton(terms, frozenset({terms[1][0][:-1]}))
+    text = "\n".join([t for t, _, _ in terms] + [t[:3] + t[4:] for t, _, _ in terms])
+    points = np.array(list(map(ord, text)))
+    stop = np.flatnonzero(np.r_[points == 10, True])
+    word, term, spent = a.match(a.code[points], np.r_[0, stop[:-1] + 1], stop)
+    assert word.tolist() == list(range(242)) and term.tolist() == [*range(121), *range(121)] and spent.tolist() == [0] * 121 + [1] * 121
+    hits = toxicity.FEATURES.index("any")
+    assert toxicity.features([terms[0][0][:-1], terms[1][0][:-1], terms[1][0], ""], a)[:, hits].tolist() == [1, 0, 1, 0]
+
+
+def test_words_by_chance_are_no_terms(spark):
+    import random
+
+    say = random.Random(2)
+    vocabulary = [f"w{k}" for k in range(4000)]
+    rows = [(k, " ".join(say.choices(vocabulary, k=40)) + (" scoundrel" if k < 40 and k % 2 else ""), int(k < 40)) for k in range(400)]
+    terms, known, sizes = toxicity.learn_terms(spark.createDataFrame(rows, "doc_id long, text string, toxic int").select("text", "toxic"))
+    assert sizes == (360, 40) and [t for t, begun, _ in terms if not begun] == ["scoundrel"] and known == frozenset()
+
+
 def test_toxicity(spark, empty):
     clean = [(k, f"{EN} number{k}", "en", "a") for k in range(60)]
     toxic = [(k, f"{EN} you are a worthless scumbag{k % 3} indeed{k}", "en", "a") for k in range(100, 160)]
@@ -468,6 +492,8 @@ def test_toxicity(spark, empty):
     assert toxicity.score(empty, labels).count() == 0
     held = {i for i, *_ in clean + toxic if zlib.crc32(str(i).encode()) % 3 == 1}
     assert toxicity.sample(d, labels).count() == len(clean + toxic) - len(held)
+    twice = toxicity.score(d.unionAll(d), model=toxicity.train(d, labels))
+    assert twice.count() == 2 * d.count() and {r.doc_id: r.score for r in twice.collect()} == got
 
 
 def test_mixing(spark, docs, empty):
