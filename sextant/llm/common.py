@@ -6,6 +6,7 @@ straight from Arrow's UTF-8 buffers with NumPy, so no Python string is made for
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,36 +89,51 @@ def slices(at: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]
         k = end
 
 
+def _hash_words(begin: np.ndarray, data: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, first bytes) of the words of texts that begin at ``begin``."""
+    n = len(data)
+    space = _IS_SPACE[data]
+    edge = np.empty(n + 1, bool)  # a word can't go on over this byte's left side
+    edge[0] = edge[n] = True
+    edge[1:n] = space[:-1]
+    after = np.empty(n, bool)
+    after[:] = False
+    after[:-1] = space[1:]
+    if n:
+        after[-1] = True
+    inner = begin[(begin > 0) & (begin < n)]
+    edge[inner] = True
+    after[inner - 1] = True
+    word = ~space
+    start = np.flatnonzero(word & edge[:n])
+    stop = np.flatnonzero(word & after) + 1
+    power, inverse = _power(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum((_LOWER_BYTE if lower else _BYTE)[data] * power[:n], out=total[1:])
+    return mix((total[stop] - total[start]) * inverse[start]), start
+
+
 class Words:
-    """Words of some texts: ``hash`` (uint64) in order, ``first[i]:first[i+1]`` those of text i,
-    ``start`` and ``stop`` their bytes in ``data`` (from the first text's first byte)."""
+    """Words of some texts: ``hash`` (uint64) in order, ``first[i]:first[i+1]`` those of text i.
+
+    A text beyond ``SLICE_BYTES`` is hashed piece by piece, cut where white space is.
+    """
 
     def __init__(self, at: np.ndarray, data: np.ndarray, lower: bool = True):
         begin = at - at[0]
         data = data[at[0] : at[-1]]
-        n = len(data)
-        space = _IS_SPACE[data]
-        edge = np.empty(n + 1, bool)  # a word can't go on over this byte's left side
-        edge[0] = edge[n] = True
-        edge[1:n] = space[:-1]
-        after = np.empty(n, bool)
-        after[:] = False
-        after[:-1] = space[1:]
-        if n:
-            after[-1] = True
-        inner = begin[(begin > 0) & (begin < n)]
-        edge[inner] = True
-        after[inner - 1] = True
-        word = ~space
-        self.start = np.flatnonzero(word & edge[:n])
-        self.stop = np.flatnonzero(word & after) + 1
-        power, inverse = _power(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((_LOWER_BYTE if lower else _BYTE)[data] * power[:n], out=total[1:])
-        self.hash = mix((total[self.stop] - total[self.start]) * inverse[self.start])
-        self.first = np.searchsorted(self.start, begin)
-        self.data = data
-        self.begin = begin
+        if len(at) == 2 and len(data) > 2 * SLICE_BYTES:
+            cuts = [0]
+            while cuts[-1] < len(data):
+                k = cuts[-1] + SLICE_BYTES
+                while k < len(data) and not (space := _IS_SPACE[data[k : k + SLICE_BYTES]]).any():
+                    k += SLICE_BYTES
+                cuts.append(min(len(data), k + int(space.argmax())) if k < len(data) else len(data))
+            self.hash = np.concatenate([_hash_words(np.array([0, j - i]), data[i:j], lower)[0] for i, j in itertools.pairwise(cuts)])
+            self.first = np.array([0, len(self.hash)])
+        else:
+            self.hash, start = _hash_words(begin, data, lower)
+            self.first = np.searchsorted(start, begin)
 
     def __len__(self) -> int:
         return len(self.hash)

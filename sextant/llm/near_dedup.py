@@ -16,10 +16,17 @@ Bands of 7 in 36 rows find a pair of similarity 0.85 with probability 1 - 1e-6;
 dropped by its sketch only if the estimate lies 0.10 below the threshold (over four standard
 deviations of 252 samples).
 
+Classes are nodes of their own, numbered when they are written; a component is named by the least
+doc_id of its rows. So rows without doc_id, or with one that others have too, are linked by their texts.
+
 Edge cases: null text, empty text and text without words have an empty set and are linked with
-nothing; a text of fewer than five words is one shingle. A null doc_id is never linked: its
-component is null and it is kept. Repeated rows get equal results; of rows that share a doc_id but
-not the text, each has the component of its own text, and links are confirmed on one of the texts. An empty table gives an empty result; other columns are ignored.
+nothing; a text of fewer than five words is one shingle. A row without doc_id is linked like any other,
+but its own component is null and it is kept. Repeated rows get equal results; of rows that share
+a doc_id but not the text, each has the component of its own text. An empty table gives an empty
+result; other columns are ignored.
+
+``one_of_each`` filters rows: of each component one row stays, that with the least doc_id (rows
+without one last), whatever ids and other columns are repeated; rows without words all stay.
 """
 
 from __future__ import annotations
@@ -31,8 +38,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 
-from sextant.llm.common import Words, keep, mix, shingle_set, slices, table, utf8, windows
+from sextant.llm.common import Words, discard, keep, mix, shingle_set, slices, table, utf8, windows
 from sextant.llm.components import components
 
 BANDS, ROWS = 36, 7
@@ -43,8 +51,10 @@ THRESHOLD = 85
 MARGIN = 0.10
 #: Members of a bucket that are compared at once; larger buckets are split into pairs of blocks.
 BLOCK = 256
-#: Members whose sets one task compares with a leader's at once.
-CHUNK = 64
+#: Shingles of the sets that one task compares with a leader's at once.
+CHUNK = 1 << 18
+#: Rows for each task of the steps that compare sets or sketches, which cost time rather than bytes.
+TASK_ROWS = 4000
 
 _rng = np.random.default_rng(7)
 _A = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1)
@@ -83,10 +93,14 @@ def _least(threshold: int) -> float:
     return threshold / 100 - MARGIN
 
 
+def _key(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def _signatures(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, data = utf8(batch.column(1))
+            at, data = utf8(batch.column(batch.num_columns - 1))
             for i, j in slices(at):
                 tokens = Words(at[i : j + 1], data)
                 n, key, sketch, bands, codes = [], [], [], [], []
@@ -97,34 +111,51 @@ def _signatures(words: int):
                         key.append(None), sketch.append(None), bands.append(None), codes.append(None)
                         continue
                     least = minhash(found)
-                    key.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
+                    key.append(_key(found))
                     sketch.append(odd_sketch(least).tobytes())
                     band = mix((least.reshape(BANDS, ROWS).astype(np.uint64) * _ROW).sum(axis=1, dtype=np.uint64) ^ _BAND)
                     bands.append(band.view(np.int64))
                     codes.append(band.astype(np.uint32).tobytes())
+                part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(codes, pa.binary())],
-                    ["doc_id", "n_shingles", "set_key", "sketch", "bands", "codes"],
+                    [*part.columns[:-1], pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(codes, pa.binary())],
+                    [*part.schema.names[:-1], "n_shingles", "set_key", "sketch", "bands", "codes"],
                 )
 
     return run
 
 
-def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, set_key, sketch, bands, codes) of each document."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _signatures(words), "doc_id long, n_shingles long, set_key binary, sketch binary, bands array<long>, codes binary"
-    )
+def _held(docs: DataFrame, row: bool = False) -> DataFrame:
+    """(at, doc_id, row if asked for, text): ``at`` leads back to the texts of a class."""
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    rows = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if row else []
+    return docs.select(F.coalesce(doc_id, F.xxhash64(text)).alias("at"), doc_id.alias("doc_id"), *rows, text.alias("text"))
+
+
+def signatures(held: DataFrame, words: int = WORDS) -> DataFrame:
+    """The columns of ``held`` but its last, text, and (n_shingles, set_key, sketch, bands, codes)."""
+    schema = StructType(list(held.schema.fields[:-1])).add("n_shingles", "long").add("set_key", "binary").add("sketch", "binary").add("bands", ArrayType(LongType())).add("codes", "binary")
+    return held.mapInArrow(_signatures(words), schema)
 
 
 def _sets(words: int):
+    """(id, shingles) of rows (id, set_key, text) whose text has that set; copies in a task give it once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for batch in batches:
-            at, data = utf8(batch.column(1))
+            at, data = utf8(batch.column(2))
+            ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i, j in slices(at):
                 tokens = Words(at[i : j + 1], data)
-                found = [shingle_set(tokens.hash[tokens.first[k] : tokens.first[k + 1]], words).tobytes() for k in range(j - i)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(found, pa.binary())], ["id", "shingles"])
+                out: dict[int, bytes] = {}
+                for k in range(i, j):
+                    if ids[k] not in done:
+                        found = shingle_set(tokens.hash[tokens.first[k - i] : tokens.first[k - i + 1]], words)
+                        if _key(found) == keys[k]:
+                            done.add(ids[k])
+                            out[ids[k]] = found.tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(out.values(), pa.binary())], ["id", "shingles"])
 
     return run
 
@@ -148,19 +179,27 @@ def _confirm(threshold: int):
     return run
 
 
+def _tasks(rows: int, size: int = 0) -> int:
+    """Tasks for a step over so many rows and bytes."""
+    return max(8, -(-rows // TASK_ROWS), -(-size // (32 << 20)))
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Of the candidate pairs (a, b), those whose full sets are similar enough.
+    """Of the candidate pairs (a, b, n: size of b's set), those whose full sets are similar enough.
 
     A set travels once for each pair in which it is b; the leader a is sent to as many chunks
     as hold its candidates, so that a leader of many is checked by many tasks.
     """
-    heads = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    heads = keep(heads, "heads")
+    heads = keep(pairs.groupBy("a").agg(F.count("*").alias("rows"), F.sum("n").alias("size"), F.ceil(F.sum("n") / CHUNK).alias("chunks")), "heads")
+    total = heads.agg(F.coalesce(F.sum("rows") + F.sum("chunks"), F.lit(0)), F.coalesce(8 * F.sum("size"), F.lit(0))).first()
     leaders = heads.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.col("a").alias("id"))
     members = pairs.join(heads, "a").select("a", F.expr("pmod(xxhash64(b), chunks)").alias("chunk"), F.col("b").alias("id"))
     filled = members.select("a", "chunk").distinct()
-    rows = members.unionByName(leaders.join(filled, ["a", "chunk"], "left_semi")).join(sets, "id")
-    return rows.select("a", "chunk", "id", "shingles").groupBy("a", "chunk").applyInArrow(_confirm(threshold), "a long, b long")
+    rows = members.unionByName(leaders.join(filled, ["a", "chunk"], "left_semi")).join(sets, "id").select("a", "chunk", "id", "shingles")
+    out = rows.repartition(_tasks(*map(int, total)), "a", "chunk").groupBy("a", "chunk").applyInArrow(_confirm(threshold), "a long, b long")
+    found = keep(out, "links")
+    discard(heads)
+    return found
 
 
 def _blocks(least: float):
@@ -192,62 +231,87 @@ def _blocks(least: float):
 
 
 def _across(members: DataFrame, labels: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """Candidate pairs of different components from all buckets that hold several, each pair once.
+    """Candidate pairs (a, b, n) of different components from all buckets that hold several, each pair once.
 
     The members of the bucket's least component stand aside from the rest: they are blocked
     apart and two of their blocks never meet.
     """
     placed = keep(members.join(labels, "id"), "placed")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", "low")
-    placed = keep(placed.join(keep(mixed, "mixed"), "key"), "across").withColumn("main", F.col("component") == F.col("low"))
-    sizes = placed.groupBy("key").agg(F.ceil(F.count(F.when(F.col("main"), 1)) / BLOCK).alias("m"), F.ceil(F.count(F.when(~F.col("main"), 1)) / BLOCK).alias("r"))
-    rows = placed.join(keep(sizes, "bucket_sizes"), "key").join(sketches, "id")
-    block = F.when(F.col("main"), F.col("r") + F.expr("pmod(xxhash64(id), m)")).otherwise(F.expr("pmod(xxhash64(id), greatest(r, 1))"))
-    rows = rows.withColumn("block", block)
+    mixed = keep(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", "low"), "mixed")
+    across = keep(placed.join(mixed.hint("merge"), "key").withColumn("main", F.col("component") == F.col("low")), "across")
+    sizes = keep(across.groupBy("key").agg(F.ceil(F.count(F.when(F.col("main"), 1)) / BLOCK).alias("m"), F.ceil(F.count(F.when(~F.col("main"), 1)) / BLOCK).alias("r")), "bucket_sizes")
     # a block of the rest meets all blocks; a block of the main component only those of the rest
-    other = F.explode(F.when(F.col("main"), F.expr("sequence(0L, r - 1)")).otherwise(F.expr("sequence(0L, r + m - 1)")))
-    rows = rows.withColumn("other", other).select(
-        "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "component", "sketch", "codes"
-    )
-    return rows.groupBy("key", "low", "high").applyInArrow(_blocks(least), "a long, b long")
+    meetings = F.when(F.col("main"), F.col("r")).otherwise(F.col("r") + F.col("m"))
+    total = across.join(sizes, "key").agg(F.coalesce(F.sum(meetings), F.lit(0))).first()[0]
+    rows = across.join(sizes, "key").join(sketches, "id")
+    block = F.when(F.col("main"), F.col("r") + F.expr("pmod(xxhash64(id), m)")).otherwise(F.expr("pmod(xxhash64(id), greatest(r, 1))"))
+    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.when(F.col("main"), F.expr("sequence(0L, r - 1)")).otherwise(F.expr("sequence(0L, r + m - 1)"))))
+    rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "component", "sketch", "codes")
+    pairs = rows.repartition(_tasks(int(total)), "key", "low", "high").groupBy("key", "low", "high").applyInArrow(_blocks(least), "a long, b long")
+    found = keep(pairs.join(sketches.select(F.col("id").alias("b"), F.col("n_shingles").alias("n")), "b").select("a", "b", "n"), "candidates")
+    discard(placed, mixed, across, sizes)
+    return found
+
+
+def _components(signed: DataFrame, held: DataFrame, words: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """(classes, labels): the classes (id, set_key, doc_id) of rows with equal sets, and (id, component) of the linked ones."""
+    if threshold < 80:
+        raise ValueError(f"threshold {threshold}: the bands are made for 80 at least")
+    same = [F.first(c).alias(c) for c in ("n_shingles", "sketch", "bands", "codes")]
+    classes = signed.where("set_key is not null").groupBy("set_key").agg(F.min("at").alias("at"), F.min("doc_id").alias("doc_id"), *same)
+    nodes = keep(classes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    buckets = nodes.select(F.explode("bands").alias("key"), "id")
+    full = keep(buckets.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last").select("key", "leader"), "leaders")
+    # merged, never broadcast: these sides grow with the documents
+    members = keep(buckets.join(full.hint("merge"), "key"), "members")
+    sketches = keep(nodes.join(members.select("id").distinct(), "id", "left_semi").select("id", "at", "set_key", "n_shingles", "sketch", "codes"), "sketches")
+    texts = held.select("at", "text").join(sketches.select("at", "id", "set_key").hint("merge"), "at").select("id", "set_key", "text")
+    sets = keep(texts.mapInArrow(_sets(words), "id long, shingles binary"), "sets")
+
+    met = members.where("id > leader").groupBy("id", "leader").count()
+    star = met.groupBy("id").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("a"))
+    star = keep(star.join(sketches.select("id", "n_shingles"), "id").select("a", F.col("id").alias("b"), F.col("n_shingles").alias("n")), "star")
+    edges = confirm(star, sets, threshold)
+    first = components(edges)
+    everyone = keep(sketches.select("id").join(first, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "labels")
+    candidates = _across(members, everyone, sketches, _least(threshold))
+    more = confirm(candidates, sets, threshold)
+    labels = first if more.isEmpty() else components(edges.unionByName(more))
+    discard(full, members, sketches, sets, star, edges, everyone, candidates, more, *([] if labels is first else [first]))
+    return nodes, labels
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): the component of each row of ``docs``.
 
-    ``threshold`` is a percentage of the similarity of shingle sets, 80 at least for the bands
-    used here.
+    ``threshold`` is a percentage of the similarity of shingle sets; less than 80 is an error.
     """
-    signed = keep(signatures(docs, words), "signatures")
-    known = signed.where("set_key is not null and doc_id is not null")
-    classes = keep(known.groupBy("set_key").agg(F.min("doc_id").alias("id")), "classes")
-    nodes = known.join(classes.select("set_key", F.col("id").alias("doc_id")), ["set_key", "doc_id"]).dropDuplicates(["doc_id"])
-    nodes = keep(nodes.select(F.col("doc_id").alias("id"), "sketch", "bands", "codes"), "nodes")
-    buckets = nodes.select(F.explode("bands").alias("key"), "id")
-    full = buckets.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last").select("key", "leader")
-    # merged, never broadcast: these sides grow with the documents
-    members = keep(buckets.join(keep(full, "leaders").hint("merge"), "key"), "members")
-    sketches = nodes.join(members.select("id").distinct(), "id", "left_semi").select("id", "sketch", "codes")
-    sketches = keep(sketches, "sketches")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(sketches.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
-    sets = keep(texts.mapInArrow(_sets(words), "id long, shingles binary"), "sets")
-
-    least = _least(threshold)
-    met = members.where("id > leader").groupBy("id", "leader").count()
-    star = met.groupBy("id").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("leader")).select(F.col("leader").alias("a"), F.col("id").alias("b"))
-    edges = keep(confirm(keep(star, "star"), sets, threshold), "star_links")
-    labels = components(edges)
-    everyone = sketches.select("id").join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    candidates = keep(_across(members, keep(everyone, "labels"), sketches, least), "candidates")
-    more = keep(confirm(candidates, sets, threshold), "links")
-    labels = components(edges.unionByName(more))
-
-    classes = classes.join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "set_key").join(keep(classes, "class_components"), "set_key", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    held = _held(docs)
+    signed = keep(signatures(held, words), "signatures")
+    nodes, labels = _components(signed, held, words, threshold)
+    least = nodes.select("id", "doc_id").join(labels, "id").groupBy("component").agg(F.min("doc_id").alias("named"))
+    named = labels.join(least, "component").select("id", "named")
+    classes = keep(nodes.join(named, "id", "left").select("set_key", F.coalesce("named", "doc_id").alias("component")), "class_components")
+    discard(nodes, labels)
+    rows = signed.select("doc_id", "n_shingles", "set_key")
+    out = rows.where("set_key is not null").join(classes, "set_key").drop("set_key").unionByName(rows.where("set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component")))
+    component = F.when(F.col("doc_id").isNotNull(), F.col("component"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, one of each component; rows without words all stay."""
+    held = _held(docs, row=True)
+    signed = keep(signatures(held, words).withColumn("n", F.monotonically_increasing_id()), "signatures")
+    nodes, labels = _components(signed, held, words, threshold)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n")
+    best = signed.where("set_key is not null").groupBy("set_key").agg(F.min(order).alias("best"))
+    of = nodes.select("id", "set_key").join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
+    chosen = keep(best.join(of, "set_key").groupBy("component").agg(F.min("best").alias("best")).select("best.n"), "kept_rows")
+    discard(nodes, labels)
+    kept = signed.where("set_key is not null").join(chosen.hint("merge"), "n", "left_semi").unionByName(signed.where("set_key is null").select("n", *(c for c in signed.columns if c != "n")))
+    return kept.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
