@@ -39,7 +39,9 @@ from sextant.llm.common import keep, slices, small, table, utf8
 
 SAMPLE_ROWS = 64
 SAMPLE_SYMBOLS = 20_000
-BLOCK = 256
+BLOCK = 1024
+#: Bytes of text that are parsed at once; a longer text is parsed piece by piece.
+PIECE = 4 << 20
 # Alphabet: 0 for runs of anything but letters, 1 for letters not in the sample, then its letters.
 
 LIMIT_AT = 0.8
@@ -174,7 +176,19 @@ class Parser:
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Phrases (texts x languages), number of symbols, whether there is a letter."""
-        parts = [self.symbols(t) for t in texts]
+        if len(texts) != 1 or len(texts[0]) <= PIECE:
+            return self._phrases([self.symbols(t) for t in texts])[:3]
+        total, n, letter, state, last = np.zeros((1, len(self.langs))), 0, False, None, 1
+        for k in range(0, len(texts[0]), PIECE):
+            part = self.symbols(texts[0][k : k + PIECE])
+            part = part[1:] if last == 0 and len(part) and part[0] == 0 else part  # a run of other signs goes on
+            if len(part):
+                count, size, found, state = self._phrases([part], state)
+                total, n, letter, last = total + count, n + int(size[0]), letter or bool(found[0]), int(part[-1])
+        return total, np.array([n]), np.array([letter])
+
+    def _phrases(self, parts: list[np.ndarray], entering: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+        """Of symbols, also the states in which the last text ends; ``entering``: those before the first one."""
         n = np.fromiter(map(len, parts), np.int64, len(parts))
         letters = np.fromiter((bool(p.any()) for p in parts), bool, len(parts))
         blocks = -(-n // BLOCK)
@@ -189,7 +203,8 @@ class Parser:
         active = np.searchsorted(-length, -np.arange(1, BLOCK + 1), "right")  # blocks of more than t symbols
         g = len(self.langs)
         state = np.full((g, len(owner)), 1, np.int32)
-        begins = np.zeros((g, len(owner), BLOCK), bool)  # a phrase begins here, if one does at the block's start
+        begins = np.zeros((BLOCK, g, len(owner)), bool)  # a phrase begins here, if one does at the block's start
+        count = np.zeros((g, len(owner)), np.int64)
         for t in range(BLOCK):
             m = active[t]
             if not m:
@@ -197,17 +212,21 @@ class Parser:
             c = data[start[:m] + t]
             on = self._next(state[:, :m], c)
             dead = on == 0
-            begins[:, :m, t] = dead
+            begins[t, :, :m] = dead
+            count[:, :m] += dead
             np.copyto(on, self.fresh[:, c], where=dead)
             state[:, :m] = on
-        count = begins.sum(axis=2)
         place = np.argsort(order)  # where the sorted lanes hold each block
         later = np.flatnonzero(inner > 0)
-        self._go_on(data, start, length, place[later - 1], place[later], state, begins, count)
+        before, after = place[later - 1], place[later]
+        if entering is not None:  # as if an empty block came first
+            state = np.c_[state, entering]
+            before, after = np.r_[before, len(place)], np.r_[after, place[0]]
+        self._go_on(data, start, length, before, after, state, begins, count)
         total = np.zeros((len(parts), g))
         for k in range(g):
             total[:, k] = np.bincount(owner, count[k], len(parts))
-        return total, n, letters
+        return total, n, letters, state[:, place[-1]] if len(place) else entering
 
     def _go_on(self, data: np.ndarray, start: np.ndarray, length: np.ndarray, before: np.ndarray, after: np.ndarray, state: np.ndarray, begins: np.ndarray, count: np.ndarray) -> None:
         """Let phrases go on over the ends of blocks: ``after`` are the blocks that follow those of ``before``.
@@ -219,26 +238,27 @@ class Parser:
         """
         g = len(self.langs)
         first, first_state = count.copy(), state.copy()
-        follows = np.full(state.shape[1], -1)
+        follows = np.full(state.shape[1], -1)  # no block comes after it
         follows[before] = after
         lang, lane, prior = np.repeat(np.arange(g), len(after)), np.tile(after, g), np.tile(before, g)
         while len(lane):
             now = state[lang, prior]
             extra = np.zeros(len(lane), np.int64)  # phrases of the new reading less those of the first so far
             ends = first_state[lang, lane]
-            on, t = np.arange(len(lane)), 0
+            on, of, where, t = np.arange(len(lane)), lang, lane, 0
             while len(on):
-                c = data[start[lane[on]] + t]
-                to = self._next(now[on], c)
-                dead = to == 0
-                to = np.where(dead, self.fresh[lang[on], c], to)
-                was = begins[lang[on], lane[on], t]
+                c = data[start[where] + t]
+                now = self._next(now, c)
+                dead = now == 0
+                np.copyto(now, self.fresh[of, c], where=dead)
+                was = begins[t, of, where]
                 extra[on] += dead.astype(np.int64) - was
-                now[on] = to
                 t += 1
-                stop = length[lane[on]] == t
-                ends[on[stop & ~(dead & was)]] = to[stop & ~(dead & was)]
-                on = on[~(dead & was) & ~stop]
+                apart = ~(dead & was)
+                stop = apart & (length[where] == t)
+                ends[on[stop]] = now[stop]
+                left = np.flatnonzero(apart & ~stop)
+                on, of, where, now = on[left], of[left], where[left], now[left]
             count[lang, lane] = first[lang, lane] + extra
             changed = ends != state[lang, lane]
             state[lang[changed], lane[changed]] = ends[changed]
@@ -300,7 +320,7 @@ def _predict(texts: dict[str, str], at_text: int):
         parser = _parser(texts)
         for batch in batches:
             at, _ = utf8(batch.column(at_text))
-            for i, j in slices(at):
+            for i, j in slices(at, PIECE):
                 part = batch.slice(i, j - i)
                 lang, score, rate, n = parser.predict([x or "" for x in part.column(at_text).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64()), pa.array(n, pa.int64())], [*part.schema.names, "lang_pred", "score", "phrase_rate", "n_symbols"])
