@@ -3,8 +3,8 @@
 A source's weight is its token share to the power of an exponent: 1 keeps the shares, 0 makes
 the sources equal. The exponent is the largest that brings the entropy of the weights to
 ``ENTROPY`` of its maximum; if that repeats some source more than ``REPEATS`` times, it is the
-smallest that doesn't. Both are found by bisection, several exponents in each aggregate, so the
-table of sources never leaves Spark.
+smallest that doesn't. Both are found by bisection at once, many exponents in each aggregate, so
+the table of sources never leaves Spark.
 
 The weights are realised to a token budget. Each pass over a source is a permutation of its
 blocks and of the documents in each block, both keyed by hashes; a source gets as many whole
@@ -21,10 +21,12 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sextant.llm.common import keep, small, table
+from sextant.llm.common import discard, keep, small, table
 from sextant.llm.native import words
 
 ENTROPY = 0.97
@@ -32,54 +34,74 @@ REPEATS = 4.0
 BLOCK_TOKENS = 1_000_000
 SEED = 11
 #: Exponents tried in each round, and rounds: the exponent is found to POINTS ** -ROUNDS.
-POINTS, ROUNDS = 16, 6
+POINTS, ROUNDS = 64, 4
 
 
-def _weights(exponent: float) -> Column:
+def _weights(exponent: float | Column) -> Column:
     return F.exp(exponent * (F.log("tokens") - F.col("log_top")))
 
 
 def exponent_for(sources: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: float | None = None) -> float:
     """The exponent for ``sources`` (source, tokens > 0, log_top: log of the largest)."""
 
-    def measure(points: list[float]) -> list[tuple[float, float]]:
-        """(entropy as a share of its maximum, most passes over a source) of each exponent."""
-        columns = [F.count("*").alias("n"), F.sum("tokens").alias("all")]
-        for k, e in enumerate(points):
-            w = _weights(e)
-            columns += [F.sum(w).alias(f"z{k}"), F.sum(w * F.log(w)).alias(f"h{k}"), F.max(w / F.col("tokens")).alias(f"top{k}"), F.min(w / F.col("tokens")).alias(f"low{k}")]
-        r = sources.agg(*columns).first()
-        out = []
-        for k in range(len(points)):
-            z = r[f"z{k}"]
-            h = 1.0 if r["n"] < 2 else (_log(z) - r[f"h{k}"] / z) / _log(r["n"])
-            passes = r[f"top{k}"] / r[f"low{k}"] if budget is None else r[f"top{k}"] / z * budget
-            out.append((h, passes))
+    def measure(points: list[float]) -> dict[float, tuple[float, float]]:
+        """(entropy as a share of its maximum, most passes over a source) of each exponent, in one aggregate."""
+        w = F.col("w")
+        each = sources.select("tokens", "log_top", F.explode(F.array(*map(F.lit, points))).alias("e")).select("e", "tokens", _weights(F.col("e")).alias("w"))
+        sums = each.groupBy("e").agg(F.count("*").alias("n"), F.sum(w).alias("z"), F.sum(w * F.log(w)).alias("h"), F.max(w / F.col("tokens")).alias("top"), F.min(w / F.col("tokens")).alias("low")).collect()
+        out = {}
+        for r in sums:
+            passes = r.top / r.low if budget is None else r.top / r.z * budget
+            out[r.e] = (1.0 if r.n < 2 else (math.log(r.z) - r.h / r.z) / math.log(r.n), passes)
         return out
 
-    def section(good_below: bool, ok) -> float:
-        """Border of the exponents that are ok, in 0 to 1, on its good side."""
-        low, high = 0.0, 1.0
-        for _ in range(ROUNDS):
-            points = [low + (high - low) * k / POINTS for k in range(POINTS + 1)]
-            good = [ok(x) for x in measure(points)]
-            if good_below:  # good up to a point
-                k = max((i for i, g in enumerate(good) if g), default=0)
-                low, high = points[k], points[min(k + 1, POINTS)]
-            else:
-                k = min((i for i, g in enumerate(good) if g), default=POINTS)
-                low, high = points[max(k - 1, 0)], points[k]
-        return low if good_below else high
-
-    flat = section(True, lambda x: x[0] >= entropy - 1e-12)
-    least = section(False, lambda x: x[1] <= repeats + 1e-9)
-    return max(flat, least)
-
+    # the border up to which the entropy is high enough, and that from which no source repeats too often
+    flat, least = (0.0, 1.0), (0.0, 1.0)
+    for _ in range(ROUNDS):
+        tried = [[low + (high - low) * k / POINTS for k in range(POINTS + 1)] for low, high in (flat, least)]
+        found = measure(sorted(set(tried[0] + tried[1])))
+        k = max((i for i, e in enumerate(tried[0]) if found[e][0] >= entropy - 1e-12), default=0)
+        flat = (tried[0][k], tried[0][min(k + 1, POINTS)])
+        k = min((i for i, e in enumerate(tried[1]) if found[e][1] <= repeats + 1e-9), default=POINTS)
+        least = (tried[1][max(k - 1, 0)], tried[1][k])
+    return max(flat[0], least[1])
+
+
+def _placed(docs: DataFrame, carry: list[str], entropy: float, repeats: float, budget: int | None, block_tokens: int, seed: int) -> DataFrame:
+    """``carry`` of docs (doc_id, source, text and more) with source, n_tokens, weight, pass, block_key, doc_key for each time taken."""
+    named = docs.select(*carry, F.col("doc_id").alias("d"), F.col("source").cast("string").alias("s"), F.col("text").cast("string").alias("text"))
+    count = F.size(words(F.col("text"))).cast("long")
+    keys = keep(named.select("d", "s", count.alias("n_tokens")), "tokens")
+    totals = keep(keys.groupBy("s").agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"), "sources")
+    top = totals.agg(F.max("tokens")).first()[0]
+    totals = totals.withColumn("log_top", F.lit(math.log(top or 1)))
+    exponent = exponent_for(totals, entropy, repeats, budget) if top else 1.0
+    z, most = totals.agg(F.sum(_weights(exponent)), F.max(F.col("tokens") / _weights(exponent))).first()
+    z, budget = z or 1.0, budget if budget is not None else (most or 0.0) * (z or 1.0)
+    quota = totals.select(F.col("s").alias("q"), "tokens", (_weights(exponent) / z).alias("weight"))
+    quota = quota.withColumn("passes", F.floor(F.col("weight") * budget / F.col("tokens") + 1e-9))
+    quota = quota.withColumn("rest", F.greatest(F.lit(0), F.floor(F.col("weight") * budget - F.col("passes") * F.col("tokens") + 1e-6)))
+    quota = small(keep(quota.withColumn("blocks", F.ceil(F.col("tokens") / block_tokens)), "quota"))
 
-def _log(x: float) -> float:
-    import math
+    def place(rows: DataFrame) -> DataFrame:
+        return rows.join(quota, F.col("s").eqNullSafe(F.col("q"))).drop("q").withColumn("block", F.expr(f"pmod(xxhash64({seed}, d), blocks)"))
 
-    return math.log(x)
+    sums = place(keys).groupBy("s", "block", "passes", "rest").agg(F.sum("n_tokens").alias("block_tokens")).withColumn("key", F.xxhash64(F.lit(seed), "s", "block", "passes"))
+    before = F.sum("block_tokens").over(Window.partitionBy("s").orderBy("key", "block").rowsBetween(Window.unboundedPreceding, -1))
+    left = F.col("rest") - F.coalesce(before, F.lit(0))
+    # whole blocks, then the block at the border, of which the first documents are taken
+    part = F.when(F.col("left") >= F.col("block_tokens"), "whole").when(F.col("left") > 0, "border").otherwise("none")
+    sums = keep(sums.withColumn("left", left).select(F.col("s").alias("b_source"), F.col("block").alias("b_block"), part.alias("part"), "left"), "blocks")
+    # keys where nothing is carried; else whole rows, whose words are counted after the filters
+    rows = place(named if carry else keys).join(small(sums), F.col("s").eqNullSafe(F.col("b_source")) & (F.col("block") == F.col("b_block"))).drop("b_source", "b_block")
+    counted = lambda x: x.withColumn("n_tokens", count).drop("text") if carry else x
+    doc_key = lambda p: F.xxhash64(F.lit(seed), p, F.col("d"))
+    order = Window.partitionBy("s", "block").orderBy(doc_key(F.col("passes")), "d", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    border = counted(rows.where("part = 'border'")).withColumn("sofar", F.sum("n_tokens").over(order)).where(F.col("sofar") <= F.col("left")).drop("sofar")
+    last = F.col("passes") - F.when(F.col("part") == "whole", 0).otherwise(1)
+    full = counted(rows.where("passes > 0 or part = 'whole'")).withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    taken = full.unionByName(border.withColumn("pass", F.col("passes")))
+    return taken.select(*carry, F.col("d").alias("doc_id"), F.col("s").alias("source"), "n_tokens", "weight", "pass", F.xxhash64(F.lit(seed), "s", "block", "pass").alias("block_key"), doc_key(F.col("pass")).alias("doc_key"))
 
 
 def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: int | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> DataFrame:
@@ -88,41 +110,18 @@ def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, bud
     (doc_id, source, n_tokens, weight, pass, block_key, doc_key): sorted by pass, block_key and
     doc_key these rows are the training order.
     """
-    counted = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.size(words(F.col("text").cast("string"))).cast("long").alias("n_tokens"))
-    counted = keep(counted, "tokens")
-    totals = counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0")
-    totals = keep(totals, "sources")
-    edge = totals.agg(F.max("tokens"), F.sum("tokens")).first()
-    if edge[0] is None:
-        return counted.select("doc_id", "source", "n_tokens", F.lit(0.0).alias("weight"), F.lit(0).cast("long").alias("pass"), F.lit(0).cast("long").alias("block_key"), F.lit(0).cast("long").alias("doc_key")).limit(0)
-    totals = totals.withColumn("log_top", F.lit(_log(edge[0])))
-    exponent = exponent_for(totals, entropy, repeats, budget)
-    z, most = totals.agg(F.sum(_weights(exponent)), F.max(F.col("tokens") / _weights(exponent))).first()
-    budget = most * z if budget is None else budget
-    quota = totals.select(F.col("source").alias("s"), "tokens", (_weights(exponent) / z).alias("weight"))
-    quota = quota.withColumn("passes", F.floor(F.col("weight") * budget / F.col("tokens") + 1e-9))
-    quota = quota.withColumn("rest", F.greatest(F.lit(0), F.floor(F.col("weight") * budget - F.col("passes") * F.col("tokens") + 1e-6)))
-    quota = quota.withColumn("blocks", F.ceil(F.col("tokens") / block_tokens))
-    quota = keep(quota, "quota")
-
-    block = F.expr(f"pmod(xxhash64({seed}, doc_id), blocks)")
-    placed = counted.join(small(quota), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("block", block)
-    key = F.xxhash64(F.lit(seed), "source", "block", "passes")
-    sums = placed.groupBy("source", "block", "passes", "rest").agg(F.sum("n_tokens").alias("block_tokens")).withColumn("key", key)
-    before = F.sum("block_tokens").over(Window.partitionBy("source").orderBy("key", "block").rowsBetween(Window.unboundedPreceding, -1))
-    sums = keep(sums.withColumn("before", F.coalesce(before, F.lit(0))), "blocks")
-    left = F.col("rest") - F.col("before")
-    # whole blocks, then the block at the border, of which the first documents are taken
-    sums = sums.withColumn("part", F.when(left >= F.col("block_tokens"), "whole").when(left > 0, "border").otherwise("none")).withColumn("left", left)
-    rows = placed.join(small(sums.select(F.col("source").alias("s"), F.col("block").alias("b"), "part", "left")), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).drop("s", "b")
-    doc_key = lambda p: F.xxhash64(F.lit(seed), p, F.col("doc_id"))
-    border = rows.where("part = 'border'")
-    order = Window.partitionBy("source", "block").orderBy(doc_key(F.col("passes")), "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    border = border.withColumn("sofar", F.sum("n_tokens").over(order)).where(F.col("sofar") <= F.col("left")).drop("sofar")
-    extra = rows.where("part = 'whole'").unionByName(border).withColumn("pass", F.col("passes"))
-    full = rows.where("passes > 0").withColumn("pass", F.explode(F.expr("sequence(0L, passes - 1)")))
-    taken = full.unionByName(extra)
-    return taken.select("doc_id", "source", "n_tokens", "weight", "pass", F.xxhash64(F.lit(seed), "source", "block", "pass").alias("block_key"), doc_key(F.col("pass")).alias("doc_key"))
+    return _placed(docs, [], entropy, repeats, budget, block_tokens, seed)
+
+
+def corpus(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: int | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> DataFrame:
+    """The rows of ``mix`` with the columns of ``docs``; those of ``mix`` are in a struct ``mixing``.
+
+    Only the documents of blocks at a border are shuffled with their texts.
+    """
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "source", "text")
+    taken = _placed(packed, ["row"], entropy, repeats, budget, block_tokens, seed)
+    names = ("n_tokens", "weight", "pass", "block_key", "doc_key")
+    return taken.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns), F.struct(*names).alias("mixing"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

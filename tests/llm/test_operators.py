@@ -151,18 +151,22 @@ def test_phrases_by_a_plain_parse():
         assert p.phrases([text])[0][0, k] == count
 
 
-@pytest.mark.parametrize("block", [4, 64, 256])
+@pytest.mark.parametrize("block", [4, 64, 1024])
 def test_phrases_go_on_over_the_ends_of_blocks(monkeypatch, block):
     import random
 
     monkeypatch.setattr(language_id, "BLOCK", block)
+    monkeypatch.setattr(language_id, "PIECE", 1000)
     say = random.Random(1)
     prose = lambda parts, n: "".join(say.choices(parts, k=n))
     english, german = ["the ", "and ", "ing ", "tion", "er ", "on "], ["der ", "und ", "ein", "sch ", "ung "]
     model = {"a": "aaaaaaab" * 40 + prose(english, 800), "b": prose(german, 800)}
     p = language_id.Parser(model)
     texts = ["a" * 3000, prose(english, 500), prose(german, 400) + "q" * 30 + prose(english, 200), "", "the", "aaaaaaab" * 200, prose(english + german, 900)]
+    texts.append("12 " * 999 + "the and " * 500)
     got = p.phrases(texts)[0]
+    alone = [p.phrases([t]) for t in texts]  # piece by piece
+    assert all((a[0][0] == row).all() and a[1][0] == len(p.symbols(t)) for a, row, t in zip(alone, got, texts, strict=True))
     for row, text in zip(got, texts, strict=True):
         symbols = "".join(map(chr, p.symbols(text)))
         for k, lang in enumerate(p.langs):
@@ -514,6 +518,51 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mix(docs).where("source = 'a'").count() >= 2
 
 
+def test_blocks_and_budgets_against_a_plain_version(spark):
+    import math
+    import struct
+
+    import xxhash
+
+    def xx(*values):  # Spark's xxhash64
+        h = 42
+        for v in values:
+            if v is not None:
+                data = v.encode() if isinstance(v, str) else struct.pack("<i" if v == mixing.SEED else "<q", v)
+                h = xxhash.xxh64(data, seed=h).intdigest()
+        return h - (1 << 64) if h >> 63 else h
+
+    rows = [(k, words(1 + k % 37), "en", "big") for k in range(1000, 1300)] + [(k, words(5), "en", "small") for k in range(2000, 2020)] + [(k, words(9), "en", None) for k in range(3000, 3010)]
+    rows += [(4000, words(700), "en", "small"), (4000, words(3), "en", "small"), (4001, "", "en", "small"), (2001, words(5), "en", "small")]  # longer than a block; repeated ids; no words
+    size, budget = 100, 2500
+    want = []
+    for source in ("big", "small", None):
+        docs = [(i, len(t.split())) for i, t, _, src in rows if src == source]
+        tokens = sum(n for _, n in docs)
+        share = budget / 3  # equal weights
+        passes, blocks = math.floor(share / tokens + 1e-9), math.ceil(tokens / size)
+        rest = max(0, math.floor(share - passes * tokens + 1e-6))
+        held = {}
+        for i, n in docs:
+            held.setdefault(xx(mixing.SEED, i) % blocks, []).append((i, n))
+            want += [(i, source, n, p) for p in range(passes)]
+        for b in sorted(held, key=lambda b: (xx(mixing.SEED, source, b, passes), b)):
+            block, taken = sum(n for _, n in held[b]), 0
+            if rest <= 0:
+                break
+            for i, n in sorted(held[b], key=lambda x: (xx(mixing.SEED, passes, x[0]), x)):
+                taken += n
+                if taken <= rest:
+                    want.append((i, source, n, passes))
+            rest -= block
+    got = [(r.doc_id, r.source, r.n_tokens, r["pass"]) for r in mixing.mix(docs_of(spark, rows), entropy=1.0, repeats=1e9, budget=budget, block_tokens=size).collect()]
+    key = lambda x: tuple(map(str, x))
+    assert sorted(got, key=key) == sorted(want, key=key)
+    held = mixing.corpus(docs_of(spark, rows), entropy=1.0, repeats=1e9, budget=budget, block_tokens=size)
+    assert held.columns == [*docs_of(spark, rows).columns, "mixing"]
+    assert sorted([(r.doc_id, r.source, len(r.text.split()), r.mixing["pass"]) for r in held.select("doc_id", "source", "text", "mixing").collect()], key=key) == sorted(want, key=key)
+
+
 def test_exponent_against_bisection(spark):
     import math
 

@@ -49,6 +49,33 @@ def test_unlearned_languages_and_random_letters_go(spark):
     assert got == {*range(60), 200, 201}
 
 
+def test_near_copies_are_told_by_rows(spark):
+    a, b, c = (words(40, 1000 * k) for k in range(1, 4))
+    near = a.replace(a.split()[0], "else", 1)
+    rows = [(1, a, "en", "s"), (1, a, "en", "t"), (5, a, "en", "s"), (5, b, "en", "s"), (None, a, None, None), (None, c, None, None), (None, c, "en", "s"), (1, near, "en", "s"), (7, near, "en", "s"), (8, "", "en", "s"), (8, None, "en", "s"), (9, c + " more", "en", "s")]
+    docs = docs_of(spark, rows).repartition(3)
+    got = corpus_pipeline.one_of_near_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    left = [(r.doc_id, r.text) for r in got.select("doc_id", "text").collect()]
+    texts = sorted(t or "" for _, t in left)
+    assert len(left) == 5 and texts[:2] == ["", ""] and {t for t in texts[2:]} >= {b} and len({t for t in texts[2:]} & {a, near}) == 1 and {i for i, t in left if t in (a, near)} == {1}
+    assert (9, c + " more") in left  # a row with an id is preferred to those without
+
+
+def test_every_stage_with_repeats_nulls_and_no_rows(spark, tmp_path):
+    spark.createDataFrame([(1, words(20, 7000))], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    rows = [(k, f"{EN if k % 2 else DE} {words(20, 100 * k)}", "en" if k % 2 else "de", "ab"[k % 3 == 0]) for k in range(12)]
+    rows += [(1, f"{EN} {words(25, 5000)}", "en", None), (None, f"{EN} {words(25, 6000)}", None, None), (None, None, None, None), (2, "", None, "a"), rows[3], rows[3]]
+    for some in (rows, []):
+        docs = docs_of(spark, some)
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, str(tmp_path))
+            assert docs.columns == columns + ["mixing"] * (name == "mixing")
+        kept = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").distinct().collect()]
+        assert sorted(map(str, kept)) == sorted(map(str, {(i, t) for i, t, *_ in some if t}))
+
+
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder).select("doc_id").distinct().count() == 31
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontamination", "pii", "mixing"]
