@@ -3,8 +3,17 @@
 Each stage is written as Parquet and read again as the documents of the next; all but the last
 return the columns of ``documents``. Stages: documents in no known language go; one document of
 each group of near copies stays; documents that hold benchmark items go; personal data are
-replaced by marks; sources are mixed to target weights (rows name the documents, in the order of
-training: join them with the stage before by doc_id for the texts).
+replaced by marks; sources are mixed to target weights.
+
+The last stage returns a row for each time a document is taken, with the columns of ``documents``
+and a struct ``mixing`` (n_tokens, weight, pass, block_key, doc_key): sorted by pass, block_key and
+doc_key these rows are the training corpus.
+
+Edge cases: stages work on rows. A repeated doc_id is no repeated document: rows with other texts
+stay, and of equal or nearly equal texts one row stays, whatever its id. Null ids are carried
+along. Null and empty texts have no language and go in the first stage; a null lang is filled,
+a null source is a source of its own. Extra columns are carried, whatever their names. Empty
+tables give an empty result.
 """
 
 from __future__ import annotations
@@ -36,9 +45,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies, the document with the least doc_id stays."""
-    gone = near_dedup.near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)  # gone grows with docs
+    """Of each component of near copies one row stays, that with the least doc_id."""
+    return near_dedup.one_of_each(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +64,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in training order, sources repeated to their weights."""
-    return mixing.mix(docs)
+    return mixing.corpus(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
