@@ -5,20 +5,26 @@ shingles start every w shingles, so a template of at most w shingles lies whole
 That window then has at most 2w distinct shingles and m > w / 2 of them are the template's, so
 the similarity of window and template is above 1/4. Bands have one row each, and ``SAMPLES``
 bands miss a pair of similarity 1/4 with probability 0.75**64, about 1e-8; a template of which
-only ``CONTAINMENT`` is there is missed with less than 1e-6. The windows' minima of a whole
-batch are taken at once with NumPy.
+only ``CONTAINMENT`` is there is missed with less than 1e-6. Windows that hold fewer shingles of
+templates than that share of the class's smallest one can't be verified, and aren't hashed.
 
 A retrieved template is verified by exact containment: the share of its distinct word shingles
-in the text around the window. Templates shorter than five words are one shingle of their words.
+in its window. Each place is a row: from the window's shingles of the template, left to right,
+as many words as the template has (a quarter more where some were put in) that hold the share.
+Templates shorter than five words are one shingle of their words.
 
-Edge cases: null and empty texts and texts without words hold no license. A template found in
-several windows gives one row with the first best place. Case is ignored for A-Z. Templates
-without words are never found; equal templates are each reported. Rows are judged alone, so
-repeated rows give repeated results; an empty table gives an empty one; other columns are ignored.
+Templates are a table (name, text), by default ``TEMPLATES``; tasks read it in shards of
+``TEMPLATE_BYTES`` from the shared folder, and texts are read once for each shard.
+
+Edge cases: null and empty texts and texts without words hold no license. Case is ignored for
+A-Z. Templates without words or with null text are never found; equal templates are each reported.
+Rows are judged alone, so repeated rows give repeated results; an empty table gives an empty one;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm.common import Words, slices, table, utf8, windows
+from sextant.llm.common import Words, held, sizes, slices, table, utf8, windows, write_shards
 
 WORDS = 5
 SAMPLES = 64
 CONTAINMENT = 0.8
-#: Templates' bytes of text that every task may hold.
+#: Bytes of the templates that a task holds at once.
 TEMPLATE_BYTES = 16 << 20
 
 # Notices as their licences or common use word them.
@@ -58,19 +64,20 @@ _A = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
 
 
-def _samples(shingles: np.ndarray, k: int) -> np.ndarray:
-    """Values of the k-th hash function."""
-    return (shingles >> np.uint64(32)).astype(np.uint32) * _A[k] + _B[k]
+def _minima(shingles: np.ndarray) -> np.ndarray:
+    """The SAMPLES minima of some shingles, in steps of bounded memory."""
+    low = (shingles >> np.uint64(32)).astype(np.uint32)
+    best = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
+    for k in range(0, len(low), 4096):
+        np.minimum(best, (_A[:, None] * low[None, k : k + 4096] + _B[:, None]).min(axis=1), out=best)
+    return best
 
 
 class Templates:
-    """MinHash bands of templates, by size class."""
+    """MinHash bands of templates (name, text), by size class."""
 
-    def __init__(self, templates: tuple[tuple[str, str], ...]):
-        size = sum(len(t) for _, t in templates)
-        if size > TEMPLATE_BYTES:
-            raise ValueError(f"{size} characters of templates; tasks hold {TEMPLATE_BYTES} at most")
-        self.names, self.sets, self.words = [], [], []
+    def __init__(self, templates: list[tuple[str, str]]):
+        self.names, self.sets, self.words, self.length = [], [], [], []
         at, data = utf8(pa.array([t for _, t in templates], pa.string()))
         words = Words(at, data)
         by_class: dict[tuple[int, int], list[int]] = {}
@@ -80,91 +87,107 @@ class Templates:
                 n = min(WORDS, len(own))
                 shingles = np.unique(windows(own, n))
                 by_class.setdefault((n, max(0, int(np.ceil(np.log2(len(shingles)))))), []).append(len(self.names))
-                self.names.append(name), self.sets.append(shingles), self.words.append(n)
-        #: By words in a shingle: (w, members, their minima, a gate by the minima's low bits).
-        self.classes: dict[int, list[tuple]] = {}
-        for (n, c), members in sorted(by_class.items()):
-            low = np.array([[_samples(self.sets[m], k).min() for m in members] for k in range(SAMPLES)])
-            gate = np.zeros((SAMPLES, 1 << 16), bool)
-            for k in range(SAMPLES):
-                gate[k, low[k] & np.uint32(0xFFFF)] = True
-            self.classes.setdefault(n, []).append((1 << c, np.array(members), low, gate))
+                self.names.append(name), self.sets.append(shingles), self.words.append(n), self.length.append(len(own) - n + 1)
+        #: By words in a shingle: all their shingles, a gate by low bits, and of each class (w, members, their minima).
+        self.classes: dict[int, tuple[np.ndarray, np.ndarray, list[tuple]]] = {}
+        for n in sorted({n for n, _ in by_class}):
+            of_n = [(c, members) for (m, c), members in sorted(by_class.items()) if m == n]
+            every = np.unique(np.concatenate([self.sets[m] for _, members in of_n for m in members]))
+            gate = np.zeros(1 << 20, bool)
+            gate[every & np.uint64(0xFFFFF)] = True
+            self.classes[n] = (every, gate, [(1 << c, np.array(members), np.array([_minima(self.sets[m]) for m in members])) for c, members in of_n])
 
     def scan(self, words: Words) -> list[tuple[int, int, float, int, int]]:
-        """(text, template, containment, first word, word after the last) of each template found."""
-        best: dict[tuple[int, int], tuple[float, int, int]] = {}
+        """(text, template, containment, first word, word after the last) of each place of each template."""
+        found: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
         n_words = np.diff(words.first)
         of_text = np.repeat(np.arange(len(n_words)), n_words)
-        for n, classes in self.classes.items():
+        for n, (every, gate, classes) in self.classes.items():
             shingles = windows(words.hash, n)
             place = np.flatnonzero(of_text[: len(shingles)] == of_text[n - 1 :])
             if not len(place):
                 continue
             shingles, text = shingles[place], of_text[place]
+            inside = gate[shingles & np.uint64(0xFFFFF)]
+            maybe = np.flatnonzero(inside)
+            inside[maybe] = np.isin(shingles[maybe], every)
+            if not inside.any():
+                continue
             new = np.r_[True, text[1:] != text[:-1]]
             inner = np.arange(len(place)) - np.maximum.accumulate(np.where(new, np.arange(len(place)), 0))
-            cuts = []
-            for w, *_ in classes:  # segments of w shingles in each text; a window is a segment and the next
+            for w, members, low in classes:  # segments of w shingles in each text; a window is a segment and the next
                 head = np.flatnonzero(inner % w == 0)
-                cuts.append((head, np.r_[text[head][1:] == text[head][:-1], False]))
-            retrieved: list[set[tuple[int, int]]] = [set() for _ in classes]
-            for k in range(SAMPLES):
-                values = _samples(shingles, k)
-                for (head, joined), (w, members, low, gate), found in zip(cuts, classes, retrieved, strict=True):
-                    least = np.minimum.reduceat(values, head) if w > 1 else values
-                    window = least.copy()
-                    np.minimum(least[:-1], least[1:], out=window[:-1], where=joined[:-1])
-                    for p in np.flatnonzero(gate[k][window & np.uint32(0xFFFF)]):
-                        for m in members[low[k] == window[p]]:
-                            found.add((int(p), int(m)))
-            for (head, joined), found in zip(cuts, retrieved, strict=True):
+                joined = np.r_[text[head][1:] == text[head][:-1], False]
                 stop = np.r_[head[1:], len(place)]
-                for p, m in sorted(found):
-                    i = head[p]
-                    j = stop[p + 1] if joined[p] else stop[p]
-                    hit = np.isin(shingles[i:j], self.sets[m])
-                    share = len(np.unique(shingles[i:j][hit])) / len(self.sets[m])
-                    if share >= CONTAINMENT:
-                        t = int(text[i])
-                        at = np.flatnonzero(hit)
-                        begin = int(place[i + at[0]] - words.first[t])
-                        end = int(place[i + at[-1]] - words.first[t]) + n
-                        if (t, m) not in best or share > best[t, m][0]:
-                            best[t, m] = (share, begin, end)
-        return [(t, m, *v) for (t, m), v in sorted(best.items())]
-
-
-_held: dict[tuple, Templates] = {}
-
-
-def _templates(templates: tuple[tuple[str, str], ...]) -> Templates:
-    if templates not in _held:
-        _held.clear()
-        _held[templates] = Templates(templates)
-    return _held[templates]
-
-
-def _scan(templates: tuple[tuple[str, str], ...]):
+                count = np.add.reduceat(inside.astype(np.int64), head)
+                count[:-1] += np.where(joined[:-1], count[1:], 0)
+                least = CONTAINMENT * min(len(self.sets[m]) for m in members)
+                for p in np.flatnonzero(count >= least - 1e-9):
+                    i, j = head[p], stop[p + 1] if joined[p] else stop[p]
+                    for m in members[(low == _minima(shingles[i:j])).any(axis=1)]:
+                        for share, begin, end in self._places(shingles[i:j], m):
+                            t = int(text[i])
+                            found.setdefault((t, int(m)), []).append((share, int(place[i + begin] - words.first[t]), int(place[i + end] - words.first[t]) + n))
+        out = []
+        for (t, m), places in sorted(found.items()):
+            kept: list[tuple[float, int, int]] = []
+            for x in sorted(set(places), key=lambda x: (-x[0], x[1], x[2])):  # of overlapping places the best
+                if all(x[2] <= y[1] or y[2] <= x[1] for y in kept):
+                    kept.append(x)
+            out += [(t, m, *x) for x in sorted(kept, key=lambda x: x[1])]
+        return out
+
+    def _places(self, window: np.ndarray, m: int) -> list[tuple[float, int, int]]:
+        """(containment, first and last shingle) of the places of a template in a window that holds it."""
+        own = self.sets[m]
+        hits = np.flatnonzero(np.isin(window, own))
+        share = lambda x: len(np.unique(window[x])) / len(own)
+        if share(hits) < CONTAINMENT:
+            return []
+        out, k = [], 0
+        while k < len(hits):
+            for length in (self.length[m], math.ceil(self.length[m] / CONTAINMENT)):
+                inside = hits[k:][hits[k:] < hits[k] + length]
+                if share(inside) >= CONTAINMENT:
+                    out.append((share(inside), int(inside[0]), int(inside[-1])))
+                    k += len(inside) - 1
+                    break
+            k += 1
+        return out or [(share(hits), int(hits[0]), int(hits[-1]))]
+
+
+def _build(shard: pa.Table | None) -> Templates:
+    return Templates(list(zip(shard.column("name").to_pylist(), shard.column("text").to_pylist(), strict=True)) if shard is not None else [])
+
+
+def _scan(uri: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _templates(templates)
         for batch in batches:
+            index = held(uri, _build)
             at, data = utf8(batch.column(1))
             for i, j in slices(at):
                 found = index.scan(Words(at[i : j + 1], data))
                 if found:
                     text, template, share, begin, end = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array([i + k for k in text])), pa.array([index.names[k] for k in template]), pa.array(share, pa.float64()), pa.array(begin, pa.int64()), pa.array(end, pa.int64())],
+                        [batch.column(0).take(pa.array([i + k for k in text])), pa.array([index.names[k] for k in template], pa.string()), pa.array(share, pa.float64()), pa.array(begin, pa.int64()), pa.array(end, pa.int64())],
                         ["doc_id", "license", "containment", "first_word", "end_word"],
                     )
 
     return run
 
 
-def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
-    """(doc_id, license, containment, first_word, end_word) of each license notice in each document."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_scan(tuple(templates)), f"doc_id {kind}, license string, containment double, first_word long, end_word long")
+def scan(docs: DataFrame, templates: DataFrame | None = None, most: int = TEMPLATE_BYTES) -> DataFrame:
+    """(doc_id, license, containment, first_word, end_word) of each place of each template in each document."""
+    if templates is None:
+        templates = docs.sparkSession.createDataFrame(list(TEMPLATES), "name string, text string")
+    given = templates.select(F.col("name").cast("string").alias("name"), F.col("text").cast("string").alias("text")).where("text is not null")
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, license string, containment double, first_word long, end_word long"
+    out = None
+    for uri in write_shards(given, "license_templates", sizes(given, F.octet_length("text"))[1], most, F.struct("name", "text"), ["name", "text"]):
+        found = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_scan(uri), schema)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

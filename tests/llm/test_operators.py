@@ -417,6 +417,35 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan(docs).count() == 0 and licenses.scan(empty).count() == 0
 
 
+def test_licenses_against_all_windows_of_a_template_table(spark):
+    import random
+
+    say = random.Random(9)
+    text = lambda n: " ".join(say.choices([f"u{k}" for k in range(60)], k=n))
+    templates = [(f"t{k}", text(n)) for k, n in enumerate((1, 2, 4, 5, 6, 9, 17, 33, 64, 65, 150, 400))] + [("same", None), ("none", " "), ("t12", text(30))]
+    templates[12] = ("same", templates[7][1])
+    altered = lambda t: " ".join("zz" if k == len(t.split()) // 2 else w for k, w in enumerate(t.split()))
+    rows = [(k, f"{words(say.randint(0, 90))} {t or ''} {words(say.randint(0, 90), 500)}", "en", "a") for k, (_, t) in enumerate(templates)]
+    rows += [(100 + k, f"{words(30)} {altered(t or '')} {words(9, 70)}", "en", "a") for k, (_, t) in enumerate(templates)]
+    rows += [(200, " ".join([templates[6][1]] * 3), "en", "a"), (201, f"{templates[8][1]} {words(200)} {templates[8][1].upper()} {templates[6][1]}", "en", "a"), (202, text(3000), "en", "a"), (202, text(3000), "en", "a")]
+    table = spark.createDataFrame(templates, "name string, text string")
+    want = set()
+    for i, t, *_ in rows:
+        v = t.lower().split()
+        for name, pattern in templates:
+            w = (pattern or "").split()
+            n = min(5, len(w))
+            own = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if w else set()
+            grams = [tuple(v[k : k + n]) for k in range(len(v) - n + 1)] if w else []
+            if any(len(own & set(grams[k : k + len(w) - n + 1])) >= 0.8 * len(own) for k in range(len(grams))):
+                want.add((i, name))
+    got = licenses.scan(docs_of(spark, rows), table).collect()
+    assert {(r.doc_id, r.license) for r in got} == want and all(r.containment >= 0.8 for r in got)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, licenses.scan(docs_of(spark, rows), table, 700).collect()))  # sharded
+    at = lambda i, name: [(r.first_word, r.end_word) for r in got if r.doc_id == i and r.license == name]
+    assert at(200, "t6") == [(0, 17), (17, 34), (34, 51)] and at(201, "t8") == [(0, 64), (264, 328)] and at(7, "t7") == at(7, "same")
+
+
 def test_license_in_every_place(spark):
     t = dict(licenses.TEMPLATES)["isc"]
     d = docs_of(spark, [(k, f"{words(k)} {t} {words(100, 500)}", "en", "a") for k in range(130)])
