@@ -35,11 +35,14 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-LOOSE_EMAIL = r"\b[A-Za-z0-9._%+-]{1,64}+\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]{1,63}+\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z]{2,12}\b"
+LOOSE_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?i:\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?(?i:\(dot\)|\[dot\])\x20?)[A-Za-z0-9-]++)++"
 LOOSE_PHONE = r"(?<![0-9+.-])(?<![0-9]\x20)(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![\x20.-]?[0-9])"
-SECRET = r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|(?:sk|pk)_(?:live|test)_[A-Za-z0-9]{16,}+)\b|(?<=(?i:token|secret|apikey|api_key|password)\x20{0,2}[=:]\x20{0,2}[\"']?)[A-Za-z0-9_/+=-]{16,}+"
+AT_SIGN = r"(?i:[(\[]at[)\]])"
+#: What names a secret, up to its value; a value runs to its end.
+NAMED = r"(?i:(?:token|secret|api[_-]?key|access[_-]?key|passw(?:or)?d|pwd)(?:[_-]?key)?)[\x20\t]*+[=:][\x20\t]*+[\"']?"
+SECRET = rf"\b(?:AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36,}}+|(?:sk|pk)_(?:live|test)_[A-Za-z0-9]{{16,}}+)\b|{NAMED}[A-Za-z0-9_/+=-]{{16,}}+"
 #: What each text with a secret holds.
-SECRET_SIGN = r"AKIA|gh[pousr]_|[sp]k_(?:live|test)_|(?i:token|secret|apikey|api_key|password)\x20{0,2}[=:]"
+SECRET_SIGN = rf"AKIA|gh[pousr]_|[sp]k_(?:live|test)_|{NAMED}"
 
 # Gazetteers of the labelers.
 TOP_LEVEL = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu", "us", "example", "biz", "co", "it", "nl", "ch", "at")
@@ -96,12 +99,18 @@ def base_spans(text: Column, digit: Column) -> dict[str, Column]:
 def loose_spans(text: Column, digit: Column) -> dict[str, Column]:
     """Candidates of looser patterns, by the kind that they would have."""
     return {
-        "email": _if(F.rlike(text, F.lit(r"[(\[]at[)\]]")), matches(text, LOOSE_EMAIL)),
+        "email": _if(F.rlike(text, F.lit(AT_SIGN)), matches(text, LOOSE_EMAIL)),
         "phone": _if(digit, matches(text, LOOSE_PHONE)),
-        "secret": _if(F.rlike(text, F.lit(SECRET_SIGN)), matches(text, SECRET)),
+        "secret": _if(F.rlike(text, F.lit(SECRET_SIGN)), F.transform(matches(text, SECRET), _value)),
     }
 
 
+def _value(x: Column) -> Column:
+    """A match of SECRET without the name before the value."""
+    skip = F.length(F.regexp_extract(x["m"], f"^{NAMED}", 0))
+    return F.struct((x["s"] + skip).alias("s"), x["e"].alias("e"), F.substr(x["m"], skip + 1, F.length(x["m"])).alias("m"))
+
+
 def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, -1).otherwise(0)
 
@@ -147,7 +156,7 @@ def candidates(docs: DataFrame, carry: list[str]) -> DataFrame:
     each = [_labelled(k, True, text, v) for k, v in base.items()] + [_labelled(k, False, text, v) for k, v in loose.items()]
     held = docs.select(*carry, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
     # texts without a digit, "@", "(at)" or a sign of a secret are passed by at once
-    any_sign = F.rlike(text, F.lit(r"[0-9@]|[(\[]at[)\]]")) | F.rlike(text, F.lit(SECRET_SIGN))
+    any_sign = F.rlike(text, F.lit(rf"[0-9@]|{AT_SIGN}")) | F.rlike(text, F.lit(SECRET_SIGN))
     spans = F.concat(*each)
     return held.select(*carry, F.when(any_sign, spans).otherwise(F.array().cast(_SPANS)).alias("spans"))
 
