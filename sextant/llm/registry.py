@@ -14,4 +14,4 @@ QUERIES = {
     "op9_toxicity": toxicity.query,
     "op10_near_dedup": near_dedup.query,
 }
-SQL: dict[str, str] = {"op2_warc": warc.SQL, "op3_quality_rules": quality_rules.SQL}
+SQL: dict[str, str] = {"op2_warc": warc.SQL, "op3_quality_rules": quality_rules.SQL, "op10_near_dedup": near_dedup.SQL}

@@ -242,17 +242,42 @@ def test_personal_data(spark, empty):
 
 def test_secrets_of_any_case_and_length(spark):
     hexes = hashlib.sha512(b"a").hexdigest() + hashlib.sha512(b"b").hexdigest()
-    secrets = [f'TOKEN = "{hexes[:40].upper()}"', f"Api_Key: {hexes[:32]}", f"password={hexes[:200]}", f"sk_live_{hexes[:100]}", f"pk_test_{hexes[:40]}", "secret=4111111111111111abcdefabcdef0123456789"] * 5
+    secrets = [f'TOKEN = "{hexes[:40].upper()}"', f"Api_Key: {hexes[:32]}", f"password={hexes[:200]}", f"sk_live_{hexes[:100]}", f"pk_test_{hexes[:40]}", "secret=4111111111111111abcdefabcdef0123456789", f"secret_key   =    '{hexes[5:60]}", f"Access-Key:\t{hexes[9:70]}", f"ghp_{hexes[:50]}"] * 5
     d = docs_of(spark, [(k, f"before {t} after", "en", "a") for k, t in enumerate(secrets)] + [(900, "PASSWORD: correcthorsebatterystaple", "en", "a"), (901, "a token of thanks", "en", "a")])
     got = {r.doc_id: r.t for r in pii.find(d, ["doc_id", "text"]).select("doc_id", pii.redact(F.col("text"), F.col("found")).alias("t")).collect()}
     for k, t in enumerate(secrets):
-        value = re.split("[=:] ?\"?", t)[-1].rstrip('"')
+        value = re.split("[=:]\\s*[\"']?|ghp_", t)[-1].rstrip('"')
         assert not any(value[j : j + 8] in got[k] for j in range(len(value) - 7)) and got[k].startswith("before ") and got[k].endswith(" after"), t
     assert got[901] == "a token of thanks"
     tried = {r.doc_id: [(pii.KINDS[x.kind], x.s, x.e) for x in r.spans] for r in pii.candidates(d, ["doc_id"]).where("doc_id >= 900").collect()}
     assert tried == {900: [("secret", 10, 35)], 901: []}  # a secret needs no digit to be a candidate
 
 
+def test_written_out_emails_of_any_length(spark):
+    long = "q" * 150
+    texts = ["write to me (at) home (dot) org. The end", f"{long} [AT] {long}.example.{'c' * 20} now", "meet (at) noon. The cat", "jo.doe(at)mail(dot)example(dot)com"] * 6
+    d = docs_of(spark, [(k, t, "en", "a") for k, t in enumerate(texts)])
+    spans = {r.doc_id: [(pii.KINDS[x.kind], x.s, x.e) for x in r.spans] for r in pii.candidates(d, ["doc_id"]).collect()}
+    assert [spans[k] for k in range(4)] == [[("email", 9, 31)], [("email", 0, 335)], [], [("email", 0, 34)]]
+
+
+def test_added_spans_follow_the_trained_classifier(spark):
+    import math
+
+    texts = [f"call me: (212) 555-{1000 + k}" for k in range(20)] + [f"mail a{k}@b.com or c{k} (at) d.org" for k in range(20)] + [f"token={'ab12' * 5}{k}" for k in range(9)] + ["000-000-0000 111.111.1111", "", None]
+    d = docs_of(spark, [(k, t, "en", "a") for k, t in enumerate(texts)])
+    rows = pii.candidates(d, ["doc_id"]).collect()
+    weights = pii.train(pii.candidates(d, ["doc_id"]))
+    for r in pii.find(d).collect():
+        given = next(x.spans for x in rows if x.doc_id == r.doc_id)
+        base = {(x.kind, x.s, x.e) for x in given if x.is_base}
+        odds = lambda x: sum(w.get((x.kind, x[n] if n else 0), 0.0) for n, w in weights.items())
+        apart = lambda x: all(not (s < x.e and x.s < e) or x.kind == 4 and not (s <= x.s and x.e <= e) for _, s, e in base)
+        want = base | {(x.kind, x.s, x.e) for x in given if not x.is_base and odds(x) >= 0 and apart(x)}
+        assert {tuple(x) for x in r.found} == want and {tuple(x) for x in r.base} == base and not any(map(math.isnan, map(odds, given)))
+    assert len({r.doc_id for r in pii.find(d).collect() if len(r.found) > len(r.base)}) >= 40
+
+
 def test_em_orders_reliable_votes():
     belief = pii.expectation_maximisation([(0, (1, 1, 1, 0, 1), 50), (0, (0, -1, -1, 0, -1), 30), (0, (0, 1, 0, 1, 1), 5)])
     assert belief[0, (1, 1, 1, 0, 1)] > 0.9 > 0.1 > belief[0, (0, -1, -1, 0, -1)]
@@ -391,6 +416,45 @@ def test_slots_of_the_wrapper_are_the_text(spark):
         assert all(got[200 + k] == "Equal pages" for k in range(5))
 
 
+def test_markup_and_hidden_parts(spark):
+    rows = [
+        (1, "http://q/1", "<article><p title=it's>Hello <b class='x'y>there</b></p><p data-a='<p>' hidden>no</p><div style=\"color:red; display: none\">no</div><p data-x=1>a&lt;b</p></article>"),
+        (2, "http://q/2", "<article><section class='related-work'><p>Prior art</p></section><div class=alert-box>Mind the step</div><section id='social'><h2>Society</h2></section><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p><div class='related'>More</div><div class='related-links'>Links</div><ul class='share'><li>Share</li></ul></article>"),
+        (3, "http://q/3", "<body><div class='alert-box'>Sale</div><div class='social'>Follow</div><main><p>Text</p></main></body>"),
+        (4, "http://q/4", "<p>one <a href=\"x>y\">two</a> three"),
+    ]
+    schema = "page_id long, url string, html string, host string, article string, template string, text string"
+    d = spark.createDataFrame([(*r, "c", "c", "c", "c") for r in [*rows, rows[0]]], schema)
+    got = sorted((r.page_id, r.text) for r in html_text.extract(d).collect())
+    assert got == [(1, "Hello there\na<b"), (1, "Hello there\na<b"), (2, "Prior art\nMind the step\nSociety\nLet x=2 be."), (3, "Text"), (4, "one two three")]
+
+
+def test_wrappers_agree_with_a_plain_alignment(spark):
+    def made(k):
+        more = f"<aside2><i>Extra {k}</i></aside2>" if k != 2 else ""
+        return f"<html><body><div class=top><em>Reprinted with permission</em></div><h1>Title {k}</h1>{more}<ul>{''.join(f'<li>Item {k} {j}</li>' for j in range(1 + k % 3))}</ul><h6>The end</h6></body></html>"
+
+    pages = [made(k) for k in range(6)]
+    found = html_text.wrappers(spark.createDataFrame([(f"http://w/{k}", p) for k, p in enumerate(pages)], "url string, html string").repartition(3)).first()
+    groups = {g.path.split("/")[-1]: (g.optional, g.repeated, g.slot) for g in found.groups}
+    assert groups == {"div.top": (False, False, False), "h1": (False, False, True), "aside2": (True, False, True), "li": (False, True, True), "h6": (False, False, False)}
+    plain: dict[str, tuple] = {}
+
+    def walk(nodes, optional, repeated):
+        for n in nodes:
+            if n[0] in "?+":
+                walk(n[1], optional or n[0] == "?", repeated or n[0] == "+")
+            elif n[0] == "#":
+                place = next(x for x in reversed(n[2].split("/")) if x not in html_text.INLINE)
+                plain[place] = (optional, repeated, n[1] is None)
+
+    walk(html_text.infer(pages), False, False)
+    assert {k: v[2] for k, v in plain.items()} == {k: v[2] for k, v in groups.items()} and plain["li"][1] and plain["aside2"][0] and not plain["h1"][0]
+    # the wrapper decides: without it template text stays
+    texts = {r.text for r in html_text.extract(spark.createDataFrame([(k, f"http://w/{k}", p) for k, p in enumerate(pages)], "page_id long, url string, html string")).collect()}
+    assert not any("Reprinted" in t or "The end" in t for t in texts) and all("Reprinted" in html_text.main_text(p, None) for p in pages)
+
+
 def test_wrapper_has_slots_groups_and_optional_parts():
     kinds = []
 
