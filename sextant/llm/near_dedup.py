@@ -51,8 +51,8 @@ THRESHOLD = 85
 MARGIN = 0.10
 #: Members of a bucket that are compared at once; larger buckets are split into pairs of blocks.
 BLOCK = 256
-#: Shingles of the sets that one task compares with a leader's at once.
-CHUNK = 1 << 18
+#: Shingles of the sets, and sets, that are compared with a leader's at once.
+CHUNK, MEMBERS = 1 << 18, 128
 #: Rows for each task of the steps that compare sets or sketches, which cost time rather than bytes.
 TASK_ROWS = 4000
 
@@ -190,7 +190,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> Da
     A set travels once for each pair in which it is b; the leader a is sent to as many chunks
     as hold its candidates, so that a leader of many is checked by many tasks.
     """
-    heads = keep(pairs.groupBy("a").agg(F.count("*").alias("rows"), F.sum("n").alias("size"), F.ceil(F.sum("n") / CHUNK).alias("chunks")), "heads")
+    heads = keep(pairs.groupBy("a").agg(F.count("*").alias("rows"), F.sum("n").alias("size"), F.ceil(F.greatest(F.sum("n") / CHUNK, F.count("*") / MEMBERS)).alias("chunks")), "heads")
     total = heads.agg(F.coalesce(F.sum("rows") + F.sum("chunks"), F.lit(0)), F.coalesce(8 * F.sum("size"), F.lit(0))).first()
     leaders = heads.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.col("a").alias("id"))
     members = pairs.join(heads, "a").select("a", F.expr("pmod(xxhash64(b), chunks)").alias("chunk"), F.col("b").alias("id"))
@@ -233,12 +233,14 @@ def _blocks(least: float):
 def _across(members: DataFrame, labels: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     """Candidate pairs (a, b, n) of different components from all buckets that hold several, each pair once.
 
-    The members of the bucket's least component stand aside from the rest: they are blocked
+    The members of the bucket's largest component stand aside from the rest: they are blocked
     apart and two of their blocks never meet.
     """
     placed = keep(members.join(labels, "id"), "placed")
-    mixed = keep(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", "low"), "mixed")
-    across = keep(placed.join(mixed.hint("merge"), "key").withColumn("main", F.col("component") == F.col("low")), "across")
+    counts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mixed = counts.groupBy("key").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("first"), F.count("*").alias("parts")).where("parts > 1").select("key", "first")
+    mixed = keep(mixed, "mixed")
+    across = keep(placed.join(mixed.hint("merge"), "key").withColumn("main", F.col("component") == F.col("first")), "across")
     sizes = keep(across.groupBy("key").agg(F.ceil(F.count(F.when(F.col("main"), 1)) / BLOCK).alias("m"), F.ceil(F.count(F.when(~F.col("main"), 1)) / BLOCK).alias("r")), "bucket_sizes")
     # a block of the rest meets all blocks; a block of the main component only those of the rest
     meetings = F.when(F.col("main"), F.col("r")).otherwise(F.col("r") + F.col("m"))
@@ -258,17 +260,20 @@ def _components(signed: DataFrame, held: DataFrame, words: int, threshold: int)
     if threshold < 80:
         raise ValueError(f"threshold {threshold}: the bands are made for 80 at least")
     same = [F.first(c).alias(c) for c in ("n_shingles", "sketch", "bands", "codes")]
-    classes = signed.where("set_key is not null").groupBy("set_key").agg(F.min("at").alias("at"), F.min("doc_id").alias("doc_id"), *same)
+    classes = signed.where("set_key is not null").groupBy("set_key").agg(F.min("at").alias("at"), F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), *same)
     nodes = keep(classes.withColumn("id", F.monotonically_increasing_id()), "nodes")
-    buckets = nodes.select(F.explode("bands").alias("key"), "id")
-    full = keep(buckets.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last").select("key", "leader"), "leaders")
+    # leaders: the text with most copies, then the first one, is the likeliest source of the others
+    order = F.struct(-F.col("rows"), F.col("doc_id").isNull(), "doc_id", "id")
+    buckets = nodes.select(F.explode("bands").alias("key"), "id", order.alias("order"))
+    full = keep(buckets.groupBy("key").agg(F.min_by("id", "order").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader"), "leaders")
+    buckets = buckets.drop("order")
     # merged, never broadcast: these sides grow with the documents
     members = keep(buckets.join(full.hint("merge"), "key"), "members")
     sketches = keep(nodes.join(members.select("id").distinct(), "id", "left_semi").select("id", "at", "set_key", "n_shingles", "sketch", "codes"), "sketches")
     texts = held.select("at", "text").join(sketches.select("at", "id", "set_key").hint("merge"), "at").select("id", "set_key", "text")
     sets = keep(texts.mapInArrow(_sets(words), "id long, shingles binary"), "sets")
 
-    met = members.where("id > leader").groupBy("id", "leader").count()
+    met = members.where("id <> leader").groupBy("id", "leader").count()
     star = met.groupBy("id").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("a"))
     star = keep(star.join(sketches.select("id", "n_shingles"), "id").select("a", F.col("id").alias("b"), F.col("n_shingles").alias("n")), "star")
     edges = confirm(star, sets, threshold)
@@ -315,3 +320,17 @@ def one_of_each(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD)
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS sh FROM d),
+c AS (SELECT sh, min(doc_id) AS id, len(sh) AS n FROM s WHERE len(sh) > 0 GROUP BY sh),
+x AS (SELECT id, n, unnest(sh) AS g FROM c),
+p AS (SELECT a.id AS a, b.id AS b FROM x a JOIN x b ON a.g = b.g AND a.id < b.id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT id, id AS other FROM c UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.other),
+k AS (SELECT id, min(other) AS component FROM r GROUP BY id)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, coalesce(k.component, s.doc_id) AS component_id, s.doc_id = coalesce(k.component, s.doc_id) AS kept
+FROM s LEFT JOIN c ON c.sh = s.sh LEFT JOIN k ON k.id = c.id
+"""
