@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pandas as pd
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sextant.functions import scalars as S
 from sextant.functions import vectors as V
+from sextant.operators.ranks import numbered
 
 # Tiers with their strength and seed, and the contrasts between them.
 TIERS = (("mild", 0.25, 7001), ("moderate", 0.50, 8001), ("severe", 1.0, 9001))
@@ -116,27 +117,24 @@ def bootstrap(differences: DataFrame, keys: list[str], value: str = "difference"
     return differences.select(*keys, unit, F.col(value).cast("double").alias(value)).groupBy(*keys).applyInPandas(run, f"{kinds}, n long, ci_lower double, ci_upper double")
 
 
+#: Where the Poisson(1) distribution passes each count, in steps of 2**-32: a weight is the number of these at or below a draw.
+POISSON = tuple(int(sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)) * (1 << 32)) for n in range(13))
+
+
 def bootstrap_poisson(differences: DataFrame, keys: list[str], value: str = "difference", unit: str = "latent_event_id", resamples: int = 1000, seed: int = SEED) -> DataFrame:
-    """The same intervals for groups of any size: each unit has a Poisson(1) weight in each
-    resample, drawn from a generator keyed by the unit, so sums are taken where the rows lie."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple, np.ndarray] = {}
-        for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
-            for *key, name, v in zip(*columns, strict=True):
-                weight = np.random.default_rng([seed, name % (1 << 63)]).poisson(1.0, resamples).astype(float)
-                held = total.setdefault(tuple(key), np.zeros((3, resamples)))
-                held[0] += weight
-                held[1] += weight * v
-                held[2, 0] += 1
-        for key, s in total.items():
-            yield pa.RecordBatch.from_arrays([*(pa.array([k] * resamples) for k in key), pa.array(range(resamples)), pa.array(s[0]), pa.array(s[1]), pa.array([s[2, 0] if i == 0 else 0.0 for i in range(resamples)])], [*keys, "b", "w", "s", "n"])
+    """The same intervals for groups of any size: each unit has a Poisson(1) weight in each resample.
 
-    kinds = ", ".join(f"{k} {differences.schema[k].dataType.simpleString()}" for k in keys)
-    sums = differences.select(*keys, F.xxhash64(unit).alias("u"), F.col(value).cast("double")).mapInArrow(run, f"{kinds}, b long, w double, s double, n double")
-    means = sums.groupBy(*keys, "b").agg(F.sum("w").alias("w"), F.sum("s").alias("s"), F.sum("n").alias("n"))
-    return means.groupBy(*keys).agg(F.sum("n").cast("long").alias("n"), F.percentile(F.col("s") / F.col("w"), F.lit(0.025)).alias("ci_lower"), F.percentile(F.col("s") / F.col("w"), F.lit(0.975)).alias("ci_upper"))
+    A hash of (seed, block, unit) gives the draws of eight resamples, so sums are taken where the
+    rows lie and don't depend on partitions.
+    """
+    h = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("j").cast("string"), F.col(unit).cast("string")), 256)
+    each = differences.select(*keys, unit, F.col(value).cast("double").alias("d"), F.explode(F.sequence(F.lit(0), F.lit(-(-resamples // 8) - 1))).alias("j")).withColumn("h", h)
+    draw = lambda i: F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("long")
+    weight = lambda x: F.size(F.filter(F.array(*map(F.lit, POISSON)), lambda t: t <= x))
+    weights = [weight(draw(i)).alias(f"w{i}") for i in range(8)]
+    sums = each.select(*keys, "j", "d", *weights).groupBy(*keys, "j").agg(F.count("*").alias("n"), *(x for i in range(8) for x in (F.sum(f"w{i}").alias(f"w{i}"), F.sum(F.col(f"w{i}") * F.col("d")).alias(f"s{i}"))))
+    means = sums.select(*keys, "n", F.explode(F.array(*(F.struct((8 * F.col("j") + i).alias("b"), F.try_divide(f"s{i}", f"w{i}").alias("mean")) for i in range(8)))).alias("x")).where(F.col("x.b") < resamples)
+    return means.groupBy(*keys).agg(F.max("n").alias("n"), F.percentile("x.mean", F.lit(0.025)).alias("ci_lower"), F.percentile("x.mean", F.lit(0.975)).alias("ci_upper"))
 
 
 def bootstrap_hashed(differences: DataFrame, keys: list[str], value: str = "difference", unit: str = "latent_event_id", resamples: int = 20, seed: int = SEED) -> DataFrame:
@@ -258,15 +256,53 @@ def mmd_blocked(rows: DataFrame, vector: str, first: str, second: str, block: in
     return rows.sparkSession.createDataFrame([(max(0.0, aa + bb - 2 * ab), bandwidth)], "mmd2 double, bandwidth2 double")
 
 
+def mmd_permutation_test(rows: DataFrame, vector: str, first: str, second: str, permutations: int = 200, seed: int = 5151, block: int = MMD_BLOCK) -> DataFrame:
+    """(mmd2, p): whether two splits differ more than random divisions of the same sizes.
+
+    In each permutation the events with the least hashes of (seed, permutation, event) are the
+    first side. All divisions share one pass over the kernel's blocks; the bandwidth is that of
+    ``mmd_blocked``. The given division counts as one permutation.
+    """
+    spark = rows.sparkSession
+    held = rows.where(F.col("split").isin(first, second)).select("event_id", (F.col("split") == first).alias("p"), F.col(vector).alias("v"))
+    n_first, n = held.agg(F.count_if("p"), F.count("*")).first()
+    width = mmd_blocked(rows, vector, first, second, block).first().bandwidth2
+    each = held.select("event_id", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("k"))
+    placed = numbered(each, ["k"], [S.hash_order(seed, F.col("k"), F.col("event_id")), "event_id"])
+    sides = placed.groupBy("event_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", (F.col("n") <= n_first).alias("z")))), lambda x: x["z"]).alias("z"))
+    blocks = max(1, -(-n // block))
+    labelled = held.join(sides, "event_id").withColumn("z", F.concat(F.array("p"), "z")).withColumn("b", F.expr(f"pmod(xxhash64(event_id), {blocks})"))
+    pairs = labelled.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    grouped = pairs.select(F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side"), "z", "v").groupBy("i", "j")
+
+    def sums(t: pa.Table) -> pa.Table:
+        side, z, v = t.column("side").to_numpy(), np.array(t.column("z").to_pylist(), float), np.array(t.column("v").to_pylist(), float)
+        a, b = side == 0, side == 1
+        same = not b.any()
+        b = a if same else b
+        kernel = np.exp(-np.maximum(0, (v[a] ** 2).sum(1)[:, None] + (v[b] ** 2).sum(1)[None] - 2 * v[a] @ v[b].T) / (2 * width))
+        both = ((kernel @ z[b]) * z[a]).sum(0) * (1 if same else 2)  # within the first side
+        one = kernel.sum(1) @ z[a] if same else kernel.sum(1) @ z[a] + kernel.sum(0) @ z[b]  # of the first side with all
+        return pa.table({"k": pa.array(range(len(both)), pa.int32()), "aa": pa.array(both), "a": pa.array(one), "t": pa.array([kernel.sum() * (1 if same else 2)] * len(both))})
+
+    s = grouped.applyInArrow(sums, "k int, aa double, a double, t double").groupBy("k").agg(F.sum("aa").alias("aa"), F.sum("a").alias("a"), F.sum("t").alias("t"))
+    m, o = float(n_first), float(n - n_first)
+    value = F.col("aa") / (m * m) + (F.col("t") - 2 * F.col("a") + F.col("aa")) / (o * o) - 2 * (F.col("a") - F.col("aa")) / (m * o)
+    tested = s.select("k", F.greatest(F.lit(0.0), value).alias("mmd2"))
+    given = tested.where("k = 0").select(F.col("mmd2").alias("given")).first()
+    if given is None:
+        return spark.createDataFrame([], "mmd2 double, p double")
+    return tested.agg(F.lit(given[0]).alias("mmd2"), F.avg((F.col("mmd2") >= given[0] - 1e-12).cast("double")).alias("p"))
+
+
 def halves(events: DataFrame) -> DataFrame:
-    """``half`` even or odd by order of event_id within a split (evaluation sets)."""
-    order = Window.partitionBy("split").orderBy("event_id")
-    return events.withColumn("half", F.when((F.row_number().over(order) - 1) % 2 == 0, "even").otherwise("odd"))
+    """``half`` even or odd by order of event_id within a split."""
+    return numbered(events, ["split"], ["event_id"], name="_n").withColumn("half", F.when((F.col("_n") - 1) % 2 == 0, "even").otherwise("odd")).drop("_n")
 
 
 def random_halves(events: DataFrame, seeds: list[int], fraction: float = 0.5) -> DataFrame:
     """(seed, event_id, part): for each seed round(n * fraction) events calibrate, the rest evaluate."""
+    n = events.count()
     each = events.select("event_id", F.explode(F.array(*map(F.lit, seeds))).alias("seed"))
-    order = Window.partitionBy("seed").orderBy(F.sha2(F.concat_ws(":", F.col("seed").cast("string"), "event_id"), 256), "event_id")
-    n = F.count("*").over(Window.partitionBy("seed"))
-    return each.select("seed", "event_id", F.when(F.row_number().over(order) <= F.bround(n * fraction), "calibration").otherwise("evaluation").alias("part"))
+    placed = numbered(each, ["seed"], [F.sha2(F.concat_ws(":", F.col("seed").cast("string"), "event_id"), 256), "event_id"], name="_n")
+    return placed.select("seed", "event_id", F.when(F.col("_n") <= F.bround(F.lit(n * fraction)), "calibration").otherwise("evaluation").alias("part"))

@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.functions import scalars as S
 from sextant.functions import vectors as V
-from sextant.operators import validation
-from sextant.operators.retrieval import ranked
+from sextant.operators import retrieval, validation
+from sextant.sources.scratch import discard, keep
 
 MEMORY = "memory_id string, context_vector array<double>, item_id string, created_at timestamp, updated_at timestamp, strength double, correction_count int, active boolean"
 
@@ -41,23 +39,9 @@ def early_queries(queries: DataFrame, memory: DataFrame) -> DataFrame:
     return queries.join(F.broadcast(latest)).where(F.col("as_of") < F.col("latest")).select("query_id", "as_of", "latest")
 
 
-def weighted(queries: DataFrame, memory: DataFrame, rate: float | None = S.DECAY_RATE) -> DataFrame:
-    """(query_id, memory_id, item_id, similarity, temporal_weight, strength, score) of each query and active record.
-
-    The expression form, for memories of a few rows; ``retrieval.hybrid_top_k`` is the blocked form.
-    """
-    q = queries.select("query_id", "as_of", V.normalise(F.col("vector")).alias("q"))
-    m = memory.where("active").select("memory_id", "item_id", "strength", "updated_at", V.normalise(F.col("context_vector")).alias("m"))
-    weight = S.decay(S.age_days(F.col("as_of"), F.col("updated_at")), rate) if rate is not None else F.lit(1.0)
-    pairs = q.join(m).select("query_id", "memory_id", "item_id", S.unit_clip(V.dot(F.col("q"), F.col("m"))).alias("similarity"), weight.alias("temporal_weight"), "strength")
-    return pairs.withColumn("score", F.col("similarity") * F.col("strength") * F.col("temporal_weight"))
-
-
 def top_memories(queries: DataFrame, memory: DataFrame, k: int, rate: float | None = S.DECAY_RATE, digits: int | None = None) -> DataFrame:
-    scored = weighted(queries, memory, rate)
-    if digits is not None:
-        scored = scored.withColumn("score", F.round("score", digits))
-    return ranked(scored, ["query_id"], k, ties=("item_id", "memory_id"))
+    """(query_id, rank, memory_id, item_id, similarity, score): active records by clipped cosine x strength x decay."""
+    return retrieval.memory_top_k(queries, memory, k, rate, digits)
 
 
 def as_of(versions: DataFrame, queries: DataFrame, key: str = "memory_id", at: str = "updated_at", columns: tuple[str, ...] = ()) -> DataFrame:
@@ -113,74 +97,47 @@ def history(memory: DataFrame, accepted: DataFrame, protocol_hash: str) -> DataF
     )
 
 
-def fold_rows(state: dict, rows: Iterator[dict], dim: int) -> tuple[dict, list[tuple[int, str]], list[int]]:
-    """One memory's corrections in arrival order: (new state, [(seq, error)], accepted seqs).
+def apply_to(state: dict, correction: dict) -> None:
+    """An accepted correction in a record's state; what it doesn't give stays."""
+    if correction["new_item_id"] is not None:
+        state["item_id"] = correction["new_item_id"]
+    if correction["new_vector"] is not None:
+        state["context_vector"] = list(correction["new_vector"])
+    if correction["new_strength"] is not None and not math.isnan(correction["new_strength"]):
+        state["strength"] = float(correction["new_strength"])
+    state["updated_at"] = correction["corrected_at"]
+    state["correction_count"] += 1
 
-    A rejected correction changes nothing, and its id may be used again.
-    """
-    rejected, accepted, used = [], [], set(state.get("used", ()))
-    for r in rows:
-        vector = r["new_vector"]
-        error = None
-        if r["errors"]:
-            error = r["errors"]
-        elif r["correction_id"] in used:
-            error = "duplicate correction_id"
-        elif r["corrected_at"] < state["updated_at"]:
-            error = "before last update"
-        if error:
-            rejected.append((r["seq"], error))
-            continue
-        used.add(r["correction_id"])
-        if r["new_item_id"] is not None:
-            state["item_id"] = r["new_item_id"]
-        if vector is not None:
-            state["context_vector"] = list(vector)
-        if r["new_strength"] is not None and not math.isnan(r["new_strength"]):
-            state["strength"] = float(r["new_strength"])
-        state["updated_at"] = r["corrected_at"]
-        state["correction_count"] += 1
-        accepted.append(r["seq"])
-    return state | {"used": sorted(used)}, rejected, accepted
-
-
-def _fold(dim: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        state = {"item_id": first["item_id"], "updated_at": first["updated_at"], "strength": first["strength"], "context_vector": first["context_vector"], "correction_count": int(first["correction_count"])}
-        rows = pdf.sort_values("seq")
-        records = ({"seq": int(s), "correction_id": i, "corrected_at": t, "errors": e or None, "new_item_id": n, "new_vector": v, "new_strength": None if pd.isna(x) else x} for s, i, t, e, n, v, x in zip(rows["seq"], rows["correction_id"], rows["corrected_at"], rows["error"], rows["new_item_id"], rows["new_vector"], rows["new_strength"], strict=True))
-        _, rejected, _ = fold_rows(state, records, dim)
-        errors = dict(rejected)
-        return pd.DataFrame({"seq": rows["seq"], "memory_id": rows["memory_id"], "correction_id": rows["correction_id"], "error": [errors.get(int(s)) for s in rows["seq"]]})
-
-    return run
-
-
-def judge_corrections(memory: DataFrame, corrections: DataFrame, items: DataFrame, dim: int, most_rounds: int = 10) -> DataFrame:
+
+def judge_corrections(memory: DataFrame, corrections: DataFrame, items: DataFrame, dim: int) -> DataFrame:
     """Every correction with ``error``, null if it is accepted, as if applied in order of ``seq``.
 
-    Row errors come from expressions; time order and repeated ids inside a memory from an ordered
-    fold of that memory's corrections; ids that several memories accept are then kept for the
-    first ``seq`` alone, and the fold is repeated until nothing changes (once, as a rule). A
-    memory's corrections form one group, since each depends on the one before.
+    A correction without row errors is rejected if an accepted one with a smaller seq has its id, or
+    if it is older than the latest accepted one of its memory: a running maximum, since later
+    rejections don't move it. A repeated id may have moved that maximum, so both rules are taken in turn
+    until no more ids repeat (once or twice, as a rule; each round adds repeats and never drops one).
     """
     checked = correction_errors(corrections, memory, items, dim).withColumn("error", F.when(F.size("errors") > 0, F.array_join("errors", ", ")))
-    state = memory.select("memory_id", "item_id", "context_vector", "updated_at", "strength", "correction_count")
-    known = checked.join(state, "memory_id").drop("errors")
-    orphans = checked.join(state.select("memory_id"), "memory_id", "left_anti").select("seq", "memory_id", "correction_id", "error")
-    banned = None
-    for _ in range(most_rounds):
-        rows = known
-        if banned is not None:
-            rows = rows.join(banned.select("seq", F.lit("duplicate correction_id").alias("ban")), "seq", "left").withColumn("error", F.coalesce("error", "ban")).drop("ban")
-        judged = rows.groupBy("memory_id").applyInPandas(_fold(dim), "seq long, memory_id string, correction_id string, error string").persist()
-        first = judged.where("error is null").groupBy("correction_id").agg(F.min("seq").alias("first"), F.count("*").alias("n")).where("n > 1")
-        more = judged.where("error is null").join(first, "correction_id").where("seq > first").select("seq")
-        if more.isEmpty():
-            return judged.unionByName(orphans)
-        banned = more if banned is None else banned.unionByName(more).distinct()
-    raise RuntimeError(f"repeated correction ids did not settle in {most_rounds} rounds")
+    state = memory.select("memory_id", "updated_at")
+    rows = keep(checked.join(state, "memory_id", "left").select("seq", "memory_id", "correction_id", "corrected_at", "updated_at", "error", F.lit(False).alias("repeats")), "corrections")
+    before = Window.partitionBy("memory_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    n = 0
+    while True:
+        valid = F.col("error").isNull() & ~F.col("repeats")
+        latest = F.greatest("updated_at", F.max(F.when(valid, F.col("corrected_at"))).over(before))
+        judged = rows.withColumn("late", valid & (F.col("corrected_at") < latest))
+        accepted = judged.where(F.col("error").isNull() & ~F.col("repeats") & ~F.col("late"))
+        first = accepted.groupBy("correction_id").agg(F.min("seq").alias("first"))
+        after = judged.join(first, "correction_id", "left").withColumn("repeats", F.col("error").isNull() & F.coalesce(F.col("first") < F.col("seq"), F.lit(False)))
+        after = keep(after.select(*rows.columns, "late"), "judged")
+        now = after.where("repeats").count()
+        discard(rows)
+        if now == n:
+            break
+        rows, n = keep(after.drop("late"), "corrections"), now
+        discard(after)
+    error = F.coalesce("error", F.when(F.col("repeats"), "duplicate correction_id").when(F.col("late"), "before last update"))
+    return after.select("seq", "memory_id", "correction_id", error.alias("error"))
 
 
 def apply_corrections(memory: DataFrame, accepted: DataFrame) -> DataFrame:
@@ -214,9 +171,27 @@ def decoys(targets: DataFrame) -> DataFrame:
     return ids.select("item_id", F.coalesce(F.lead("item_id").over(order), F.min("item_id").over(Window.partitionBy(F.lit(0)))).alias("decoy_item_id"))
 
 
-def corrupted(memory: DataFrame, targets: DataFrame) -> DataFrame:
-    """(target, memory) for each target: the memory in which its records carry its decoy's label."""
-    wrong = targets.select(F.col("item_id").alias("target_item_id"), "decoy_item_id")
-    changed = memory.join(wrong, memory.item_id == wrong.target_item_id)
-    return changed.select("target_item_id", "memory_id", "context_vector", F.col("decoy_item_id").alias("item_id"), "created_at", "updated_at", "strength", (F.col("correction_count") + 1).alias("correction_count"), "active")
+def corruptions(memory: DataFrame, wrong: DataFrame, at: Column | None = None) -> DataFrame:
+    """Corrections that give each record the decoy (item_id, decoy_item_id) of its label, by default at its last update."""
+    changed = memory.join(wrong, "item_id")
+    return _relabelled(changed, "corrupt", F.col("decoy_item_id"), at if at is not None else F.col("updated_at"))
+
+
+def restorations(memory: DataFrame, days: int = 1) -> DataFrame:
+    """Corrections that give each record its label back, ``days`` after its last update."""
+    return _relabelled(memory, "restore", F.col("item_id"), F.col("updated_at") + F.make_dt_interval(F.lit(days)))
+
+
+def _relabelled(memory: DataFrame, what: str, label: Column, at: Column) -> DataFrame:
+    return memory.select(
+        F.xxhash64("memory_id").alias("seq"), F.concat_ws("::", F.lit(what), "memory_id").alias("correction_id"), "memory_id", at.alias("corrected_at"), F.lit(f"controlled: {what}").alias("reason"),
+        label.alias("new_item_id"), F.lit(None).cast("array<double>").alias("new_vector"), F.lit(None).cast("double").alias("new_strength"),
+    )
+
 
+def changed_records(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Ids of the records whose label, vector, strength or activity differ, or that one side lacks."""
+    names = ("item_id", "context_vector", "strength", "active")
+    a = before.select("memory_id", F.struct(*names).alias("a"))
+    b = after.select("memory_id", F.struct(*names).alias("b"))
+    return a.join(b, "memory_id", "full").where(~F.col("a").eqNullSafe(F.col("b"))).select("memory_id")

@@ -8,22 +8,27 @@ from pyspark.sql import functions as F
 from sextant.functions import scalars as S
 
 
-def per_query(rankings: DataFrame, relevance: DataFrame, k: int = 10, groups: tuple[str, ...] = ()) -> DataFrame:
+def per_query(rankings: DataFrame, relevance: DataFrame, k: int = 10, groups: tuple[str, ...] = (), cells: DataFrame | None = None) -> DataFrame:
     """(groups, query_id, n_relevant, recall_1, recall_k, rr, ndcg_k) of each query with relevant items.
 
-    rankings: (groups, query_id, rank, item_id) with ranks from 1; relevance: (query_id, item_id).
-    The relevant items meet the rankings by query and item, so only hits are aggregated.
+    relevance: (query_id, item_id), and those groups that belong to the query, such as its split;
+    rankings: (the other groups, such as rankers, query_id, rank, item_id) with ranks from 1. Each query
+    counts in all values of the other groups: those of ``cells``, a small table, or those that occur in
+    the rankings. So a query without ranking rows counts as 0 there. The relevant items meet the
+    rankings by query and item, so only hits are aggregated.
     """
+    own = [g for g in groups if g in relevance.columns]
+    others = [g for g in groups if g not in own]
     wanted = relevance.select("query_id", "item_id").distinct()
-    sizes = wanted.groupBy("query_id").agg(F.count("*").alias("n_relevant"))
-    hits = rankings.join(wanted.withColumn("hit", F.lit(True)), ["query_id", "item_id"], "left").where(F.col("rank") <= k)
-    per = hits.groupBy(*groups, "query_id").agg(
-        F.count(F.when(F.col("hit") & (F.col("rank") <= 1), 1)).alias("h1"),
-        F.count(F.when(F.col("hit"), 1)).alias("hk"),
-        F.min(F.when(F.col("hit"), F.col("rank"))).alias("first"),
-        F.sum(F.when(F.col("hit"), S.log2_gain(F.col("rank"))).otherwise(0.0)).alias("gain"),
+    sizes = relevance.select(*own, "query_id", "item_id").distinct().groupBy(*own, "query_id").agg(F.count("*").alias("n_relevant"))
+    if others:
+        values = rankings.select(*others).distinct() if cells is None else cells.select(*others)
+        sizes = sizes.crossJoin(F.broadcast(values))  # the few values of a grid
+    hits = rankings.where(F.col("rank") <= k).join(wanted, ["query_id", "item_id"], "left_semi")
+    per = hits.groupBy(*others, "query_id").agg(
+        F.count(F.when(F.col("rank") <= 1, 1)).alias("h1"), F.count("*").alias("hk"), F.min("rank").alias("first"), F.sum(S.log2_gain(F.col("rank"))).alias("gain"),
     )
-    joined = sizes.join(per, "query_id", "left" if not groups else "inner")
+    joined = sizes.join(per, [*others, "query_id"], "left")
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n_relevant"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, r: s + S.log2_gain(r))
     zero = lambda c: F.coalesce(c, F.lit(0))
     return joined.select(
@@ -45,16 +50,21 @@ def sane(table: DataFrame) -> DataFrame:
     return table.where(outside("recall_1") | outside("recall_k") | outside("mrr") | outside("ndcg_k") | (F.col("recall_k") < F.col("recall_1")))
 
 
-def grid_gaps(table: DataFrame, axes: dict[str, list]) -> DataFrame:
-    """Cells of the grid that are absent, repeated, or have another event count than the most common one."""
+def grid_gaps(table: DataFrame, axes: dict[str, list], within: tuple[str, ...] = ()) -> DataFrame:
+    """Cells of the grid that are absent, repeated, or have another event count than the most common one.
+
+    ``within``: axes along which event counts may differ, such as splits.
+    """
     spark = table.sparkSession
     grid = None
     for name, values in axes.items():
         axis = spark.createDataFrame([(v,) for v in values], f"{name} {table.schema[name].dataType.simpleString()}")
         grid = axis if grid is None else grid.crossJoin(axis)  # the axes are given lists
     counts = table.groupBy(*axes).agg(F.count("*").alias("n"), F.min("n_events").alias("low"), F.max("n_events").alias("high"))
-    usual = table.groupBy("n_events").count().orderBy(F.col("count").desc(), "n_events").limit(1).select(F.col("n_events").alias("usual"))
-    return grid.join(counts, list(axes), "left").join(F.broadcast(usual)).where("n is null or n <> 1 or low <> usual or high <> usual").select(*axes, F.coalesce("n", F.lit(0)).alias("n"))
+    usual = table.groupBy(*within, "n_events").count().groupBy(*within).agg(F.max_by("n_events", F.struct("count", -F.col("n_events"))).alias("usual"))
+    joined = grid.join(counts, list(axes), "left")
+    joined = joined.join(F.broadcast(usual), list(within), "left") if within else joined.crossJoin(F.broadcast(usual))
+    return joined.where("n is null or n <> 1 or low <> usual or high <> usual").select(*axes, F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def nested(rankings: DataFrame, keys: tuple[str, ...]) -> DataFrame:

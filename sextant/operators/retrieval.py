@@ -1,11 +1,13 @@
 """Exact top-k rankings of query tables against an item library.
 
-Two forms with the same results. The expression form joins and sorts with built-in functions;
-it suits libraries of a few rows. The blocked form sends the library, whose size is checked, to
-the tasks as a matrix, multiplies Arrow batches of queries with it and keeps each query's best
-rows inside the batch, so the product of queries and items is never shuffled. A library beyond
-``LIBRARY_BYTES`` is cut into shards by item; each shard's best rows are merged by rank, which
-is exact.
+Two forms with the same results. The blocked form multiplies Arrow batches of queries with the
+library as a matrix and keeps each query's best rows inside the batch, so the product of queries
+and items is never shuffled. The library is written in shards of ``LIBRARY_BYTES`` that tasks read
+from the shared folder, so it never passes through the driver; a shard's best rows are
+merged by rank, which is exact, and with one shard nothing is shuffled at all. The expression form does
+the same with built-in functions, a block of items in a row.
+
+``prepare`` checks and writes a library once for several rankings.
 
 Order is score descending, then item_id. ``digits`` rounds scores before they are ordered, for
 comparisons between engines that add in different orders.
@@ -13,8 +15,11 @@ comparisons between engines that add in different orders.
 
 from __future__ import annotations
 
+import hashlib
+import heapq
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
@@ -24,19 +29,52 @@ from pyspark.sql import functions as F
 
 from sextant.functions import scalars as S
 from sextant.functions import vectors as V
+from sextant.sources.scratch import discard, held, keep, read_shard, write_shards
 
 #: Bytes of item vectors (and memory vectors) that a task holds at once.
 LIBRARY_BYTES = 128 << 20
 #: Scores held at once, of a batch of queries.
 BLOCK_SCORES = 4 << 20
+#: Items in a row of the expression form.
+BLOCK_ITEMS = 512
 
 
 def check_library(items: DataFrame, vector: str = "item_vector") -> int:
     """Dimension of the library; ValueError for duplicate ids, mixed dimensions or zero norms."""
+    return _checked(items, vector)[0]
+
+
+def _checked(items: DataFrame, vector: str) -> tuple[int, int]:
     r = items.agg(F.count("*").alias("n"), F.countDistinct("item_id").alias("ids"), F.min(F.size(vector)).alias("low"), F.max(F.size(vector)).alias("high"), F.count(V.normalise(F.col(vector))).alias("units")).first()
     if not r.n or r.ids < r.n or r.low != r.high or r.units < r.n:
         raise ValueError(f"library of {r.n} rows: {r.ids} distinct ids, dimensions {r.low} to {r.high}, {r.units} vectors with a direction")
-    return int(r.high)
+    return int(r.high), int(r.n)
+
+
+@dataclass(frozen=True)
+class Library:
+    """A checked library in shards that tasks read; with ``memory``, its records in shards of the same items."""
+
+    dim: int
+    shards: tuple[str, ...]
+    memory: tuple[str, ...] = ()
+
+
+def prepare(items: DataFrame, most: int = LIBRARY_BYTES, memory: DataFrame | None = None) -> Library:
+    """Write (item_id, item_vector), and the active memory records of these items, as a ``Library``."""
+    table = keep(items.select("item_id", "item_vector"), "library")
+    dim, n = _checked(table, "item_vector")
+    size = n * (8 * dim + 64)
+    if memory is None:
+        out = Library(dim, tuple(write_shards(table, "library_shards", size, most, F.col("item_id"), ["item_id"])))
+        discard(table)
+        return out
+    records = memory.where("active").select("item_id", "memory_id", "context_vector", "strength", F.unix_micros("updated_at").alias("updated"))
+    records = keep(records.join(table.select("item_id"), "item_id", "left_semi"), "memory")
+    size += records.count() * (8 * dim + 64)
+    out = Library(dim, tuple(write_shards(table, "library_shards", size, most, F.col("item_id"), ["item_id"])), tuple(write_shards(records, "memory_shards", size, most, F.col("item_id"), ["item_id", "memory_id"])))
+    discard(table, records)
+    return out
 
 
 def library(items: DataFrame) -> DataFrame:
@@ -51,12 +89,15 @@ def ranked(scored: DataFrame, keys: list[str], k: int, score: str = "score", tie
 
 
 def cosine_expressions(queries: DataFrame, items: DataFrame, k: int, digits: int | None = None) -> DataFrame:
-    """The expression form over (query_id, vector): for small libraries, and to check the blocked form."""
-    units = items.select("item_id", V.normalise(F.col("item_vector")).alias("u"))
-    q = queries.select("query_id", V.normalise(F.col("vector")).alias("q"))
-    score = V.dot(F.col("q"), F.col("u"))
-    pairs = q.join(units).select("query_id", "item_id", (F.round(score, digits) if digits is not None else score).alias("score"))
-    return ranked(pairs, ["query_id"], k).select("query_id", "rank", "item_id", "score")
+    """The expression form over (query_id, vector): each query meets blocks of items and keeps k of each."""
+    n = max(1, math.ceil(items.count() / BLOCK_ITEMS))
+    units = items.select(F.expr(f"pmod(xxhash64(item_id), {n})").alias("block"), F.struct("item_id", V.normalise(F.col("item_vector")).alias("u")).alias("x"))
+    blocks = units.groupBy("block").agg(F.collect_list("x").alias("items"))
+    q = queries.select("query_id", V.normalise(F.col("vector")).alias("q")).where("q is not null")
+    score = lambda x: F.round(V.dot(F.col("q"), x["u"]), digits) if digits is not None else V.dot(F.col("q"), x["u"])
+    best = F.slice(F.sort_array(F.transform("items", lambda x: F.struct((-score(x)).alias("s"), x["item_id"].alias("item_id")))), 1, k)
+    found = q.join(blocks).select("query_id", F.explode(best).alias("x")).select("query_id", "x.item_id", (F.lit(0.0) - F.col("x.s")).alias("score"))
+    return ranked(found, ["query_id"], k).select("query_id", "rank", "item_id", "score")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -80,17 +121,20 @@ def top_rows(scores: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _shards(items: DataFrame, bytes_a_row: int, most: int) -> Iterator[DataFrame]:
-    n = max(1, math.ceil(items.count() * bytes_a_row / most))
-    for s in range(n):
-        yield items if n == 1 else items.where(F.expr(f"pmod(xxhash64(item_id), {n}) = {s}"))
+def _item_side(shard: pa.Table | None) -> tuple[pa.Array, np.ndarray] | None:
+    if shard is None or not shard.num_rows:
+        return None
+    return pa.array(shard.column("item_id").to_pylist(), pa.string()), _units(_matrix(shard.column("item_vector").combine_chunks()))
 
 
-def _cosine(ids: list[str], units: np.ndarray, k: int, digits: int | None):
+def _cosine(uri: str, k: int, digits: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = pa.array(ids, pa.string())
-        step = max(1, BLOCK_SCORES // max(1, len(ids)))
         for batch in batches:
+            side = held(uri, _item_side)
+            if side is None:
+                continue
+            names, units = side
+            step = max(1, BLOCK_SCORES // len(names))
             for i in range(0, batch.num_rows, step):
                 part = batch.slice(i, step)
                 scores = _units(_matrix(part.column(1))) @ units.T
@@ -98,42 +142,74 @@ def _cosine(ids: list[str], units: np.ndarray, k: int, digits: int | None):
                     scores = np.round(scores, digits) + 0.0
                 best = top_rows(scores, k)
                 rows = np.repeat(np.arange(len(best)), best.shape[1])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), names.take(pa.array(best.ravel())), pa.array(scores[rows, best.ravel()])], ["query_id", "item_id", "score"])
+                rank = np.tile(np.arange(1, best.shape[1] + 1, dtype=np.int32), len(best))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(rank), names.take(pa.array(best.ravel())), pa.array(scores[rows, best.ravel()])], ["query_id", "rank", "item_id", "score"])
 
     return run
 
 
-def cosine_top_k(queries: DataFrame, items: DataFrame, k: int, digits: int | None = None, most: int = LIBRARY_BYTES) -> DataFrame:
+def _merged(parts: list[DataFrame], keys: list[str], k: int, ties: tuple[str, ...] = ("item_id",)) -> DataFrame:
+    """The best k of each key of rankings by shards; the ranking itself where there is one shard."""
+    if len(parts) == 1:
+        return parts[0]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return ranked(out.drop("rank"), keys, k, ties=ties)
+
+
+def cosine_top_k(queries: DataFrame, items: DataFrame | Library, k: int, digits: int | None = None, most: int = LIBRARY_BYTES) -> DataFrame:
     """(query_id, rank, item_id, score) of the k nearest items of each (query_id, vector).
 
     ``k`` beyond the library's size gives the whole library. Queries without a direction are an
-    error of the caller: see ``vectors.is_finite``.
+    error of the caller: see ``vectors.is_finite``. Query ids are unique.
     """
     if k < 1:
         raise ValueError("k is 1 at least")
-    dim = check_library(items)
-    held = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("vector").cast(V.DOUBLES).alias("vector"))
-    out = None
-    for shard in _shards(items.select("item_id", "item_vector"), 8 * dim + 64, most):
-        rows = shard.orderBy("item_id").collect()  # at most ``most`` bytes
-        if not rows:
-            continue
-        run = _cosine([r.item_id for r in rows], _units(np.array([r.item_vector for r in rows], float)), k, digits)
-        best = held.mapInArrow(run, "query_id string, item_id string, score double")
-        out = best if out is None else out.unionByName(best)
-    return ranked(out, ["query_id"], k).select("query_id", "rank", "item_id", "score")
-
-
-def random_top_k(queries: DataFrame, items: DataFrame, k: int, seed: int, key: str = "query_id") -> DataFrame:
-    """A reproducible random ranking of each query, which depends on the seed and ``key`` alone."""
-    r = items.agg(F.count("*").alias("n"), F.sum(F.octet_length("item_id")).alias("bytes")).first()
-    if (r.bytes or 0) + 16 * r.n > LIBRARY_BYTES:
-        raise ValueError(f"{r.n} item ids; tasks hold {LIBRARY_BYTES} bytes at most")
-    # the ids as one array: each query orders them in its own row, and no row is shuffled
-    ids = items.agg(F.sort_array(F.collect_set("item_id")).alias("ids"))
-    order = F.sort_array(F.transform("ids", lambda i: F.struct(S.hash_order(seed, F.col("k"), i).alias("h"), i.alias("item_id"))))
-    best = queries.select("query_id", F.col(key).alias("k")).join(F.broadcast(ids)).select("query_id", F.posexplode(F.slice(order, 1, k)).alias("n", "x"))
-    return best.select("query_id", (F.col("n") + 1).alias("rank"), "x.item_id")
+    library = items if isinstance(items, Library) else prepare(items, most)
+    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("vector").cast(V.DOUBLES).alias("vector"))
+    parts = [asked.mapInArrow(_cosine(uri, k, digits), "query_id string, rank int, item_id string, score double") for uri in library.shards]
+    return _merged(parts, ["query_id"], k).select("query_id", "rank", "item_id", "score")
+
+
+def _random(uri: str, k: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            side = held(uri, _item_side)
+            if side is None:
+                continue
+            ids = [(x, x.encode()) for x in side[0].to_pylist()]
+            out: list[tuple] = []
+            for query, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                start = hashlib.sha256(f"{seed}:{key}:".encode())
+
+                def of(data: bytes, start=start) -> str:
+                    h = start.copy()
+                    h.update(data)
+                    return h.hexdigest()
+
+                out += [(query, n, x, h) for n, (h, x) in enumerate(heapq.nsmallest(k, ((of(data), x) for x, data in ids)), 1)]
+            columns = list(zip(*out, strict=True)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.string()), strict=True)], ["query_id", "rank", "item_id", "h"])
+
+    return run
+
+
+def random_top_k(queries: DataFrame, items: DataFrame | Library, k: int, seed: int, key: str = "query_id", most: int = LIBRARY_BYTES) -> DataFrame:
+    """A reproducible random ranking of each query, which depends on the seed and ``key`` alone.
+
+    Items are in order of the hashes of seed, key and item; tasks keep the k least of each shard.
+    """
+    library = items if isinstance(items, Library) else prepare(items, most)
+    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col(key).cast("string").alias("k"))
+    parts = [asked.mapInArrow(_random(uri, k, seed), "query_id string, rank int, item_id string, h string") for uri in library.shards]
+    out = parts[0]
+    if len(parts) > 1:
+        for x in parts[1:]:
+            out = out.unionByName(x)
+        order = Window.partitionBy("query_id").orderBy("h", "item_id")
+        out = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return out.select("query_id", "rank", "item_id")
 
 
 Ranker = Callable[[DataFrame], DataFrame]
@@ -148,26 +224,46 @@ def all_rankers(queries: DataFrame, rankers: dict[str, Ranker]) -> DataFrame:
     return out
 
 
-def _hybrid(items: dict[str, Any], memory: dict[str, Any] | None, cells: list[dict], k: int, digits: int | None, floor: float):
+def _both_sides(shard: pa.Table | None, memory_uri: str) -> tuple[pa.Array, np.ndarray, dict | None] | None:
+    side = _item_side(shard)
+    if side is None:
+        return None
+    kept = read_shard(memory_uri)
+    if kept is None or not kept.num_rows:
+        return *side, None
+    place = {x: n for n, x in enumerate(side[0].to_pylist())}
+    columns = np.array([place[x] for x in kept.column("item_id").to_pylist()])
+    heads = np.flatnonzero(np.r_[True, columns[1:] != columns[:-1]])
+    return *side, {"units": _units(_matrix(kept.column("context_vector").combine_chunks())), "strength": kept.column("strength").to_numpy(), "updated": kept.column("updated").to_numpy().astype(float), "heads": heads, "columns": columns[heads]}
+
+
+def _decayed(memory: dict, at: np.ndarray, rate: float | None, days: float) -> np.ndarray:
+    """Strength times decay of each record, for queries at ``at`` (microseconds) and ``days`` later."""
+    weight = memory["strength"][None, :]
+    if rate is None:
+        return weight
+    age = (at[:, None] + days * 86_400e6 - memory["updated"][None, :]) / 86_400e6
+    return weight * np.maximum(np.exp(-rate * age), S.TINY)
+
+
+def _hybrid(uri: str, memory_uri: str, cells: list[dict], k: int, digits: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = pa.array(items["ids"], pa.string())
         for batch in batches:
-            step = max(1, BLOCK_SCORES // max(1, len(items["ids"]) + (len(memory["vectors"]) if memory else 0)))
+            sides = held(uri, _both_sides, memory_uri)
+            if sides is None:
+                continue
+            names, units, memory = sides
+            step = max(1, BLOCK_SCORES // (len(names) + (len(memory["units"]) if memory else 0)))
             for i in range(0, batch.num_rows, step):
                 part = batch.slice(i, step)
                 fused, projected = _units(_matrix(part.column(1))), _units(_matrix(part.column(2)))
-                by_item = np.clip(projected @ items["units"].T, 0, 1)
+                by_item = np.clip(projected @ units.T, 0, 1)
                 similar = np.clip(fused @ memory["units"].T, 0, 1) if memory else None
                 at = part.column(3).to_numpy(zero_copy_only=False).astype(float)
                 for cell in cells:
                     recalled = np.zeros_like(by_item)
                     if similar is not None and cell["alpha"] < 1:
-                        weight = memory["strength"][None, :]
-                        if cell["rate"] is not None:
-                            age = (at[:, None] + cell["days"] * 86_400e6 - memory["updated"][None, :]) / 86_400e6
-                            weight = weight * np.maximum(np.exp(-cell["rate"] * age), floor)
-                        scores = similar * weight
-                        best = np.maximum.reduceat(scores, memory["heads"], axis=1)
+                        best = np.maximum.reduceat(similar * _decayed(memory, at, cell["rate"], cell["days"]), memory["heads"], axis=1)
                         recalled[:, memory["columns"]] = np.clip(best, 0, 1)
                     total = np.clip(cell["alpha"] * by_item + (1 - cell["alpha"]) * recalled, 0, 1)
                     if digits is not None:
@@ -175,15 +271,16 @@ def _hybrid(items: dict[str, Any], memory: dict[str, Any] | None, cells: list[di
                     top = top_rows(total, k)
                     rows = np.repeat(np.arange(len(top)), top.shape[1])
                     cols = top.ravel()
+                    rank = np.tile(np.arange(1, top.shape[1] + 1, dtype=np.int32), len(top))
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(pa.array(rows)), pa.array([cell["cell"]] * len(rows), pa.string()), names.take(pa.array(cols)), pa.array(total[rows, cols]), pa.array(by_item[rows, cols]), pa.array(recalled[rows, cols])],
-                        ["query_id", "cell", "item_id", "score", "library_score", "memory_score"],
+                        [part.column(0).take(pa.array(rows)), pa.array([cell["cell"]] * len(rows), pa.string()), pa.array(rank), names.take(pa.array(cols)), pa.array(total[rows, cols]), pa.array(by_item[rows, cols]), pa.array(recalled[rows, cols])],
+                        ["query_id", "cell", "rank", "item_id", "score", "library_score", "memory_score"],
                     )
 
     return run
 
 
-def hybrid_top_k(queries: DataFrame, items: DataFrame, memory: DataFrame, cells: list[dict], k: int, digits: int | None = None, most: int = LIBRARY_BYTES) -> DataFrame:
+def hybrid_top_k(queries: DataFrame, items: DataFrame | Library, memory: DataFrame | None, cells: list[dict], k: int, digits: int | None = None, most: int = LIBRARY_BYTES) -> DataFrame:
     """Rankings by ``alpha * library + (1 - alpha) * memory`` for each cell of a grid.
 
     queries: (query_id, vector: fused, projected: to be compared with the items, as_of). A cell
@@ -191,32 +288,53 @@ def hybrid_top_k(queries: DataFrame, items: DataFrame, memory: DataFrame, cells:
     for all cells. All active memories compete before the best of each item counts; items
     without memory score 0 there, and memories of other items never show.
 
-    Beyond ``most`` bytes, items are sharded together with their memories; a shard's best rows
-    are merged by rank. A single item whose memories exceed the limit is an error.
+    Items are sharded together with their memories (``prepare`` with a memory does so once); a
+    shard's best rows are merged by rank.
     """
-    dim = check_library(items)
-    active = memory.where("active")
-    size = items.count() * (8 * dim + 64) + active.count() * (8 * dim + 64)
-    shards = max(1, math.ceil(size / most))
-    held = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("vector").cast(V.DOUBLES).alias("vector"), F.col("projected").cast(V.DOUBLES).alias("projected"), F.unix_micros("as_of").alias("as_of"))
-    out = None
-    for s in range(shards):
-        mine = (lambda d: d if shards == 1 else d.where(F.expr(f"pmod(xxhash64(item_id), {shards}) = {s}")))  # noqa: B023
-        rows = mine(items.select("item_id", "item_vector")).orderBy("item_id").collect()
-        if not rows:
-            continue
-        place = {r.item_id: n for n, r in enumerate(rows)}
-        kept = mine(active.select("item_id", "memory_id", "context_vector", "strength", F.unix_micros("updated_at").alias("updated"))).join(items.select("item_id"), "item_id", "left_semi").orderBy("item_id", "memory_id").collect()
-        library_side = {"ids": [r.item_id for r in rows], "units": _units(np.array([r.item_vector for r in rows], float).reshape(len(rows), dim))}
-        memory_side = None
-        if kept:
-            columns = np.array([place[r.item_id] for r in kept])
-            heads = np.flatnonzero(np.r_[True, columns[1:] != columns[:-1]])
-            vectors = np.array([r.context_vector for r in kept], float)
-            memory_side = {"vectors": range(len(kept)), "units": _units(vectors), "strength": np.array([r.strength for r in kept]), "updated": np.array([r.updated for r in kept], float), "heads": heads, "columns": columns[heads]}
-        best = held.mapInArrow(_hybrid(library_side, memory_side, cells, k, digits, S.TINY), "query_id string, cell string, item_id string, score double, library_score double, memory_score double")
-        out = best if out is None else out.unionByName(best)
-    return ranked(out, ["cell", "query_id"], k)
+    library = items if isinstance(items, Library) else prepare(items, most, memory)
+    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("vector").cast(V.DOUBLES).alias("vector"), F.col("projected").cast(V.DOUBLES).alias("projected"), F.unix_micros("as_of").alias("as_of"))
+    schema = "query_id string, cell string, rank int, item_id string, score double, library_score double, memory_score double"
+    parts = [asked.mapInArrow(_hybrid(uri, memory_uri, cells, k, digits), schema) for uri, memory_uri in zip(library.shards, library.memory, strict=True)]
+    return _merged(parts, ["cell", "query_id"], k)
+
+
+def _record_side(shard: pa.Table | None) -> dict | None:
+    if shard is None or not shard.num_rows:
+        return None
+    return {"memory": pa.array(shard.column("memory_id").to_pylist(), pa.string()), "item": pa.array(shard.column("item_id").to_pylist(), pa.string()), "units": _units(_matrix(shard.column("context_vector").combine_chunks())), "strength": shard.column("strength").to_numpy(), "updated": shard.column("updated").to_numpy().astype(float)}
+
+
+def _recall(uri: str, k: int, rate: float | None, digits: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            side = held(uri, _record_side)
+            if side is None:
+                continue
+            step = max(1, BLOCK_SCORES // len(side["units"]))
+            for i in range(0, batch.num_rows, step):
+                part = batch.slice(i, step)
+                similar = np.clip(_units(_matrix(part.column(1))) @ side["units"].T, 0, 1)
+                scores = similar * _decayed(side, part.column(2).to_numpy(zero_copy_only=False).astype(float), rate, 0)
+                scores = np.round(scores, digits) + 0.0 if digits is not None else scores
+                top = top_rows(scores, k)  # records are in order of item and memory, so ties are too
+                rows, cols = np.repeat(np.arange(len(top)), top.shape[1]), top.ravel()
+                rank = np.tile(np.arange(1, top.shape[1] + 1, dtype=np.int32), len(top))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(rows)), pa.array(rank), side["memory"].take(pa.array(cols)), side["item"].take(pa.array(cols)), pa.array(similar[rows, cols]), pa.array(scores[rows, cols])], ["query_id", "rank", "memory_id", "item_id", "similarity", "score"]
+                )
+
+    return run
+
+
+def memory_top_k(queries: DataFrame, memory: DataFrame, k: int, rate: float | None, digits: int | None = None, most: int = LIBRARY_BYTES) -> DataFrame:
+    """(query_id, rank, memory_id, item_id, similarity, score) of the k best active records of each (query_id, vector, as_of)."""
+    records = keep(memory.where("active").select("item_id", "memory_id", "context_vector", "strength", F.unix_micros("updated_at").alias("updated")), "memory")
+    r = records.agg(F.count("*").alias("n"), F.max(F.size("context_vector")).alias("dim")).first()
+    shards = write_shards(records, "record_shards", r.n * (8 * (r.dim or 0) + 96), most, F.col("memory_id"), ["item_id", "memory_id"])
+    discard(records)
+    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("vector").cast(V.DOUBLES).alias("vector"), F.unix_micros("as_of").alias("as_of"))
+    parts = [asked.mapInArrow(_recall(uri, k, rate, digits), "query_id string, rank int, memory_id string, item_id string, similarity double, score double") for uri in shards]
+    return _merged(parts, ["query_id"], k, ("item_id", "memory_id"))
 
 
 def first_by(table: DataFrame, group: list[str], *order: Any) -> DataFrame:

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sextant.functions import scalars as S
+from sextant.functions import vectors as V
+from sextant.operators import evaluation as E
 from sextant.operators import memory as M
-from sextant.operators import policy, retrieval
+from sextant.operators import metrics, policy, retrieval
 from sextant.plans.ranking import K
 from sextant.plans.register import query
 from sextant.sources import tables as T
-from sextant.sources.scratch import new_folder
+from sextant.sources.scratch import keep, new_folder
 from sextant.streaming import jobs
 
 _CHECKED = """checked AS (SELECT c.*, list_filter([CASE WHEN trim(c.reason) = '' THEN 'blank reason' END, CASE WHEN m.memory_id IS NULL THEN 'unknown memory' END, CASE WHEN c.corrected_at < m.updated_at THEN 'before last update' END,
@@ -58,9 +61,13 @@ def correction_history(spark: SparkSession, d: str) -> DataFrame:
     return h.select("correction_id", "memory_id", "seq", "previous_item_id", "corrected_item_id", F.col("corrected_at").cast("timestamp_ntz").alias("corrected_at"), "resulting_count")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_CHECKED}, rws AS (SELECT c.seq, c.correction_id, c.memory_id, c.corrected_at, m.updated_at, c.errors, row_number() OVER (ORDER BY seq) AS k FROM checked c LEFT JOIN mem m USING (memory_id)),
+    fold(k, error, used, latest) AS (SELECT 0::BIGINT, NULL::VARCHAR, []::VARCHAR[], MAP {{}}::MAP(VARCHAR, TIMESTAMP) UNION ALL
+      SELECT k, e, CASE WHEN e IS NULL THEN list_append(used, correction_id) ELSE used END, CASE WHEN e IS NULL THEN map_concat(latest, MAP {{memory_id: corrected_at}}) ELSE latest END
+      FROM (SELECT r.k, f.used, f.latest, r.correction_id, r.memory_id, r.corrected_at, CASE WHEN len(r.errors) > 0 THEN array_to_string(r.errors, ', ') WHEN list_contains(f.used, r.correction_id) THEN 'duplicate correction_id' WHEN r.corrected_at < coalesce(f.latest[r.memory_id], r.updated_at) THEN 'before last update' END AS e FROM fold f JOIN rws r ON r.k = f.k + 1))
+    SELECT seq, memory_id, correction_id, error FROM fold JOIN rws USING (k)""")
 def judged_corrections(spark: SparkSession, d: str) -> DataFrame:
-    """Accepted and rejected corrections by the ordered fold."""
+    """Accepted and rejected corrections, as if applied one after another."""
     return M.judge_corrections(T.memory(spark, d), T.corrections(spark, d), T.items(spark, d), T.DIM)
 
 
@@ -90,91 +97,173 @@ def decoys(spark: SparkSession, d: str) -> DataFrame:
     return M.decoys(T.memory(spark, d))
 
 
+#: Each target's records get its decoy's label at training time (corrupted) and their own again a day later (restored).
 _ARMS = """WITH dec AS (SELECT item_id, coalesce(lead(item_id) OVER (ORDER BY item_id), min(item_id) OVER ()) AS decoy FROM (SELECT DISTINCT item_id FROM mem)),
+    bad AS (SELECT m.memory_id, m.context_vector, m.item_id AS label, dec.decoy AS item_id FROM mem m JOIN dec USING (item_id)),
+    rest AS (SELECT memory_id, context_vector, label AS item_id FROM bad),
     q AS (SELECT event_id AS query_id, fused AS vector, target_item_id AS target FROM ev WHERE split = 'validation' AND target_item_id IN (SELECT item_id FROM dec)),
-    sim AS (SELECT q.query_id, q.target, m.item_id, greatest(0, least(1, list_inner_product(q.vector, m.context_vector))) AS s FROM q, mem m),
-    lab AS (SELECT 'restored' AS arm, query_id, target, item_id, s FROM sim UNION ALL SELECT 'corrupted', query_id, target, CASE WHEN sim.item_id = target THEN decoy ELSE sim.item_id END, s FROM sim JOIN dec ON dec.item_id = target),
-    best AS (SELECT arm, query_id, item_id, max(s) AS s FROM lab GROUP BY ALL),
-    full_list AS (SELECT a.arm, q.query_id, q.target, i.item_id, round(coalesce(b.s, 0), 9) AS score FROM q CROSS JOIN items i CROSS JOIN (VALUES ('restored'), ('corrupted')) AS a(arm) LEFT JOIN best b ON b.arm = a.arm AND b.query_id = q.query_id AND b.item_id = i.item_id),
+    sim AS (SELECT 'clean' AS arm, q.query_id, q.target, m.item_id, greatest(0, least(1, list_inner_product(q.vector, m.context_vector))) AS s FROM q, mem m UNION ALL
+      SELECT 'restored', q.query_id, q.target, m.item_id, greatest(0, least(1, list_inner_product(q.vector, m.context_vector))) FROM q, rest m UNION ALL
+      SELECT 'corrupted', q.query_id, q.target, CASE WHEN m.label = q.target THEN m.item_id ELSE m.label END, greatest(0, least(1, list_inner_product(q.vector, m.context_vector))) FROM q, bad m),
+    best AS (SELECT arm, query_id, item_id, max(s) AS s FROM sim GROUP BY ALL),
+    full_list AS (SELECT a.arm, q.query_id, q.target, i.item_id, round(coalesce(b.s, 0), 9) AS score FROM q CROSS JOIN items i CROSS JOIN (VALUES ('clean'), ('restored'), ('corrupted')) AS a(arm) LEFT JOIN best b ON b.arm = a.arm AND b.query_id = q.query_id AND b.item_id = i.item_id),
     ranks AS (SELECT *, row_number() OVER (PARTITION BY arm, query_id ORDER BY score DESC, item_id) AS rank FROM full_list QUALIFY rank <= 10),
-    rr AS (SELECT arm, query_id, target, coalesce(max(CASE WHEN item_id = target THEN 1.0::DOUBLE / rank END), 0) AS rr FROM ranks GROUP BY ALL),
-    per AS (SELECT target, round(avg(rr) FILTER (WHERE arm = 'corrupted'), 9) AS mrr_before, round(avg(rr) FILTER (WHERE arm = 'restored'), 9) AS mrr_after, round(avg(rr) FILTER (WHERE arm = 'restored') - avg(rr) FILTER (WHERE arm = 'corrupted'), 9) AS improvement FROM rr GROUP BY target)"""
+    r AS (SELECT arm, query_id, target, min(CASE WHEN item_id = target THEN rank END) AS r FROM ranks GROUP BY ALL),
+    one AS (SELECT arm, query_id, target, coalesce(1.0::DOUBLE / r, 0) AS rr, CASE WHEN r = 1 THEN 1.0::DOUBLE ELSE 0 END AS r1, CASE WHEN r IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END AS r10, coalesce(1.0::DOUBLE / log2(r + 1), 0) AS gain FROM r),
+    old AS (SELECT a.target, count(*) FILTER (WHERE o.arm = 'clean') AS other_queries, avg(o.rr) FILTER (WHERE o.arm = 'clean') AS before, avg(o.rr) FILTER (WHERE o.arm = 'restored') AS after FROM (SELECT DISTINCT target FROM one) a JOIN one o ON o.target <> a.target GROUP BY 1),
+    audits AS (SELECT label AS target, count(*) AS restorations FROM bad GROUP BY 1),
+    per AS (SELECT target, count(*) FILTER (WHERE arm = 'restored') AS queries, avg(rr) FILTER (WHERE arm = 'corrupted') AS mrr_before, avg(rr) FILTER (WHERE arm = 'restored') AS mrr_after, avg(rr) FILTER (WHERE arm = 'restored') - avg(rr) FILTER (WHERE arm = 'corrupted') AS improvement,
+      avg(r1) FILTER (WHERE arm = 'corrupted') AS recall_1_before, avg(r1) FILTER (WHERE arm = 'restored') AS recall_1_after, avg(r10) FILTER (WHERE arm = 'corrupted') AS recall_k_before, avg(r10) FILTER (WHERE arm = 'restored') AS recall_k_after, avg(gain) FILTER (WHERE arm = 'corrupted') AS ndcg_k_before, avg(gain) FILTER (WHERE arm = 'restored') AS ndcg_k_after FROM one GROUP BY target)"""
 
 
-def _arms(spark: SparkSession, d: str) -> DataFrame:
-    """Reciprocal ranks of eligible queries under corrupted and restored memory (alpha 0, no decay).
+def _worlds(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(corrupted memory, restored memory, audit of the restorations). A record belongs to one target, so all targets' corrections fit in one batch."""
+    memory = keep(T.memory(spark, d), "clean_memory")
+    corrupted = M.apply_single(memory, M.corruptions(memory, M.decoys(memory)))
+    back = M.restorations(memory)
+    return corrupted, keep(M.apply_single(corrupted, back), "restored_memory"), M.history(corrupted, back, "0" * 64)
 
-    Each target has its own corruption, which touches only the records of that target and its
-    decoy. Queries are ranked once with the restored labels and, target by target, with the
-    corrupted ones: the corrupted arm's rankings run over memories keyed by target.
+
+def _eligible(spark: SparkSession, d: str) -> DataFrame:
+    """(query_id, target, vector, projected, as_of) of validation events whose target is represented in training."""
+    trained = T.split_of(spark, d, "train").select("target_item_id")
+    e = T.split_of(spark, d, "validation").join(trained, "target_item_id", "left_semi")
+    return e.select(F.col("event_id").alias("query_id"), F.col("target_item_id").alias("target"), F.col("fused").alias("vector"), F.col("fused").alias("projected"), F.lit(T.AS_OF).cast("timestamp").alias("as_of"))
+
+
+_RECALL = [{"cell": "memory", "alpha": 0.0, "rate": None, "days": 0}]
+
+
+def _recalled(spark: SparkSession, d: str, q: DataFrame, memory: DataFrame, k: int) -> DataFrame:
+    return retrieval.hybrid_top_k(q, T.items(spark, d), memory, _RECALL, k, 9).select("query_id", "rank", "item_id", "score")
+
+
+def _corrupted(q: DataFrame, found: DataFrame, memory: DataFrame) -> DataFrame:
+    """The rankings of each query while its own target's records carry the decoy's label.
+
+    Only the target's score (now 0) and the decoy's (now the better of both) differ from ``found``,
+    rankings of K + 2 items under the right labels, so no query is ranked anew.
     """
-    e, items, memory = T.events(spark, d), T.items(spark, d), T.memory(spark, d)
-    eligible = e.where("split = 'validation'").join(memory.select(F.col("item_id").alias("target_item_id")), "target_item_id", "left_semi")
-    q = eligible.select(F.col("event_id").alias("query_id"), F.col("target_item_id").alias("target"), F.col("fused").alias("vector"), F.lit(T.AS_OF).cast("timestamp").alias("as_of"))
-    scored = M.weighted(q, memory, None).join(q.select("query_id", "target"), "query_id")
-    wrong = M.decoys(memory).select(F.col("item_id").alias("target"), "decoy_item_id")
-    both = scored.join(wrong, "target").select("query_id", "target", F.explode(F.array(F.struct(F.lit("restored").alias("arm"), F.col("item_id").alias("item")), F.struct(F.lit("corrupted").alias("arm"), F.when(F.col("item_id") == F.col("target"), F.col("decoy_item_id")).otherwise(F.col("item_id")).alias("item")))).alias("x"), "similarity")
-    best = both.groupBy("query_id", "target", "x.arm", F.col("x.item").alias("item_id")).agg(F.max("similarity").alias("s"))
-    arms = q.select("query_id", "target", F.explode(F.array(F.lit("restored"), F.lit("corrupted"))).alias("arm"))
-    every = arms.join(items.select("item_id")).join(best, ["query_id", "target", "arm", "item_id"], "left").withColumn("score", F.round(F.coalesce("s", F.lit(0.0)), 9))
-    ranked = retrieval.ranked(every, ["arm", "query_id"], K)
-    return ranked.groupBy("arm", "query_id", "target").agg(F.coalesce(F.max(F.when(F.col("item_id") == F.col("target"), 1.0 / F.col("rank"))), F.lit(0.0)).alias("rr"))
+    of = q.join(M.decoys(memory).select(F.col("item_id").alias("target"), F.col("decoy_item_id").alias("decoy")), "target").select("query_id", "target", "decoy", V.normalise(F.col("vector")).alias("v"))
+    records = memory.select(F.col("item_id").alias("label"), V.normalise(F.col("context_vector")).alias("m"))
+    pairs = of.select("query_id", "decoy", "v", F.explode(F.array("target", "decoy")).alias("label")).join(records, "label")
+    best = pairs.groupBy("query_id", F.col("decoy").alias("item_id")).agg(F.round(F.max(S.unit_clip(V.dot(F.col("v"), F.col("m")))), 9).alias("score"))
+    others = found.join(of.select("query_id", "target", "decoy"), "query_id").where("item_id <> target and item_id <> decoy").select("query_id", "item_id", "score")
+    own = of.select("query_id", F.col("target").alias("item_id"), F.lit(0.0).alias("score"))
+    return retrieval.ranked(others.unionByName(own).unionByName(best), ["query_id"], K)
+
+
+def _arms(spark: SparkSession, d: str, worlds: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(metrics of each query in both arms; rr of each query under the clean and the restored memory)."""
+    q, memory = keep(_eligible(spark, d), "eligible"), T.memory(spark, d)
+    _, restored, _ = worlds or _worlds(spark, d)
+    found = keep(_recalled(spark, d, q, restored, K + 2), "recalled")
+    arms = found.where(F.col("rank") <= K).withColumn("arm", F.lit("restored")).unionByName(_corrupted(q, found, restored).withColumn("arm", F.lit("corrupted")))
+    wanted = q.select("query_id", F.col("target").alias("item_id"), "target")
+    both = metrics.per_query(arms, wanted, K, ("arm", "target"), spark.createDataFrame([("corrupted",), ("restored",)], "arm string"))
+    # the clean rankings are those of the restored memory where no record differs
+    clean = found if M.changed_records(memory, restored).isEmpty() else _recalled(spark, d, q, memory, K)
+    states = clean.where(F.col("rank") <= K).withColumn("state", F.lit("clean")).unionByName(found.where(F.col("rank") <= K).withColumn("state", F.lit("restored")))
+    rr = metrics.per_query(states, wanted, K, ("state", "target"), spark.createDataFrame([("clean",), ("restored",)], "state string"))
+    return both, rr.select("state", "target", "query_id", "rr")
+
 
+_METRICS = {"mrr": "rr", "recall_1": "recall_1", "recall_k": "recall_k", "ndcg_k": "ndcg_k"}
 
-def _per_target(spark: SparkSession, d: str) -> DataFrame:
-    wide = _arms(spark, d).groupBy("target").pivot("arm", ["corrupted", "restored"]).agg(F.avg("rr"))
-    return wide.select("target", F.round("corrupted", 9).alias("mrr_before"), F.round("restored", 9).alias("mrr_after"), F.round(F.col("restored") - F.col("corrupted"), 9).alias("improvement"))
 
+def _per_target(both: DataFrame) -> DataFrame:
+    at = lambda arm, c: F.avg(F.when(F.col("arm") == arm, F.col(c)))
+    columns = [x for name, c in _METRICS.items() for x in (at("corrupted", c).alias(f"{name}_before"), at("restored", c).alias(f"{name}_after"))]
+    out = both.groupBy("target").agg(F.count_if(F.col("arm") == "restored").alias("queries"), *columns)
+    return out.withColumn("improvement", F.col("mrr_after") - F.col("mrr_before"))
 
-@query(f"{_ARMS} SELECT * FROM per")
+
+def _others(rr: DataFrame) -> DataFrame:
+    """(target, other_queries, before, after): mean rr of all other targets' queries, from sums by target."""
+    of = lambda s: F.when(F.col("state") == s, F.col("rr"))
+    own = rr.groupBy("target").agg(F.sum(of("clean")).alias("c"), F.sum(of("restored")).alias("r"), F.count(of("clean")).alias("n"))
+    total = own.agg(F.sum("c").alias("tc"), F.sum("r").alias("tr"), F.sum("n").alias("tn"))
+    rest = F.col("tn") - F.col("n")
+    return own.join(F.broadcast(total)).select("target", rest.alias("other_queries"), F.try_divide(F.col("tc") - F.col("c"), rest).alias("before"), F.try_divide(F.col("tr") - F.col("r"), rest).alias("after"))
+
+
+_ROUNDED = ", ".join(f"round({c}, 9) + 0.0 AS {c}" for name in _METRICS for c in (f"{name}_before", f"{name}_after"))
+
+
+@query(f"{_ARMS} SELECT target, queries, {_ROUNDED}, round(improvement, 9) + 0.0 AS improvement FROM per")
 def corrective_targets(spark: SparkSession, d: str) -> DataFrame:
-    return _per_target(spark, d)
+    """Four metrics of each target's queries, with its records mislabelled and restored."""
+    return T.rounded(_per_target(_arms(spark, d)[0]))
 
 
-@query(f"{_ARMS} SELECT count(*) AS targets, round(avg(improvement), 9) AS mean_improvement, round(stddev_samp(improvement), 9) AS sd_improvement, min(improvement) AS min_improvement, max(improvement) AS max_improvement, avg(improvement) >= 0.05 AS improved FROM per")
-def corrective_summary(spark: SparkSession, d: str) -> DataFrame:
-    i = F.col("improvement")
-    return _per_target(spark, d).agg(F.count("*").alias("targets"), F.round(F.avg(i), 9).alias("mean_improvement"), F.round(F.stddev_samp(i), 9).alias("sd_improvement"), F.min(i).alias("min_improvement"), F.max(i).alias("max_improvement"), (F.avg(i) >= 0.05).alias("improved"))
+RESAMPLES = 200
 
 
-@query(f"{_ARMS}, total AS (SELECT sum(rr) AS s, count(*) AS n FROM rr WHERE arm = 'restored'), own AS (SELECT target, sum(rr) AS s, count(*) AS n FROM rr WHERE arm = 'restored' GROUP BY 1) SELECT target, total.n - own.n AS other_queries, round((total.s - own.s) / nullif(total.n - own.n, 0), 9) AS other_mrr, 0.0::DOUBLE AS degradation FROM own, total")
+@query(f"""{_ARMS}, num AS (SELECT improvement, row_number() OVER (ORDER BY target) - 1 AS i, count(*) OVER () AS n FROM per),
+    bm AS (SELECT b, avg(improvement) AS m FROM (SELECT DISTINCT n FROM num), unnest(range(0, {RESAMPLES})) AS x(b), unnest(range(0, n)) AS y(k) JOIN num ON num.i = CAST('0x' || substr(sha256(concat_ws(':', '4242', b, k)), 1, 8) AS BIGINT) % num.n GROUP BY b),
+    c AS (SELECT quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM bm)
+    SELECT count(*) AS targets, round(avg(improvement), 9) AS mean_improvement, round(stddev_samp(improvement), 9) AS sd_improvement, round(min(improvement), 9) + 0.0 AS min_improvement, round(max(improvement), 9) AS max_improvement, round(any_value(lo), 9) + 0.0 AS ci_lower, round(any_value(hi), 9) + 0.0 AS ci_upper,
+      avg(improvement) >= 0.05 AND any_value(lo) > 0 AS correction_passed, round((SELECT avg(before - after) FROM old), 9) + 0.0 AS mean_degradation, round((SELECT max(before - after) FROM old), 9) + 0.0 AS max_degradation, (SELECT avg(before - after) FROM old) <= 0.02 AS degradation_passed, (SELECT sum(restorations)::BIGINT FROM audits) AS restorations FROM per, c""")
+def corrective_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Improvement over targets with its interval, degradation of other queries, and both rules."""
+    worlds = _worlds(spark, d)
+    both, rr = _arms(spark, d, worlds)
+    per, i = keep(_per_target(both).withColumn("all", F.lit("all")), "corrective_targets"), F.col("improvement")
+    means = E.bootstrap_hashed(per, ["all"], "improvement", "target", RESAMPLES)
+    interval = means.agg(F.percentile("mean", F.lit(0.025)).alias("lo"), F.percentile("mean", F.lit(0.975)).alias("hi"))
+    gone = F.col("before") - F.col("after")
+    old = _others(rr).agg(F.avg(gone).alias("mean_degradation"), F.max(gone).alias("max_degradation"))
+    audits = worlds[2].agg(F.count("*").alias("restorations"))
+    sums = per.agg(F.count("*").alias("targets"), F.avg(i).alias("mean_improvement"), F.stddev_samp(i).alias("sd_improvement"), F.min(i).alias("min_improvement"), F.max(i).alias("max_improvement"))
+    out = sums.join(interval).join(old).join(audits)  # one row each
+    rules = ((F.col("mean_improvement") >= 0.05) & (F.col("lo") > 0)).alias("correction_passed"), (F.col("mean_degradation") <= 0.02).alias("degradation_passed")
+    return T.rounded(out.select("targets", "mean_improvement", "sd_improvement", "min_improvement", "max_improvement", F.col("lo").alias("ci_lower"), F.col("hi").alias("ci_upper"), rules[0], "mean_degradation", "max_degradation", rules[1], "restorations"))
+
+
+@query(f"{_ARMS} SELECT target, other_queries, round(before, 9) + 0.0 AS mrr_before, round(after, 9) + 0.0 AS mrr_after, round(before - after, 9) + 0.0 AS degradation FROM old")
 def corrective_others(spark: SparkSession, d: str) -> DataFrame:
-    """MRR of all other eligible queries of each target: restored labels are the clean ones, so the
-    sum over others is the total less the target's own, and nothing degrades."""
-    restored = _arms(spark, d).where("arm = 'restored'")
-    own = restored.groupBy("target").agg(F.sum("rr").alias("s"), F.count("*").alias("n"))
-    total = own.agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
-    return own.join(F.broadcast(total)).select("target", (F.col("tn") - F.col("n")).alias("other_queries"), F.round(F.try_divide(F.col("ts") - F.col("s"), F.col("tn") - F.col("n")), 9).alias("other_mrr"), F.lit(0.0).alias("degradation"))
+    """MRR of all other eligible queries of each target, under the clean and the restored memory."""
+    old = _others(_arms(spark, d)[1])
+    return T.rounded(old.select("target", "other_queries", F.col("before").alias("mrr_before"), F.col("after").alias("mrr_after"), (F.col("before") - F.col("after")).alias("degradation")))
+
+
+@query("WITH dec AS (SELECT item_id, coalesce(lead(item_id) OVER (ORDER BY item_id), min(item_id) OVER ()) AS decoy FROM (SELECT DISTINCT item_id FROM mem)) SELECT 'restore::' || memory_id AS correction_id, memory_id, decoy AS previous_item_id, item_id AS corrected_item_id, updated_at + INTERVAL 1 DAY AS corrected_at, CAST(2 AS INTEGER) AS resulting_count FROM mem JOIN dec USING (item_id)")
+def restoration_audits(spark: SparkSession, d: str) -> DataFrame:
+    """The audit of the corrections that give mislabelled records their labels back."""
+    return _worlds(spark, d)[2].select("correction_id", "memory_id", "previous_item_id", "corrected_item_id", F.col("corrected_at").cast("timestamp_ntz").alias("corrected_at"), "resulting_count")
 
 
 _MISSING = "list_filter([CASE WHEN concentration_ppm IS NULL THEN 'concentration_ppm' END, CASE WHEN duration_seconds IS NULL THEN 'duration_seconds' END, CASE WHEN environment_volume_m3 IS NULL THEN 'environment_volume_m3' END, CASE WHEN ventilation_ach IS NULL THEN 'ventilation_ach' END, CASE WHEN user_consent IS NULL THEN 'user_consent' END], lambda x: x IS NOT NULL)"
-_DECIDE = f"""WITH j AS (SELECT rq.*, lim.* EXCLUDE (item_id), {_MISSING} AS missing FROM rq LEFT JOIN lim USING (item_id)),
+DECIDE = f"""WITH j AS (SELECT rq.*, lim.* EXCLUDE (item_id), {_MISSING} AS missing FROM rq LEFT JOIN lim USING (item_id)),
     r AS (SELECT *, CASE WHEN len(missing) > 0 THEN 'missing_information' WHEN NOT user_consent THEN 'consent' WHEN enabled IS NULL THEN 'unknown_item' WHEN NOT enabled THEN 'disabled_item' WHEN concentration_ppm > max_concentration THEN 'concentration' WHEN duration_seconds > max_duration THEN 'duration'
       WHEN environment_volume_m3 < min_volume THEN 'volume' WHEN ventilation_ach < min_ventilation THEN 'ventilation' ELSE 'allow' END AS rule FROM j),
     rules AS (SELECT * FROM (VALUES {', '.join(f"('{a}', '{b}', '{c}')" for a, b, c in policy.RULES)}) AS x(rule, rule_id, outcome)),
     dec AS (SELECT request_id, outcome, [rule_id] AS rule_ids, CASE WHEN rule = 'missing_information' THEN 'missing: ' || array_to_string(missing, ', ') ELSE 'rule: ' || rule END AS explanation FROM r JOIN rules USING (rule))"""
 
 
-@query(f"{_DECIDE} SELECT * FROM dec")
+@query(f"{DECIDE} SELECT * FROM dec")
 def policy_decisions(spark: SparkSession, d: str) -> DataFrame:
     return policy.decide(T.requests(spark, d), T.limits(spark)).drop("protocol_hash")
 
 
-def _expected(spark: SparkSession, d: str) -> DataFrame:
+def expected_outcomes(spark: SparkSession, d: str) -> DataFrame:
     """Decisions with some outcomes turned, as a case table with known faults."""
     k = F.expr("cast(substring(request_id, 4) as long)")
     turned = F.when(k % 37 == 0, "BLOCK").when(k % 41 == 0, "ALLOW").otherwise(F.col("outcome"))
     return policy.decide(T.requests(spark, d), T.limits(spark)).select("request_id", turned.alias("expected_outcome"))
 
 
-@query(f"""{_DECIDE}, c AS (SELECT request_id, outcome, CASE WHEN k % 37 = 0 THEN 'BLOCK' WHEN k % 41 = 0 THEN 'ALLOW' ELSE outcome END AS expected FROM (SELECT *, CAST(substr(request_id, 4) AS BIGINT) AS k FROM dec)),
+EXPECTED = "SELECT request_id, outcome, CASE WHEN k % 37 = 0 THEN 'BLOCK' WHEN k % 41 = 0 THEN 'ALLOW' ELSE outcome END AS expected FROM (SELECT *, CAST(substr(request_id, 4) AS BIGINT) AS k FROM dec)"
+
+
+@query(f"""{DECIDE}, c AS ({EXPECTED}),
     n AS (SELECT count(*) AS cases, count(*) FILTER (WHERE outcome = expected) AS exact, count(*) FILTER (WHERE outcome = 'ALLOW' AND expected <> 'ALLOW') AS false_allows, count(*) FILTER (WHERE outcome = 'BLOCK' AND expected = 'ALLOW') AS false_blocks, count(*) FILTER (WHERE expected = 'ALLOW') AS ea FROM c)
     SELECT cases, exact, false_allows, false_blocks, exact::DOUBLE / cases AS conformance_rate, false_allows::DOUBLE / cases AS false_allow_rate, coalesce(false_blocks::DOUBLE / nullif(ea, 0), 0) AS false_block_rate, 1.0::DOUBLE AS coverage, exact = cases AND false_allows = 0 AS passed FROM n""")
 def policy_conformance(spark: SparkSession, d: str) -> DataFrame:
-    return policy.conformance(policy_decisions(spark, d), _expected(spark, d))
+    return policy.conformance(policy_decisions(spark, d), expected_outcomes(spark, d))
 
 
-@query(f"{_DECIDE} SELECT request_id, outcome, rule_ids FROM dec")
+@query(f"{DECIDE} SELECT request_id, outcome, rule_ids FROM dec")
 def policy_stream(spark: SparkSession, d: str) -> DataFrame:
     """Decisions on the orders as a stream, run until all that is there is read."""
     out = new_folder(spark, "decisions")

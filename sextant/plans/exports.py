@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.functions import vectors as V
+from sextant.operators import evaluation as E
 from sextant.operators import leakage
+from sextant.plans.changes import DECIDE, EXPECTED, expected_outcomes, policy_decisions
+from sextant.plans.evaluation import GRADED, _graded_rr
+from sextant.plans.ranking import THREE, _three
 from sextant.plans.register import query
 from sextant.sources import exports
 from sextant.sources import tables as T
@@ -46,3 +50,31 @@ def dataset_manifest(spark: SparkSession, d: str) -> DataFrame:
     m = exports.manifest(T.items(spark, d), T.events(spark, d).drop("fused"))
     n = lambda s: F.col("split_counts")[s].alias(s)
     return m.select("event_count", "item_count", *map(n, leakage.SPLITS), "passed")
+
+
+@query(f"{GRADED} SELECT ranker, contrast, count(*) AS n, round(avg(difference), 9) + 0.0 AS mean_diff, round(stddev_samp(difference), 9) AS sd_diff, count(*) FILTER (WHERE difference > 1e-15) AS better, count(*) FILTER (WHERE abs(difference) <= 1e-15) AS tied, count(*) FILTER (WHERE difference < -1e-15) AS worse, list(latent_event_id ORDER BY latent_event_id) AS latent_event_ids, list(round(difference, 9) + 0.0 ORDER BY latent_event_id) AS differences FROM diff GROUP BY ALL")
+def statistics_as_json(spark: SparkSession, d: str) -> DataFrame:
+    """Paired statistics with each event's difference, written as JSON lines and read back."""
+    path = new_folder(spark, "statistics")
+    differences = E.paired(_graded_rr(spark, d)).withColumn("rounded", F.round("difference", 9) + F.lit(0.0))
+    each = F.sort_array(F.collect_list(F.struct("latent_event_id", "rounded")))
+    listed = differences.groupBy("ranker", "contrast").agg(F.transform(each, lambda x: x["latent_event_id"]).alias("latent_event_ids"), F.transform(each, lambda x: x["rounded"]).alias("differences"))
+    table = E.contrasts(differences, 9).withColumn("mean_diff", F.col("mean_diff") + F.lit(0.0)).join(listed, ["ranker", "contrast"])
+    exports.export_statistics(table, path)
+    return spark.read.schema(table.schema).json(path)
+
+
+@query(f"{DECIDE}, c AS ({EXPECTED}) SELECT request_id, outcome, rule_ids, explanation, expected AS expected_outcome, outcome = expected AS conforms FROM c JOIN dec USING (request_id, outcome)")
+def decisions_as_json(spark: SparkSession, d: str) -> DataFrame:
+    """The audit of decisions, written as JSON lines and read back."""
+    path = new_folder(spark, "decisions")
+    exports.export_decisions(policy_decisions(spark, d), expected_outcomes(spark, d), path)
+    return spark.read.schema("request_id string, outcome string, rule_ids array<string>, explanation string, expected_outcome string, conforms boolean").json(path)
+
+
+@query(f"SELECT ranker, query_id, list(item_id ORDER BY rank) AS ranking FROM {THREE} WHERE split = 'validation' GROUP BY ALL")
+def rankings_as_parquet(spark: SparkSession, d: str) -> DataFrame:
+    """Nested rankings, written in a folder for each ranker and read back."""
+    path = new_folder(spark, "rankings")
+    exports.export_rankings(_three(spark, d).where("split = 'validation'"), path, ("ranker", "query_id"))
+    return spark.read.parquet(path).select("ranker", "query_id", "ranking")

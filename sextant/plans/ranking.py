@@ -24,12 +24,16 @@ def rank_sql(queries: str, k: int = K, score: str = "round(list_inner_product(q.
     return f"(SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM (SELECT q.query_id, i.item_id, {score} AS score FROM {queries} q, items i) QUALIFY rank <= {k})"
 
 
-def metrics_sql(rankings: str, wanted: str, groups: str = "") -> str:
-    """Summary of rankings (groups, query_id, rank, item_id) for queries with one relevant item each."""
+def metrics_sql(rankings: str, wanted: str, groups: str = "", cells: str = "") -> str:
+    """Summary of rankings (groups, query_id, rank, item_id) for queries with one relevant item each.
+
+    ``cells``: the queries of each group, a table (groups, query_id); those of the rankings if not given.
+    """
     g = groups + ", " if groups else ""
     by = f"GROUP BY {groups}" if groups else ""
+    asked = cells or f"(SELECT DISTINCT {g}query_id FROM {rankings})"
     return f"""SELECT {g}count(*) AS n_events, round(avg(CASE WHEN r = 1 THEN 1.0::DOUBLE ELSE 0 END), 9) AS recall_1, round(avg(CASE WHEN r IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END), 9) AS recall_k, round(avg(coalesce(1.0::DOUBLE / r, 0)), 9) AS mrr,
-      round(avg(coalesce(1.0::DOUBLE / log2(r + 1), 0)), 9) AS ndcg_k FROM (SELECT {g}x.query_id, min(CASE WHEN x.item_id = w.item_id THEN x.rank END) AS r FROM {rankings} x JOIN {wanted} w USING (query_id) GROUP BY {g}x.query_id) {by}"""
+      round(avg(coalesce(1.0::DOUBLE / log2(r + 1), 0)), 9) AS ndcg_k FROM (SELECT {g}a.query_id, min(CASE WHEN x.item_id = w.item_id THEN x.rank END) AS r FROM {asked} a JOIN {wanted} w USING (query_id) LEFT JOIN {rankings} x USING ({g}query_id) GROUP BY {g}a.query_id) {by}"""
 
 
 QV = "(SELECT event_id AS query_id, {v} AS vector FROM ev WHERE split = '{s}')"
@@ -71,40 +75,80 @@ def random_ranking(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.random_top_k(q, T.items(spark, d), K, SEED)
 
 
+RANKERS = ("random", "text_only", "mean_fusion", "ridge")
+
+
+def fixed_ridge() -> ridge.Ridge:
+    """The projection with fixed coefficients, for comparisons with SQL."""
+    return ridge.Ridge(tuple(map(tuple, FIXED)), (0.0,) * T.DIM, 1)
+
+
 def _three(spark: SparkSession, d: str) -> DataFrame:
-    """Rankings of three rankers on validation and out-of-distribution events."""
-    e, items = T.events(spark, d).where("split in ('validation', 'ood_test')"), T.items(spark, d)
-    by = lambda v: retrieval.cosine_top_k(e.select(F.col("event_id").alias("query_id"), F.col(v).alias("vector")), items, K, 9)
-    rankings = retrieval.all_rankers(e.select(F.col("event_id").alias("query_id")), {"random": lambda q: retrieval.random_top_k(q, items, K, SEED), "text_only": lambda q: by("text_vector"), "mean_fusion": lambda q: by("fused")})
+    """Rankings of four rankers on validation and out-of-distribution events; the library is written once."""
+    e, items = T.events(spark, d).where("split in ('validation', 'ood_test')"), retrieval.prepare(T.items(spark, d))
+    by = lambda v: retrieval.cosine_top_k(e.select(F.col("event_id").alias("query_id"), v.alias("vector")), items, K, 9)
+    fused = F.col("fused")
+    rankers = {"random": lambda q: retrieval.random_top_k(q, items, K, SEED), "text_only": lambda q: by(F.col("text_vector")), "mean_fusion": lambda q: by(fused), "ridge": lambda q: by(fixed_ridge().predict(fused))}
+    rankings = retrieval.all_rankers(e.select(F.col("event_id").alias("query_id")), rankers)
     return rankings.join(e.select(F.col("event_id").alias("query_id"), "split"), "query_id")
 
 
+def _judged(spark: SparkSession, d: str, rankings: DataFrame) -> DataFrame:
+    """Metrics by ranker and split of all validation and out-of-distribution events."""
+    e = T.events(spark, d).where("split in ('validation', 'ood_test')")
+    wanted = e.select(F.col("event_id").alias("query_id"), F.col("target_item_id").alias("item_id"), "split")
+    cells = spark.createDataFrame([(r,) for r in RANKERS], "ranker string")
+    return metrics.summary(metrics.per_query(rankings, wanted, K, ("ranker", "split"), cells), ("ranker", "split"), 9)
+
+
+_PROJECT = "list_transform(range(1, 17), lambda r: list_sum(list_transform(range(1, 17), lambda c: ((((r - 1) * 7 + (c - 1) * 3) % 11) - 5) / 10.0::DOUBLE * {v}[c])))"
+PROJECT = _PROJECT.format(v="fused")
+
+
+def projected_sql(table: str, keys: str, vector: str = "fused") -> str:
+    """(keys, vector): the unit vector of the fixed projection."""
+    return f"(SELECT {keys}, {T.unit_sql('f')} AS vector FROM (SELECT {keys}, {_PROJECT.format(v=vector)} AS f FROM {table}))"
+
+
 _BOTH = "(SELECT event_id AS query_id, {v} AS vector FROM ev WHERE split IN ('validation', 'ood_test'))"
-THREE = f"(SELECT x.*, ev.split FROM (SELECT 'random' AS ranker, query_id, rank, item_id FROM {RANDOM} UNION ALL SELECT 'text_only', query_id, rank, item_id FROM {rank_sql(_BOTH.format(v='text_vector'))} UNION ALL SELECT 'mean_fusion', query_id, rank, item_id FROM {rank_sql(_BOTH.format(v='fused'))}) x JOIN ev ON ev.event_id = x.query_id)"
+_RIDGE = projected_sql("(SELECT event_id AS query_id, fused FROM ev WHERE split IN ('validation', 'ood_test'))", "query_id")
+_FOUR = f"SELECT 'random' AS ranker, query_id, rank, item_id FROM {RANDOM} UNION ALL SELECT 'text_only', query_id, rank, item_id FROM {rank_sql(_BOTH.format(v='text_vector'))} UNION ALL SELECT 'mean_fusion', query_id, rank, item_id FROM {rank_sql(_BOTH.format(v='fused'))} UNION ALL SELECT 'ridge', query_id, rank, item_id FROM {rank_sql(_RIDGE)}"
+THREE = f"(SELECT x.*, ev.split FROM ({_FOUR}) x JOIN ev ON ev.event_id = x.query_id)"
+_ASKED = "(SELECT ranker, split, event_id AS query_id FROM ev, (VALUES ('random'), ('text_only'), ('mean_fusion'), ('ridge')) AS r(ranker) WHERE split IN ('validation', 'ood_test'))"
+_METRICS = metrics_sql(THREE, REL, "ranker, split", _ASKED)
 
 
-@query(metrics_sql(THREE, REL, "ranker, split"))
+@query(_METRICS)
 def ranker_metrics(spark: SparkSession, d: str) -> DataFrame:
-    per = metrics.per_query(_three(spark, d), T.relevance(spark, d), K, ("ranker", "split"))
-    return metrics.summary(per, ("ranker", "split"), 9)
+    return _judged(spark, d, _three(spark, d))
+
 
+#: Rankings from which some queries of one ranker, and one ranker as a whole, are missing.
+_GAPS = f"(SELECT * FROM {THREE} WHERE ranker <> 'random' AND NOT (ranker = 'ridge' AND query_id LIKE '%3'))"
 
-@query(f"SELECT split, ranker, mrr, recall_k FROM ({metrics_sql(THREE, REL, 'ranker, split')}) QUALIFY row_number() OVER (PARTITION BY split ORDER BY mrr DESC, recall_k DESC, ranker) = 1")
+
+@query(metrics_sql(_GAPS, REL, "ranker, split", _ASKED))
+def metrics_with_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """A query that a ranker doesn't rank counts as 0 there."""
+    return _judged(spark, d, _three(spark, d).where("ranker <> 'random' and not (ranker = 'ridge' and query_id like '%3')"))
+
+
+@query(f"SELECT split, ranker, mrr, recall_k FROM ({_METRICS}) QUALIFY row_number() OVER (PARTITION BY split ORDER BY mrr DESC, recall_k DESC, ranker) = 1")
 def best_ranker(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.first_by(ranker_metrics(spark, d), ["split"], F.col("mrr").desc(), F.col("recall_k").desc(), "ranker").select("split", "ranker", "mrr", "recall_k")
 
 
-@query(f"SELECT count(*) AS cells, count(*) FILTER (WHERE NOT (recall_1 BETWEEN 0 AND 1) OR NOT (recall_k BETWEEN 0 AND 1) OR recall_k < recall_1) AS bad FROM ({metrics_sql(THREE, REL, 'ranker, split')})")
+@query(f"SELECT count(*) AS cells, count(*) FILTER (WHERE NOT (recall_1 BETWEEN 0 AND 1) OR NOT (recall_k BETWEEN 0 AND 1) OR recall_k < recall_1) AS bad FROM ({_METRICS})")
 def metric_sanity(spark: SparkSession, d: str) -> DataFrame:
     table = ranker_metrics(spark, d)
     return table.agg(F.count("*").alias("cells")).join(metrics.sane(table).agg(F.count("*").alias("bad")))
 
 
-@query("SELECT ranker, split, 0::BIGINT AS n FROM (VALUES ('ridge', 'validation'), ('ridge', 'ood_test')) AS x(ranker, split)")
+@query("SELECT ranker, split, n FROM (VALUES ('memory', 'validation', 0::BIGINT), ('memory', 'ood_test', 0), ('text_only', 'validation', 1)) AS x(ranker, split, n)")
 def grid_gaps(spark: SparkSession, d: str) -> DataFrame:
-    """Cells of a grid that names a ranker which wasn't run; event counts are compared by split."""
-    table = ranker_metrics(spark, d).withColumn("n_events", F.lit(1))
-    return metrics.grid_gaps(table, {"ranker": ["random", "text_only", "mean_fusion", "ridge"], "split": ["validation", "ood_test"]})
+    """Cells of a grid that names a ranker which wasn't run, and one with another event count than its split's."""
+    short = F.when((F.col("ranker") == "text_only") & (F.col("split") == "validation"), F.col("n_events") - 1).otherwise(F.col("n_events"))
+    return metrics.grid_gaps(ranker_metrics(spark, d).withColumn("n_events", short), {"ranker": [*RANKERS, "memory"], "split": ["validation", "ood_test"]}, ("split",))
 
 
 @query("SELECT a.vec_id AS vec_id, b.vec_id AS other_id, round(list_cosine_similarity(a.e, b.e), 9) AS cosine, round(list_inner_product(a.e, b.e), 6) AS dot, round(sqrt(list_inner_product(a.e, a.e)), 6) AS norm FROM vecs a JOIN vecs b ON b.vec_id = a.vec_id + 1")
@@ -135,7 +179,7 @@ _SWEEP = " UNION ALL ".join(
 @query(_SWEEP)
 def missing_modality_sweep(spark: SparkSession, d: str) -> DataFrame:
     out = None
-    e, items = T.split_of(spark, d, "validation"), T.items(spark, d)
+    e, items = T.split_of(spark, d, "validation"), retrieval.prepare(T.items(spark, d))
     wanted = e.select(F.col("event_id").alias("query_id"), F.col("target_item_id").alias("item_id"))
     for kept in (["text"], ["text", "image"], ["text", "image", "audio"]):
         q = e.select(F.col("event_id").alias("query_id"), V.fuse([F.col(f"{m}_vector") for m in V.select_modalities(kept)]).alias("vector"))
@@ -155,7 +199,7 @@ def noise_sweep(spark: SparkSession, d: str) -> DataFrame:
     e = T.split_of(spark, d, "validation").withColumn("level", F.explode(F.array(*map(F.lit, NOISE)))).withColumn("query_id", F.concat_ws("|", "event_id", F.col("level").cast("string")))
     q = e.select("query_id", V.with_noise(F.col("fused"), F.col("level"), F.col("event_id")).alias("vector"))
     rankings = retrieval.cosine_top_k(q, T.items(spark, d), K, 9).join(e.select("query_id", "level"), "query_id")
-    per = metrics.per_query(rankings, e.select("query_id", F.col("target_item_id").alias("item_id")), K, ("level",))
+    per = metrics.per_query(rankings, e.select("query_id", F.col("target_item_id").alias("item_id"), "level"), K, ("level",))
     return metrics.summary(per, ("level",), 9)
 
 
@@ -171,25 +215,57 @@ def _training(spark: SparkSession, d: str) -> DataFrame:
     return T.split_of(spark, d, "train").join(items, "target_item_id")
 
 
-_PROJECT = "list_transform(range(1, 17), lambda r: list_sum(list_transform(range(1, 17), lambda c: ((((r - 1) * 7 + (c - 1) * 3) % 11) - 5) / 10.0::DOUBLE * fused[c])))"
-
-
-@query(f"WITH p AS (SELECT event_id AS query_id, {_PROJECT} AS f FROM ev WHERE split = 'validation'), pq AS (SELECT query_id, {T.unit_sql('f')} AS vector FROM p) SELECT query_id, rank, item_id, score FROM {rank_sql('pq')}")
+@query(f"WITH pq AS (SELECT * FROM {projected_sql(QV.format(v='fused', s='validation').replace('vector', 'fused'), 'query_id')}) SELECT query_id, rank, item_id, score FROM {rank_sql('pq')}")
 def projected_ranking(spark: SparkSession, d: str) -> DataFrame:
     """Ranking by a projection with fixed coefficients."""
-    fixed = ridge.Ridge(tuple(map(tuple, FIXED)), (0.0,) * T.DIM, 1)
-    q = T.queries_of(spark, d, "validation").withColumn("vector", fixed.predict(F.col("vector")))
+    q = T.queries_of(spark, d, "validation").withColumn("vector", fixed_ridge().predict(F.col("vector")))
     return retrieval.cosine_top_k(q, T.items(spark, d), K, 9)
 
 
-@query()
+def fitted_sql(train: str, name: str = "w") -> str:
+    """CTEs up to ``name``_fit (seed, c: 16 rows of 16, b): a ridge for each seed of ``train`` (seed, x, y), by elimination."""
+    n = name
+    return f"""{n}_mu AS (SELECT seed, count(*) AS n, list_transform(range(1, 17), lambda i: 0) AS z FROM {train} GROUP BY seed),
+    {n}_e AS (SELECT seed, i, avg(x[i]) AS mx, avg(y[i]) AS my FROM {train}, unnest(range(1, 17)) AS r(i) GROUP BY seed, i),
+    {n}_m AS (SELECT seed, list(mx ORDER BY i) AS mx, list(my ORDER BY i) AS my FROM {n}_e GROUP BY seed),
+    {n}_g AS (SELECT seed, i, j, sum((x[i] - mx[i]) * (x[j] - mx[j])) + CASE WHEN i = j THEN 1 ELSE 0 END AS a, sum((x[i] - mx[i]) * (y[j] - my[j])) AS r FROM {train} JOIN {n}_m USING (seed), unnest(range(1, 17)) AS p(i), unnest(range(1, 17)) AS q(j) GROUP BY seed, i, j),
+    {n}_rows AS (SELECT seed, i, list_concat(list(a ORDER BY j), list(r ORDER BY j)) AS v FROM {n}_g GROUP BY seed, i),
+    {n}_s(seed, k, m) AS (SELECT seed, 1, list(v ORDER BY i) FROM {n}_rows GROUP BY seed UNION ALL
+      SELECT seed, k + 1, list_transform(range(1, 17), lambda i: CASE WHEN i = k THEN list_transform(m[k], lambda x: x / m[k][k]) ELSE list_transform(range(1, 33), lambda j: m[i][j] - m[i][k] * m[k][j] / m[k][k]) END) FROM {n}_s WHERE k <= 16),
+    {n}_c AS (SELECT seed, list_transform(range(1, 17), lambda o: list_transform(range(1, 17), lambda i: m[i][16 + o])) AS c FROM {n}_s WHERE k = 17),
+    {n}_fit AS (SELECT seed, c, list_transform(range(1, 17), lambda o: my[o] - list_inner_product(c[o], mx)) AS b FROM {n}_c JOIN {n}_m USING (seed))"""
+
+
+def predicted_sql(queries: str, fit: str, keys: str) -> str:
+    """(keys, vector): unit predictions for ``queries`` (keys, seed, fused)."""
+    return f"(SELECT {keys}, {T.unit_sql('f')} AS vector FROM (SELECT {keys}, list_transform(range(1, 17), lambda o: list_inner_product(c[o], fused) + b[o]) AS f FROM {queries} JOIN {fit} USING (seed)))"
+
+
+TRAINING = "(SELECT 0 AS seed, ev.fused AS x, items.item_vector AS y FROM ev JOIN items ON items.item_id = ev.target_item_id WHERE split = 'train')"
+_PREDICTED = predicted_sql("(SELECT event_id AS query_id, 0 AS seed, fused FROM ev WHERE split IN ('validation', 'ood_test'))", "w_fit", "query_id")
+
+
+def rounded_metrics(sql: str, keys: str) -> str:
+    return f"SELECT {keys}, n_events, round(recall_1, 6) AS recall_1, round(recall_k, 6) AS recall_k, round(mrr, 6) AS mrr, round(ndcg_k, 6) AS ndcg_k FROM ({sql})"
+
+
+@query(f"WITH RECURSIVE tr AS (SELECT * FROM {TRAINING}), {fitted_sql('tr')} SELECT CAST(o AS INTEGER) AS output, round(b[o], 6) + 0.0 AS intercept, list_transform(c[o], lambda x: round(x, 6) + 0.0) AS coefficients FROM w_fit, unnest(range(1, 17)) AS r(o)")
+def ridge_coefficients(spark: SparkSession, d: str) -> DataFrame:
+    """The ridge fitted on training events."""
+    model = ridge.fit(_training(spark, d), "fused", "item_vector", T.DIM)
+    rows = [(k + 1, round(b, 6) + 0.0, [round(x, 6) + 0.0 for x in c]) for k, (b, c) in enumerate(zip(model.intercept, model.coefficients, strict=True))]
+    return spark.createDataFrame(rows, "output int, intercept double, coefficients array<double>")
+
+
+@query(f"WITH RECURSIVE tr AS (SELECT * FROM {TRAINING}), {fitted_sql('tr')}, pq AS (SELECT * FROM {_PREDICTED}), rk AS (SELECT x.*, split FROM {rank_sql('pq')} x JOIN ev ON ev.event_id = x.query_id) {rounded_metrics(metrics_sql('rk', REL, 'split'), 'split')}")
 def ridge_metrics(spark: SparkSession, d: str) -> DataFrame:
     """The fitted ridge ranker on validation and out-of-distribution events."""
     model = ridge.fit(_training(spark, d), "fused", "item_vector", T.DIM)
     e = T.events(spark, d).where("split in ('validation', 'ood_test')")
     q = e.select(F.col("event_id").alias("query_id"), model.predict(F.col("fused")).alias("vector"))
-    rankings = retrieval.cosine_top_k(q, T.items(spark, d), K).join(e.select(F.col("event_id").alias("query_id"), "split"), "query_id")
-    return metrics.summary(metrics.per_query(rankings, T.relevance(spark, d), K, ("split",)), ("split",), 6)
+    wanted = e.select(F.col("event_id").alias("query_id"), F.col("target_item_id").alias("item_id"), "split")
+    rankings = retrieval.cosine_top_k(q, T.items(spark, d), K, 9).join(wanted.select("query_id", "split"), "query_id")
+    return metrics.summary(metrics.per_query(rankings, wanted, K, ("split",)), ("split",), 6)
 
 
 @query("SELECT item_id, family_id, list_transform(item_vector, lambda x: round(x, 9) + 0.0) AS item_vector FROM items")
@@ -227,13 +303,14 @@ def memory_decay(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _cells(spark: SparkSession, d: str, split: str, cells: list[dict], k: int = K) -> DataFrame:
-    q = T.queries_of(spark, d, split).withColumn("projected", F.col("vector")).withColumn("as_of", F.lit(T.AS_OF).cast("timestamp"))
+    q = T.queries_of(spark, d, split).withColumn("projected", fixed_ridge().predict(F.col("vector"))).withColumn("as_of", F.lit(T.AS_OF).cast("timestamp"))
     return retrieval.hybrid_top_k(q, T.items(spark, d), T.memory(spark, d), cells, k, 9)
 
 
 def _scores_sql(queries: str, memory: str = "mem", age: str = _AGE) -> str:
-    """(query_id, item_id, lib, m0: memory without decay, m1: with) of every query and item."""
-    return f"""lib AS (SELECT q.query_id, i.item_id, greatest(0, least(1, list_inner_product(q.vector, i.item_vector))) AS lib FROM {queries} q, items i),
+    """(query_id, item_id, lib, m0: memory without decay, m1: with) of every query and item; the library meets the projection."""
+    return f"""pj AS (SELECT * FROM {projected_sql(queries, 'query_id', 'vector')}),
+    lib AS (SELECT q.query_id, i.item_id, greatest(0, least(1, list_inner_product(q.vector, i.item_vector))) AS lib FROM pj q, items i),
     rec AS (SELECT q.query_id, m.item_id, max(greatest(0, least(1, list_inner_product(q.vector, m.context_vector))) * m.strength) AS m0, max(greatest(0, least(1, list_inner_product(q.vector, m.context_vector))) * m.strength * greatest(exp(-0.01 * {age}), 2.2250738585072014e-308)) AS m1 FROM {queries} q, {memory} m WHERE m.active GROUP BY 1, 2),
     base AS (SELECT lib.query_id, lib.item_id, lib, coalesce(m0, 0) AS m0, coalesce(m1, 0) AS m1 FROM lib LEFT JOIN rec USING (query_id, item_id))"""
 
@@ -253,7 +330,8 @@ _ALPHA = f"""WITH {_scores_sql(_VQ)}, alphas AS (SELECT * FROM (VALUES {', '.joi
 
 def _alphas(spark: SparkSession, d: str) -> DataFrame:
     cells = [{"cell": str(a), "alpha": a, "rate": 0.01, "days": 0} for a in ALPHAS]
-    per = metrics.per_query(_cells(spark, d, "validation", cells), T.relevance(spark, d), K, ("cell",))
+    wanted = T.split_of(spark, d, "validation").select(F.col("event_id").alias("query_id"), F.col("target_item_id").alias("item_id"))
+    per = metrics.per_query(_cells(spark, d, "validation", cells), wanted, K, ("cell",), spark.createDataFrame([(c["cell"],) for c in cells], "cell string"))
     return metrics.summary(per, ("cell",), 9).withColumn("alpha", F.col("cell").cast("double"))
 
 
@@ -277,7 +355,7 @@ def _grid_cells() -> list[dict]:
 
 
 def _grid(spark: SparkSession, d: str) -> DataFrame:
-    q = T.view_queries(spark, d).select("query_id", "vector", F.col("vector").alias("projected"), F.lit(T.AS_OF).cast("timestamp").alias("as_of"))
+    q = T.view_queries(spark, d).select("query_id", "vector", fixed_ridge().predict(F.col("vector")).alias("projected"), F.lit(T.AS_OF).cast("timestamp").alias("as_of"))
     out = retrieval.hybrid_top_k(q, T.items(spark, d), T.memory(spark, d), _grid_cells(), K, 9)
     parts = F.split("cell", r"\|")
     return out.select(parts[0].alias("system"), parts[1].cast("int").alias("day"), "query_id", "rank", "item_id")
@@ -287,39 +365,49 @@ _GRID_CELLS = ", ".join(f"('{c['cell'].split('|')[0]}', {c['days']}, {c['alpha']
 _GRID_SQL = f"""WITH cells AS (SELECT * FROM (VALUES {_GRID_CELLS}) AS x(system, day, alpha, rate)),
     sim AS (SELECT q.query_id, m.item_id, greatest(0, least(1, list_inner_product(q.vector, m.context_vector))) * m.strength AS s, {_AGE} AS age FROM vq q, mem m),
     rec AS (SELECT system, day, query_id, item_id, max(s * CASE WHEN rate IS NULL THEN 1 ELSE greatest(exp(-rate * (age + day)), 2.2250738585072014e-308) END) AS m FROM sim, cells WHERE alpha < 1 GROUP BY ALL),
-    lib AS (SELECT q.query_id, i.item_id, greatest(0, least(1, list_inner_product(q.vector, i.item_vector))) AS lib FROM vq q, items i),
+    pj AS (SELECT * FROM {projected_sql('vq', 'query_id', 'vector')}),
+    lib AS (SELECT q.query_id, i.item_id, greatest(0, least(1, list_inner_product(q.vector, i.item_vector))) AS lib FROM pj q, items i),
     r AS (SELECT c.system, c.day, lib.query_id, lib.item_id, row_number() OVER (PARTITION BY c.system, c.day, lib.query_id ORDER BY round(greatest(0, least(1, alpha * lib + (1 - alpha) * coalesce(m, 0))), 9) DESC, lib.item_id) AS rank
       FROM lib CROSS JOIN cells c LEFT JOIN rec USING (system, day, query_id, item_id) QUALIFY rank <= 10),
     g AS (SELECT r.*, vq.tier FROM r JOIN vq USING (query_id))"""
 _VREL = "(SELECT query_id, item_id FROM vq)"
 
 
-@query(f"{_GRID_SQL} {metrics_sql('g', _VREL, 'system, tier, day')}")
+_GRID_ASKED = f"(SELECT system, day, tier, query_id FROM vq, (VALUES {', '.join(f'({chr(39)}{s}{chr(39)}, {day})' for s, day in GRID)}) AS c(system, day))"
+_GRID_METRICS = metrics_sql("g", _VREL, "system, tier, day", _GRID_ASKED)
+
+
+@query(f"{_GRID_SQL} {_GRID_METRICS}")
 def ablation_grid(spark: SparkSession, d: str) -> DataFrame:
     """Four systems on three tiers and five days."""
-    views = T.view_queries(spark, d)
+    views = T.view_queries(spark, d).select("query_id", "item_id", "tier")
     rankings = _grid(spark, d).join(views.select("query_id", "tier"), "query_id")
-    per = metrics.per_query(rankings, views.select("query_id", "item_id"), K, ("system", "tier", "day"))
-    return metrics.summary(per, ("system", "tier", "day"), 9)
+    cells = spark.createDataFrame(GRID, "system string, day int")
+    return metrics.summary(metrics.per_query(rankings, views, K, ("system", "tier", "day"), cells), ("system", "tier", "day"), 9)
 
 
 @query(f"""{_GRID_SQL} SELECT tier, day, count(*) AS n_rows, coalesce(bool_and(a.item_id = b.item_id), true) AS same FROM (SELECT * FROM g WHERE system = 'hybrid_no_decay') a JOIN (SELECT * FROM g WHERE system = 'ridge_only') b USING (tier, day, query_id, rank) GROUP BY tier, day""")
 def ablation_equality(spark: SparkSession, d: str) -> DataFrame:
     """Whether two systems' rankings are equal in each cell."""
-    rankings = _grid(spark, d).join(T.view_queries(spark, d).select("query_id", "tier"), "query_id")
-    side = lambda s: rankings.where(F.col("system") == s).select("tier", "day", "query_id", "rank", F.col("item_id").alias(s))
-    both = side("hybrid_no_decay").join(side("ridge_only"), ["tier", "day", "query_id", "rank"])
-    return both.groupBy("tier", "day").agg(F.count("*").alias("n_rows"), F.bool_and(F.col("hybrid_no_decay") == F.col("ridge_only")).alias("same"))
+    rankings = _grid(spark, d).join(T.view_queries(spark, d).select("query_id", "tier"), "query_id").where("system in ('hybrid_no_decay', 'ridge_only')")
+    wide = rankings.groupBy("tier", "day", "query_id", "rank").pivot("system", ["hybrid_no_decay", "ridge_only"]).agg(F.first("item_id")).where("hybrid_no_decay is not null and ridge_only is not null")
+    return wide.groupBy("tier", "day").agg(F.count("*").alias("n_rows"), F.bool_and(F.col("hybrid_no_decay") == F.col("ridge_only")).alias("same"))
 
 
-@query("SELECT rank, round(1.0::DOUBLE / rank, 9) AS rr, round(1.0::DOUBLE / log2(rank + 1), 9) AS gain, 'memory::' || event_id AS memory_id, 'latent-' || event_id || '::mild' AS observed_id, 'mild' || '_minus_' || 'severe' AS contrast FROM (SELECT event_id, row_number() OVER (PARTITION BY split ORDER BY event_id) AS rank FROM ev)")
-def gains_and_ids(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
+@query(f"""{_GRID_SQL}, mm AS ({_GRID_METRICS}) SELECT tier, day, max(mrr) FILTER (WHERE system = 'hybrid') AS hybrid, max(mrr) FILTER (WHERE system = 'ridge_only') AS ridge_only, max(mrr) FILTER (WHERE system = 'hybrid') = max(mrr) FILTER (WHERE system = 'ridge_only') AS equal, bool_or(mrr > 0) FILTER (WHERE system = 'memory_only') AS memory_finds_any FROM mm GROUP BY tier, day""")
+def ablation_mrr(spark: SparkSession, d: str) -> DataFrame:
+    """MRR of two systems cell by cell, and whether the memory alone finds any target."""
+    of = lambda s: F.max(F.when(F.col("system") == s, F.col("mrr")))
+    each = ablation_grid(spark, d).groupBy("tier", "day").agg(of("hybrid").alias("hybrid"), of("ridge_only").alias("ridge_only"), F.bool_or(F.when(F.col("system") == "memory_only", F.col("mrr") > 0)).alias("memory_finds_any"))
+    return each.withColumn("equal", F.col("hybrid") == F.col("ridge_only"))
 
-    e = T.events(spark, d).select("event_id", F.row_number().over(Window.partitionBy("split").orderBy("event_id")).alias("rank"))
+
+@query("SELECT rank, round(1.0::DOUBLE / rank, 9) AS rr, round(1.0::DOUBLE / log2(rank + 1), 9) AS gain, 'memory::' || event_id AS memory_id, 'latent-' || event_id || '::mild' AS observed_id, 'mild' || '_minus_' || 'severe' AS contrast FROM (SELECT event_id, CAST(vec_id % 10 + 1 AS INTEGER) AS rank FROM ev)")
+def gains_and_ids(spark: SparkSession, d: str) -> DataFrame:
+    e = T.events(spark, d).select("event_id", (F.col("vec_id") % 10 + 1).cast("int").alias("rank"))
     return e.select("rank", F.round(S.reciprocal_rank(F.col("rank")), 9).alias("rr"), F.round(S.log2_gain(F.col("rank")), 9).alias("gain"), S.memory_id(F.col("event_id")).alias("memory_id"), S.observed_id(S.latent_id(F.col("event_id")), F.lit("mild")).alias("observed_id"), S.contrast_name(F.lit("mild"), F.lit("severe")).alias("contrast"))
 
 
-@query(f"SELECT event_id, list_transform({_PROJECT}, lambda x: round(x, 9) + 0.0) AS projected FROM ev")
+@query(f"SELECT event_id, list_transform({PROJECT}, lambda x: round(x, 9) + 0.0) AS projected FROM ev")
 def matrix_times_vector(spark: SparkSession, d: str) -> DataFrame:
     return T.events(spark, d).select("event_id", V.rounded(V.apply_matrix(FIXED, F.col("fused"))).alias("projected"))

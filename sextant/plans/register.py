@@ -20,7 +20,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
         QUERIES[f.__name__] = f
         if sql is not None:
             body = sql.strip()
-            SQL[f.__name__] = f"WITH {VIEWS}{', ' + body[5:] if body.startswith('WITH ') else body}"
+            first = "WITH RECURSIVE " if body.startswith("WITH RECURSIVE ") else "WITH "
+            SQL[f.__name__] = f"{first}{VIEWS}{', ' + body.removeprefix(first) if body.startswith('WITH ') else body}"
         return f
 
     return add

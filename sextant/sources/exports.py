@@ -61,6 +61,17 @@ def export_rankings(rankings: DataFrame, path: str, keys: tuple[str, ...], overw
     write(metrics.nested(rankings, keys), path, "parquet", overwrite, partition="ranker")
 
 
+def export_statistics(statistics: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Paired statistics, a row for each ranker and contrast, as JSON lines in that order."""
+    statistics.orderBy("ranker", "contrast").write.mode("overwrite" if overwrite else "errorifexists").json(path)
+
+
+def export_decisions(decisions: DataFrame, cases: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Each decision beside the expected outcome, whether it conforms, its rules and why, as JSON lines by request."""
+    audit = decisions.join(cases.select("request_id", "expected_outcome"), "request_id").withColumn("conforms", F.col("outcome") == F.col("expected_outcome"))
+    write(audit, path, "json", overwrite, "request_id")
+
+
 def split_manifest(events: DataFrame, path: str, overwrite: bool = False) -> None:
     write(events.select("event_id", "split", "target_family_id", "template_id"), path, "csv", overwrite, "event_id")
 

@@ -125,6 +125,11 @@ def limits(spark: SparkSession) -> DataFrame:
     return policy.limits_table(spark, LIMITS)
 
 
+def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
+    """Doubles rounded, with -0.0 as 0.0, for comparisons between engines."""
+    return df.select(*((F.round(f.name, digits) + F.lit(0.0)).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f.name) for f in df.schema))
+
+
 def unit_sql(x: str) -> str:
     return f"list_transform({x}, lambda z: z / sqrt(list_inner_product({x}, {x})))"
 
