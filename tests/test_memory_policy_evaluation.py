@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sextant.operators import evaluation as E
-from sextant.operators import leakage, policy, splits
+from sextant.operators import leakage, policy, splits, validation
 from sextant.operators import memory as M
+from sextant.operators.ranks import numbered
 from sextant.sources import exports, tables
 from sextant.streaming import jobs
 
@@ -93,14 +94,29 @@ def test_as_of_and_decoys(spark, memory):
 
 
 LIMITS = [("one", True, 1.0, 30.0, 20.0, 1.0), ("two", True, 0.5, 20.0, 25.0, 1.5), ("off", False, 0.0, 0.0, 0.0, 0.0)]
-BASE = {"item_id": "one", "concentration_ppm": 0.5, "duration_seconds": 15.0, "environment_volume_m3": 30.0, "ventilation_ach": 2.0, "user_consent": True}
+BASE = {"item_id": "one", "concentration_ppm": 0.5, "duration_seconds": 10.0, "environment_volume_m3": 30.0, "ventilation_ach": 2.0, "user_consent": True}
+TWO = {"item_id": "two", "concentration_ppm": 0.25, "duration_seconds": 10.0}
+NEVER = dict.fromkeys(("concentration_ppm", "duration_seconds", "environment_volume_m3", "ventilation_ach", "user_consent"))
+# The published conformance cases, as changes to the base request, with outcome and rule.
 CASES = [
-    ({}, "ALLOW", "RULE-ALLOW-001"), ({"concentration_ppm": 1.0, "duration_seconds": 30.0, "environment_volume_m3": 20.0, "ventilation_ach": 1.0}, "ALLOW", "RULE-ALLOW-001"),
+    ({}, "ALLOW", "RULE-ALLOW-001"), (TWO, "ALLOW", "RULE-ALLOW-001"),
+    ({"concentration_ppm": 1.0, "duration_seconds": 30.0, "environment_volume_m3": 20.0, "ventilation_ach": 1.0}, "ALLOW", "RULE-ALLOW-001"),
     ({"item_id": "two", "concentration_ppm": 0.5, "duration_seconds": 20.0, "environment_volume_m3": 25.0, "ventilation_ach": 1.5}, "ALLOW", "RULE-ALLOW-001"),
-    ({"user_consent": False}, "BLOCK", "RULE-CONSENT-001"), ({"item_id": "none"}, "BLOCK", "RULE-ITEM-001"), ({"item_id": "off"}, "BLOCK", "RULE-ITEM-002"),
-    ({"concentration_ppm": 1.01}, "BLOCK", "RULE-LIMIT-001"), ({"duration_seconds": 30.5}, "BLOCK", "RULE-LIMIT-002"), ({"environment_volume_m3": 19.9}, "BLOCK", "RULE-ENV-001"), ({"ventilation_ach": 0.9}, "BLOCK", "RULE-ENV-002"),
-    ({"user_consent": None}, "REQUIRE_MISSING_INFORMATION", "RULE-MISSING-001"), ({"ventilation_ach": None, "user_consent": False}, "REQUIRE_MISSING_INFORMATION", "RULE-MISSING-001"),
-    ({"user_consent": False, "item_id": "none"}, "BLOCK", "RULE-CONSENT-001"), ({"item_id": "off", "concentration_ppm": 9.0}, "BLOCK", "RULE-ITEM-002"), ({"concentration_ppm": 9.0, "duration_seconds": 99.0}, "BLOCK", "RULE-LIMIT-001"),
+    ({"user_consent": False}, "BLOCK", "RULE-CONSENT-001"),
+    ({"item_id": "none", "concentration_ppm": 0.1, "duration_seconds": 5.0}, "BLOCK", "RULE-ITEM-001"),
+    ({"item_id": "off", "concentration_ppm": 0.0, "duration_seconds": 0.0}, "BLOCK", "RULE-ITEM-002"),
+    ({"concentration_ppm": 1.000001}, "BLOCK", "RULE-LIMIT-001"), (TWO | {"concentration_ppm": 0.500001}, "BLOCK", "RULE-LIMIT-001"),
+    ({"duration_seconds": 30.000001}, "BLOCK", "RULE-LIMIT-002"), (TWO | {"duration_seconds": 20.000001}, "BLOCK", "RULE-LIMIT-002"),
+    ({"environment_volume_m3": 19.999999}, "BLOCK", "RULE-ENV-001"), (TWO | {"environment_volume_m3": 24.999999}, "BLOCK", "RULE-ENV-001"),
+    ({"ventilation_ach": 0.999999}, "BLOCK", "RULE-ENV-002"), (TWO | {"ventilation_ach": 1.499999}, "BLOCK", "RULE-ENV-002"),
+    ({"concentration_ppm": None}, "REQUIRE_MISSING_INFORMATION", "RULE-MISSING-001"), ({"duration_seconds": None}, "REQUIRE_MISSING_INFORMATION", "RULE-MISSING-001"),
+    ({"environment_volume_m3": None}, "REQUIRE_MISSING_INFORMATION", "RULE-MISSING-001"), ({"ventilation_ach": None}, "REQUIRE_MISSING_INFORMATION", "RULE-MISSING-001"),
+    ({"user_consent": None}, "REQUIRE_MISSING_INFORMATION", "RULE-MISSING-001"), (NEVER, "REQUIRE_MISSING_INFORMATION", "RULE-MISSING-001"),
+    ({"concentration_ppm": None, "user_consent": False}, "REQUIRE_MISSING_INFORMATION", "RULE-MISSING-001"),
+    ({"item_id": "none", "concentration_ppm": 0.1, "duration_seconds": 5.0, "user_consent": False}, "BLOCK", "RULE-CONSENT-001"),
+    ({"item_id": "off", "concentration_ppm": 100.0, "duration_seconds": 100.0, "environment_volume_m3": 1.0, "ventilation_ach": 0.0}, "BLOCK", "RULE-ITEM-002"),
+    ({"concentration_ppm": 2.0, "duration_seconds": 60.0, "environment_volume_m3": 10.0, "ventilation_ach": 0.5}, "BLOCK", "RULE-LIMIT-001"),
+    ({"item_id": "two", "concentration_ppm": 1.0, "duration_seconds": 40.0, "environment_volume_m3": 10.0, "ventilation_ach": 0.5}, "BLOCK", "RULE-LIMIT-001"),
 ]
 
 
@@ -112,10 +128,11 @@ def test_policy_ladder_and_conformance(spark):
     assert got == {str(k): (o, [rule]) for k, (_, o, rule) in enumerate(CASES)}
     row = policy.conformance(policy.decide(cases, limits), cases).first()
     assert row.passed and row.exact == len(CASES) and row.false_allow_rate == 0
-    wrong = cases.withColumn("expected_outcome", F.when(F.col("request_id") == "0", "BLOCK").when(F.col("request_id") == "3", "ALLOW").otherwise(F.col("expected_outcome")))
+    wrong = cases.withColumn("expected_outcome", F.when(F.col("request_id") == "0", "BLOCK").when(F.col("request_id") == "4", "ALLOW").otherwise(F.col("expected_outcome")))
     row = policy.conformance(policy.decide(cases, limits), wrong).first()
-    assert (row.false_allows, row.false_blocks, row.passed) == (1, 1, False) and row.false_block_rate == pytest.approx(1 / 3)
-    assert policy.decide(cases.where("request_id = '11'"), limits).first().explanation == "missing: ventilation_ach"
+    assert (row.false_allows, row.false_blocks, row.passed) == (1, 1, False) and row.false_block_rate == pytest.approx(1 / 4)
+    assert policy.decide(cases.where("request_id = '18'"), limits).first().explanation == "missing: ventilation_ach"
+    assert len(CASES) == 26 and [o for _, o, _ in CASES].count("ALLOW") == 4 and [o for _, o, _ in CASES].count("BLOCK") == 15
     with pytest.raises(ValueError):
         policy.limits_table(spark, [LIMITS[0], LIMITS[0]])
 
@@ -141,6 +158,80 @@ def test_bootstrap_chunks_equal_the_whole_and_poisson_is_near(spark):
     assert (zero.better, zero.tied, zero.worse, zero.mean_diff) == (0, 2, 0, 0.0)
 
 
+# Differences of reciprocal ranks of a published evaluation, mild less moderate and mild less severe, in order of events.
+MILD_MODERATE = [0, 5 / 6, 0, 7 / 8, 2 / 3, 2 / 3, 1 / 2, 1, 0, 5 / 6, 3 / 4, 1 / 2, 0, 0, 1 / 2, 2 / 3, 0, 1 / 2, 1 / 2, 1, 0, 1, 2 / 3, 1, 2 / 15, 1 / 2, 0, 1 / 3, 5 / 6, 5 / 6, 2 / 3, 1 / 2, 4 / 5, 0, 3 / 4, 2 / 3, 2 / 5, 0, 0, 2 / 3]
+MILD_SEVERE = [1, 1, 0, *[1] * 21, 1 / 3, 1, 1, 1 / 3, *[1] * 5, 4 / 5, 1, 1, 1 / 2, 1, 1, 1]
+
+
+def test_published_intervals(spark):
+    wide = {"mild_minus_moderate": MILD_MODERATE, "mild_minus_severe": MILD_SEVERE, "moderate_minus_severe": [s - m for m, s in zip(MILD_MODERATE, MILD_SEVERE, strict=True)]}
+    d = spark.createDataFrame([("ridge", c, f"l{k:02d}", float(x)) for c, v in wide.items() for k, x in enumerate(v)], "ranker string, contrast string, latent_event_id string, difference double").repartition(5)
+    got = {r.contrast: (r.ci_lower, r.ci_upper) for r in E.bootstrap(d, ["ranker", "contrast"]).collect()}
+    want = {"mild_minus_moderate": (0.3785364583333334, 0.5956302083333334), "moderate_minus_severe": (0.3291666666666667, 0.5477135416666665), "mild_minus_severe": (0.8491666666666667, 0.9833333333333332)}
+    assert all(got[c] == pytest.approx(want[c], abs=1e-12) for c in want)
+    stats = {r.contrast: (r.mean_diff, r.better, r.tied, r.worse) for r in E.contrasts(d).collect()}
+    assert stats["mild_minus_moderate"] == (pytest.approx(0.4885416666666667), 29, 11, 0) and stats["moderate_minus_severe"] == (pytest.approx(0.435625), 34, 6, 0) and stats["mild_minus_severe"] == (pytest.approx(0.9241666666666667), 39, 1, 0)
+
+
+def test_numbers_by_ranges_equal_a_window(spark):
+    from pyspark.sql import Window
+
+    rows = spark.range(500).select((F.col("id") % 3).alias("g"), F.sha2(F.col("id").cast("string"), 256).alias("h"), "id").unionByName(spark.range(1).select(F.lit(9).cast("long").alias("g"), F.lit("x").alias("h"), "id"))
+    want = {(r.g, r.id): r.n for r in rows.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("h", "id"))).collect()}
+    assert {(r.g, r.id): r.n for r in numbered(rows.repartition(3), ["g"], ["h", "id"], 7).collect()} == want
+
+
+def test_permutations_tell_a_shift_from_none(spark):
+    v = np.random.default_rng(3).normal(size=(60, 4)) / 4
+    v[:, 0] += 1
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    w = v.copy()
+    w[30:, 1] += 1
+    for x, low, high in ((v, 0.05, 1.0), (w / np.linalg.norm(w, axis=1, keepdims=True), 0.0, 0.05)):
+        d = spark.createDataFrame([(f"e{k}", "a" if k < 30 else "b", r.tolist()) for k, r in enumerate(x)], "event_id string, split string, v array<double>")
+        t = E.mmd_permutation_test(d, "v", "a", "b", 40, block=16).first()
+        assert low <= t.p <= high and t.mmd2 == pytest.approx(E.mmd_pairs(d, "v", "a", "b").first().mmd2, abs=1e-3)
+
+
+def test_mislabelled_records_and_their_restoration(spark, memory, items):
+    wrong = M.decoys(memory)
+    bad = M.apply_single(memory, M.corruptions(memory, wrong))
+    assert {r.memory_id: r.item_id for r in bad.collect()} == {"m1": "y", "m2": "z", "m3": "x"}
+    assert {r.memory_id for r in M.changed_records(memory, bad).collect()} == {"m1", "m2", "m3"}
+    back = M.restorations(memory)
+    after = M.apply_single(bad, back)
+    assert M.changed_records(memory, after).isEmpty() and M.changed_records(memory, after.where("memory_id <> 'm1'")).first().memory_id == "m1"
+    audit = {r.memory_id: (r.previous_item_id, r.corrected_item_id, r.resulting_count) for r in M.history(bad, back, "h").collect()}
+    assert audit == {"m1": ("y", "x", 2), "m2": ("z", "y", 2), "m3": ("x", "z", 2)}
+    assert [(r.memory_id, r.problem) for r in M.build_problems(memory.unionByName(memory.where("memory_id = 'm1'")), 2).collect()] == [("m1", "duplicate memory_id")]
+    assert {r.problem for r in M.build_problems(memory, 3).collect()} == {"wrong dimension"}
+
+
+def test_repeated_ids_across_memories_settle(spark, memory, items):
+    # c1 moves m1 to day 5, but repeats an accepted id: so day 3 is in time again
+    rows = [(1, "a", "m2", t(11), "r", None, None, 0.5), (2, "a", "m1", t(5), "r", None, None, 0.5), (3, "b", "m1", t(3), "r", None, None, 0.4), (4, "b", "m2", t(12), "r", None, None, 0.4), (5, "c", "m1", t(2), "r", None, None, 0.4)]
+    got = {r.seq: r.error for r in M.judge_corrections(memory, corrections(spark, rows), items, 2).collect()}
+    assert got == {1: None, 2: "duplicate correction_id", 3: None, 4: "duplicate correction_id", 5: "before last update"}
+
+
+def test_strict_rows_and_single_cells(spark):
+    rows = spark.createDataFrame([(1, []), (2, ["bad"])], "k int, errors array<string>")
+    assert validation.strict(rows.where("k = 1")).columns == ["k"] and validation.one_cell(rows, k=2).count() == 1
+    with pytest.raises(ValueError):
+        validation.strict(rows)
+    with pytest.raises(KeyError):
+        validation.one_cell(rows, k=3)
+
+
+def test_repeats_within_the_watermark_are_dropped(spark, tmp_path):
+    rows = [(1, "a", "m1", t(2), "r", "y", None, None), (2, "a", "m2", t(2), "r", "y", None, None), (3, "b", "m2", t(2), "r", "y", None, None)]
+    corrections(spark, rows).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = jobs.drop_repeats(spark.readStream.schema(corrections(spark, rows).schema).parquet(str(tmp_path / "in")))
+    job = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    job.awaitTermination()
+    assert sorted(r.correction_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
+
+
 @needs_data
 def test_blocked_mmd_equals_pairs(spark):
     e = tables.events(spark, DATA)

@@ -91,6 +91,35 @@ def test_a_query_without_hit_stays_in_the_mean(spark):
     assert metrics.summary(metrics.per_query(r, w)).first().mrr == 0.5
 
 
+def test_a_query_without_rows_counts_in_every_group(spark):
+    r = spark.createDataFrame([("a", "1", 1, "x"), ("a", "2", 2, "y"), ("b", "1", 1, "x")], "ranker string, query_id string, rank int, item_id string")
+    w = spark.createDataFrame([("1", "x", "s"), ("2", "y", "t"), ("3", "z", "t")], "query_id string, item_id string, split string")
+    for cells, want in ((None, {"a", "b"}), (spark.createDataFrame([("a",), ("b",), ("c",)], "ranker string"), {"a", "b", "c"})):
+        got = {(m.ranker, m.split): (m.n_events, m.mrr) for m in metrics.summary(metrics.per_query(r, w, 10, ("ranker", "split"), cells), ("ranker", "split")).collect()}
+        assert got == {(k, s): (1 if s == "s" else 2, {("a", "s"): 1.0, ("a", "t"): 0.25, ("b", "s"): 1.0}.get((k, s), 0.0)) for k in want for s in "st"}
+
+
+def test_grid_gaps_within_splits(spark):
+    t = spark.createDataFrame([("a", "s", 3), ("b", "s", 3), ("c", "s", 2), ("a", "t", 9), ("b", "t", 9)], "ranker string, split string, n_events long")
+    got = {(r.ranker, r.split, r.n) for r in metrics.grid_gaps(t, {"ranker": ["a", "b", "c"], "split": ["s", "t"]}, ("split",)).collect()}
+    assert got == {("c", "s", 1), ("c", "t", 0)}
+
+
+def test_memories_and_random_rankings_in_shards(spark, items):
+    rng = np.random.default_rng(6)
+    q = queries(spark, *((f"q{k}", rng.normal(size=4).tolist()) for k in range(20))).withColumn("as_of", F.lit("2024-02-01").cast("timestamp"))
+    memory = spark.createDataFrame([(f"m{k:03d}", rng.normal(size=4).tolist(), f"i{k % 7}", 0.5 + k % 3 / 4, k % 9 != 0) for k in range(80)], "memory_id string, context_vector array<double>, item_id string, strength double, active boolean").withColumn("updated_at", F.lit("2024-01-01").cast("timestamp"))
+    rows = lambda df: sorted((r.query_id, r["rank"], r.memory_id, r.score) for r in df.collect())
+    whole = rows(retrieval.memory_top_k(q, memory, 5, 0.01, 9))
+    assert len(whole) == 100 and whole == rows(retrieval.memory_top_k(q.repartition(3), memory, 5, 0.01, 9, 2000))
+    for r in q.collect()[:3]:
+        u = np.array(r.vector) / np.linalg.norm(r.vector)
+        scored = [(-round(float(np.clip(u @ (np.array(m.context_vector) / np.linalg.norm(m.context_vector)), 0, 1)) * m.strength * float(np.exp(-0.01 * 31)), 9), m.item_id, m.memory_id) for m in memory.where("active").collect()]
+        assert [x[2] for x in sorted(scored)[:5]] == [m for i, _, m, _ in whole if i == r.query_id]
+    lib = spark.createDataFrame([(f"i{k:03d}", 0, [1.0, float(k)]) for k in range(50)], "item_id string, family_id int, item_vector array<double>")
+    assert ranking(retrieval.random_top_k(q, lib, 4, 3)) == ranking(retrieval.random_top_k(q.repartition(3), lib, 4, 3, most=1000))
+
+
 def test_ranking_problems(spark):
     r = spark.createDataFrame([("1", 1, "a"), ("1", 2, "a"), ("2", 1, "x"), ("2", 3, "y")], "query_id string, rank int, item_id string")
     w = spark.createDataFrame([("1", "a"), ("2", "x"), ("3", "q")], "query_id string, item_id string")
