@@ -7,7 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, GroupedData, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sextant.functions import scalars as S
@@ -168,18 +168,6 @@ def shift(rows: DataFrame, vector: str, dim: int, first: str = "validation", sec
     return both.select("validation_count", "ood_count", F.lit(dim).alias("dim"), F.round(V.norm(gap), digits).alias("mean_shift_l2"), F.round(F.sqrt(F.aggregate(spread, F.lit(0.0), lambda s, x: s + x)), digits).alias("cov_shift_fro"), F.round(F.coalesce(V.cosine(F.col("ma"), F.col("mb")), F.lit(0.0)), digits).alias("centroid_cosine"))
 
 
-def mmd_pairs(rows: DataFrame, vector: str, first: str, second: str, digits: int = 9) -> DataFrame:
-    """Biased RBF MMD squared with the exact median bandwidth, over all pairs of a small set."""
-    held = rows.where(F.col("split").isin(first, second)).select("event_id", (F.col("split") == first).alias("p"), F.col(vector).alias("v"))
-    other = held.select(F.col("event_id").alias("e2"), F.col("p").alias("p2"), F.col("v").alias("v2"))
-    gap = F.zip_with("v", "v2", lambda x, y: x - y)
-    pairs = held.join(other).select("event_id", "e2", "p", "p2", V.dot(gap, gap).alias("d"))
-    median = pairs.where("event_id < e2 and d > 0").agg(F.coalesce(F.percentile("d", F.lit(0.5)), F.lit(1.0)).alias("bw"))
-    kernel = F.exp(-F.col("d") / (2 * F.greatest("bw", F.lit(V.EPSILON))))
-    sums = pairs.join(F.broadcast(median)).agg(F.avg(F.when(F.col("p") & F.col("p2"), kernel)).alias("aa"), F.avg(F.when(~F.col("p") & ~F.col("p2"), kernel)).alias("bb"), F.avg(F.when(F.col("p") & ~F.col("p2"), kernel)).alias("ab"), F.first("bw").alias("bw"))
-    return sums.select(F.round(F.greatest(F.lit(0.0), F.col("aa") + F.col("bb") - 2 * F.col("ab")), digits).alias("mmd2"), F.round("bw", digits).alias("bandwidth2"))
-
-
 def sign_flip_test(differences: DataFrame, keys: list[str], value: str = "difference", unit: str = "latent_event_id", permutations: int = 200, seed: int = SEED) -> DataFrame:
     """(keys, n, mean_diff, p): paired permutation test of a zero mean.
 
@@ -200,8 +188,8 @@ def holm(tests: DataFrame, family: list[str], order: list[str], p: str = "p") ->
     return tests.withColumn("_s", step).withColumn("p_holm", F.least(F.lit(1.0), F.max("_s").over(ranked.rowsBetween(Window.unboundedPreceding, 0)))).drop("_s")
 
 
-#: Rows in a block, and bins of squared distances (unit vectors: 0 to 4), of the blocked MMD.
-MMD_BLOCK, MMD_BINS, MMD_TOP = 512, 40_000, 4.0
+#: Rows in a block; bins of squared distances (unit vectors: 0 to 4) in each pass, and passes, that find the median.
+MMD_BLOCK, MMD_BINS, MMD_TOP, MMD_PASSES = 512, 20_000, 4.0, 3
 
 
 def _distances(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -220,30 +208,63 @@ def _distances(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return d.ravel(), kind.ravel()
 
 
-def mmd_blocked(rows: DataFrame, vector: str, first: str, second: str, block: int = MMD_BLOCK) -> DataFrame:
-    """The same statistic for unit vectors from pairs of blocks: no row of a pair leaves its task.
+def _histogram(spans: tuple[tuple[float, float], ...]):
+    """Counts of the positive distances in the bins of each (low, width)."""
+
+    def run(t: pa.Table) -> pa.Table:
+        d = _distances(t)[0]
+        parts = []
+        for k, (low, width) in enumerate(spans):
+            inside = d[(d > 0) & (d >= low) & ((d < low + width) | (low + width >= MMD_TOP))]
+            n = np.bincount(np.minimum(((inside - low) * (MMD_BINS / width)).astype(int), MMD_BINS - 1), minlength=MMD_BINS)
+            at = np.flatnonzero(n)
+            parts.append((np.full(len(at), k), at, n[at]))
+        span, at, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return pa.table({"span": pa.array(span, pa.int32()), "bin": pa.array(at, pa.int64()), "n": pa.array(n, pa.int64())})
+
+    return run
 
-    The bandwidth is the median up to the width of a bin (1e-4), from a first pass.
+
+def _median(grouped: GroupedData, passes: int) -> float:
+    """The median of the positive distances of all pairs of blocks, to MMD_TOP / MMD_BINS ** passes; 1 if there is none.
+
+    Each pass counts distances in the bins of the interval that holds the median (of both middle
+    values, where their number is even); only these counts reach the driver.
+    """
+    spans, ranks = [(0.0, MMD_TOP)], [None]
+    for _ in range(passes):
+
+        counts = grouped.applyInArrow(_histogram(tuple(spans)), "span int, bin long, n long").groupBy("span", "bin").agg(F.sum("n").alias("n")).orderBy("span", "bin").collect()
+        if not counts:
+            return 1.0
+        if ranks == [None]:
+            total = sum(r.n for r in counts)
+            spans, ranks = spans * 2, [(total - 1) // 2, total // 2]
+            of = [0, 0]
+        else:
+            of = [0, 1]
+        for m in (0, 1):
+            low, width = spans[m]
+            for r in counts:
+                if r.span == of[m]:
+                    if ranks[m] < r.n:
+                        spans[m] = (low + r.bin * width / MMD_BINS, width / MMD_BINS)
+                        break
+                    ranks[m] -= r.n
+    return max(sum(low + width / 2 for low, width in spans) / 2, V.EPSILON)
+
+
+def mmd_blocked(rows: DataFrame, vector: str, first: str, second: str, block: int = MMD_BLOCK, passes: int = MMD_PASSES, digits: int | None = None) -> DataFrame:
+    """(mmd2, bandwidth2): biased RBF MMD squared of two splits of unit vectors, from pairs of blocks: no pair leaves its task.
+
+    The bandwidth is the median of the positive squared distances.
     """
     held = rows.where(F.col("split").isin(first, second)).select(F.xxhash64("event_id").alias("h"), (F.col("split") == first).alias("p"), F.col(vector).alias("v"))
     n_first, n_second = held.agg(F.count_if("p"), F.count_if(~F.col("p"))).first()
     blocks = max(1, -(-(n_first + n_second) // block))
     placed = held.withColumn("b", F.expr(f"pmod(h, {blocks})")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     grouped = placed.select(F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side"), "p", "v").groupBy("i", "j")
-
-    def histogram(t: pa.Table) -> pa.Table:
-        d, _ = _distances(t)
-        n = np.bincount(np.minimum((d[d > 0] * (MMD_BINS / MMD_TOP)).astype(int), MMD_BINS - 1), minlength=MMD_BINS)
-        at = np.flatnonzero(n)
-        return pa.table({"bin": pa.array(at, pa.int64()), "n": pa.array(n[at], pa.int64())})
-
-    bins = grouped.applyInArrow(histogram, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").collect()  # MMD_BINS rows at most
-    total, sofar, bandwidth = sum(r.n for r in bins), 0, 1.0
-    for r in bins:
-        sofar += r.n
-        if 2 * sofar >= total:
-            bandwidth = max((r.bin + 0.5) * MMD_TOP / MMD_BINS, V.EPSILON)
-            break
+    bandwidth = _median(grouped, passes)
 
     def kernels(t: pa.Table) -> pa.Table:
         d, kind = _distances(t)
@@ -253,7 +274,8 @@ def mmd_blocked(rows: DataFrame, vector: str, first: str, second: str, block: in
     aa = (2 * s.get(0, 0.0) + n_first) / max(1, n_first**2)
     bb = (2 * s.get(1, 0.0) + n_second) / max(1, n_second**2)
     ab = s.get(2, 0.0) / max(1, n_first * n_second)
-    return rows.sparkSession.createDataFrame([(max(0.0, aa + bb - 2 * ab), bandwidth)], "mmd2 double, bandwidth2 double")
+    r = (lambda x: x) if digits is None else (lambda x: round(x, digits) + 0.0)
+    return rows.sparkSession.createDataFrame([(r(max(0.0, aa + bb - 2 * ab)), r(bandwidth))], "mmd2 double, bandwidth2 double")
 
 
 def mmd_permutation_test(rows: DataFrame, vector: str, first: str, second: str, permutations: int = 200, seed: int = 5151, block: int = MMD_BLOCK) -> DataFrame:

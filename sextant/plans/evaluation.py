@@ -138,12 +138,13 @@ _MMD = """WITH h AS (SELECT event_id, split = 'validation' AS p, fused AS v FROM
 
 @query(f"{_MMD} SELECT round(greatest(0, avg(exp(-d / (2 * bw))) FILTER (WHERE pa AND pb) + avg(exp(-d / (2 * bw))) FILTER (WHERE NOT pa AND NOT pb) - 2 * avg(exp(-d / (2 * bw))) FILTER (WHERE pa AND NOT pb)), 9) AS mmd2, round(any_value(bw), 9) AS bandwidth2 FROM d, m")
 def mmd(spark: SparkSession, d: str) -> DataFrame:
-    return E.mmd_pairs(T.events(spark, d), "fused", "validation", "ood_test")
+    return E.mmd_blocked(T.events(spark, d), "fused", "validation", "ood_test", digits=9)
 
 
 @query(f"{_MMD} SELECT round(greatest(0, avg(exp(-d / (2 * bw))) FILTER (WHERE pa AND pb) + avg(exp(-d / (2 * bw))) FILTER (WHERE NOT pa AND NOT pb) - 2 * avg(exp(-d / (2 * bw))) FILTER (WHERE pa AND NOT pb)), 3) AS mmd2, round(any_value(bw), 2) AS bandwidth2 FROM d, m")
 def mmd_by_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return E.mmd_blocked(T.events(spark, d), "fused", "validation", "ood_test").select(F.round("mmd2", 3).alias("mmd2"), F.round("bandwidth2", 2).alias("bandwidth2"))
+    """The same with blocks of a few rows and a bandwidth from one pass."""
+    return E.mmd_blocked(T.events(spark, d), "fused", "validation", "ood_test", 32, 1).select(F.round("mmd2", 3).alias("mmd2"), F.round("bandwidth2", 2).alias("bandwidth2"))
 
 
 @query("SELECT event_id, split, CASE WHEN (row_number() OVER (PARTITION BY split ORDER BY event_id) - 1) % 2 = 0 THEN 'even' ELSE 'odd' END AS half FROM ev WHERE split = 'ood_test'")

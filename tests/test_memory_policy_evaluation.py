@@ -71,13 +71,14 @@ def test_corrections_are_folded_in_arrival_order(spark, memory, items):
     assert M.replacement_violations(memory, M.apply_corrections(memory, accepted)).isEmpty()
 
 
-def test_stream_equals_batch_per_memory(spark, memory, items, tmp_path):
+@pytest.mark.parametrize("keep_ids_ms", [None, 3_600_000])
+def test_stream_equals_batch_per_memory(spark, memory, items, tmp_path, keep_ids_ms):
     rows = [r for r in ROWS if r[0] != 3]  # ids across memories need the watermark form
     source = str(tmp_path / "in")
     for k, part in enumerate((rows[:4], rows[4:])):
         corrections(spark, part).coalesce(1).write.parquet(f"{source}/part={k}")
     stream = spark.readStream.schema(corrections(spark, rows).schema).option("maxFilesPerTrigger", 1).parquet(f"{source}/*")
-    job = jobs.correct_stream(stream, memory, items, 2).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    job = jobs.correct_stream(stream, memory, items, 2, keep_ids_ms).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start(str(tmp_path / "out"))
     job.awaitTermination()
     got = {r.seq: r.error for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {r.seq: r.error for r in M.judge_corrections(memory, corrections(spark, rows), items, 2).collect() if r.memory_id != "m9"}
@@ -181,6 +182,14 @@ def test_numbers_by_ranges_equal_a_window(spark):
     assert {(r.g, r.id): r.n for r in numbered(rows.repartition(3), ["g"], ["h", "id"], 7).collect()} == want
 
 
+def plain_mmd(v, first):
+    d = ((v[:, None] - v[None]) ** 2).sum(2)
+    upper = d[np.triu_indices(len(v), 1)]
+    width = np.median(upper[upper > 0])
+    k = np.exp(-d / (2 * width))
+    return k[np.ix_(first, first)].mean() + k[np.ix_(~first, ~first)].mean() - 2 * k[np.ix_(first, ~first)].mean(), width
+
+
 def test_permutations_tell_a_shift_from_none(spark):
     v = np.random.default_rng(3).normal(size=(60, 4)) / 4
     v[:, 0] += 1
@@ -190,7 +199,7 @@ def test_permutations_tell_a_shift_from_none(spark):
     for x, low, high in ((v, 0.05, 1.0), (w / np.linalg.norm(w, axis=1, keepdims=True), 0.0, 0.05)):
         d = spark.createDataFrame([(f"e{k}", "a" if k < 30 else "b", r.tolist()) for k, r in enumerate(x)], "event_id string, split string, v array<double>")
         t = E.mmd_permutation_test(d, "v", "a", "b", 40, block=16).first()
-        assert low <= t.p <= high and t.mmd2 == pytest.approx(E.mmd_pairs(d, "v", "a", "b").first().mmd2, abs=1e-3)
+        assert low <= t.p <= high and t.mmd2 == pytest.approx(plain_mmd(x, np.arange(60) < 30)[0], abs=1e-9)
 
 
 def test_mislabelled_records_and_their_restoration(spark, memory, items):
@@ -232,11 +241,15 @@ def test_repeats_within_the_watermark_are_dropped(spark, tmp_path):
     assert sorted(r.correction_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
 
 
-@needs_data
-def test_blocked_mmd_equals_pairs(spark):
-    e = tables.events(spark, DATA)
-    a, b = E.mmd_pairs(e, "fused", "validation", "ood_test").first(), E.mmd_blocked(e, "fused", "validation", "ood_test", block=16).first()
-    assert abs(a.mmd2 - b.mmd2) < 1e-4 and abs(a.bandwidth2 - b.bandwidth2) < 1e-3
+@pytest.mark.parametrize("block", [7, 512])
+def test_blocked_mmd_equals_all_pairs(spark, block):
+    v = np.random.default_rng(8).normal(size=(45, 3))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[40:] = v[0]  # distances of 0 are no part of the median
+    d = spark.createDataFrame([(f"e{k}", "a" if k % 3 else "b", r.tolist()) for k, r in enumerate(v)], "event_id string, split string, v array<double>")
+    got = E.mmd_blocked(d.repartition(3), "v", "a", "b", block).first()
+    assert (got.mmd2, got.bandwidth2) == (pytest.approx(plain_mmd(v, np.arange(45) % 3 > 0)[0], abs=1e-11), pytest.approx(plain_mmd(v, np.arange(45) % 3 > 0)[1], abs=1e-11))
+    assert E.mmd_blocked(d.where("event_id = 'e1' or event_id = 'e0'").withColumn("v", F.array(F.lit(1.0))), "v", "a", "b").first().bandwidth2 == 1.0
 
 
 def test_split_plan(spark):

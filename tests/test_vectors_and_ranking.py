@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sextant.functions import vectors as V
-from sextant.operators import metrics, retrieval, ridge, validation
+from sextant.operators import leakage, metrics, retrieval, ridge, validation
 
 LIBRARY = [("a", 0, [1.0, 0.0]), ("b", 1, [0.0, 1.0]), ("c", 2, [-1.0, 0.0])]
 
@@ -76,6 +76,14 @@ def test_finite_and_unit(spark):
     assert [r.f for r in df.select(V.is_finite(F.col("v")).alias("f")).collect()] == [True, False, False, False, False]
 
 
+def test_fingerprints_follow_values_alone(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0], "a"), (1, [1.0, 2.0], "b"), (1, [2.0, 1.0], "c"), (2, [1.0, 2.0], "d")], "template_id int, v array<double>, event_id string")
+    got = [r.f for r in df.orderBy("event_id").select(V.fingerprint(F.col("v")).alias("f")).collect()]
+    assert got[0] == got[1] == got[3] != got[2] and len(got[0]) == 64
+    keys = [r.f for r in df.orderBy("event_id").select(leakage.feature_key("v").alias("f")).collect()]
+    assert keys[0] == keys[1] and len(set(keys)) == 3  # the template counts, the id doesn't
+
+
 def test_metrics_by_hand(spark):
     r = spark.createDataFrame([("1", 1, "a"), ("1", 2, "b"), ("1", 3, "c"), ("2", 1, "x"), ("2", 2, "y"), ("2", 3, "z")], "query_id string, rank int, item_id string")
     w = spark.createDataFrame([("1", "a"), ("2", "z")], "query_id string, item_id string")
