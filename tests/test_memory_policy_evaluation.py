@@ -78,8 +78,16 @@ def test_stream_equals_batch_per_memory(spark, memory, items, tmp_path, keep_ids
     for k, part in enumerate((rows[:4], rows[4:])):
         corrections(spark, part).coalesce(1).write.parquet(f"{source}/part={k}")
     stream = spark.readStream.schema(corrections(spark, rows).schema).option("maxFilesPerTrigger", 1).parquet(f"{source}/*")
-    job = jobs.correct_stream(stream, memory, items, 2, keep_ids_ms).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start(str(tmp_path / "out"))
-    job.awaitTermination()
+    job = jobs.correct_stream(stream, memory, items, 2, keep_ids_ms).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "log"))
+    if keep_ids_ms is None:
+        job.trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    else:  # state that expires keeps the query running
+        run = job.start(str(tmp_path / "out"))
+        for _ in range(120):
+            run.awaitTermination(1)
+            if sum(p.numInputRows for p in run.recentProgress) >= len(rows):
+                break
+        run.stop()
     got = {r.seq: r.error for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {r.seq: r.error for r in M.judge_corrections(memory, corrections(spark, rows), items, 2).collect() if r.memory_id != "m9"}
     assert {s for s, e in got.items() if e} == {s for s, e in want.items() if e} and set(got) == set(want)
