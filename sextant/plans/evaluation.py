@@ -11,6 +11,7 @@ from sextant.operators import metrics, retrieval, ridge
 from sextant.plans.ranking import SEED, K, _training, fitted_sql, fixed_ridge, metrics_sql, predicted_sql, projected_sql, rank_sql, rounded_metrics, TRAINING
 from sextant.plans.register import query
 from sextant.sources import tables as T
+from sextant.sources.scratch import keep
 
 RESAMPLES = 20
 
@@ -41,9 +42,9 @@ RANKERS = ("mean_fusion", "text_only", "ridge", "random")
 
 
 def _graded(spark: SparkSession, d: str) -> DataFrame:
-    """(ranker, tier, latent_event_id, query_id, rank, item_id): four rankers on three tiers; the
-    random one is keyed by the latent event, so that its ranking is the same in all tiers."""
-    views, items = T.view_queries(spark, d), retrieval.prepare(T.items(spark, d))
+    """(ranker, query_id, rank, item_id): four rankers on three tiers; the random one is keyed by the
+    latent event, so that its ranking is the same in all tiers."""
+    views, items = keep(T.view_queries(spark, d), "views"), retrieval.prepare(T.items(spark, d))
     text = T.views(spark, d).select(F.col("observed_event_id").alias("query_id"), F.col("text_vector").alias("vector"))
     rankers = {
         "mean_fusion": lambda q: retrieval.cosine_top_k(q, items, K, 9),
@@ -51,7 +52,7 @@ def _graded(spark: SparkSession, d: str) -> DataFrame:
         "ridge": lambda q: retrieval.cosine_top_k(q.withColumn("vector", fixed_ridge().predict(F.col("vector"))), items, K, 9),
         "random": lambda q: retrieval.random_top_k(q, items, K, SEED, "latent_event_id"),
     }
-    return retrieval.all_rankers(views, rankers).join(views.select("query_id", "tier", "latent_event_id"), "query_id")
+    return retrieval.all_rankers(views, rankers)
 
 
 def _per_view(spark: SparkSession, d: str, groups: tuple[str, ...]) -> DataFrame:
@@ -173,7 +174,7 @@ def _oracle_mrr(spark: SparkSession, d: str, train: DataFrame, test: DataFrame,
     models = ridge.fit_each(train, "fused", "item_vector", T.DIM, seed)
     predicted = F.coalesce(*(F.when(F.col(seed) == s, m.predict(F.col("fused"))) for s, m in sorted(models.items())))
     q = test.select(F.concat_ws("|", F.col(seed).cast("string"), "event_id").alias("query_id"), F.col(seed).alias("seed"), predicted.alias("vector"), F.col("target_item_id").alias("item_id"))
-    rankings = retrieval.cosine_top_k(q, T.items(spark, d), K, 9).join(q.select("query_id", "seed"), "query_id")
+    rankings = retrieval.cosine_top_k(q, T.items(spark, d), K, 9)
     return metrics.per_query(rankings, q, K, ("seed",)).select("seed", "query_id", "rr")
 
 
@@ -227,5 +228,5 @@ def graded_ridge_metrics(spark: SparkSession, d: str) -> DataFrame:
     model = ridge.fit(_training(spark, d), "fused", "item_vector", T.DIM)
     views = T.view_queries(spark, d).select("query_id", "vector", "item_id", "tier")
     q = views.select("query_id", model.predict(F.col("vector")).alias("vector"))
-    rankings = retrieval.cosine_top_k(q, T.items(spark, d), K, 9).join(views.select("query_id", "tier"), "query_id")
+    rankings = retrieval.cosine_top_k(q, T.items(spark, d), K, 9)
     return metrics.summary(metrics.per_query(rankings, views, K, ("tier",)), ("tier",), 6)

@@ -76,5 +76,6 @@ def decisions_as_json(spark: SparkSession, d: str) -> DataFrame:
 def rankings_as_parquet(spark: SparkSession, d: str) -> DataFrame:
     """Nested rankings, written in a folder for each ranker and read back."""
     path = new_folder(spark, "rankings")
-    exports.export_rankings(_three(spark, d).where("split = 'validation'"), path, ("ranker", "query_id"))
+    asked = T.queries_of(spark, d, "validation").select("query_id")
+    exports.export_rankings(_three(spark, d).join(asked, "query_id", "left_semi"), path, ("ranker", "query_id"))
     return spark.read.parquet(path).select("ranker", "query_id", "ranking")

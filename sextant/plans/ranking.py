@@ -11,6 +11,7 @@ from sextant.operators import memory as M
 from sextant.operators import metrics, retrieval, ridge
 from sextant.plans.register import query
 from sextant.sources import tables as T
+from sextant.sources.scratch import keep
 
 K = 10
 SEED = 2026
@@ -85,12 +86,11 @@ def fixed_ridge() -> ridge.Ridge:
 
 def _three(spark: SparkSession, d: str) -> DataFrame:
     """Rankings of four rankers on validation and out-of-distribution events; the library is written once."""
-    e, items = T.events(spark, d).where("split in ('validation', 'ood_test')"), retrieval.prepare(T.items(spark, d))
+    e, items = keep(T.events(spark, d).where("split in ('validation', 'ood_test')").select("event_id", "text_vector", "fused"), "events"), retrieval.prepare(T.items(spark, d))
     by = lambda v: retrieval.cosine_top_k(e.select(F.col("event_id").alias("query_id"), v.alias("vector")), items, K, 9)
     fused = F.col("fused")
     rankers = {"random": lambda q: retrieval.random_top_k(q, items, K, SEED), "text_only": lambda q: by(F.col("text_vector")), "mean_fusion": lambda q: by(fused), "ridge": lambda q: by(fixed_ridge().predict(fused))}
-    rankings = retrieval.all_rankers(e.select(F.col("event_id").alias("query_id")), rankers)
-    return rankings.join(e.select(F.col("event_id").alias("query_id"), "split"), "query_id")
+    return retrieval.all_rankers(e.select(F.col("event_id").alias("query_id")), rankers)
 
 
 def _judged(spark: SparkSession, d: str, rankings: DataFrame) -> DataFrame:
@@ -264,7 +264,7 @@ def ridge_metrics(spark: SparkSession, d: str) -> DataFrame:
     e = T.events(spark, d).where("split in ('validation', 'ood_test')")
     q = e.select(F.col("event_id").alias("query_id"), model.predict(F.col("fused")).alias("vector"))
     wanted = e.select(F.col("event_id").alias("query_id"), F.col("target_item_id").alias("item_id"), "split")
-    rankings = retrieval.cosine_top_k(q, T.items(spark, d), K, 9).join(wanted.select("query_id", "split"), "query_id")
+    rankings = retrieval.cosine_top_k(q, T.items(spark, d), K, 9)
     return metrics.summary(metrics.per_query(rankings, wanted, K, ("split",)), ("split",), 6)
 
 
@@ -381,9 +381,8 @@ _GRID_METRICS = metrics_sql("g", _VREL, "system, tier, day", _GRID_ASKED)
 def ablation_grid(spark: SparkSession, d: str) -> DataFrame:
     """Four systems on three tiers and five days."""
     views = T.view_queries(spark, d).select("query_id", "item_id", "tier")
-    rankings = _grid(spark, d).join(views.select("query_id", "tier"), "query_id")
     cells = spark.createDataFrame(GRID, "system string, day int")
-    return metrics.summary(metrics.per_query(rankings, views, K, ("system", "tier", "day"), cells), ("system", "tier", "day"), 9)
+    return metrics.summary(metrics.per_query(_grid(spark, d), views, K, ("system", "tier", "day"), cells), ("system", "tier", "day"), 9)
 
 
 @query(f"""{_GRID_SQL} SELECT tier, day, count(*) AS n_rows, coalesce(bool_and(a.item_id = b.item_id), true) AS same FROM (SELECT * FROM g WHERE system = 'hybrid_no_decay') a JOIN (SELECT * FROM g WHERE system = 'ridge_only') b USING (tier, day, query_id, rank) GROUP BY tier, day""")
