@@ -92,6 +92,8 @@ def _placed(docs: DataFrame, carry: list[str], entropy: float, repeats: float, b
     # whole blocks, then the block at the border, of which the first documents are taken
     part = F.when(F.col("left") >= F.col("block_tokens"), "whole").when(F.col("left") > 0, "border").otherwise("none")
     sums = keep(sums.withColumn("left", left).select(F.col("s").alias("b_source"), F.col("block").alias("b_block"), part.alias("part"), "left"), "blocks")
+    if carry:
+        discard(keys)
     # keys where nothing is carried; else whole rows, whose words are counted after the filters
     rows = place(named if carry else keys).join(small(sums), F.col("s").eqNullSafe(F.col("b_source")) & (F.col("block") == F.col("b_block"))).drop("b_source", "b_block")
     counted = lambda x: x.withColumn("n_tokens", count).drop("text") if carry else x

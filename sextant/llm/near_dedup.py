@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from sextant.llm.common import Words, discard, keep, mix, shingle_set, slices, table, utf8, windows
+from sextant.llm.common import Words, discard, keep, mix, shingle_set, slices, table, utf8
 from sextant.llm.components import components
 
 BANDS, ROWS = 36, 7
