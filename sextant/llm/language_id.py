@@ -56,7 +56,7 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, symbols: int = SAMPLE_SYMBO
     """Text for each language, of at most ``rows`` rows and ``symbols`` letters or so."""
     from_ids = docs.where("lang is not null and doc_id is not null").where(~held_out()).select("doc_id", "lang").distinct()
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    ids = from_ids.withColumn("part", F.expr("pmod(xxhash64(doc_id, 1), 64)"))
+    ids = from_ids.withColumn("part", F.expr("pmod(xxhash64(doc_id, 1), 256)"))
     for keys in (["lang", "part"], ["lang"]):  # parts first, so that no task gets the rows of a frequent language
         ids = ids.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("n") <= rows)
     ids = keep(ids.drop("n", "part"), "sampled_ids")
