@@ -24,9 +24,11 @@ empty table gives an empty result; columns beyond doc_id and text are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -233,13 +235,14 @@ def features(texts: list[str], automaton: Automaton) -> np.ndarray:
     return out
 
 
+@lru_cache(1 << 16)
+def _family(word: str) -> tuple[str, ...]:
+    """A word and its beginnings."""
+    return () if word.isdigit() else (word, *(word[:p] + "*" for p in BEGINNINGS if len(word) > p))
+
+
 def _terms(text: str) -> set[str]:
-    out = set()
-    for w in set(TOKEN.findall(text.lower())):
-        if not w.isdigit():
-            out.add(w)
-            out.update(w[:p] + "*" for p in BEGINNINGS if len(w) > p)
-    return out
+    return set(itertools.chain.from_iterable(map(_family, set(TOKEN.findall(text.lower())))))
 
 
 def _document_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
