@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from sextant.llm.common import keep, slices, small, table, utf8
+from sextant.llm.common import discard, keep, slices, small, table, utf8
 
 SAMPLE_ROWS = 64
 SAMPLE_SYMBOLS = 20_000
@@ -54,12 +54,13 @@ def held_out() -> Column:
 
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, symbols: int = SAMPLE_SYMBOLS) -> dict[str, str]:
     """Text for each language, of at most ``rows`` rows and ``symbols`` letters or so."""
-    from_ids = docs.where("lang is not null and doc_id is not null").where(~held_out()).select("doc_id", "lang").distinct()
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    ids = from_ids.withColumn("part", F.expr("pmod(xxhash64(doc_id, 1), 256)"))
-    for keys in (["lang", "part"], ["lang"]):  # parts first, so that no task gets the rows of a frequent language
-        ids = ids.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("n") <= rows)
-    ids = keep(ids.drop("n", "part"), "sampled_ids")
+    known = docs.where("lang is not null and doc_id is not null").where(~held_out()).select("doc_id", "lang", F.expr("pmod(xxhash64(doc_id), 1L << 62)").alias("h"))
+    # where rows lie, only hashes below four times the share that is wanted stay: so no task gets a frequent language
+    sizes = keep(known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("ids")), "languages")
+    low = known.join(small(sizes), "lang").where(F.col("h") < F.lit(4.0 * rows * (1 << 62)) / F.col("ids")).select("doc_id", "lang", "h").distinct()
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    ids = keep(low.withColumn("n", first).where(F.col("n") <= rows).select("doc_id", "lang"), "sampled_ids")
+    discard(sizes)
     each = max(1, symbols // 8)
     at = F.expr(f"cast(1 + pmod(xxhash64(doc_id, 2), greatest(length(text) - {each} + 1, 1)) as int)")
     texts = docs.select("doc_id", "lang", F.substr("text", at, F.lit(each)).alias("text")).where("text is not null").join(small(ids), ["doc_id", "lang"])
