@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sextant.llm.common import discard, keep, read_shard, table, write_shards
+from sextant.llm.common import keep, read_shard, table, write_shards
 
 SCALE = 256
 ANCHOR_EVERY, POSITIVES, NEGATIVES = 50, 5, 3
@@ -185,8 +185,12 @@ def sides(shard: pa.Table | None) -> dict[int, Side]:
     return {int(x): Side(shard.filter(pa.array(d == x)), int(x)) for x in np.unique(d)}
 
 
+NAMES = ["anchor", "list", "score", "id", "pairs", "scored"]
+KINDS = [pa.int64(), pa.int32(), *[pa.int64()] * 4]
+
+
 def _units(folder_rows: str, folder_anchors: str, search):
-    """(anchor, list, score, id, pairs, scored) of units of (shard of anchors, first and last shard of rows)."""
+    """(anchor, list, score, id) and the numbers of pairs and of scores of units of (shard of anchors, first and last shard of rows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,14 +205,21 @@ def _units(folder_rows: str, folder_anchors: str, search):
                 for d, m in made.items():
                     b = m.best
                     ids = pa.array(b.id, pa.int64(), mask=b.none.astype(bool))
-                    counts = [np.zeros(len(b.list), np.int64) for _ in range(2)]
-                    for c, n in zip(counts, (m.pairs, m.scored), strict=True):
-                        c[:1] = n
-                    yield pa.RecordBatch.from_arrays([pa.array(anchors[d].no[b.list // m.lists], pa.int64()), pa.array(b.list % m.lists, pa.int32()), pa.array(b.score, pa.int64()), ids, *map(pa.array, counts)], ["anchor", "list", "score", "id", "pairs", "scored"])
+                    none = pa.nulls(len(b.list), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(anchors[d].no[b.list // m.lists], pa.int64()), pa.array(b.list % m.lists, pa.int32()), pa.array(b.score, pa.int64()), ids, none, none], NAMES)
+                    yield pa.RecordBatch.from_pylist([{"pairs": m.pairs, "scored": m.scored}], pa.schema(list(zip(NAMES, KINDS, strict=True))))
 
     return run
 
 
+def _blocks(first: int, last: int) -> Iterator[slice]:
+    """Ranges of rows, small ones first: windows are wide until lists are full."""
+    size = ROWS // 16
+    while first < last:
+        yield slice(first, min(first + size, last))
+        first, size = first + size, min(2 * size, ROWS)
+
+
 class Positives:
     """The best rows of each anchor's own label."""
 
@@ -223,13 +234,12 @@ class Positives:
             own = np.flatnonzero(self.a.label == label)
             for k in range(0, len(own), ANCHORS):
                 i = own[k : k + ANCHORS]
-                for j in range(first, last, ROWS):
-                    part = slice(j, min(j + ROWS, last))
+                for part in _blocks(first, last):
                     other = self.a.no[i][:, None] != v.no[part][None, :]
                     self.pairs += int(other.sum())
                     p, q = np.nonzero(bounds(self.a, i, v, part, self.best.least[i].astype(float), np.full(len(i), np.inf), other))
                     self.scored += len(p)
-                    p, q = i[p], q + j
+                    p, q = i[p], q + part.start
                     self.best.add(p, scores(self.a, p, v, q), v.id[q], v.none[q])
 
 
@@ -249,8 +259,7 @@ class Negatives:
     def meet(self, v: Side) -> None:
         for k in range(0, len(self.a.no), ANCHORS):
             i = np.arange(k, min(k + ANCHORS, len(self.a.no)))
-            for j in range(0, len(v.no), ROWS):
-                part = slice(j, min(j + ROWS, len(v.no)))
+            for part in _blocks(0, len(v.no)):
                 other = self.a.label[i][:, None] != v.label[part][None, :]
                 self.pairs += int(other.sum())
                 least = np.maximum(self.low[i], self.best.least.reshape(-1, self.lists)[i])
@@ -259,7 +268,7 @@ class Negatives:
                 high = np.where(open_, self.high[i].astype(float), -np.inf).max(axis=1)
                 p, q = np.nonzero(bounds(self.a, i, v, part, low, high, other))
                 self.scored += len(p)
-                p, q = i[p], q + j
+                p, q = i[p], q + part.start
                 found = scores(self.a, p, v, q)
                 for n in range(self.lists):
                     fits = (self.low[p, n] <= found) & (found <= self.high[p, n])
@@ -268,7 +277,7 @@ class Negatives:
 
 def _ranked(found: DataFrame, most: int, *group: str) -> DataFrame:
     order = Window.partitionBy(*group).orderBy(F.col("score").desc(), F.col("id").asc_nulls_last())
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    return found.where("anchor is not null").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
 def mine(
