@@ -7,8 +7,8 @@ length and the number of symbols (the cross-parsing estimate of the relative ent
 language with the least value wins; ties go to the smaller name.
 
 Learned from ``SAMPLE_ROWS`` labelled rows for each language at most (those with the least
-hashes), each by a window of it whose place is chosen by a hash, and ``SAMPLE_SYMBOLS`` symbols of
-them; every letter of these keeps its own symbol. That bound is the model's size, not a limit on
+hashes), each by a window of it whose place is chosen by a hash. Windows are cut to one length so
+that a language has ``SAMPLE_SYMBOLS`` symbols; every row teaches, and every letter keeps its own symbol. That bound is the model's size, not a limit on
 what is predicted. Whole texts are parsed: blocks of ``BLOCK`` symbols of many texts run through the
 automata at once, as NumPy lanes, and then each block's first phrases are read again as the
 block before left them, until both readings agree. So the block's size doesn't change a result.
@@ -39,6 +39,8 @@ from sextant.llm.common import discard, keep, slices, small, table, utf8
 
 SAMPLE_ROWS = 64
 SAMPLE_SYMBOLS = 20_000
+#: Characters of a row's window, as a multiple of its even share: they make up for shorter rows.
+WINDOW_SHARES = 8
 BLOCK = 1024
 #: Bytes of text that are parsed at once; a longer text is parsed piece by piece.
 PIECE = 4 << 20
@@ -61,14 +63,24 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, symbols: int = SAMPLE_SYMBO
     first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     ids = keep(low.withColumn("n", first).where(F.col("n") <= rows).select("doc_id", "lang"), "sampled_ids")
     discard(sizes)
-    each = max(1, symbols // 8)
+    each = max(1, WINDOW_SHARES * symbols // rows)
     at = F.expr(f"cast(1 + pmod(xxhash64(doc_id, 2), greatest(length(text) - {each} + 1, 1)) as int)")
     texts = docs.select("doc_id", "lang", F.substr("text", at, F.lit(each)).alias("text")).where("text is not null").join(small(ids), ["doc_id", "lang"])
-    out: dict[str, str] = {}
-    for r in sorted(texts.select("lang", "doc_id", "text").collect()):  # rows * languages texts at most
-        if len(out.setdefault(r.lang, "")) < symbols:
-            out[r.lang] += r.text + "\n"
-    return {k: v[:symbols] for k, v in sorted(out.items())}
+    found: dict[str, list[str]] = {}
+    for r in sorted(texts.select("lang", "doc_id", "text").collect()):  # rows * languages windows at most
+        found.setdefault(r.lang, []).append(r.text)
+    return {k: "".join(x[: level(v, symbols)] + "\n" for x in v) for k, v in sorted(found.items())}
+
+
+def level(texts: list[str], symbols: int) -> int:
+    """The length to which texts are cut so that all of them together hold ``symbols`` at most."""
+    left = symbols
+    sizes = sorted(map(len, texts))
+    for k, n in enumerate(sizes):
+        if n * (len(sizes) - k) > left:
+            return left // (len(sizes) - k)
+        left -= n
+    return sizes[-1]
 
 
 def suffix_automaton(text: list[int]) -> list[dict[int, int]]:

@@ -126,10 +126,10 @@ def _signatures(words: int):
 
 
 def _held(docs: DataFrame, row: bool = False) -> DataFrame:
-    """(at, doc_id, row if asked for, text): ``at`` leads back to the texts of a class."""
+    """(at, doc_id, row if asked for, text): ``at`` leads back to a class's text, whatever ids repeat."""
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     rows = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if row else []
-    return docs.select(F.coalesce(doc_id, F.xxhash64(text)).alias("at"), doc_id.alias("doc_id"), *rows, text.alias("text"))
+    return docs.select(F.xxhash64(doc_id, text).alias("at"), doc_id.alias("doc_id"), *rows, text.alias("text"))
 
 
 def signatures(held: DataFrame, words: int = WORDS) -> DataFrame:

@@ -628,22 +628,28 @@ def test_blocks_and_budgets_against_a_plain_version(spark):
     rows = [(k, words(1 + k % 37), "en", "big") for k in range(1000, 1300)] + [(k, words(5), "en", "small") for k in range(2000, 2020)] + [(k, words(9), "en", None) for k in range(3000, 3010)]
     rows += [(4000, words(700), "en", "small"), (4000, words(3), "en", "small"), (4001, "", "en", "small"), (2001, words(5), "en", "small")]  # longer than a block; repeated ids; no words
     size, budget = 100, 2500
+    whole = docs_of(spark, rows)
+    hashes = {(r.doc_id, r.text, r.source): (r.h.a, r.h.b) for r in whole.select("doc_id", "text", "source", mixing.hashes(whole).alias("h")).collect()}
     want = []
     for source in ("big", "small", None):
-        docs = [(i, len(t.split())) for i, t, _, src in rows if src == source]
-        tokens = sum(n for _, n in docs)
+        docs, copies = [], {}
+        for i, t, _, src in rows:
+            if src == source:
+                copies[i, t] = copies.get((i, t), -1) + 1
+                docs.append((i, len(t.split()), (*hashes[i, t, src], copies[i, t])))
+        tokens = sum(n for _, n, _ in docs)
         share = budget / 3  # equal weights
         passes, blocks = math.floor(share / tokens + 1e-9), math.ceil(tokens / size)
         rest = max(0, math.floor(share - passes * tokens + 1e-6))
         held = {}
-        for i, n in docs:
-            held.setdefault(xx(mixing.SEED, i) % blocks, []).append((i, n))
+        for i, n, h in docs:
+            held.setdefault(xx(mixing.SEED, *h) % blocks, []).append((i, n, h))
             want += [(i, source, n, p) for p in range(passes)]
         for b in sorted(held, key=lambda b: (xx(mixing.SEED, source, b, passes), b)):
-            block, taken = sum(n for _, n in held[b]), 0
+            block, taken = sum(n for _, n, _ in held[b]), 0
             if rest <= 0:
                 break
-            for i, n in sorted(held[b], key=lambda x: (xx(mixing.SEED, passes, x[0]), x)):
+            for i, n, _ in sorted(held[b], key=lambda x: (xx(mixing.SEED, passes, *x[2]), x[2])):
                 taken += n
                 if taken <= rest:
                     want.append((i, source, n, passes))
@@ -656,6 +662,34 @@ def test_blocks_and_budgets_against_a_plain_version(spark):
     assert sorted([(r.doc_id, r.source, len(r.text.split()), r.mixing["pass"]) for r in held.select("doc_id", "source", "text", "mixing").collect()], key=key) == sorted(want, key=key)
 
 
+@pytest.mark.parametrize("rows", [[(None, words(6, k), "en", "a") for k in range(300)], [(7, words(6, k % 5), "en", "a") for k in range(300)], [(None, words(6), "en", "a")] * 300])
+def test_mixing_without_ids_is_the_same_in_any_partitioning(spark, rows):
+    d = docs_of(spark, rows)
+    taken = lambda df: sorted((r.text, r.mixing["pass"], r.mixing.block_key, r.mixing.doc_key) for r in mixing.corpus(df, budget=450, block_tokens=60).collect())
+    once = taken(d.repartition(1))
+    assert 60 <= len(once) <= 75 and once == taken(d.repartition(7)) == taken(d.repartition(3, "text"))
+    assert len({x[2] for x in once}) > 1  # in several blocks
+
+
+def test_shared_and_missing_ids_cost_what_others_cost(spark):
+    """Each class reads its own texts, whatever ids repeat."""
+    texts = [words(40, 100 * k) for k in range(60)] + [words(41, 100 * k) for k in range(60)]
+    for one in (lambda k: k, lambda k: 7, lambda k: None):
+        held = near_dedup._held(docs_of(spark, [(one(k), t, "en", "a") for k, t in enumerate(texts)]))
+        assert held.join(held.select("at", F.col("text").alias("other")), "at").count() == 120
+    got = near_dedup.near_duplicates(docs_of(spark, [(7, t, "en", "a") for t in texts])).collect()
+    assert len(got) == 120 and {r.component_id for r in got} == {7}
+    assert near_dedup.one_of_each(docs_of(spark, [(7, t, "en", "a") for t in texts])).count() == 60
+
+
+def test_every_sampled_row_teaches(spark):
+    rows = [(k, f"{EN} {chr(0x4E00 + k)} " * (1 + 5 * (k % 7)), "en", "a") for k in range(300)]
+    model = language_id.sample(docs_of(spark, rows), rows=64, symbols=20_000)["en"]
+    marks = {c for c in model if ord(c) >= 0x4E00}
+    assert len(marks) == 64 and 19_000 <= len(model) <= 20_064
+    assert [language_id.level(x, 10) for x in (["aaa"], ["a" * 20], ["a", "a" * 20], ["aaaa"] * 4)] == [3, 10, 9, 2]
+
+
 def test_exponent_against_bisection(spark):
     import math
 
