@@ -109,9 +109,11 @@ def apply_to(state: dict, correction: dict) -> None:
     state["correction_count"] += 1
 
 
-def judge_corrections(memory: DataFrame, corrections: DataFrame, items: DataFrame, dim: int) -> DataFrame:
+def judge_corrections(memory: DataFrame, corrections: DataFrame, items: DataFrame, dim: int, used: DataFrame | None = None) -> DataFrame:
     """Every correction with ``error``, null if it is accepted, as if applied in order of ``seq``.
 
+    ``used``: correction ids (distinct) of corrections accepted before all of these.
+
     A correction without row errors is rejected if an accepted one with a smaller seq has its id, or
     if it is older than the latest accepted one of its memory: a running maximum, since later
     rejections don't move it. A repeated id may have moved that maximum, so both rules are taken in turn
@@ -119,7 +121,10 @@ def judge_corrections(memory: DataFrame, corrections: DataFrame, items: DataFram
     """
     checked = correction_errors(corrections, memory, items, dim).withColumn("error", F.when(F.size("errors") > 0, F.array_join("errors", ", ")))
     state = memory.select("memory_id", "updated_at")
-    rows = keep(checked.join(state, "memory_id", "left").select("seq", "memory_id", "correction_id", "corrected_at", "updated_at", "error", F.lit(False).alias("repeats")), "corrections")
+    rows = checked.join(state, "memory_id", "left")
+    rows = rows.withColumn("known", F.lit(False)) if used is None else rows.join(used.select("correction_id", F.lit(True).alias("known")), "correction_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    repeats = F.col("error").isNull() & F.col("known")
+    rows = keep(rows.select("seq", "memory_id", "correction_id", "corrected_at", "updated_at", "error", repeats.alias("repeats"), "known"), "corrections")
     before = Window.partitionBy("memory_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     n = 0
     while True:
@@ -128,7 +133,7 @@ def judge_corrections(memory: DataFrame, corrections: DataFrame, items: DataFram
         judged = rows.withColumn("late", valid & (F.col("corrected_at") < latest))
         accepted = judged.where(F.col("error").isNull() & ~F.col("repeats") & ~F.col("late"))
         first = accepted.groupBy("correction_id").agg(F.min("seq").alias("first"))
-        after = judged.join(first, "correction_id", "left").withColumn("repeats", F.col("error").isNull() & F.coalesce(F.col("first") < F.col("seq"), F.lit(False)))
+        after = judged.join(first, "correction_id", "left").withColumn("repeats", F.col("error").isNull() & (F.col("known") | F.coalesce(F.col("first") < F.col("seq"), F.lit(False))))
         after = keep(after.select(*rows.columns, "late"), "judged")
         now = after.where("repeats").count()
         discard(rows)

@@ -15,8 +15,6 @@ comparisons between engines that add in different orders.
 
 from __future__ import annotations
 
-import hashlib
-import heapq
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -29,6 +27,7 @@ from pyspark.sql import functions as F
 
 from sextant.functions import scalars as S
 from sextant.functions import vectors as V
+from sextant.operators import permutation, ranks
 from sextant.sources.scratch import discard, held, keep, read_shard, write_shards
 
 #: Bytes of item vectors (and memory vectors) that a task holds at once.
@@ -172,44 +171,19 @@ def cosine_top_k(queries: DataFrame, items: DataFrame | Library, k: int, digits:
     return _merged(parts, ["query_id"], k).select("query_id", "rank", "item_id", "score")
 
 
-def _random(uri: str, k: int, seed: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            side = held(uri, _item_side)
-            if side is None:
-                continue
-            ids = [(x, x.encode()) for x in side[0].to_pylist()]
-            out: list[tuple] = []
-            for query, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                start = hashlib.sha256(f"{seed}:{key}:".encode())
-
-                def of(data: bytes, start=start) -> str:
-                    h = start.copy()
-                    h.update(data)
-                    return h.hexdigest()
-
-                out += [(query, n, x, h) for n, (h, x) in enumerate(heapq.nsmallest(k, ((of(data), x) for x, data in ids)), 1)]
-            columns = list(zip(*out, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.string()), strict=True)], ["query_id", "rank", "item_id", "h"])
-
-    return run
-
-
-def random_top_k(queries: DataFrame, items: DataFrame | Library, k: int, seed: int, key: str = "query_id", most: int = LIBRARY_BYTES) -> DataFrame:
+def random_top_k(queries: DataFrame, items: DataFrame, k: int, seed: int, key: str = "query_id") -> DataFrame:
     """A reproducible random ranking of each query, which depends on the seed and ``key`` alone.
 
-    Items are in order of the hashes of seed, key and item; tasks keep the k least of each shard.
+    Items are numbered by id; a query's items are the first images of its keyed permutation of
+    the numbers, so a query costs k items and not the library. Duplicate ids are an error.
     """
-    library = items if isinstance(items, Library) else prepare(items, most)
-    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col(key).cast("string").alias("k"))
-    parts = [asked.mapInArrow(_random(uri, k, seed), "query_id string, rank int, item_id string, h string") for uri in library.shards]
-    out = parts[0]
-    if len(parts) > 1:
-        for x in parts[1:]:
-            out = out.unionByName(x)
-        order = Window.partitionBy("query_id").orderBy("h", "item_id")
-        out = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return out.select("query_id", "rank", "item_id")
+    r = items.agg(F.count("*").alias("n"), F.countDistinct("item_id").alias("ids")).first()
+    if r.ids < r.n:
+        raise ValueError(f"library of {r.n} rows: {r.ids} distinct ids")
+    numbers = ranks.numbered(items.select("item_id"), [], ["item_id"], name="number")
+    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), permutation.first(k, r.n, F.col(key).cast("string"), seed).alias("x"))
+    found = asked.select("query_id", F.posexplode("x").alias("at", "number")).select("query_id", (F.col("at") + 1).alias("rank"), (F.col("number") + 1).alias("number"))
+    return found.join(numbers, "number").select("query_id", "rank", "item_id")
 
 
 Ranker = Callable[[DataFrame], DataFrame]

@@ -15,6 +15,7 @@ from sextant.plans.register import query
 from sextant.sources import tables as T
 from sextant.sources.scratch import keep, new_folder
 from sextant.streaming import jobs
+from sextant.streaming.corrections import CorrectionLog
 
 _CHECKED = """checked AS (SELECT c.*, list_filter([CASE WHEN trim(c.reason) = '' THEN 'blank reason' END, CASE WHEN m.memory_id IS NULL THEN 'unknown memory' END, CASE WHEN c.corrected_at < m.updated_at THEN 'before last update' END,
     CASE WHEN c.new_item_id IS NOT NULL AND i.item_id IS NULL THEN 'unknown item' END, CASE WHEN NOT (c.new_strength > 0 AND c.new_strength <= 1) THEN 'strength outside (0, 1]' END, CASE WHEN len(c.new_vector) <> 16 THEN 'bad vector' END], lambda x: x IS NOT NULL) AS errors
@@ -61,16 +62,41 @@ def correction_history(spark: SparkSession, d: str) -> DataFrame:
     return h.select("correction_id", "memory_id", "seq", "previous_item_id", "corrected_item_id", F.col("corrected_at").cast("timestamp_ntz").alias("corrected_at"), "resulting_count")
 
 
-@query(f"""WITH RECURSIVE {_CHECKED}, rws AS (SELECT c.seq, c.correction_id, c.memory_id, c.corrected_at, m.updated_at, c.errors, row_number() OVER (ORDER BY seq) AS k FROM checked c LEFT JOIN mem m USING (memory_id)),
+_JUDGED = f"""WITH RECURSIVE {_CHECKED}, rws AS (SELECT c.seq, c.correction_id, c.memory_id, c.corrected_at, m.updated_at, c.errors, row_number() OVER (ORDER BY seq) AS k FROM checked c LEFT JOIN mem m USING (memory_id)),
     fold(k, error, used, latest) AS (SELECT 0::BIGINT, NULL::VARCHAR, []::VARCHAR[], MAP {{}}::MAP(VARCHAR, TIMESTAMP) UNION ALL
       SELECT k, e, CASE WHEN e IS NULL THEN list_append(used, correction_id) ELSE used END, CASE WHEN e IS NULL THEN map_concat(latest, MAP {{memory_id: corrected_at}}) ELSE latest END
       FROM (SELECT r.k, f.used, f.latest, r.correction_id, r.memory_id, r.corrected_at, CASE WHEN len(r.errors) > 0 THEN array_to_string(r.errors, ', ') WHEN list_contains(f.used, r.correction_id) THEN 'duplicate correction_id' WHEN r.corrected_at < coalesce(f.latest[r.memory_id], r.updated_at) THEN 'before last update' END AS e FROM fold f JOIN rws r ON r.k = f.k + 1))
-    SELECT seq, memory_id, correction_id, error FROM fold JOIN rws USING (k)""")
+    SELECT seq, memory_id, correction_id, error FROM fold JOIN rws USING (k)"""
+
+
+@query(_JUDGED)
 def judged_corrections(spark: SparkSession, d: str) -> DataFrame:
     """Accepted and rejected corrections, as if applied one after another."""
     return M.judge_corrections(T.memory(spark, d), T.corrections(spark, d), T.items(spark, d), T.DIM)
 
 
+#: The fold of the judged corrections over each record: what an accepted one changed.
+_STREAMED = _JUDGED.replace("SELECT seq, memory_id, correction_id, error FROM fold JOIN rws USING (k)", """, j AS (SELECT seq, r.memory_id, r.correction_id, error FROM fold JOIN rws r USING (k)),
+    acc AS (SELECT c.seq, c.memory_id, coalesce(last_value(c.new_item_id IGNORE NULLS) OVER (PARTITION BY c.memory_id ORDER BY c.seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), m.item_id) AS previous_item_id,
+      coalesce(last_value(c.new_item_id IGNORE NULLS) OVER (PARTITION BY c.memory_id ORDER BY c.seq ROWS UNBOUNDED PRECEDING), m.item_id) AS corrected_item_id, CAST(row_number() OVER (PARTITION BY c.memory_id ORDER BY c.seq) AS INTEGER) AS resulting_count
+      FROM corr c JOIN j USING (seq) JOIN mem m ON m.memory_id = c.memory_id WHERE error IS NULL)
+    SELECT j.seq, j.memory_id, j.correction_id, j.error, previous_item_id, corrected_item_id, resulting_count FROM j LEFT JOIN acc USING (seq)""")
+
+
+@query(_STREAMED)
+def correction_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The audit of all corrections as a stream that arrives in four files, each a micro-batch."""
+    rows, source = keep(T.corrections(spark, d), "arriving"), new_folder(spark, "arrivals")
+    low, high = rows.agg(F.min("seq"), F.max("seq")).first()
+    for k in range(4 if low is not None else 0):
+        at = F.floor((F.col("seq") - low) * 4 / (high - low + 1))
+        rows.where(at == k).coalesce(1).write.mode("append").parquet(source)
+    log = CorrectionLog(keep(T.memory(spark, d), "start_memory"), keep(T.items(spark, d), "library_items"), T.DIM, new_folder(spark, "correction-log"), snapshot_every=2)
+    if low is not None:
+        log.start(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)).awaitTermination()
+    return log.audit().select("seq", "memory_id", "correction_id", "error", "previous_item_id", "corrected_item_id", "resulting_count")
+
+
 @query(f"WITH {_SINGLE} SELECT memory_id, unnest(list_filter([CASE WHEN memory_id LIKE '%1' THEN 'created_at changed' END, CASE WHEN memory_id LIKE '%6' THEN 'count reduced' END], lambda x: x IS NOT NULL)) AS problem FROM mem")
 def replacement_violations(spark: SparkSession, d: str) -> DataFrame:
     before = T.memory(spark, d)

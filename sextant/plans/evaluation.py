@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sextant.functions import vectors as V
 from sextant.operators import evaluation as E
 from sextant.operators import metrics, retrieval, ridge
-from sextant.plans.ranking import SEED, K, _training, fitted_sql, fixed_ridge, metrics_sql, predicted_sql, projected_sql, rank_sql, rounded_metrics, TRAINING
+from sextant.plans.ranking import SEED, K, _training, fitted_sql, fixed_ridge, metrics_sql, predicted_sql, projected_sql, random_sql, rank_sql, rounded_metrics, TRAINING
 from sextant.plans.register import query
 from sextant.sources import tables as T
 from sextant.sources.scratch import keep
@@ -33,7 +33,7 @@ def severe_differences(spark: SparkSession, d: str) -> DataFrame:
 GRADED = f"""WITH g AS (SELECT x.*, vq.tier, vq.latent_event_id FROM (SELECT 'mean_fusion' AS ranker, query_id, rank, item_id FROM {rank_sql('vq')} UNION ALL
     SELECT 'text_only', query_id, rank, item_id FROM {rank_sql('(SELECT observed_event_id AS query_id, text_vector AS vector FROM vw)')} UNION ALL
     SELECT 'ridge', query_id, rank, item_id FROM {rank_sql(projected_sql('vq', 'query_id', 'vector'))} UNION ALL
-    SELECT 'random', query_id, row_number() OVER (PARTITION BY query_id ORDER BY sha256(concat_ws(':', '{SEED}', latent_event_id, i.item_id)), i.item_id) AS rank, i.item_id FROM vq, items i QUALIFY rank <= {K}) x JOIN vq USING (query_id)),
+    SELECT 'random', * FROM {random_sql('vq', 'latent_event_id')}) x JOIN vq USING (query_id)),
     rr AS (SELECT ranker, tier, latent_event_id, coalesce(max(CASE WHEN g.item_id = t.item_id THEN 1.0::DOUBLE / rank END), 0) AS rr FROM g JOIN (SELECT query_id, item_id FROM vq) t USING (query_id) GROUP BY ALL),
     diff AS (SELECT a.ranker, a.tier || '_minus_' || b.tier AS contrast, a.latent_event_id, a.rr - b.rr AS difference FROM rr a JOIN rr b USING (ranker, latent_event_id) WHERE (a.tier, b.tier) IN (('mild', 'moderate'), ('moderate', 'severe'), ('mild', 'severe')))"""
 
@@ -50,7 +50,7 @@ def _graded(spark: SparkSession, d: str) -> DataFrame:
         "mean_fusion": lambda q: retrieval.cosine_top_k(q, items, K, 9),
         "text_only": lambda q: retrieval.cosine_top_k(text, items, K, 9),
         "ridge": lambda q: retrieval.cosine_top_k(q.withColumn("vector", fixed_ridge().predict(F.col("vector"))), items, K, 9),
-        "random": lambda q: retrieval.random_top_k(q, items, K, SEED, "latent_event_id"),
+        "random": lambda q: retrieval.random_top_k(q, T.items(spark, d), K, SEED, "latent_event_id"),
     }
     return retrieval.all_rankers(views, rankers)
 

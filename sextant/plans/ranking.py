@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sextant.functions import scalars as S
 from sextant.functions import vectors as V
 from sextant.operators import memory as M
-from sextant.operators import metrics, retrieval, ridge
+from sextant.operators import metrics, permutation, retrieval, ridge
 from sextant.plans.register import query
 from sextant.sources import tables as T
 from sextant.sources.scratch import keep
@@ -67,7 +67,14 @@ def cosine_by_expressions(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.cosine_expressions(T.queries_of(spark, d, "ood_test"), T.items(spark, d), 3, 9)
 
 
-RANDOM = f"(SELECT event_id AS query_id, item_id, row_number() OVER (PARTITION BY event_id ORDER BY sha256(concat_ws(':', '{SEED}', event_id, item_id)), item_id) AS rank FROM ev, items WHERE split IN ('validation', 'ood_test') QUALIFY rank <= {K})"
+def random_sql(queries: str, key: str) -> str:
+    """(query_id, rank, item_id): the first items of each query's keyed permutation."""
+    images = f"SELECT query_id, u.x AS x, n, {permutation.image_sql('u.x', key, SEED)} AS number FROM {queries} q, {permutation.sides_sql('items')} s, unnest(range(0, {K} + a * b - n)) AS u(x)"
+    first = f"SELECT query_id, number, row_number() OVER (PARTITION BY query_id ORDER BY x) AS rank FROM ({images}) WHERE number < n QUALIFY rank <= {K}"
+    return f"(SELECT query_id, rank, item_id FROM ({first}) JOIN (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS number FROM items) USING (number))"
+
+
+RANDOM = random_sql("(SELECT event_id AS query_id FROM ev WHERE split IN ('validation', 'ood_test'))", "query_id")
 
 
 @query(f"SELECT query_id, rank, item_id FROM {RANDOM}")
@@ -89,7 +96,7 @@ def _three(spark: SparkSession, d: str) -> DataFrame:
     e, items = keep(T.events(spark, d).where("split in ('validation', 'ood_test')").select("event_id", "text_vector", "fused"), "events"), retrieval.prepare(T.items(spark, d))
     by = lambda v: retrieval.cosine_top_k(e.select(F.col("event_id").alias("query_id"), v.alias("vector")), items, K, 9)
     fused = F.col("fused")
-    rankers = {"random": lambda q: retrieval.random_top_k(q, items, K, SEED), "text_only": lambda q: by(F.col("text_vector")), "mean_fusion": lambda q: by(fused), "ridge": lambda q: by(fixed_ridge().predict(fused))}
+    rankers = {"random": lambda q: retrieval.random_top_k(q, T.items(spark, d), K, SEED), "text_only": lambda q: by(F.col("text_vector")), "mean_fusion": lambda q: by(fused), "ridge": lambda q: by(fixed_ridge().predict(fused))}
     return retrieval.all_rankers(e.select(F.col("event_id").alias("query_id")), rankers)
 
 

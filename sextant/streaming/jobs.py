@@ -25,8 +25,9 @@ class Corrections(StatefulProcessor):
 
     A correction older than the record's last update is rejected: that is the rule for late data.
     Ids are unique inside a memory, looked up one by one in a map that may forget them after
-    ``keep_ids_ms``; ids across memories are dropped by ``drop_repeats`` within its watermark, where
-    the batch form looks at all of them.
+    ``keep_ids_ms``. Where an id may name corrections of several memories, use
+    ``corrections.CorrectionLog``, which judges as the batch form does. Corrections of
+    unknown memories come out rejected and leave no state.
     """
 
     def __init__(self, keep_ids_ms: int | None = None):
@@ -39,6 +40,10 @@ class Corrections(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values("seq")
         first = batch.iloc[0]
+        if not first["known"]:
+            batch["memory_id"] = key[0]
+            yield batch[["seq", "correction_id", "memory_id", "error"]].assign(item_id=None, strength=None, updated_at=pd.NaT, correction_count=None)
+            return
         names = ("item_id", "context_vector", "strength", "updated_at", "correction_count")
         state = dict(zip(names, self.state.get() if self.state.exists() else (first[n] for n in names), strict=True))
         state |= {"context_vector": list(state["context_vector"]), "strength": float(state["strength"]), "updated_at": pd.Timestamp(state["updated_at"]), "correction_count": int(state["correction_count"])}
@@ -71,5 +76,6 @@ def correct_stream(corrections: DataFrame, memory: DataFrame, items: DataFrame,
     ``keep_ids_ms``: how long a memory's used ids are held, so that state doesn't grow without end; for ever if None.
     """
     checked = M.correction_errors(corrections, memory, items, dim).withColumn("error", F.when(F.size("errors") > 0, F.array_join("errors", ", "))).drop("errors")
-    start = memory.select("memory_id", "item_id", "context_vector", "updated_at", "strength", "correction_count")
-    return checked.join(start, "memory_id").groupBy("memory_id").transformWithStateInPandas(Corrections(keep_ids_ms), AUDIT, "Append", "None" if keep_ids_ms is None else "ProcessingTime")
+    start = memory.select("memory_id", "item_id", "context_vector", "updated_at", "strength", "correction_count", F.lit(True).alias("known"))
+    both = checked.join(start, "memory_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    return both.groupBy("memory_id").transformWithStateInPandas(Corrections(keep_ids_ms), AUDIT, "Append", "None" if keep_ids_ms is None else "ProcessingTime")

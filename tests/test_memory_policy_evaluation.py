@@ -11,6 +11,8 @@ from sextant.operators import memory as M
 from sextant.operators.ranks import numbered
 from sextant.sources import exports, tables
 from sextant.streaming import jobs
+from sextant.streaming.corrections import VERSIONS as log_versions
+from sextant.streaming.corrections import CorrectionLog
 
 DATA = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables aren't there")
@@ -73,7 +75,7 @@ def test_corrections_are_folded_in_arrival_order(spark, memory, items):
 
 @pytest.mark.parametrize("keep_ids_ms", [None, 3_600_000])
 def test_stream_equals_batch_per_memory(spark, memory, items, tmp_path, keep_ids_ms):
-    rows = [r for r in ROWS if r[0] != 3]  # ids across memories need the watermark form
+    rows = [r for r in ROWS if r[0] != 3]  # ids across memories need the log of corrections
     source = str(tmp_path / "in")
     for k, part in enumerate((rows[:4], rows[4:])):
         corrections(spark, part).coalesce(1).write.parquet(f"{source}/part={k}")
@@ -89,10 +91,51 @@ def test_stream_equals_batch_per_memory(spark, memory, items, tmp_path, keep_ids
                 break
         run.stop()
     got = {r.seq: r.error for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    want = {r.seq: r.error for r in M.judge_corrections(memory, corrections(spark, rows), items, 2).collect() if r.memory_id != "m9"}
+    want = {r.seq: r.error for r in M.judge_corrections(memory, corrections(spark, rows), items, 2).collect()}
     assert {s for s, e in got.items() if e} == {s for s, e in want.items() if e} and set(got) == set(want)
 
 
+def audit_of(df):
+    return {r.seq: (r.memory_id, r.correction_id, r.error) for r in df.collect()}
+
+
+@pytest.mark.parametrize("sizes", [(9,), (4, 5), (1,) * 9])
+def test_the_correction_log_equals_the_batch(spark, memory, items, tmp_path, sizes):
+    source, rows = str(tmp_path / "in"), list(ROWS)
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(corrections(spark, rows).schema).option("maxFilesPerTrigger", 1).parquet(source)
+    log = CorrectionLog(memory, items, 2, str(tmp_path / "log"), "f" * 64, snapshot_every=3)
+    for n in sizes:
+        corrections(spark, rows[:n]).coalesce(1).write.mode("append").parquet(source)
+        rows = rows[n:]
+        log.start(stream).awaitTermination()  # started again for each file, from its checkpoint
+    assert audit_of(log.audit()) == audit_of(M.judge_corrections(memory, corrections(spark, ROWS), items, 2))
+    assert {s for s, x in audit_of(log.audit()).items() if x[2]} == REJECTED
+    accepted = corrections(spark, [r for r in ROWS if r[0] not in REJECTED])
+    state = lambda df: {r.memory_id: (r.item_id, r.context_vector, r.strength, r.updated_at, r.correction_count, r.active, r.created_at) for r in df.collect()}
+    assert state(log.current()) == state(M.apply_corrections(memory, accepted))
+    told = {r.seq: (r.previous_item_id, r.corrected_item_id, r.resulting_count) for r in log.audit().where("error is null").collect()}
+    assert told == {r.seq: (r.previous_item_id, r.corrected_item_id, r.resulting_count) for r in M.history(memory, accepted, "f" * 64).collect()}
+
+
+def test_a_batch_that_is_judged_again_counts_once(spark, memory, items, tmp_path):
+    log = CorrectionLog(memory, items, 2, str(tmp_path / "log"), snapshot_every=1)
+    for number, part in ((0, ROWS[:4]), (1, ROWS[4:]), (1, ROWS[4:]), (2, [])):
+        log.apply(corrections(spark, part), number)
+    assert audit_of(log.audit()) == audit_of(M.judge_corrections(memory, corrections(spark, ROWS), items, 2))
+    assert {r.memory_id: r.correction_count for r in log.current().collect()} == {"m1": 2, "m2": 1, "m3": 0}
+    (tmp_path / "log/records/batch=1/_SUCCESS").unlink()  # a batch that broke off isn't read
+    assert {r.memory_id: r.correction_count for r in log._log("records", log_versions, 9).collect()} == {"m1": 2, "m2": 1}
+
+
+def test_ids_are_forgotten_after_a_while(spark, memory, items, tmp_path):
+    log = CorrectionLog(memory, items, 2, str(tmp_path / "log"), forget="2 days", snapshot_every=1)
+    log.apply(corrections(spark, [(1, "c1", "m1", t(2), "r", "y", None, None)]), 0)
+    log.apply(corrections(spark, [(2, "c2", "m1", t(10), "r", "x", None, None), (3, "c1", "m1", t(11), "r", "x", None, None)]), 1)
+    log.apply(corrections(spark, [(4, "c1", "m2", t(11), "r", "x", None, None), (5, "c2", "m2", t(12), "r", "x", None, None)]), 2)
+    assert {s for s, x in audit_of(log.audit()).items() if x[2]} == {3, 5}
+
+
 def test_as_of_and_decoys(spark, memory):
     versions = spark.createDataFrame([("m1", t(1), "a"), ("m1", t(5), "b")], "memory_id string, updated_at timestamp, item_id string")
     q = spark.createDataFrame([("m1", t(4)), ("m1", t(5)), ("m2", t(4))], "memory_id string, as_of timestamp")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sextant.functions import vectors as V
-from sextant.operators import leakage, metrics, retrieval, ridge, validation
+from sextant.operators import leakage, metrics, permutation, retrieval, ridge, validation
 
 LIBRARY = [("a", 0, [1.0, 0.0]), ("b", 1, [0.0, 1.0]), ("c", 2, [-1.0, 0.0])]
 
@@ -125,7 +125,7 @@ def test_memories_and_random_rankings_in_shards(spark, items):
         scored = [(-round(float(np.clip(u @ (np.array(m.context_vector) / np.linalg.norm(m.context_vector)), 0, 1)) * m.strength * float(np.exp(-0.01 * 31)), 9), m.item_id, m.memory_id) for m in memory.where("active").collect()]
         assert [x[2] for x in sorted(scored)[:5]] == [m for i, _, m, _ in whole if i == r.query_id]
     lib = spark.createDataFrame([(f"i{k:03d}", 0, [1.0, float(k)]) for k in range(50)], "item_id string, family_id int, item_vector array<double>")
-    assert ranking(retrieval.random_top_k(q, lib, 4, 3)) == ranking(retrieval.random_top_k(q.repartition(3), lib, 4, 3, most=1000))
+    assert ranking(retrieval.random_top_k(q, lib, 4, 3)) == ranking(retrieval.random_top_k(q.repartition(3), lib.repartition(5), 4, 3))
 
 
 def test_ranking_problems(spark):
@@ -157,3 +157,28 @@ def test_hybrid_shards_and_zero_memory_tail(spark, items):
         rows = retrieval.hybrid_top_k(q, items, memory, cells, 3, None, most).orderBy("cell", "rank").collect()
         assert [r.item_id for r in rows if r.cell == "m"] == ["b", "a", "c"]  # the tail of zeros follows the ids
         assert [r.item_id for r in rows if r.cell == "l"] == ["a", "b", "c"]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 50, 101, 4096, 5003])
+def test_a_keyed_permutation_has_every_number_once(spark, n):
+    a, b = permutation.sides(n)
+    assert n <= a * b < n + a
+    got = spark.createDataFrame([("x",), ("y",), ("z",)], "k string").select(permutation.first(n, n, F.col("k"), 5).alias("p"), permutation.first(4, n, F.col("k"), 5).alias("few")).collect()
+    assert all(sorted(r.p) == list(range(n)) and r.few == r.p[:4] for r in got)
+    assert n < 50 or len({tuple(r.p) for r in got}) == 3
+
+
+def test_first_images_are_spread_evenly(spark):
+    first = spark.range(4000).select(permutation.first(1, 10, F.col("id").cast("string"), 1)[0].alias("x")).groupBy("x").count().collect()
+    assert len(first) == 10 and all(300 < r["count"] < 500 for r in first)
+    plan = spark.range(9).select(permutation.first(3, 1000, F.col("id").cast("string"), 1))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_random_rankings_are_whole_and_need_distinct_ids(spark):
+    lib = spark.createDataFrame([(f"i{k:03d}",) for k in range(23)], "item_id string")
+    q = spark.createDataFrame([("a",), ("b",)], "query_id string")
+    got = retrieval.random_top_k(q, lib, 50, 9).collect()
+    assert len(got) == 46 and all(len({r.item_id for r in got if r.query_id == x}) == 23 and sorted(r["rank"] for r in got if r.query_id == x) == list(range(1, 24)) for x in "ab")
+    with pytest.raises(ValueError):
+        retrieval.random_top_k(q, lib.union(lib), 3, 9)
