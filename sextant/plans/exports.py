@@ -14,7 +14,7 @@ from sextant.plans.ranking import THREE, _three
 from sextant.plans.register import query
 from sextant.sources import exports
 from sextant.sources import tables as T
-from sextant.sources.scratch import new_folder
+from sextant.sources.scratch import keep, new_folder
 
 
 @query("SELECT item_id, family_id, list_transform(item_vector, lambda x: round(x, 9) + 0.0) AS item_vector FROM items")
@@ -45,6 +45,30 @@ def table_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return exports.fingerprint(T.table(spark, d, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
 
 
+_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+_LEAVES = """SELECT substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 3) AS prefix, count(*) AS rows, CAST(sum(CAST(CAST('0x' || substr(sha256(CAST(to_json({{'o_custkey': o_custkey, 'o_orderkey': o_orderkey, 'o_orderpriority': o_orderpriority, 'o_orderstatus': o_orderstatus}}) AS VARCHAR)), 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS total FROM {0} GROUP BY 1"""
+
+
+@query(_LEAVES.format("orders"))
+def table_hash_tree(spark: SparkSession, d: str) -> DataFrame:
+    """The leaves of the hash tree of orders."""
+    return exports.leaves(T.table(spark, d, "orders").select(*_COLUMNS), "o_orderkey")
+
+
+_TAMPERED = "(SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 997 = 5 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 991 <> 7 UNION ALL SELECT o_orderkey + 100000000, o_custkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 983 = 3)"
+
+
+@query(f"WITH a AS ({_LEAVES.format('orders')}), b AS ({_LEAVES.format(_TAMPERED)}) SELECT prefix, coalesce(a.rows, 0) AS rows_kept, coalesce(b.rows, 0) AS rows_found FROM a FULL JOIN b USING (prefix) WHERE a.total IS DISTINCT FROM b.total OR a.rows IS DISTINCT FROM b.rows")
+def tampered_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """The ranges of key hashes in which orders were changed, removed or added."""
+    orders = T.table(spark, d, "orders").select(*_COLUMNS)
+    k = F.col("o_orderkey")
+    other = orders.where(k % 991 != 7).withColumn("o_orderstatus", F.when(k % 997 == 5, "X").otherwise(F.col("o_orderstatus")))
+    other = other.unionByName(orders.where(k % 983 == 3).withColumn("o_orderkey", k + 100_000_000))
+    kept, found = (keep(exports.leaves(x, "o_orderkey"), "leaves") for x in (orders, other))
+    return exports.changed_ranges(kept, found)
+
+
 @query("SELECT (SELECT count(*) FROM ev) AS event_count, (SELECT count(*) FROM items) AS item_count, (SELECT count(*) FROM ev WHERE split = 'train') AS train, (SELECT count(*) FROM ev WHERE split = 'validation') AS validation, (SELECT count(*) FROM ev WHERE split = 'ood_test') AS ood_test, TRUE AS passed")
 def dataset_manifest(spark: SparkSession, d: str) -> DataFrame:
     m = exports.manifest(T.items(spark, d), T.events(spark, d).drop("fused"))

@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import os
 
 import numpy as np
@@ -329,11 +330,54 @@ def test_export_needs_a_clean_audit_and_tampering_shows(spark, tmp_path):
     folder = f"file://{tmp_path}/data"
     exports.export_dataset(items, events, folder, "parquet")
     schemas = [", ".join(f"{f.name} {f.dataType.simpleString()}" for f in x.schema) for x in (items, events)]
-    assert exports.verify_export(spark, folder, *schemas, "parquet") == []
-    with pytest.raises(Exception, match="ALREADY_EXISTS|already exists"):
+    assert exports.verify_export(spark, folder, *schemas) == []
+    assert all(x.isEmpty() for x in exports.tampering(spark, folder, "items", schemas[0]))
+    with pytest.raises(ValueError, match="already exists"):
         exports.export_dataset(items, events, folder, "parquet")
-    items.where("item_no > 0").write.mode("overwrite").parquet(f"{folder}/items")
-    assert exports.verify_export(spark, folder, *schemas, "parquet") == ["items"]
+    data = tmp_path / "data" / exports.read_manifest(spark, folder)["data"] / "items"
+    # a table that is changed by hand: one row removed, one changed, one added
+    new = items.where("item_no > 0").withColumn("family_id", F.when(F.col("item_no") == 5, 99).otherwise(F.col("family_id"))).unionByName(items.where("item_no = 10").withColumn("item_id", F.lit("added")))
+    new.write.parquet(f"file://{tmp_path}/new")
+    first = sorted(x for x in data.iterdir() if x.suffix == ".parquet")
+    gone = {x.name for x in first}
+    for x in first:
+        x.unlink()
+    for x in (tmp_path / "new").iterdir():
+        if x.suffix == ".parquet":
+            x.rename(data / x.name)
+    assert exports.verify_export(spark, folder, *schemas) == ["items"]
+    ranges, files = exports.tampering(spark, folder, "items", schemas[0])
+    prefix = lambda x: hashlib.sha256(x.encode()).hexdigest()[: exports.DIGITS]
+    got = {r.prefix: (r.rows_kept, r.rows_found) for r in ranges.collect()}
+    assert set(got) == {prefix(x) for x in ("item-000000", "item-000005", "added")} and got[prefix("item-000005")][0] == got[prefix("item-000005")][1]
+    assert {r.file for r in files.where("rows_found is null").collect()} == gone
     moved = events.unionByName(events.limit(1).withColumn("split", F.lit("ood_test")))
     with pytest.raises(ValueError):
         exports.export_dataset(items, moved, f"file://{tmp_path}/other")
+    assert not (tmp_path / "other").exists()
+
+
+@needs_data
+def test_an_export_that_breaks_off_leaves_the_old_one_whole(spark, tmp_path, monkeypatch):
+    items, events = tables.items(spark, DATA), tables.events(spark, DATA).drop("fused")
+    folder = f"file://{tmp_path}/data"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.schema)
+    with pytest.raises(FileNotFoundError):
+        exports.read_export(spark, folder, "items", schema)
+    exports.export_dataset(items, events, folder, "parquet")
+    n, old, plain = items.count(), exports.read_manifest(spark, folder), exports.write
+
+    def breaks(table, path, *more, **named):
+        if path.endswith("/events"):
+            raise OSError("the disk is full")
+        plain(table, path, *more, **named)
+
+    monkeypatch.setattr(exports, "write", breaks)
+    fewer = items.join(events.select(F.col("target_item_id").alias("item_id")), "item_id", "left_semi")
+    with pytest.raises(OSError):
+        exports.export_dataset(fewer, events, folder, "parquet", overwrite=True)
+    assert exports.read_manifest(spark, folder) == old and exports.read_export(spark, folder, "items", schema).count() == n
+    monkeypatch.setattr(exports, "write", plain)
+    exports.export_dataset(fewer, events, folder, "parquet", overwrite=True)
+    assert exports.read_manifest(spark, folder)["data"] != old["data"] and not (tmp_path / "data" / old["data"]).exists()
+    assert exports.read_export(spark, folder, "items", schema).count() == fewer.count() == exports.read_manifest(spark, folder)["item_count"]
