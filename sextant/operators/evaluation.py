@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, GroupedData, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sextant.functions import scalars as S
 from sextant.functions import vectors as V
 from sextant.operators.ranks import numbered
+from sextant.sources.scratch import held, keep, read_shard, write_shards
 
 # Tiers with their strength and seed, and the contrasts between them.
 TIERS = (("mild", 0.25, 7001), ("moderate", 0.50, 8001), ("severe", 1.0, 9001))
@@ -188,45 +191,77 @@ def holm(tests: DataFrame, family: list[str], order: list[str], p: str = "p") ->
     return tests.withColumn("_s", step).withColumn("p_holm", F.least(F.lit(1.0), F.max("_s").over(ranked.rowsBetween(Window.unboundedPreceding, 0)))).drop("_s")
 
 
-#: Rows in a block; bins of squared distances (unit vectors: 0 to 4) in each pass, and passes, that find the median.
+#: Rows in a shard; bins of squared distances (unit vectors: 0 to 4) in each pass, and passes, that find the median.
 MMD_BLOCK, MMD_BINS, MMD_TOP, MMD_PASSES = 512, 20_000, 4.0, 3
+#: Permutations whose sums a task takes at once.
+MMD_COLUMNS = 1024
+#: Standard deviations around the expected least hash of the first side within which it is looked for.
+MMD_SPREAD = 8.0
 
 
-def _distances(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Squared distances of a pair of blocks, and which kind of pair each is (0: aa, 1: bb, 2: ab); a pair counts once."""
-    side = rows.column("side").to_numpy()
-    p = np.array(rows.column("p").to_pylist())
-    v = np.array(rows.column("v").to_pylist(), float)
-    a, b = side == 0, side == 1
-    same = not b.any()
-    b = a if same else b
-    d = np.maximum(0, (v[a] ** 2).sum(1)[:, None] + (v[b] ** 2).sum(1)[None] - 2 * v[a] @ v[b].T)
-    kind = np.where(p[a][:, None] & p[b][None], 0, np.where(~p[a][:, None] & ~p[b][None], 1, 2))
+class _Shard:
+    """Vectors, sides and packed signs of a shard's rows."""
+
+    def __init__(self, rows: pa.Table | None):
+        n = 0 if rows is None else rows.num_rows
+        self.v = np.array(rows.column("v").to_pylist(), float) if n else np.zeros((0, 0))
+        self.p = np.array(rows.column("p").to_pylist(), bool) if n else np.zeros(0, bool)
+        self.bits = np.array([np.frombuffer(x, np.uint8) for x in rows.column("bits").to_pylist()]) if n and "bits" in rows.column_names else None
+
+
+def _squared(a: _Shard, b: _Shard) -> np.ndarray:
+    return np.maximum(0, (a.v**2).sum(1)[:, None] + (b.v**2).sum(1)[None] - 2 * a.v @ b.v.T)
+
+
+def _distances(a: _Shard, b: _Shard, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances of two shards, and which kind of pair each is (0: aa, 1: bb, 2: ab); a pair counts once."""
+    d = _squared(a, b)
+    kind = np.where(a.p[:, None] & b.p[None], 0, np.where(~a.p[:, None] & ~b.p[None], 1, 2))
     if same:
         i, j = np.triu_indices(len(d), 1)
         return d[i, j], kind[i, j]
     return d.ravel(), kind.ravel()
 
 
+def _over_pairs(spark: SparkSession, uris: list[str], each: Callable[[Iterator[tuple[_Shard, _Shard, bool]]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``each`` over all pairs of shards of a task. Tasks read the shards of the pairs dealt to them, so rows are neither copied nor shuffled."""
+    n = len(uris)
+    folder = uris[0].rpartition("/")[0]
+    units = spark.range(0, n * n, 1, min(n * n, 4 * spark.sparkContext.defaultParallelism)).where(F.expr(f"id div {n} <= id % {n}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs() -> Iterator[tuple[_Shard, _Shard, bool]]:
+            for batch in batches:
+                for unit in batch.column(0).to_pylist():
+                    i, j = divmod(unit, n)
+                    a = held(f"{folder}/shard={i}", _Shard)
+                    b = a if i == j else _Shard(read_shard(f"{folder}/shard={j}"))
+                    if len(a.v) and len(b.v):
+                        yield a, b, i == j
+
+        yield from each(pairs())
+
+    return units.mapInArrow(run, schema)
+
+
 def _histogram(spans: tuple[tuple[float, float], ...]):
     """Counts of the positive distances in the bins of each (low, width)."""
 
-    def run(t: pa.Table) -> pa.Table:
-        d = _distances(t)[0]
-        parts = []
-        for k, (low, width) in enumerate(spans):
-            inside = d[(d > 0) & (d >= low) & ((d < low + width) | (low + width >= MMD_TOP))]
-            n = np.bincount(np.minimum(((inside - low) * (MMD_BINS / width)).astype(int), MMD_BINS - 1), minlength=MMD_BINS)
-            at = np.flatnonzero(n)
-            parts.append((np.full(len(at), k), at, n[at]))
-        span, at, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        return pa.table({"span": pa.array(span, pa.int32()), "bin": pa.array(at, pa.int64()), "n": pa.array(n, pa.int64())})
+    def run(pairs: Iterator[tuple[_Shard, _Shard, bool]]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((len(spans), MMD_BINS), np.int64)
+        for pair in pairs:
+            d = _distances(*pair)[0]
+            for k, (low, width) in enumerate(spans):
+                inside = d[(d > 0) & (d >= low) & ((d < low + width) | (low + width >= MMD_TOP))]
+                counts[k] += np.bincount(np.minimum(((inside - low) * (MMD_BINS / width)).astype(int), MMD_BINS - 1), minlength=MMD_BINS)
+        span, at = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(span, pa.int32()), pa.array(at, pa.int64()), pa.array(counts[span, at])], ["span", "bin", "n"])
 
     return run
 
 
-def _median(grouped: GroupedData, passes: int) -> float:
-    """The median of the positive distances of all pairs of blocks, to MMD_TOP / MMD_BINS ** passes; 1 if there is none.
+def _median(spark: SparkSession, uris: list[str], passes: int) -> float:
+    """The median of the positive distances of all pairs, to MMD_TOP / MMD_BINS ** passes; 1 if there is none.
 
     Each pass counts distances in the bins of the interval that holds the median (of both middle
     values, where their number is even); only these counts reach the driver.
@@ -234,7 +269,7 @@ def _median(grouped: GroupedData, passes: int) -> float:
     spans, ranks = [(0.0, MMD_TOP)], [None]
     for _ in range(passes):
 
-        counts = grouped.applyInArrow(_histogram(tuple(spans)), "span int, bin long, n long").groupBy("span", "bin").agg(F.sum("n").alias("n")).orderBy("span", "bin").collect()
+        counts = _over_pairs(spark, uris, _histogram(tuple(spans)), "span int, bin long, n long").groupBy("span", "bin").agg(F.sum("n").alias("n")).orderBy("span", "bin").collect()
         if not counts:
             return 1.0
         if ranks == [None]:
@@ -254,67 +289,162 @@ def _median(grouped: GroupedData, passes: int) -> float:
     return max(sum(low + width / 2 for low, width in spans) / 2, V.EPSILON)
 
 
+def _two_sides(rows: DataFrame, vector: str, first: str, second: str) -> tuple[DataFrame, int, int]:
+    """(event_id, p: of the first side, v) of two splits, and the sizes of both."""
+    wanted = rows.where(F.col("split").isin(first, second)).select("event_id", (F.col("split") == first).alias("p"), F.col(vector).alias("v"))
+    sides = keep(wanted, "mmd_sides")
+    return sides, *(int(x) for x in sides.agg(F.count_if("p"), F.count_if(~F.col("p"))).first())
+
+
+def _shards(rows: DataFrame, n: int, block: int) -> list[str]:
+    return write_shards(rows, "mmd_shards", n, block, F.col("event_id"), ["event_id"])
+
+
 def mmd_blocked(rows: DataFrame, vector: str, first: str, second: str, block: int = MMD_BLOCK, passes: int = MMD_PASSES, digits: int | None = None) -> DataFrame:
-    """(mmd2, bandwidth2): biased RBF MMD squared of two splits of unit vectors, from pairs of blocks: no pair leaves its task.
+    """(mmd2, bandwidth2): biased RBF MMD squared of two splits of unit vectors, from pairs of shards: only sums leave a task.
 
     The bandwidth is the median of the positive squared distances.
     """
-    held = rows.where(F.col("split").isin(first, second)).select(F.xxhash64("event_id").alias("h"), (F.col("split") == first).alias("p"), F.col(vector).alias("v"))
-    n_first, n_second = held.agg(F.count_if("p"), F.count_if(~F.col("p"))).first()
-    blocks = max(1, -(-(n_first + n_second) // block))
-    placed = held.withColumn("b", F.expr(f"pmod(h, {blocks})")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    grouped = placed.select(F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side"), "p", "v").groupBy("i", "j")
-    bandwidth = _median(grouped, passes)
-
-    def kernels(t: pa.Table) -> pa.Table:
-        d, kind = _distances(t)
-        return pa.table({"kind": pa.array([0, 1, 2], pa.int32()), "s": pa.array(np.bincount(kind, np.exp(-d / (2 * bandwidth)), 3))})
-
-    s = {r.kind: r.s for r in grouped.applyInArrow(kernels, "kind int, s double").groupBy("kind").agg(F.sum("s").alias("s")).collect()}
+    spark = rows.sparkSession
+    sides, n_first, n_second = _two_sides(rows, vector, first, second)
+    uris = _shards(sides, n_first + n_second, block)
+    bandwidth = _median(spark, uris, passes)
+
+    def kernels(pairs: Iterator[tuple[_Shard, _Shard, bool]]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(3)
+        for pair in pairs:
+            d, kind = _distances(*pair)
+            sums += np.bincount(kind, np.exp(-d / (2 * bandwidth)), 3)
+        yield pa.RecordBatch.from_arrays([pa.array([0, 1, 2], pa.int32()), pa.array(sums)], ["kind", "s"])
+
+    s = {r.kind: r.s for r in _over_pairs(spark, uris, kernels, "kind int, s double").groupBy("kind").agg(F.sum("s").alias("s")).collect()}
     aa = (2 * s.get(0, 0.0) + n_first) / max(1, n_first**2)
     bb = (2 * s.get(1, 0.0) + n_second) / max(1, n_second**2)
     ab = s.get(2, 0.0) / max(1, n_first * n_second)
     r = (lambda x: x) if digits is None else (lambda x: round(x, digits) + 0.0)
-    return rows.sparkSession.createDataFrame([(r(max(0.0, aa + bb - 2 * ab)), r(bandwidth))], "mmd2 double, bandwidth2 double")
+    return spark.createDataFrame([(r(max(0.0, aa + bb - 2 * ab)), r(bandwidth))], "mmd2 double, bandwidth2 double")
+
+
+def mmd_estimate(rows: DataFrame, vector: str, first: str, second: str, bandwidth2: float, features: int = 1024, seed: int = 5151) -> DataFrame:
+    """(mmd2, error): the RBF MMD squared by random Fourier features, for sizes where all pairs are too many.
+
+    One pass takes the sums of ``features`` random waves over each side; a wave's squared distance of
+    the sides' means is an unbiased value of MMD squared, and ``error`` is the standard error of
+    their mean. An empty side gives null.
+    """
+    rng_of = np.random.default_rng
+
+    def waves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, counts = np.zeros((2, 2 * features)), np.zeros(2, np.int64)
+        w = None
+        for batch in batches:
+            v, p = np.array(batch.column(1).to_pylist(), float), np.array(batch.column(0).to_pylist(), bool)
+            if not len(v):
+                continue
+            w = rng_of(seed).normal(size=(v.shape[1], features)) / math.sqrt(bandwidth2) if w is None else w
+            x = v @ w
+            waves = np.hstack([np.cos(x), np.sin(x)])
+            for k in (0, 1):
+                sums[k] += waves[p == (k == 0)].sum(0)
+                counts[k] += (p == (k == 0)).sum()
+        for k in (0, 1):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array(counts[k : k + 1]), pa.array([sums[k]], pa.list_(pa.float64()))], ["side", "n", "s"])
+
+    both = rows.where(F.col("split").isin(first, second)).select((F.col("split") == first).alias("p"), F.col(vector).alias("v"))
+    parts = both.mapInArrow(waves, "side int, n long, s array<double>").select("side", "n", F.posexplode("s").alias("j", "x"))
+    means = parts.groupBy("j").pivot("side", [0, 1]).agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+    apart = means.select((F.col("j") % features).alias("j"), F.pow(F.try_divide("0_x", "0_n") - F.try_divide("1_x", "1_n"), F.lit(2)).alias("d")).groupBy("j").agg(F.sum("d").alias("d"))
+    return apart.agg(F.avg("d").alias("mmd2"), (F.stddev_samp("d") / math.sqrt(features)).alias("error"))
+
+
+def _prefix(seed: int, k: int, events: list[bytes]) -> np.ndarray:
+    """The first 63 bits of the hashes that order events in a permutation."""
+    start = hashlib.sha256(f"{seed}:{k}:".encode())
+    out = np.empty(len(events), np.int64)
+    for i, e in enumerate(events):
+        h = start.copy()
+        h.update(e)
+        out[i] = int.from_bytes(h.digest()[:8], "big") >> 1
+    return out
+
+
+def _selected(sides: DataFrame, n_first: int, n: int, permutations: int, seed: int) -> np.ndarray:
+    """The n_first-th least hash of each permutation (from 1).
+
+    Hashes are even, so that one lies within some standard deviations of its share. Tasks hand on how
+    many of their hashes are below that interval and which are inside it: about the root of n of them.
+    The interval is widened until it holds all that are looked for.
+    """
+    share = n_first / n
+    spread = MMD_SPREAD * math.sqrt(share * (1 - share) / n) + 2 / n
+    out, todo = np.full(permutations + 1, -1, np.int64), list(range(1, permutations + 1))
+    while todo:
+        low, high = (max(0, min((1 << 63) - 1, int(x * (1 << 63)))) for x in (share - spread, share + spread))
+
+        def inside(batches: Iterator[pa.RecordBatch], low: int = low, high: int = high, todo: tuple[int, ...] = tuple(todo)) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                events = [x.encode() for x in batch.column(0).to_pylist()]
+                below, near = [], []
+                for k in todo:
+                    h = _prefix(seed, k, events)
+                    below.append(int((h < low).sum()))
+                    near.append(h[(h >= low) & (h <= high)])
+                yield pa.RecordBatch.from_arrays([pa.array(todo, pa.int32()), pa.array(below, pa.int64()), pa.array(near, pa.list_(pa.int64()))], ["k", "below", "near"])
+
+        found = sides.select("event_id").mapInArrow(inside, "k int, below long, near array<long>").groupBy("k").agg(F.sum("below").alias("below"), F.sort_array(F.flatten(F.collect_list("near"))).alias("near"))
+        place = F.lit(n_first) - F.col("below")
+        for r in found.select("k", F.when((place >= 1) & (place <= F.size("near")), F.element_at("near", place.cast("int"))).alias("h")).collect():
+            out[r.k] = -1 if r.h is None else r.h
+        todo, spread = [k for k in todo if out[k] < 0], 4 * spread
+    return out
 
 
 def mmd_permutation_test(rows: DataFrame, vector: str, first: str, second: str, permutations: int = 200, seed: int = 5151, block: int = MMD_BLOCK) -> DataFrame:
     """(mmd2, p): whether two splits differ more than random divisions of the same sizes.
 
     In each permutation the events with the least hashes of (seed, permutation, event) are the
-    first side. All divisions share one pass over the kernel's blocks; the bandwidth is that of
-    ``mmd_blocked``. The given division counts as one permutation.
+    first side: those up to the hash that ``_selected`` finds, so nothing is sorted or numbered. Each event's sides in
+    all permutations are packed bits in its shard. All divisions share one pass over pairs of
+    shards; the bandwidth is that of ``mmd_blocked``. The given division counts as one permutation.
     """
     spark = rows.sparkSession
-    held = rows.where(F.col("split").isin(first, second)).select("event_id", (F.col("split") == first).alias("p"), F.col(vector).alias("v"))
-    n_first, n = held.agg(F.count_if("p"), F.count("*")).first()
-    width = mmd_blocked(rows, vector, first, second, block).first().bandwidth2
-    each = held.select("event_id", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("k"))
-    placed = numbered(each, ["k"], [S.hash_order(seed, F.col("k"), F.col("event_id")), "event_id"])
-    sides = placed.groupBy("event_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", (F.col("n") <= n_first).alias("z")))), lambda x: x["z"]).alias("z"))
-    blocks = max(1, -(-n // block))
-    labelled = held.join(sides, "event_id").withColumn("z", F.concat(F.array("p"), "z")).withColumn("b", F.expr(f"pmod(xxhash64(event_id), {blocks})"))
-    pairs = labelled.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    grouped = pairs.select(F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side"), "z", "v").groupBy("i", "j")
-
-    def sums(t: pa.Table) -> pa.Table:
-        side, z, v = t.column("side").to_numpy(), np.array(t.column("z").to_pylist(), float), np.array(t.column("v").to_pylist(), float)
-        a, b = side == 0, side == 1
-        same = not b.any()
-        b = a if same else b
-        kernel = np.exp(-np.maximum(0, (v[a] ** 2).sum(1)[:, None] + (v[b] ** 2).sum(1)[None] - 2 * v[a] @ v[b].T) / (2 * width))
-        both = ((kernel @ z[b]) * z[a]).sum(0) * (1 if same else 2)  # within the first side
-        one = kernel.sum(1) @ z[a] if same else kernel.sum(1) @ z[a] + kernel.sum(0) @ z[b]  # of the first side with all
-        return pa.table({"k": pa.array(range(len(both)), pa.int32()), "aa": pa.array(both), "a": pa.array(one), "t": pa.array([kernel.sum() * (1 if same else 2)] * len(both))})
-
-    s = grouped.applyInArrow(sums, "k int, aa double, a double, t double").groupBy("k").agg(F.sum("aa").alias("aa"), F.sum("a").alias("a"), F.sum("t").alias("t"))
-    m, o = float(n_first), float(n - n_first)
-    value = F.col("aa") / (m * m) + (F.col("t") - 2 * F.col("a") + F.col("aa")) / (o * o) - 2 * (F.col("a") - F.col("aa")) / (m * o)
-    tested = s.select("k", F.greatest(F.lit(0.0), value).alias("mmd2"))
-    given = tested.where("k = 0").select(F.col("mmd2").alias("given")).first()
-    if given is None:
+    sides, n_first, n_second = _two_sides(rows, vector, first, second)
+    n = n_first + n_second
+    if not n_first or not n_second:
         return spark.createDataFrame([], "mmd2 double, p double")
-    return tested.agg(F.lit(given[0]).alias("mmd2"), F.avg((F.col("mmd2") >= given[0] - 1e-12).cast("double")).alias("p"))
+    edges = _selected(sides, n_first, n, permutations, seed)
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            events, p = [x.encode() for x in batch.column(0).to_pylist()], np.array(batch.column(1).to_pylist(), bool)
+            packed = np.zeros((len(events), -(-(permutations + 1) // 8)), np.uint8)
+            for k in range(permutations + 1):
+                z = p if k == 0 else _prefix(seed, k, events) <= edges[k]
+                packed[:, k // 8] |= z.astype(np.uint8) << np.uint8(7 - k % 8)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.tobytes() for x in packed], pa.binary())], ["event_id", "p", "v", "bits"])
+
+    labelled = sides.mapInArrow(signed, "event_id string, p boolean, v array<double>, bits binary")
+    uris = _shards(labelled, n, block)
+    width = _median(spark, uris, MMD_PASSES)
+
+    def sums(pairs: Iterator[tuple[_Shard, _Shard, bool]]) -> Iterator[pa.RecordBatch]:
+        both, one, total = np.zeros(permutations + 1), np.zeros(permutations + 1), 0.0
+        for a, b, same in pairs:
+            kernel = np.exp(-_squared(a, b) / (2 * width))
+            total += kernel.sum() * (1 if same else 2)
+            for k in range(0, permutations + 1, MMD_COLUMNS):
+                at = slice(k, min(k + MMD_COLUMNS, permutations + 1))
+                za, zb = (np.unpackbits(x.bits[:, k // 8 : -(-at.stop // 8)], axis=1)[:, : at.stop - k].astype(float) for x in (a, b))
+                both[at] += ((kernel @ zb) * za).sum(0) * (1 if same else 2)  # within the first side
+                one[at] += kernel.sum(1) @ za if same else kernel.sum(1) @ za + kernel.sum(0) @ zb  # of the first side with all
+        yield pa.RecordBatch.from_arrays([pa.array(range(permutations + 1), pa.int32()), pa.array(both), pa.array(one), pa.array([total] * (permutations + 1))], ["k", "aa", "a", "t"])
+
+    s = _over_pairs(spark, uris, sums, "k int, aa double, a double, t double").groupBy("k").agg(F.sum("aa").alias("aa"), F.sum("a").alias("a"), F.sum("t").alias("t"))
+    m, o = float(n_first), float(n_second)
+    value = F.col("aa") / (m * m) + (F.col("t") - 2 * F.col("a") + F.col("aa")) / (o * o) - 2 * (F.col("a") - F.col("aa")) / (m * o)
+    tested = keep(s.select("k", F.greatest(F.lit(0.0), value).alias("mmd2")), "mmd_tested")
+    given = tested.where("k = 0").first().mmd2
+    return tested.agg(F.lit(given).alias("mmd2"), F.avg((F.col("mmd2") >= given - 1e-12).cast("double")).alias("p"))
 
 
 def halves(events: DataFrame) -> DataFrame:

@@ -169,6 +169,24 @@ def mmd_permutation_test(spark: SparkSession, d: str) -> DataFrame:
     return E.mmd_permutation_test(T.events(spark, d), "fused", "validation", "ood_test", PERMUTATIONS).select(F.round("mmd2", 3).alias("mmd2"), "p")
 
 
+#: The number of permutations that the protocol declares.
+DECLARED_PERMUTATIONS = 10_000
+
+
+@query()
+def mmd_declared_test(spark: SparkSession, d: str) -> DataFrame:
+    """The permutation test at its declared number; no SQL, as it would pair all events in each permutation."""
+    return E.mmd_permutation_test(T.events(spark, d), "fused", "validation", "ood_test", DECLARED_PERMUTATIONS)
+
+
+@query()
+def mmd_by_features(spark: SparkSession, d: str) -> DataFrame:
+    """The discrepancy and its standard error by random features, at the bandwidth of the exact form."""
+    e = T.events(spark, d)
+    width = E.mmd_blocked(e, "fused", "validation", "ood_test").first().bandwidth2
+    return E.mmd_estimate(e, "fused", "validation", "ood_test", width)
+
+
 def _oracle_mrr(spark: SparkSession, d: str, train: DataFrame, test: DataFrame, seed: str) -> DataFrame:
     """(seed, query_id, rr): a ridge for each seed, fitted on train and judged on test, all in one pass."""
     models = ridge.fit_each(train, "fused", "item_vector", T.DIM, seed)

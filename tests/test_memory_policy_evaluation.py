@@ -304,6 +304,49 @@ def test_blocked_mmd_equals_all_pairs(spark, block):
     assert E.mmd_blocked(d.where("event_id = 'e1' or event_id = 'e0'").withColumn("v", F.array(F.lit(1.0))), "v", "a", "b").first().bandwidth2 == 1.0
 
 
+def two_clouds(spark, n=90, dim=4, apart=0.4):
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(n, dim)) + apart * (np.arange(n) % 3 > 0)[:, None]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    return v, spark.createDataFrame([(f"e{k}", "a" if k % 3 else "b", r.tolist()) for k, r in enumerate(v)], "event_id string, split string, v array<double>")
+
+
+def test_mmd_by_features_is_within_its_error(spark):
+    v, d = two_clouds(spark)
+    exact = E.mmd_blocked(d, "v", "a", "b").first()
+    for seed in range(3):
+        r = E.mmd_estimate(d.repartition(3), "v", "a", "b", exact.bandwidth2, 2048, seed).first()
+        assert 0 < r.error < 0.1 * exact.mmd2 and abs(r.mmd2 - exact.mmd2) < 4 * r.error
+    assert E.mmd_estimate(d.where("split = 'a'"), "v", "a", "b", 1.0).first().mmd2 is None
+
+
+def test_the_nth_least_hash_of_each_permutation_is_found(spark, monkeypatch):
+    v, d = two_clouds(spark)
+    ids = [f"e{k}" for k in range(90)]
+    order = lambda seed, k: sorted(int.from_bytes(hashlib.sha256(f"{seed}:{k}:{e}".encode()).digest()[:8], "big") >> 1 for e in ids)
+    for spread in (8.0, 0.05):  # the second starts with intervals that miss
+        monkeypatch.setattr(E, "MMD_SPREAD", spread)
+        for m in (1, 60, 89):
+            got = E._selected(d.repartition(4), m, 90, 30, 7)
+            assert got[1:].tolist() == [order(7, k)[m - 1] for k in range(1, 31)]
+
+
+def test_permutations_of_shards_equal_all_pairs(spark):
+    v, d = two_clouds(spark, apart=0.1)
+    p = np.arange(90) % 3 > 0
+    _, width = plain_mmd(v, p)
+    kernel = np.exp(-((v[:, None] - v[None]) ** 2).sum(2) / (2 * width))
+    value = lambda z: kernel[np.ix_(z, z)].mean() + kernel[np.ix_(~z, ~z)].mean() - 2 * kernel[np.ix_(z, ~z)].mean()
+    hashes = lambda k: [hashlib.sha256(f"5151:{k}:e{i}".encode()).hexdigest() for i in range(90)]
+    sides = [p, *(np.argsort(np.argsort(hashes(k))) < p.sum() for k in range(1, 41))]
+    given = value(p)
+    want = np.mean([max(0, value(z)) >= given - 1e-12 for z in sides])
+    for block in (11, 512):
+        r = E.mmd_permutation_test(d.repartition(3), "v", "a", "b", 40, block=block).first()
+        assert (r.mmd2, r.p) == (pytest.approx(given, abs=1e-9), pytest.approx(want))
+    assert E.mmd_permutation_test(d.where("split = 'a'"), "v", "a", "b", 5).isEmpty()
+
+
 def test_split_plan(spark):
     f = {r.family_id: r.pool for r in splits.family_pools(spark.range(20).select(F.col("id").alias("family_id")), 1).collect()}
     assert sorted(f.values()).count("ood") == 6 and len(f) == 20
