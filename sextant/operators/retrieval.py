@@ -4,7 +4,8 @@ Two forms with the same results. The blocked form multiplies Arrow batches of qu
 library as a matrix and keeps each query's best rows inside the batch, so the product of queries
 and items is never shuffled. The library is written in shards of ``LIBRARY_BYTES`` that tasks read
 from the shared folder, so it never passes through the driver; a shard's best rows are
-merged by rank, which is exact, and with one shard nothing is shuffled at all. The expression form does
+merged by rank, which is exact, and with one shard nothing is shuffled at all. Rows of a shard lie in
+clusters, and a cluster is multiplied only with the queries whose k-th score it can still reach. The expression form does
 the same with built-in functions, a block of items in a row.
 
 ``prepare`` checks and writes a library once for several rankings.
@@ -24,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from sextant.functions import scalars as S
 from sextant.functions import vectors as V
@@ -34,6 +36,10 @@ from sextant.sources.scratch import discard, held, keep, read_shard, write_shard
 LIBRARY_BYTES = 128 << 20
 #: Scores held at once, of a batch of queries.
 BLOCK_SCORES = 4 << 20
+#: Rows that are one cluster; most clusters, rows of the sample for each, and rounds that place their centres.
+CLUSTER_LEAST, CLUSTER_MOST, CLUSTER_SAMPLE, CLUSTER_ROUNDS = 1024, 1024, 16, 3
+#: Added to angles and bounds, for rounding.
+BOUND_SLACK = 1e-7
 #: Items in a row of the expression form.
 BLOCK_ITEMS = 512
 
@@ -65,7 +71,7 @@ def prepare(items: DataFrame, most: int = LIBRARY_BYTES, memory: DataFrame | Non
     dim, n = _checked(table, "item_vector")
     size = n * (8 * dim + 64)
     if memory is None:
-        out = Library(dim, tuple(write_shards(table, "library_shards", size, most, F.col("item_id"), ["item_id"])))
+        out = Library(dim, tuple(write_shards(clustered(table, "item_vector", n), "library_shards", size, most, F.col("item_id"), ["cluster", "item_id"])))
         discard(table)
         return out
     records = memory.where("active").select("item_id", "memory_id", "context_vector", "strength", F.unix_micros("updated_at").alias("updated"))
@@ -120,33 +126,156 @@ def top_rows(scores: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def centres(sample: np.ndarray, n: int) -> np.ndarray:
+    """``n`` unit centres of a sample of unit vectors (k-means by cosine, a few rounds)."""
+    out = sample[:: max(1, len(sample) // n)][:n]
+    for _ in range(CLUSTER_ROUNDS):
+        nearest = (sample @ out.T).argmax(axis=1)
+        sums = np.zeros_like(out)
+        np.add.at(sums, nearest, sample)
+        size = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+        out = np.where(size > V.EPSILON, sums / np.where(size > V.EPSILON, size, 1), out)
+    return out
+
+
+def clustered(rows: DataFrame, vector: str, n: int) -> DataFrame:
+    """``rows`` with ``cluster``: the nearest of about the root of ``n`` centres, made of CLUSTER_SAMPLE rows for each at most.
+
+    Centres only decide which rows are skipped together, not the results. Tables of CLUSTER_LEAST rows or
+    fewer are one cluster.
+    """
+    wanted = min(CLUSTER_MOST, math.isqrt(n))
+    if n <= CLUSTER_LEAST:
+        return rows.withColumn("cluster", F.lit(0))
+    some = rows.select(F.col(vector).alias("v")).orderBy(F.xxhash64("v")).limit(CLUSTER_SAMPLE * wanted).collect()
+    found = _units(np.array([r.v for r in some], float))
+    found = centres(found[np.isfinite(found).all(axis=1)], wanted)
+    if not len(found):
+        return rows.withColumn("cluster", F.lit(0))
+    names = [f.name for f in rows.schema]
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                nearest = (np.nan_to_num(_units(_matrix(batch.column(names.index(vector))))) @ found.T).argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nearest.astype(np.int32))], [*names, "cluster"])
+
+    return rows.mapInArrow(assign, StructType([*rows.schema.fields, StructField("cluster", IntegerType())]))
+
+
+class Clusters:
+    """Unit vectors of a shard in runs of one cluster each: every member of a run is within an angle of its centre."""
+
+    def __init__(self, units: np.ndarray, cluster: np.ndarray, order: np.ndarray):
+        self.units, self.order = units, order
+        self.start = np.flatnonzero(np.r_[True, cluster[1:] != cluster[:-1]])
+        self.stop = np.r_[self.start[1:], len(units)]
+        self.centre = np.nan_to_num(_units(np.add.reduceat(np.nan_to_num(units), self.start, axis=0)))
+        nearest = np.clip(np.einsum("ij,ij->i", np.nan_to_num(units), np.repeat(self.centre, self.stop - self.start, axis=0)), -1, 1)
+        self.angle = np.arccos(np.minimum.reduceat(nearest, self.start)) + BOUND_SLACK
+
+    def cosines(self, queries: np.ndarray) -> np.ndarray:
+        """Most cosine that any member of a run can have with each query."""
+        apart = np.arccos(np.clip(queries @ self.centre.T, -1, 1))
+        return np.cos(np.maximum(0, apart - self.angle)) + BOUND_SLACK
+
+    def best(self, queries: np.ndarray, k: int, bound: np.ndarray, score: Callable[[np.ndarray, np.ndarray, slice], np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
+        """(rows, scores, pairs scored): the k best of each query by score descending, then order; -1 and -inf where there are fewer.
+
+        ``bound``: most score that each query can have in each run; ``score(cosines, queries, run)``: scores of a block.
+        Each query first meets its most promising run; then each run is multiplied with
+        those queries whose k-th score it can still reach.
+        """
+        n = len(queries)
+        top, at, ties = np.full((n, k), -np.inf), np.full((n, k), -1), np.full((n, k), np.iinfo(np.int64).max)
+        first, scored = bound.argmax(axis=1), 0
+        for turn in (0, 1):
+            for run, (start, stop) in enumerate(zip(self.start, self.stop, strict=True)):
+                who = np.flatnonzero(first == run if turn == 0 else (first != run) & (bound[:, run] >= top[:, -1]))
+                if not len(who):
+                    continue
+                scored += len(who) * (stop - start)
+                own = score(queries[who] @ self.units[start:stop].T, who, slice(start, stop))
+                own = np.where(np.isnan(own), -np.inf, own)
+                if stop - start > 4 * k:  # what is below the k-th best of the run can't stay
+                    edge = np.partition(own, own.shape[1] - k, axis=1)[:, own.shape[1] - k]
+                    column = np.flatnonzero((own >= np.maximum(edge, top[who, -1])[:, None]).any(axis=0))
+                    own = own[:, column]
+                else:
+                    column = np.arange(stop - start)
+                rows = np.broadcast_to(start + column, own.shape)
+                both = [np.concatenate(x, axis=1) for x in ((top[who], own), (at[who], rows), (ties[who], np.broadcast_to(self.order[start + column], own.shape)))]
+                best = np.lexsort((both[2], -both[0]), axis=1)[:, :k]
+                top[who], at[who], ties[who] = (np.take_along_axis(x, best, axis=1) for x in both)
+        at[np.isinf(top)] = -1
+        return at, top, scored
+
+
+def _places(*columns: pa.Array) -> np.ndarray:
+    """Places of rows in the order of text columns (by bytes)."""
+    keys = list(zip(*([x.encode() for x in c.to_pylist()] for c in columns), strict=True))
+    out = np.empty(len(keys), np.int64)
+    out[sorted(range(len(keys)), key=keys.__getitem__)] = np.arange(len(keys))
+    return out
+
+
+def _clusters(shard: pa.Table, vector: str, *ids: str) -> Clusters:
+    units = _units(_matrix(shard.column(vector).combine_chunks()))
+    cluster = shard.column("cluster").to_numpy() if "cluster" in shard.column_names else np.zeros(len(units), int)
+    return Clusters(units, cluster, _places(*(shard.column(c) for c in ids)))
+
+
 def _item_side(shard: pa.Table | None) -> tuple[pa.Array, np.ndarray] | None:
     if shard is None or not shard.num_rows:
         return None
     return pa.array(shard.column("item_id").to_pylist(), pa.string()), _units(_matrix(shard.column("item_vector").combine_chunks()))
 
 
-def _cosine(uri: str, k: int, digits: int | None):
+def _cosine_side(shard: pa.Table | None) -> tuple[pa.Array, Clusters] | None:
+    if shard is None or not shard.num_rows:
+        return None
+    return pa.array(shard.column("item_id").to_pylist(), pa.string()), _clusters(shard, "item_vector", "item_id")
+
+
+def _taken(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(query, place) of the rows found, and their ranks."""
+    query, place = np.nonzero(at >= 0)
+    return query, place, pa.array((place + 1).astype(np.int32))
+
+
+def _cosine(uri: str, k: int, digits: int | None, work: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            side = held(uri, _item_side)
+            side = held(uri, _cosine_side)
             if side is None:
                 continue
-            names, units = side
+            names, clusters = side
             step = max(1, BLOCK_SCORES // len(names))
+            slack = 0 if digits is None else 10.0**-digits
+            score = (lambda x, who, rows: x) if digits is None else (lambda x, who, rows: np.round(x, digits) + 0.0)
             for i in range(0, batch.num_rows, step):
                 part = batch.slice(i, step)
-                scores = _units(_matrix(part.column(1))) @ units.T
-                if digits is not None:
-                    scores = np.round(scores, digits) + 0.0
-                best = top_rows(scores, k)
-                rows = np.repeat(np.arange(len(best)), best.shape[1])
-                rank = np.tile(np.arange(1, best.shape[1] + 1, dtype=np.int32), len(best))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(rank), names.take(pa.array(best.ravel())), pa.array(scores[rows, best.ravel()])], ["query_id", "rank", "item_id", "score"])
+                asked = _units(_matrix(part.column(1)))
+                at, scores, scored = clusters.best(asked, min(k, len(names)), clusters.cosines(asked) + slack, score)
+                if work:
+                    yield pa.RecordBatch.from_arrays([pa.array([part.num_rows * len(names)], pa.int64()), pa.array([scored], pa.int64())], ["pairs", "scored"])
+                    continue
+                query, place, rank = _taken(at)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(query)), rank, names.take(pa.array(at[query, place])), pa.array(scores[query, place])], ["query_id", "rank", "item_id", "score"])
 
     return run
 
 
+def scored_share(queries: DataFrame, library: Library, k: int, digits: int | None = None) -> DataFrame:
+    """(pairs, scored): the pairs of (query_id, vector) and items, and how many of them ``cosine_top_k`` multiplies."""
+    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("vector").cast(V.DOUBLES).alias("vector"))
+    parts = [asked.mapInArrow(_cosine(uri, k, digits, True), "pairs long, scored long") for uri in library.shards]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out.agg(F.sum("pairs").alias("pairs"), F.sum("scored").alias("scored"))
+
+
 def _merged(parts: list[DataFrame], keys: list[str], k: int, ties: tuple[str, ...] = ("item_id",)) -> DataFrame:
     """The best k of each key of rankings by shards; the ranking itself where there is one shard."""
     if len(parts) == 1:
@@ -275,7 +404,11 @@ def hybrid_top_k(queries: DataFrame, items: DataFrame | Library, memory: DataFra
 def _record_side(shard: pa.Table | None) -> dict | None:
     if shard is None or not shard.num_rows:
         return None
-    return {"memory": pa.array(shard.column("memory_id").to_pylist(), pa.string()), "item": pa.array(shard.column("item_id").to_pylist(), pa.string()), "units": _units(_matrix(shard.column("context_vector").combine_chunks())), "strength": shard.column("strength").to_numpy(), "updated": shard.column("updated").to_numpy().astype(float)}
+    clusters = _clusters(shard, "context_vector", "item_id", "memory_id")
+    strength, updated = shard.column("strength").to_numpy(), shard.column("updated").to_numpy().astype(float)
+    # for bounds: the strongest and the latest record of each run
+    most = {"strength": np.maximum.reduceat(strength, clusters.start), "updated": np.maximum.reduceat(updated, clusters.start)}
+    return {"memory": pa.array(shard.column("memory_id").to_pylist(), pa.string()), "item": pa.array(shard.column("item_id").to_pylist(), pa.string()), "clusters": clusters, "strength": strength, "updated": updated, "most": most}
 
 
 def _recall(uri: str, k: int, rate: float | None, digits: int | None):
@@ -284,17 +417,25 @@ def _recall(uri: str, k: int, rate: float | None, digits: int | None):
             side = held(uri, _record_side)
             if side is None:
                 continue
-            step = max(1, BLOCK_SCORES // len(side["units"]))
+            clusters = side["clusters"]
+            step = max(1, BLOCK_SCORES // len(clusters.units))
             for i in range(0, batch.num_rows, step):
                 part = batch.slice(i, step)
-                similar = np.clip(_units(_matrix(part.column(1))) @ side["units"].T, 0, 1)
-                scores = similar * _decayed(side, part.column(2).to_numpy(zero_copy_only=False).astype(float), rate, 0)
-                scores = np.round(scores, digits) + 0.0 if digits is not None else scores
-                top = top_rows(scores, k)  # records are in order of item and memory, so ties are too
-                rows, cols = np.repeat(np.arange(len(top)), top.shape[1]), top.ravel()
-                rank = np.tile(np.arange(1, top.shape[1] + 1, dtype=np.int32), len(top))
+                asked, times = _units(_matrix(part.column(1))), part.column(2).to_numpy(zero_copy_only=False).astype(float)
+
+                def score(x: np.ndarray, who: np.ndarray, rows: slice, times: np.ndarray = times, side: dict = side) -> np.ndarray:
+                    own = np.clip(x, 0, 1) * _decayed({n: side[n][rows] for n in ("strength", "updated")}, times[who], rate, 0)
+                    return np.round(own, digits) + 0.0 if digits is not None else own
+
+                # a negative rate makes old records strong, so that their weight has no such bound
+                weight = _decayed(side["most"], times, rate, 0) if rate is None or rate >= 0 else np.inf
+                bound = np.clip(clusters.cosines(asked), 0, 1) * weight + BOUND_SLACK + (0 if digits is None else 10.0**-digits)
+                at, scores, _ = clusters.best(asked, min(k, len(clusters.units)), np.nan_to_num(bound, nan=np.inf, posinf=np.inf), score)
+                query, place, rank = _taken(at)
+                rows = at[query, place]
+                similar = np.clip(np.einsum("ij,ij->i", asked[query], clusters.units[rows]), 0, 1)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(rows)), pa.array(rank), side["memory"].take(pa.array(cols)), side["item"].take(pa.array(cols)), pa.array(similar[rows, cols]), pa.array(scores[rows, cols])], ["query_id", "rank", "memory_id", "item_id", "similarity", "score"]
+                    [part.column(0).take(pa.array(query)), rank, side["memory"].take(pa.array(rows)), side["item"].take(pa.array(rows)), pa.array(similar), pa.array(scores[query, place])], ["query_id", "rank", "memory_id", "item_id", "similarity", "score"]
                 )
 
     return run
@@ -304,7 +445,7 @@ def memory_top_k(queries: DataFrame, memory: DataFrame, k: int, rate: float | No
     """(query_id, rank, memory_id, item_id, similarity, score) of the k best active records of each (query_id, vector, as_of)."""
     records = keep(memory.where("active").select("item_id", "memory_id", "context_vector", "strength", F.unix_micros("updated_at").alias("updated")), "memory")
     r = records.agg(F.count("*").alias("n"), F.max(F.size("context_vector")).alias("dim")).first()
-    shards = write_shards(records, "record_shards", r.n * (8 * (r.dim or 0) + 96), most, F.col("memory_id"), ["item_id", "memory_id"])
+    shards = write_shards(clustered(records, "context_vector", r.n), "record_shards", r.n * (8 * (r.dim or 0) + 96), most, F.col("memory_id"), ["cluster", "item_id", "memory_id"])
     discard(records)
     asked = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("vector").cast(V.DOUBLES).alias("vector"), F.unix_micros("as_of").alias("as_of"))
     parts = [asked.mapInArrow(_recall(uri, k, rate, digits), "query_id string, rank int, memory_id string, item_id string, similarity double, score double") for uri in shards]

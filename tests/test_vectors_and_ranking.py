@@ -182,3 +182,54 @@ def test_random_rankings_are_whole_and_need_distinct_ids(spark):
     assert len(got) == 46 and all(len({r.item_id for r in got if r.query_id == x}) == 23 and sorted(r["rank"] for r in got if r.query_id == x) == list(range(1, 24)) for x in "ab")
     with pytest.raises(ValueError):
         retrieval.random_top_k(q, lib.union(lib), 3, 9)
+
+
+def clouds(n, dim, groups, seed):
+    rng = np.random.default_rng(seed)
+    centre = rng.normal(size=(groups, dim))
+    return (centre[np.arange(n) % groups] + 0.1 * rng.normal(size=(n, dim))).round(2)
+
+
+def test_pruned_rankings_equal_the_brute_form(spark):
+    """Clusters, ties between equal vectors, opposite vectors and lists that are longer than a cluster."""
+    v = clouds(3000, 8, 40, 1)
+    v[1500:1600] = v[7]
+    v[2000:2010] = -v[7]
+    lib = spark.createDataFrame([(f"i{k * 7919 % 3000:04d}", k % 3, x.tolist()) for k, x in enumerate(v)], "item_id string, family_id int, item_vector array<double>")
+    names = np.array([f"i{k * 7919 % 3000:04d}" for k in range(3000)])
+    asked = np.vstack([clouds(60, 8, 40, 1), v[7], -v[7], np.random.default_rng(2).normal(size=(20, 8))])
+    q = queries(spark, *((f"q{k:03d}", x.tolist()) for k, x in enumerate(asked)))
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    scores = np.round(unit(asked) @ unit(v).T, 9) + 0.0
+    for k in (5, 120, 3000):
+        got = {}
+        for r in retrieval.cosine_top_k(q, retrieval.prepare(lib), k, 9).collect():
+            got.setdefault(r.query_id, {})[r["rank"]] = r.item_id
+        for n in range(len(asked) if k < 3000 else 3):
+            best = np.lexsort((names, -scores[n]))[:k]
+            assert [got[f"q{n:03d}"][i] for i in range(1, k + 1)] == names[best].tolist()
+    for most in (40_000, 1 << 27):
+        library = retrieval.prepare(lib, most)
+        assert ranking(retrieval.cosine_top_k(q, library, 7, 9)) == ranking(retrieval.cosine_top_k(q.repartition(5), lib, 7, 9))
+    w = retrieval.scored_share(q, retrieval.prepare(lib), 5, 9).first()
+    assert w.pairs == 3000 * len(asked) and w.scored < 0.35 * w.pairs
+
+
+def test_pruned_memories_equal_the_brute_form(spark):
+    v = clouds(2500, 6, 30, 3)
+    rng = np.random.default_rng(4)
+    strength, day = rng.uniform(0.1, 1, 2500), rng.integers(1, 28, 2500)
+    rows = [(f"m{k:04d}", x.tolist(), f"i{k % 50}", float(strength[k]), True, f"2024-01-{day[k]:02d}") for k, x in enumerate(v)]
+    memory = spark.createDataFrame(rows, "memory_id string, context_vector array<double>, item_id string, strength double, active boolean, at string").withColumn("updated_at", F.col("at").cast("timestamp"))
+    asked = clouds(25, 6, 30, 3)
+    q = queries(spark, *((f"q{k}", x.tolist()) for k, x in enumerate(asked))).withColumn("as_of", F.lit("2024-02-01").cast("timestamp"))
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    similar = np.clip(unit(asked) @ unit(v).T, 0, 1)
+    names, items_of = np.array([r[0] for r in rows]), np.array([r[2] for r in rows])
+    for rate in (None, 0.05, -0.05):
+        score = np.round(similar * strength * (1 if rate is None else np.maximum(np.exp(-rate * (32 - day)), 5e-324)), 9)
+        got = {}
+        for r in retrieval.memory_top_k(q, memory, 6, rate, 9).collect():
+            got.setdefault(r.query_id, {})[r["rank"]] = r.memory_id
+        for n in range(25):
+            assert [got[f"q{n}"][i] for i in range(1, 7)] == names[np.lexsort((names, items_of, -score[n]))[:6]].tolist()
