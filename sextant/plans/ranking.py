@@ -309,14 +309,14 @@ def memory_decay(spark: SparkSession, d: str) -> DataFrame:
     return T.memory(spark, d).select("memory_id", F.round(age, 9).alias("age"), F.round(S.decay(age), 9).alias("weight"))
 
 
-def _cells(spark: SparkSession, d: str, split: str, cells: list[dict], k: int = K) -> DataFrame:
-    q = T.queries_of(spark, d, split).withColumn("projected", fixed_ridge().predict(F.col("vector"))).withColumn("as_of", F.lit(T.AS_OF).cast("timestamp"))
+def _cells(spark: SparkSession, d: str, split: str, cells: list[dict], k: int = K, model: ridge.Ridge | None = None) -> DataFrame:
+    q = T.queries_of(spark, d, split).withColumn("projected", (model or fixed_ridge()).predict(F.col("vector"))).withColumn("as_of", F.lit(T.AS_OF).cast("timestamp"))
     return retrieval.hybrid_top_k(q, T.items(spark, d), T.memory(spark, d), cells, k, 9)
 
 
-def _scores_sql(queries: str, memory: str = "mem", age: str = _AGE) -> str:
+def _scores_sql(queries: str, memory: str = "mem", age: str = _AGE, projected: str | None = None) -> str:
     """(query_id, item_id, lib, m0: memory without decay, m1: with) of every query and item; the library meets the projection."""
-    return f"""pj AS (SELECT * FROM {projected_sql(queries, 'query_id', 'vector')}),
+    return f"""pj AS (SELECT * FROM {projected or projected_sql(queries, 'query_id', 'vector')}),
     lib AS (SELECT q.query_id, i.item_id, greatest(0, least(1, list_inner_product(q.vector, i.item_vector))) AS lib FROM pj q, items i),
     rec AS (SELECT q.query_id, m.item_id, max(greatest(0, least(1, list_inner_product(q.vector, m.context_vector))) * m.strength) AS m0, max(greatest(0, least(1, list_inner_product(q.vector, m.context_vector))) * m.strength * greatest(exp(-0.01 * {age}), 2.2250738585072014e-308)) AS m1 FROM {queries} q, {memory} m WHERE m.active GROUP BY 1, 2),
     base AS (SELECT lib.query_id, lib.item_id, lib, coalesce(m0, 0) AS m0, coalesce(m1, 0) AS m1 FROM lib LEFT JOIN rec USING (query_id, item_id))"""
@@ -331,14 +331,19 @@ def hybrid_ranking(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", "item_id", "rank", "score", F.round("library_score", 9).alias("library_score"), F.round("memory_score", 9).alias("memory_score"))
 
 
-_ALPHA = f"""WITH {_scores_sql(_VQ)}, alphas AS (SELECT * FROM (VALUES {', '.join(f'({a}::DOUBLE)' for a in ALPHAS)}) AS x(alpha)),
+def _alpha_sql(projected: str | None = None) -> str:
+    """CTEs up to r: rankings of validation events with each weight."""
+    return f"""{_scores_sql(_VQ, projected=projected)}, alphas AS (SELECT * FROM (VALUES {', '.join(f'({a}::DOUBLE)' for a in ALPHAS)}) AS x(alpha)),
     r AS (SELECT alpha, query_id, item_id, row_number() OVER (PARTITION BY alpha, query_id ORDER BY round(greatest(0, least(1, alpha * lib + (1 - alpha) * m1)), 9) DESC, item_id) AS rank FROM base, alphas QUALIFY rank <= 10)"""
 
 
-def _alphas(spark: SparkSession, d: str) -> DataFrame:
+_ALPHA = f"WITH {_alpha_sql()}"
+
+
+def _alphas(spark: SparkSession, d: str, model: ridge.Ridge | None = None) -> DataFrame:
     cells = [{"cell": str(a), "alpha": a, "rate": 0.01, "days": 0} for a in ALPHAS]
     wanted = T.split_of(spark, d, "validation").select(F.col("event_id").alias("query_id"), F.col("target_item_id").alias("item_id"))
-    per = metrics.per_query(_cells(spark, d, "validation", cells), wanted, K, ("cell",), spark.createDataFrame([(c["cell"],) for c in cells], "cell string"))
+    per = metrics.per_query(_cells(spark, d, "validation", cells, model=model), wanted, K, ("cell",), spark.createDataFrame([(c["cell"],) for c in cells], "cell string"))
     return metrics.summary(per, ("cell",), 9).withColumn("alpha", F.col("cell").cast("double"))
 
 
@@ -356,27 +361,32 @@ def selected_alpha(spark: SparkSession, d: str) -> DataFrame:
 ALPHA = 0.5
 
 
-def _grid_cells() -> list[dict]:
-    alpha = {"ridge_only": 1.0, "memory_only": 0.0, "hybrid_no_decay": ALPHA, "hybrid": ALPHA}
+def _grid_cells(weight: float = ALPHA) -> list[dict]:
+    alpha = {"ridge_only": 1.0, "memory_only": 0.0, "hybrid_no_decay": weight, "hybrid": weight}
     return [{"cell": f"{s}|{d}", "alpha": alpha[s], "rate": None if s in ("ridge_only", "hybrid_no_decay") else 0.01, "days": d} for s, d in GRID]
 
 
-def _grid(spark: SparkSession, d: str) -> DataFrame:
-    q = T.view_queries(spark, d).select("query_id", "vector", fixed_ridge().predict(F.col("vector")).alias("projected"), F.lit(T.AS_OF).cast("timestamp").alias("as_of"))
-    out = retrieval.hybrid_top_k(q, T.items(spark, d), T.memory(spark, d), _grid_cells(), K, 9)
+def _grid(spark: SparkSession, d: str, model: ridge.Ridge | None = None, weight: float = ALPHA) -> DataFrame:
+    q = T.view_queries(spark, d).select("query_id", "vector", (model or fixed_ridge()).predict(F.col("vector")).alias("projected"), F.lit(T.AS_OF).cast("timestamp").alias("as_of"))
+    out = retrieval.hybrid_top_k(q, T.items(spark, d), T.memory(spark, d), _grid_cells(weight), K, 9)
     parts = F.split("cell", r"\|")
     return out.select(parts[0].alias("system"), parts[1].cast("int").alias("day"), "query_id", "rank", "item_id")
 
 
 _GRID_CELLS = ", ".join(f"('{c['cell'].split('|')[0]}', {c['days']}, {c['alpha']}::DOUBLE, {'NULL' if c['rate'] is None else 0.01}::DOUBLE)" for c in _grid_cells())
-_GRID_SQL = f"""WITH cells AS (SELECT * FROM (VALUES {_GRID_CELLS}) AS x(system, day, alpha, rate)),
+def _grid_sql(projected: str, cells: str = f"SELECT * FROM (VALUES {_GRID_CELLS}) AS x(system, day, alpha, rate)") -> str:
+    """CTEs up to g: rankings of the views in each cell."""
+    return f"""cells AS ({cells}),
     sim AS (SELECT q.query_id, m.item_id, greatest(0, least(1, list_inner_product(q.vector, m.context_vector))) * m.strength AS s, {_AGE} AS age FROM vq q, mem m),
     rec AS (SELECT system, day, query_id, item_id, max(s * CASE WHEN rate IS NULL THEN 1 ELSE greatest(exp(-rate * (age + day)), 2.2250738585072014e-308) END) AS m FROM sim, cells WHERE alpha < 1 GROUP BY ALL),
-    pj AS (SELECT * FROM {projected_sql('vq', 'query_id', 'vector')}),
+    pj AS (SELECT * FROM {projected}),
     lib AS (SELECT q.query_id, i.item_id, greatest(0, least(1, list_inner_product(q.vector, i.item_vector))) AS lib FROM pj q, items i),
     r AS (SELECT c.system, c.day, lib.query_id, lib.item_id, row_number() OVER (PARTITION BY c.system, c.day, lib.query_id ORDER BY round(greatest(0, least(1, alpha * lib + (1 - alpha) * coalesce(m, 0))), 9) DESC, lib.item_id) AS rank
       FROM lib CROSS JOIN cells c LEFT JOIN rec USING (system, day, query_id, item_id) QUALIFY rank <= 10),
     g AS (SELECT r.*, vq.tier FROM r JOIN vq USING (query_id))"""
+
+
+_GRID_SQL = f"WITH {_grid_sql(projected_sql('vq', 'query_id', 'vector'))}"
 _VREL = "(SELECT query_id, item_id FROM vq)"
 
 
@@ -408,6 +418,48 @@ def ablation_mrr(spark: SparkSession, d: str) -> DataFrame:
     return each.withColumn("equal", F.col("hybrid") == F.col("ridge_only"))
 
 
+def _fitted(queries: str) -> str:
+    """(query_id, vector): unit predictions of the fitted ridge for (query_id, vector)."""
+    return predicted_sql(f"(SELECT query_id, 0 AS seed, vector AS fused FROM {queries})", "w_fit", "query_id")
+
+
+_FIT = f"tr AS (SELECT * FROM {TRAINING}), {fitted_sql('tr')}"
+_FITTED_ALPHA = f"{_FIT}, {_alpha_sql(_fitted(_VQ))}"
+_BEST = f"sel AS (WITH {_alpha_sql(_fitted(_VQ))} SELECT alpha, mrr FROM ({metrics_sql('r', REL, 'alpha')}) ORDER BY mrr DESC, alpha DESC LIMIT 1)"
+_SELECTED_CELLS = f"SELECT system, day, CASE WHEN system IN ('hybrid', 'hybrid_no_decay') THEN (SELECT alpha FROM sel) ELSE alpha END AS alpha, rate FROM (VALUES {_GRID_CELLS}) AS x(system, day, alpha, rate)"
+_CHAIN = f"WITH RECURSIVE {_FIT}, {_BEST}, {_grid_sql(_fitted('vq'), _SELECTED_CELLS)}"
+
+
+def fitted_chain(spark: SparkSession, d: str) -> tuple[ridge.Ridge, float]:
+    """The ridge fitted on training events, and the weight that ranks validation events best with it."""
+    model = ridge.fit(_training(spark, d), "fused", "item_vector", T.DIM)
+    best = _alphas(spark, d, model).groupBy().agg(F.max(F.struct("mrr", "alpha")).alias("b")).select("b.alpha").first()
+    return model, ALPHA if best.alpha is None else best.alpha
+
+
+@query(f"WITH RECURSIVE {_FITTED_ALPHA} SELECT alpha, mrr FROM ({metrics_sql('r', REL, 'alpha')})")
+def fitted_alpha_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Validation MRR of each weight, with the fitted ridge on the library's side."""
+    return _alphas(spark, d, ridge.fit(_training(spark, d), "fused", "item_vector", T.DIM)).select("alpha", "mrr")
+
+
+@query(f"{_CHAIN} SELECT m.*, (SELECT alpha FROM sel) AS alpha FROM ({_GRID_METRICS}) m")
+def fitted_ablation_grid(spark: SparkSession, d: str) -> DataFrame:
+    """The ablation with the fitted ridge and the weight that validation selects: four systems, three tiers, five days."""
+    model, weight = fitted_chain(spark, d)
+    views = T.view_queries(spark, d).select("query_id", "item_id", "tier")
+    per = metrics.per_query(_grid(spark, d, model, weight), views, K, ("system", "tier", "day"), spark.createDataFrame(GRID, "system string, day int"))
+    return metrics.summary(per, ("system", "tier", "day"), 9).withColumn("alpha", F.lit(weight))
+
+
+@query(f"""{_CHAIN}, mm AS ({_GRID_METRICS}) SELECT tier, day, max(mrr) FILTER (WHERE system = 'hybrid') AS hybrid, max(mrr) FILTER (WHERE system = 'ridge_only') AS ridge_only, round(max(mrr) FILTER (WHERE system = 'hybrid') - max(mrr) FILTER (WHERE system = 'ridge_only'), 9) + 0.0 AS gain, bool_or(mrr > 0) FILTER (WHERE system = 'memory_only') AS memory_finds_any FROM mm GROUP BY tier, day""")
+def fitted_ablation_mrr(spark: SparkSession, d: str) -> DataFrame:
+    """What the selected hybrid gains over the fitted ridge alone, cell by cell."""
+    of = lambda s: F.max(F.when(F.col("system") == s, F.col("mrr")))
+    each = fitted_ablation_grid(spark, d).groupBy("tier", "day").agg(of("hybrid").alias("hybrid"), of("ridge_only").alias("ridge_only"), F.bool_or(F.when(F.col("system") == "memory_only", F.col("mrr") > 0)).alias("memory_finds_any"))
+    return each.withColumn("gain", F.round(F.col("hybrid") - F.col("ridge_only"), 9) + F.lit(0.0))
+
+
 @query("SELECT rank, round(1.0::DOUBLE / rank, 9) AS rr, round(1.0::DOUBLE / log2(rank + 1), 9) AS gain, 'memory::' || event_id AS memory_id, 'latent-' || event_id || '::mild' AS observed_id, 'mild' || '_minus_' || 'severe' AS contrast FROM (SELECT event_id, CAST(vec_id % 10 + 1 AS INTEGER) AS rank FROM ev)")
 def gains_and_ids(spark: SparkSession, d: str) -> DataFrame:
     e = T.events(spark, d).select("event_id", (F.col("vec_id") % 10 + 1).cast("int").alias("rank"))
