@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sextant.functions import scalars as S
 from sextant.functions import vectors as V
+from sextant.operators import ridge
 from sextant.operators.ranks import numbered
 from sextant.sources.scratch import held, keep, read_shard, write_shards
 
@@ -141,34 +142,44 @@ def bootstrap_poisson(differences: DataFrame, keys: list[str], value: str = "dif
 
 
 def bootstrap_hashed(differences: DataFrame, keys: list[str], value: str = "difference", unit: str = "latent_event_id", resamples: int = 20, seed: int = SEED) -> DataFrame:
-    """Means of resamples whose draws are hashes of (seed, resample, draw), which SQL can repeat."""
-    order = Window.partitionBy(*keys).orderBy(unit)
-    numbered = differences.withColumn("i", F.row_number().over(order) - 1).select(*keys, "i", value)
-    sizes = numbered.groupBy(*keys).agg(F.count("*").alias("n"))
+    """Means of resamples whose draws are hashes of (seed, resample, draw), which SQL can repeat.
+
+    Units are numbered by ranges with offsets, so a group may be of any size.
+    """
+    each = numbered(differences.select(*keys, unit, value), keys, [unit], name="i").select(*keys, (F.col("i") - 1).alias("i"), value)
+    sizes = each.groupBy(*keys).agg(F.count("*").alias("n"))
     draws = sizes.select(*keys, "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")).select(*keys, "n", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("draw"))
     prefix = F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("draw").cast("string")), 256), 1, 8)
     draws = draws.withColumn("i", F.conv(prefix, 16, 10).cast("long") % F.col("n"))
-    return draws.join(numbered, [*keys, "i"]).groupBy(*keys, "b").agg(F.avg(value).alias("mean"))
-
-
-def moments(rows: DataFrame, vector: str, dim: int, by: str = "split") -> DataFrame:
-    """(split, n, mean array, cov array of the lower triangle): partial sums, one row a split."""
-    x = [F.col(vector)[i] for i in range(dim)]
-    means = F.array(*(F.avg(c) for c in x)).alias("mean")
-    cov = F.array(*(F.covar_samp(x[i], x[j]) for i in range(dim) for j in range(i + 1))).alias("cov")
-    return rows.groupBy(by).agg(F.count("*").alias("n"), means, cov)
+    return draws.join(each, [*keys, "i"]).groupBy(*keys, "b").agg(F.avg(value).alias("mean"))
+
+
+def moments(rows: DataFrame, vector: str, by: str, values: list[str]) -> dict[str, tuple[int, np.ndarray, np.ndarray]]:
+    """(n, mean, sample covariance) of each value of ``by`` that has rows, from one matrix of sums for each task."""
+    seed = F.coalesce(*(F.when(F.col(by) == x, k) for k, x in enumerate(values)))
+    cells: dict[int, dict[tuple[int, int], float]] = {}
+    for r in ridge.gram(rows.where(F.col(by).isin(values)).select(seed.alias("k"), F.col(vector).alias("x"), F.array().cast(V.DOUBLES).alias("y")), "x", "y", "k").collect():  # (dim + 1) ** 2 sums
+        cells.setdefault(r.seed, {})[r.i, r.j] = r.value
+    out = {}
+    for k, found in cells.items():
+        size = max(i for i, _ in found) + 1
+        g = np.array([[found[i, j] for j in range(size)] for i in range(size)])
+        n, mean = int(g[0, 0]), g[0, 1:] / g[0, 0]
+        out[values[k]] = (n, mean, (g[1:, 1:] - n * np.outer(mean, mean)) / (n - 1) if n > 1 else np.full((size - 1, size - 1), np.nan))
+    return out
 
 
 def shift(rows: DataFrame, vector: str, dim: int, first: str = "validation", second: str = "ood_test", digits: int = 9) -> DataFrame:
-    """Mean shift (L2), covariance shift (Frobenius) and cosine of centroids of two splits, in one row."""
-    per = moments(rows.where(F.col("split").isin(first, second)), vector, dim)
-    a = per.where(F.col("split") == first).select(F.col("n").alias("validation_count"), F.col("mean").alias("ma"), F.col("cov").alias("ca"))
-    b = per.where(F.col("split") == second).select(F.col("n").alias("ood_count"), F.col("mean").alias("mb"), F.col("cov").alias("cb"))
-    both = a.join(b)  # one row each
-    twice = F.array(*(F.lit(1.0 if i == j else 2.0) for i in range(dim) for j in range(i + 1)))
-    gap = F.zip_with("ma", "mb", lambda x, y: x - y)
-    spread = F.zip_with(F.zip_with("ca", "cb", lambda x, y: (x - y) * (x - y)), twice, lambda d, w: d * w)
-    return both.select("validation_count", "ood_count", F.lit(dim).alias("dim"), F.round(V.norm(gap), digits).alias("mean_shift_l2"), F.round(F.sqrt(F.aggregate(spread, F.lit(0.0), lambda s, x: s + x)), digits).alias("cov_shift_fro"), F.round(F.coalesce(V.cosine(F.col("ma"), F.col("mb")), F.lit(0.0)), digits).alias("centroid_cosine"))
+    """Mean shift (L2), covariance shift (Frobenius) and cosine of centroids of two splits, in one row; none if a split has no rows."""
+    found = moments(rows, vector, "split", [first, second])
+    out = []
+    if len(found) == 2:
+        (n, mean, cov), (m, other, spread) = found[first], found[second]
+        size = float(np.linalg.norm(mean) * np.linalg.norm(other))
+        gap = float(np.linalg.norm(cov - spread))
+        out = [(n, m, dim, float(np.linalg.norm(mean - other)), None if math.isnan(gap) else gap, float(mean @ other) / size if size > V.EPSILON else 0.0)]
+    table = rows.sparkSession.createDataFrame(out, "validation_count long, ood_count long, dim int, mean_shift_l2 double, cov_shift_fro double, centroid_cosine double")
+    return table.select("validation_count", "ood_count", "dim", *(F.round(c, digits).alias(c) for c in ("mean_shift_l2", "cov_shift_fro", "centroid_cosine")))
 
 
 def sign_flip_test(differences: DataFrame, keys: list[str], value: str = "difference", unit: str = "latent_event_id", permutations: int = 200, seed: int = SEED) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sextant.functions import scalars as S
 from sextant.functions import vectors as V
 from sextant.operators import retrieval, validation
+from sextant.operators.ranks import numbered
 from sextant.sources.scratch import discard, keep
 
 MEMORY = "memory_id string, context_vector array<double>, item_id string, created_at timestamp, updated_at timestamp, strength double, correction_count int, active boolean"
@@ -167,13 +168,14 @@ def grouped_by_target(memory: DataFrame) -> DataFrame:
 def decoys(targets: DataFrame) -> DataFrame:
     """(item_id, decoy_item_id): the next of the distinct sorted ids, the first after the last.
 
-    The one window without a partition key runs over distinct ids only.
+    Ids are numbered by ranges with offsets and meet the number after their own, so no task sees all of them.
     """
-    ids = targets.select("item_id").distinct()
-    if len(ids.limit(2).collect()) < 2:
+    ids = keep(numbered(targets.select("item_id").distinct(), [], ["item_id"]), "decoy_ids")
+    n = ids.count()
+    if n < 2:
         raise ValueError("decoys need two targets at least")
-    order = Window.partitionBy(F.lit(0)).orderBy("item_id")
-    return ids.select("item_id", F.coalesce(F.lead("item_id").over(order), F.min("item_id").over(Window.partitionBy(F.lit(0)))).alias("decoy_item_id"))
+    before = F.when(F.col("n") == 1, F.lit(n).cast("long")).otherwise(F.col("n") - 1)
+    return ids.join(ids.select(before.alias("n"), F.col("item_id").alias("decoy_item_id")), "n").select("item_id", "decoy_item_id")
 
 
 def corruptions(memory: DataFrame, wrong: DataFrame, at: Column | None = None) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sextant.functions import scalars as S
+from sextant.operators.ranks import numbered
+from sextant.sources.scratch import keep
 
 
 def held_out_count(n: Column, fraction: float) -> Column:
@@ -21,12 +23,11 @@ def check_fractions(*fractions: float) -> None:
 def pools(groups: DataFrame, group: str, seed: int, cuts: list[tuple[str, float]], rest: str) -> DataFrame:
     """(group, pool): the distinct groups in hash order; each cut takes its share of all groups.
 
-    The window without a partition key runs over distinct group ids.
+    Groups are numbered by ranges with offsets, not in one task.
     """
     check_fractions(*(f for _, f in cuts))
-    ids = groups.select(group).distinct()
-    whole = Window.partitionBy(F.lit(0))
-    place = ids.withColumn("_n", F.count("*").over(whole)).withColumn("_k", F.row_number().over(whole.orderBy(S.hash_order(seed, F.col(group)), group)))
+    place = keep(numbered(groups.select(group).distinct(), [], [S.hash_order(seed, F.col(group)), group], name="_k"), "group_places")
+    place = place.withColumn("_n", F.lit(place.count()).cast("long"))
     pool, start = None, F.lit(0).cast("long")
     for name, fraction in cuts:
         stop = start + held_out_count(F.col("_n"), fraction)
