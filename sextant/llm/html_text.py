@@ -1,54 +1,54 @@
 """Main text of web pages by the wrappers of their hosts (operator 7).
 
-Pages of one host are made by one template. All pages of a host are aligned whole, block by
-block: blocks whose element path is the same (names and marks, without marks that hold digits)
-share a place of the wrapper. A mismatch makes a place optional (some pages lack it) or repeated
-(some page has it more than once). A text that each page with that place has is template text, if
-``TEMPLATE_PAGES`` different pages or more show it; all other text fills slots. Counts of
-places and texts add up in any order, so each task makes partial wrappers of its pages and the
-result doesn't depend on how the pages are dealt out. ``infer`` is the plain form of this, which
-aligns the token streams of a few pages one after another into a union-free expression; its
-result depends on their order, and its partial results can't be merged exactly.
-
-The deepest element that holds half of a host's slot text that is not link text and not in a
-boilerplate group (menus, headers, footers, sidebars, notices, adverts, forms, comments of
-readers, hidden parts: by element or by words in class, id and role), or the article or main
-element around it, is the host's article region. A page is read with its host's wrapper: the
-slots of the region that are not inside boilerplate are its text. A page without the region gives
-the slots of the page itself; a page that is all template keeps its text.
-
-Inside an article, words that articles are about too (related, alert, social and such) only mark
-boilerplate where they are the whole class, or name a list of links.
+A page is read as a union-free regular expression over its elements: an element's children are a
+sequence, runs of equal siblings are one repeated element (``+``), runs of equal sequences one
+repeated group, and text is a constant. The expressions of a host's pages are aligned one after
+another, in the order of their hashes: equal elements meet and are aligned inside; what only one
+side has becomes optional (``?``); what one side repeats is repeated; texts that differ become slots. The
+result, the host's wrapper, is an expression that all its pages match. Hosts of many pages are
+aligned in buckets of ``BUCKET`` pages, whose wrappers are aligned in turn, so no host is in one task
+and the result doesn't depend on how pages are dealt out.
+
+The wrapper chooses the text. Its article region is the deepest element that holds half of all slot
+text that isn't link text (of a host without slots, half of all such text), or the article or
+main element around it. A page's text is what it has in that region; all else (menus, headers,
+footers, adverts, whatever they are called) is left out because the wrapper places it elsewhere. Names
+break ties: if the region is, by its element or its class, id and role, a boilerplate part, or holds a region of
+unmarked text that is deeper, the region of unmarked text is taken; and parts inside the region that are marked as
+boilerplate (comments of readers, sharing, notices, forms, hidden parts) are left out. Inside a region, a word marks a part
+if it is a whole class, ends one, or goes before a word for a list or box. A page without its host's region gives its unmarked text.
 
 Character references are decoded, white space inside a block becomes one space, blocks are
 trimmed and joined by \\n; empty blocks vanish.
 
 Edge cases: null or empty html gives an empty text; a page without tags is one text block; a
 null url is a host of its own, as is a url without a host. End tags that are missing close with
-their container, and stray ones are ignored. Of regions with equal text the deepest, then the one
-with the greater path counts. Repeated rows give repeated rows; an empty table gives an empty
-result; other columns are ignored. Pages of any length are read whole.
+their container, and stray ones are ignored; a tag that never ends is text, and one whose quotes never end stops at
+its first ``>``. In the wrapper, elements below ``DEPTH`` levels count as their container (the text of a page has no such
+limit). Repeated rows give repeated rows; an empty table gives an empty
+result; other columns are ignored. Pages of any length are read whole, in linear time.
 """
 
 from __future__ import annotations
 
 import html
+import json
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from hashlib import blake2b
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.llm.common import keep, slices, small, table, utf8
 
-#: Different pages (told apart by 64 bits) that have to show a text before it counts as template.
-TEMPLATE_PAGES = 3
-#: Hosts whose partial wrappers a task holds at once; beyond them it hands them on.
-HELD_HOSTS = 4096
+#: Pages, or wrappers, that are aligned one after another.
+BUCKET = 64
+#: Levels of elements in a wrapper.
+DEPTH = 100
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -57,56 +57,124 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: Elements whose start closes an open element of the same group.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol pre section table ul".split())
+NOTHING: frozenset[str] = frozenset()
+P = frozenset(["p"])
 BOILERPLATE = frozenset("nav footer aside form button select dialog menu fieldset head".split()) | RAW
-WORDS_OF_BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo|banner|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|"
-    r"nav|navbar|navigation|menu|breadcrumbs?|sidebar|widget|footer|masthead|topbar|toolbar|share|sharing|comments?|disqus|replies|respond|pagination|pager)(?:$|[\s_-])",
-    re.I,
+WORDS = (
+    r"ads?|adverts?|advertisement|sponsor(?:ed)?|promo|banner|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|"
+    r"nav|navbar|navigation|menu|breadcrumbs?|sidebar|widget|footer|masthead|topbar|toolbar|share|sharing|comments?|disqus|replies|respond|pagination|pager"
 )
 #: Words that articles are about as well.
 WEAK_WORDS = r"notices?|alert|side|aside|social|related|recommended|search|toc"
-WEAK_ANYWHERE = re.compile(rf"(?:^|[\s_-])(?:{WEAK_WORDS})(?:$|[\s_-])", re.I)
+PARTS = r"links?|posts?|articles?|stories|buttons?|icons?|list|items?|box|bar|block|area|section|container|wrapper|wrap|inner|holder|slot|form|nav|thread|feed|widget|panel|count|meta|tools?|top|bottom|left|right|\d+"
+MARKS = re.compile(rf"(?:^|[\s_-])(?:{WORDS}|{WEAK_WORDS})(?:$|[\s_-])", re.I)
+MARKS_INSIDE = re.compile(rf"(?:^|\s)(?:[^\s]*[_-])?(?:{WORDS})(?:[_-](?:{PARTS}))*(?:$|\s)", re.I)
 WEAK_INSIDE = re.compile(rf"(?:^|\s)(?:{WEAK_WORDS})(?:[_-](?:links?|posts?|articles?|stories|buttons?|icons?|list|nav|form))?(?:$|\s)", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
-# A quote only opens a value directly after "="
-TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>", re.S)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:$|[\s/=])|style\s*=\s*[\"']?[^\"'>]*display\s*:\s*none", re.I)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 
 
+class _Scanner:
+    """Places of tags. A search that found nothing isn't made again, so a page is scanned in linear time."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.none: dict[str, int] = {}
+        self.lost: set[int] = set()
+
+    def find(self, what: str, at: int) -> int:
+        if at >= self.none.get(what, len(self.page) + 1):
+            return -1
+        k = self.page.find(what, at)
+        if k < 0:
+            self.none[what] = at
+        return k
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag ends whose attributes begin at ``at``: its ``>`` outside quotes, else its first one; -1 for none."""
+        page, k, seen = self.page, at, []
+        while True:
+            close = self.find(">", k)
+            if close < 0:
+                break
+            if k in self.lost:
+                k = -1
+                break
+            seen.append(k)
+            m = VALUE.search(page, k, close)
+            if m is None:
+                return close
+            k = self.find(m[1], m.end())  # a quote only opens a value directly after "="
+            if k < 0:
+                break
+            k += 1
+        self.lost.update(seen)
+        return self.find(">", at)
+
+
+VALUE = re.compile(r"=\s*([\"'])")
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+
+
 def tokens(page: str) -> Iterator[tuple]:
     """("start", tag, marks, void), ("end", tag) and ("text", raw) of a page.
 
     ``marks``: words of class, id and role. The content of raw elements is skipped.
     """
-    at, n = 0, len(page)
-    while at < n:
-        m = TAG.search(page, at)
-        if m is None:
-            if page[at:].strip():
-                yield "text", page[at:]
-            return
-        if m.start() > at:
-            yield "text", page[at : m.start()]
-        at = m.end()
-        if m[2] is None:
+    scan, at, text, n = _Scanner(page), 0, 0, len(page)
+    while (k := scan.find("<", at)) >= 0:
+        name, after = None, page[k + 1 : k + 2]
+        if page.startswith("<!--", k):
+            end = scan.find("-->", k + 4)
+            stop = n if end < 0 else end + 3
+        elif page.startswith("<![CDATA[", k):
+            end = scan.find("]]>", k + 9)
+            stop = n if end < 0 else end + 3
+        elif after in ("!", "?"):
+            end = scan.find(">", k)
+            stop = n if end < 0 else end + 1
+        elif m := NAME.match(page, k):
+            end = scan.tag_end(m.end())
+            if end < 0:
+                break  # no tag ends any more: the rest is text
+            name, stop = m[1].lower(), end + 1
+        else:
+            at = k + 1
+            continue
+        if k > text:
+            yield "text", page[text:k]
+        at = text = stop
+        if name is None:
             continue
-        name = m[2].lower()
-        if m[1]:
+        if after == "/":
             yield "end", name
             continue
-        marks = ""
-        if m[3] and ("class" in m[3] or "id" in m[3] or "role" in m[3] or "style" in m[3] or "hidden" in m[3]):
-            got = {a[1].lower(): next((v for v in a.groups()[1:] if v is not None), "") for a in ATTRIBUTE.finditer(m[3])}
-            marks = " ".join(f"{k}={got[k]}" for k in ("class", "id", "role") if k in got)
-            if ("hidden" in m[3] or "style" in m[3]) and HIDDEN.search(ATTRIBUTE.sub(lambda a: a[0] if a[1].lower() in ("hidden", "style") else "", m[3])):
+        own, marks = page[m.end() : end], ""
+        if own and ("class" in own or "id" in own or "role" in own or "style" in own or "hidden" in own):
+            got = {a[1].lower(): next((v for v in a.groups()[1:] if v is not None), "") for a in ATTRIBUTE.finditer(own)}
+            marks = " ".join(f"{x}={got[x]}" for x in ("class", "id", "role") if x in got)
+            if ("hidden" in own or "style" in own) and HIDDEN.search(ATTRIBUTE.sub(lambda a: a[0] if a[1].lower() in ("hidden", "style") else "", own)):
                 marks = f"{marks} hidden=".strip()
-        void = name in VOID or m[3].rstrip().endswith("/") and name not in INLINE and name not in CLOSES_P
+        void = name in VOID or own.rstrip().endswith("/") and name not in INLINE and name not in CLOSES_P
         yield "start", name, marks, void
         if name in RAW and not void:
-            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = close.end() if close else n
+            at = text = _raw_end(page, scan, name, stop)
             yield "end", name
+    if page[text:].strip():
+        yield "text", page[text:]
+
+
+def _raw_end(page: str, scan: _Scanner, name: str, at: int) -> int:
+    """Where the end tag of a raw element ends, or the page."""
+    key = f"</{name}"
+    if at >= scan.none.get(key, len(page) + 1):
+        return len(page)
+    m = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+    if m is None:
+        scan.none[key] = at
+        return len(page)
+    return m.end()
 
 
 def is_boilerplate(name: str, marks: str, inside_article: bool) -> bool:
@@ -118,43 +186,69 @@ def is_boilerplate(name: str, marks: str, inside_article: bool) -> bool:
     for kind, value in re.findall(r"(class|id|role|hidden)=([^=]*?)(?= (?:class|id|role|hidden)=|$)", marks):
         if kind == "hidden" or kind == "role" and set(value.lower().split()) & ROLES:
             return True
-        if kind in ("class", "id") and WORDS_OF_BOILERPLATE.search(value):
+        if kind in ("class", "id") and (MARKS_INSIDE if inside_article else MARKS).search(value):
             return True
-        if kind in ("class", "id") and (kind == "class" and WEAK_INSIDE.search(value) if inside_article else WEAK_ANYWHERE.search(value)):
+        if kind == "class" and inside_article and WEAK_INSIDE.search(value):
             return True
     return False
 
 
-def walk(page: str) -> Iterator[tuple]:
-    """("open"|"close", path element, boilerplate) and ("text", raw, path, link) with missing ends supplied."""
-    stack: list[tuple[str, str, bool, bool]] = []  # name, label, boilerplate, article
+@lru_cache(1 << 16)
+def _place(name: str, marks: str) -> str:
+    """An element's name and marks, without marks that differ from page to page."""
+    words = sorted(re.sub(r"(class|id|role|hidden)=", "", marks).split()) if marks and name not in ("article", "main", "body", "html") else ()
+    return ".".join([name, *(m for m in words if not any(c.isdigit() for c in m))])
+
+
+def walk(page: str, article: list[str] | None = None) -> Iterator[tuple]:
+    """("open", name, place, in the region, boilerplate), ("close", name) and ("text", raw, link, in the region, boilerplate), with missing ends supplied.
+
+    ``article``: places from the top down to the region's element. Boilerplate above the region doesn't count in it.
+    """
+    stack: list[tuple] = []  # name, boilerplate, inside an article, in the region, steps of the region's path so far, link, elements that aren't inline
+    opened: dict[str, int] = {}
+    top = (None, False, False, False, 0, False, 0)
 
     def close(k: int) -> Iterator[tuple]:
         while len(stack) > k:
-            name, label, _, _ = stack.pop()
-            yield "close", name, label
+            name = stack.pop()[0]
+            opened[name] -= 1
+            yield "close", name
 
     for t in tokens(page):
         if t[0] == "text":
-            yield "text", t[1], stack
+            _, bad, _, found, _, link, _ = stack[-1] if stack else top
+            yield "text", t[1], link, found, bad
         elif t[0] == "start":
             _, name, marks, void = t
-            ends = CLOSES.get(name, set()) | ({"p"} if name in CLOSES_P else set())
+            ends = CLOSES.get(name, NOTHING)
+            ends = ends | P if name in CLOSES_P else ends
             if ends:
                 for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in ends:
+                    if not any(opened.get(x) for x in ends):
+                        break
+                    x = stack[k][0]
+                    if x in ends:
                         yield from close(k)
-                    elif stack[k][0] not in INLINE and stack[k][0] not in ends:
+                    elif x not in INLINE:
                         break
-            inside = bool(stack) and stack[-1][3]
-            bad = bool(stack) and stack[-1][2] or is_boilerplate(name, marks, inside)
-            label = name + ("." + ".".join(sorted(re.sub(r"(class|id|role|hidden)=", "", marks).split())) if marks else "")
-            yield "open", name, label
+            _, bad, inside, found, steps, link, depth = stack[-1] if stack else top
+            place = name if name in INLINE else _place(name, marks)
+            if article and not found and name not in INLINE and steps == depth < len(article) and article[steps] == place:
+                steps += 1
+                if steps == len(article):
+                    bad, inside, found = False, True, True
+                else:
+                    bad = bad or is_boilerplate(name, marks, inside)
+            else:
+                bad = bad or is_boilerplate(name, marks, inside)
+            yield "open", name, place, found, bad
             if void:
-                yield "close", name, label
+                yield "close", name
             else:
-                stack.append((name, label, bad, inside or name in ("article", "main")))
-        else:
+                stack.append((name, bad, inside or name in ("article", "main"), found, steps, link or name == "a", depth + (name not in INLINE)))
+                opened[name] = opened.get(name, 0) + 1
+        elif opened.get(t[1]):
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == t[1]:
                     yield from close(k)
@@ -162,285 +256,290 @@ def walk(page: str) -> Iterator[tuple]:
     yield from close(0)
 
 
-def stream(page: str) -> list[tuple]:
-    """Tokens for the alignment: ("<", label), (">", name) and ("#", text, path, link)."""
-    out: list[tuple] = []
-    for t in walk(page):
-        if t[0] == "text":
-            text = " ".join(html.unescape(t[1]).split())
-            if text:
-                stack = t[2]
-                out.append(("#", text, "/".join(x[1] for x in stack), any(x[0] == "a" for x in stack), bool(stack) and stack[-1][2]))
-        else:
-            out.append(("<", t[2]) if t[0] == "open" else (">", t[1]))
-    return out
+# An expression is a list [place, repeated, optional, text, slot, free, marked, children]. text: hash of
+# its own text where all pages agree; slot: whether they don't; free: characters of its own text that are no
+# link text; marked: those of them that names mark as boilerplate. The place of a group of siblings is "".
+PLACE, REPEATED, OPTIONAL, TEXT, SLOT, FREE, MARKED, CHILDREN = range(8)
 
 
-# A wrapper is a list of nodes: ("<", label), (">", name), ("#", text or None for a slot, path,
-# link, boilerplate, characters of slot text), ("?", nodes) and ("+", nodes).
+def _element(place: str) -> list:
+    return [place, False, False, None, False, 0, 0, []]
 
 
-def _node(token: tuple) -> tuple:
-    return token if token[0] != "#" else (*token[:5], 0)
+def merged(a: list, b: list) -> list:
+    """An expression that both match, of two of one place."""
+    text = a[TEXT] if a[TEXT] == b[TEXT] else None
+    slot = a[SLOT] or b[SLOT] or a[TEXT] != b[TEXT]
+    return [a[PLACE], a[REPEATED] or b[REPEATED], a[OPTIONAL] or b[OPTIONAL], text, slot, a[FREE] + b[FREE], a[MARKED] + b[MARKED], aligned(a[CHILDREN], b[CHILDREN])]
 
 
-def _same(node: tuple, token: tuple) -> bool:
-    return node[0] == token[0] and (node[0] == "#" and node[2] == token[2] or node[0] in "<>" and node[1] == token[1])
+def _signature(x: list) -> tuple:
+    """What tells siblings apart: a place, or the places of a group."""
+    return (x[PLACE],) if x[PLACE] else tuple(y[PLACE] for y in x[CHILDREN])
 
 
-def _fits(nodes: list[tuple], page: list[tuple], j: int) -> int | None:
-    """End of a match of a group's nodes from page[j], or None."""
-    for n in nodes:
-        if n[0] in "?+":
-            k = _fits(n[1], page, j)
-            if k is None and n[0] == "+":
-                return None
-            while k is not None and k > j:
-                j, k = k, _fits(n[1], page, k) if n[0] == "+" else None
-        elif j < len(page) and _same(n, page[j]):
-            j += 1
-        else:
-            return None
-    return j
+def _optional(x: list) -> list:
+    return x if x[OPTIONAL] else [*x[:OPTIONAL], True, *x[OPTIONAL + 1 :]]
 
 
-def align(wrapper: list[tuple], page: list[tuple]) -> list[tuple]:
-    """The wrapper generalised so that it matches the page too."""
-    out: list[tuple] = []
-    i = j = 0
-    while i < len(wrapper) and j < len(page):
-        node, token = wrapper[i], page[j]
-        if node[0] in "?+":
-            end = _fits(node[1], page, j)
-            while end is not None and end > j:
-                j, end = end, _fits(node[1], page, end) if node[0] == "+" else None
-            out.append(node)
-            i += 1
-        elif _same(node, token):
-            if node[0] == "#":
-                slot = node[1] is None or node[1] != token[1]
-                node = ("#", None if slot else node[1], node[2], node[3], node[4], node[5] + (len(token[1]) if slot else 0) + (len(node[1]) if slot and node[1] is not None else 0))
-            out.append(node)
-            i, j = i + 1, j + 1
-        elif square := _square(out, page, j):
-            start, j = square  # the page repeats the run before the mismatch
-            out[start:] = [("+", out[start:])]
-        elif square := _square(out, wrapper, i):
-            start, i = square
-            out[start:] = [("+", out[start:])]
+#: Most siblings in a repeated group.
+GROUP = 3
+
+
+def _added(out: list[list], x: list) -> None:
+    """Append a sibling, folding runs of equal siblings and of equal sequences of siblings."""
+    out.append(x)
+    while True:
+        if len(out) > 1 and _signature(out[-1]) == _signature(out[-2]):
+            y = out.pop()
+            out[-1] = merged(out[-1], y)
+            out[-1][REPEATED] = True
+            continue
+        for n in range(2, GROUP + 1):
+            if len(out) > n and not out[-n - 1][PLACE] and len(out[-n - 1][CHILDREN]) == n and all(z[PLACE] for z in out[-n:]) and _signature(out[-n - 1]) == tuple(z[PLACE] for z in out[-n:]):
+                group = ["", True, out[-n - 1][OPTIONAL], None, False, 0, 0, [merged(p, q) for p, q in zip(out[-n - 1][CHILDREN], out[-n:], strict=True)]]
+                out[-n - 1 :] = [group]
+                break
+            if len(out) >= 2 * n and all(z[PLACE] for z in out[-2 * n :]) and [z[PLACE] for z in out[-2 * n : -n]] == [z[PLACE] for z in out[-n:]]:
+                out[-2 * n :] = [["", True, False, None, False, 0, 0, [merged(p, q) for p, q in zip(out[-2 * n : -n], out[-n:], strict=True)]]]
+                break
         else:
-            ahead_page = next((k for k in range(j + 1, len(page)) if _same(node, page[k])), None)
-            ahead_wrapper = next((k for k in range(i + 1, len(wrapper)) if wrapper[k][0] not in "?+" and _same(wrapper[k], token)), None)
-            if ahead_page is None and ahead_wrapper is None:
-                out += [("?", [node]), ("?", [_node(token)])]
-                i, j = i + 1, j + 1
-            elif ahead_wrapper is None or ahead_page is not None and ahead_page - j <= ahead_wrapper - i:
-                out.append(("?", [_node(x) for x in page[j:ahead_page]]))
-                j = ahead_page
-            else:
-                out.append(("?", wrapper[i:ahead_wrapper]))
-                i = ahead_wrapper
-    out += [x if x[0] == "?" else ("?", [x]) for x in wrapper[i:]]
-    out += [("?", [_node(x) for x in page[j:]])] if j < len(page) else []
-    return out
+            return
 
 
-def _square(done: list[tuple], more: list[tuple], k: int) -> tuple[int, int] | None:
-    """(start of the run in ``done``, end of its repetition in ``more``) of an element that is just closed."""
-    if not done or done[-1][0] != ">" or k >= len(more) or more[k][0] != "<":
+def _once(group: list, side: list[list], k: int) -> list | None:
+    """The group with one more pass over it, if ``side`` has its siblings from ``k`` on."""
+    run = side[k : k + len(group[CHILDREN])]
+    if group[PLACE] or not all(x[PLACE] for x in run) or tuple(x[PLACE] for x in run) != _signature(group):
         return None
-    depth = 0
-    for start in range(len(done) - 1, -1, -1):
-        depth += {">": 1, "<": -1}.get(done[start][0], 0)
-        if depth == 0:
-            break
-    else:
-        return None
-    if done[start] != more[k]:
-        return None
-    run = done[start:]
-    if any(x[0] in "?+" for x in more[k : k + len(run)]):
-        return None
-    end = _fits(run, more, k)
-    return (start, end) if end is not None and end > k else None
+    return [*group[:CHILDREN], [merged(x, y) for x, y in zip(group[CHILDREN], run, strict=True)]]
 
 
-def infer(pages: list[str]) -> list[tuple]:
-    """The wrapper of some pages of one host."""
-    wrapper: list[tuple] = []
-    for k, page in enumerate(pages):
-        s = stream(page)
-        wrapper = align(wrapper, s) if k else [_node(x) for x in s]
-    return wrapper
-
+def aligned(a: list[list], b: list[list]) -> list[list]:
+    """Two sequences of siblings as one: at a mismatch, the side whose next match is nearer is passed over as optional."""
+    out: list[list] = []
+    places: list[dict[tuple, list[int]]] = [{}, {}]
+    for at, side in zip(places, (a, b), strict=True):
+        for k, x in enumerate(side):
+            at.setdefault(_signature(x), []).append(k)
 
-def region(wrapper: list[tuple]) -> str | None:
-    """Path of the element that holds the article: of those with half of the free slot text, the deepest, or the article around it."""
-    slots: dict[str, int] = {}
-    every: dict[str, int] = {}
-
-    def add(nodes: list[tuple]) -> None:
-        for n in nodes:
-            if n[0] in "?+":
-                add(n[1])
-            elif n[0] == "#" and not n[3] and not n[4] and n[2]:
-                path = n[2].split("/")
-                for k in range(1, len(path) + 1):
-                    if path[k - 1].split(".")[0] not in INLINE and path[k - 1].split(".")[0] not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "tr", "dd", "dt", "blockquote"):
-                        at = "/".join(path[:k])
-                        slots[at] = slots.get(at, 0) + n[5]
-                        every[at] = every.get(at, 0) + (n[5] or len(n[1] or ""))
-
-    add(wrapper)
-    weight = slots if any(slots.values()) else every  # a host of equal pages has no slot
-    total = max(weight.values(), default=0)
-    best = max((p for p, w in weight.items() if 2 * w >= total), key=lambda p: (p.count("/"), weight[p], p), default=None)
-    if best is not None:
-        path = best.split("/")
-        for name in ("article", "main"):
-            around = [k for k, x in enumerate(path) if x.split(".")[0] == name]
-            if around:
-                return "/".join(path[: around[-1] + 1])
-    return best
+    def ahead(at: dict[tuple, list[int]], what: tuple, k: int) -> int | None:
+        found = at.get(what, ())
+        n = bisect_left(found, k)
+        return found[n] if n < len(found) else None
 
+    i = j = 0
+    while i < len(a) and j < len(b):
+        p, q = _signature(a[i]), _signature(b[j])
+        if p == q:
+            _added(out, merged(a[i], b[j]))
+            i, j = i + 1, j + 1
+            continue
+        if x := _once(a[i], b, j):  # a group that the other side has once
+            _added(out, x)
+            i, j = i + 1, j + len(x[CHILDREN])
+            continue
+        if x := _once(b[j], a, i):
+            _added(out, x)
+            i, j = i + len(x[CHILDREN]), j + 1
+            continue
+        in_b, in_a = ahead(places[1], p, j), ahead(places[0], q, i)
+        if in_b is None and in_a is None:
+            _added(out, _optional(a[i]))
+            _added(out, _optional(b[j]))
+            i, j = i + 1, j + 1
+        elif in_a is None or in_b is not None and in_b - j <= in_a - i:
+            for x in b[j:in_b]:
+                _added(out, _optional(x))
+            j = in_b
+        else:
+            for x in a[i:in_a]:
+                _added(out, _optional(x))
+            i = in_a
+    for x in (*a[i:], *b[j:]):
+        _added(out, _optional(x))
+    return out
 
-@lru_cache(1 << 16)
-def _place(label: str) -> str:
-    """A label without what differs from page to page."""
-    name, *marks = label.split(".")
-    return name if name in ("article", "main") else ".".join([name, *(m for m in marks if m and not any(c.isdigit() for c in m))]).replace("/", "")
 
+def expression(page: str) -> list:
+    """A page as an expression below one element without a place name of its own."""
+    stack, depth, pieces, free, marked = [_element("/")], [], [], 0, 0
 
-def blocks(page: str) -> Iterator[tuple[str, str, bool]]:
-    """(path, text, free) of the blocks outside boilerplate, in order; ``free``: not only links.
+    def flush() -> None:
+        nonlocal free, marked
+        if pieces:
+            if text := " ".join(html.unescape("".join(pieces)).split()):
+                own = stack[-1]
+                own[TEXT], own[FREE], own[MARKED] = _hash(text) ^ (own[TEXT] or 0), own[FREE] + free, own[MARKED] + marked
+            pieces.clear()
+            free = marked = 0
 
-    Each element gives its path with an empty text when it opens.
-    """
-    paths = [""]
-    pieces: list[str] = []
-    free = False
     for t in walk(page):
         if t[0] == "text":
-            stack = t[2]
-            if not (stack and stack[-1][2]):
-                pieces.append(t[1])
-                free = free or not any(x[0] == "a" for x in stack) and not t[1].isspace()
+            pieces.append(t[1])
+            n = 0 if t[2] else len(t[1].strip())
+            free, marked = free + n, marked + (n if t[4] else 0)
         elif t[1] not in INLINE:
-            if pieces:
-                if text := " ".join(html.unescape("".join(pieces)).split()):
-                    yield paths[-1], text, free
-                pieces, free = [], False
+            flush()
             if t[0] == "open":
-                paths.append(f"{paths[-1]}/{_place(t[2])}" if paths[-1] else _place(t[2]))
-                yield paths[-1], "", False
-            else:
-                paths.pop()
-    if text := " ".join(html.unescape("".join(pieces)).split()):
-        yield paths[-1], text, free
+                depth.append(len(stack) <= DEPTH)
+                if depth[-1]:
+                    stack.append(_element(t[2]))
+            elif depth.pop():
+                x = stack.pop()
+                _added(stack[-1][CHILDREN], x)
+    flush()
+    return stack[0]
+
+
+def infer(expressions: Iterable[list]) -> list | None:
+    """The wrapper of some expressions, aligned one after another."""
+    out = None
+    for x in expressions:
+        out = x if out is None else merged(out, x)
+    return out
+
+
+def notation(x: list) -> str:
+    """A wrapper in writing: # is a slot, $ constant text, + and ? mark what is repeated or optional."""
+    inner = " ".join([*(["#"] if x[SLOT] else ["$"] if x[TEXT] is not None else []), *map(notation, x[CHILDREN])])
+    return f"{x[PLACE]}({inner})" + "+" * x[REPEATED] + "?" * x[OPTIONAL]
+
+
+#: Elements that are parts of a text rather than regions.
+TEXT_PARTS = frozenset("p li h1 h2 h3 h4 h5 h6 td th tr dd dt blockquote".split())
+
+
+def _weight(x: list, slots: bool, names: bool) -> int:
+    own = (x[FREE] - (x[MARKED] if names else 0)) if x[SLOT] or not slots else 0
+    return own + sum(_weight(y, slots, names) for y in x[CHILDREN])
+
+
+def _deepest(wrapper: list, slots: bool, names: bool) -> list[str]:
+    """Path of the deepest element that holds half of the weight, or of the article or main element around it."""
+    total, path, at = _weight(wrapper, slots, names), [], wrapper
+    while total:
+        below = [z for y in at[CHILDREN] for z in ([y] if y[PLACE] else y[CHILDREN])]
+        best = max(below, key=lambda y: _weight(y, slots, names), default=None)
+        if best is None or 2 * _weight(best, slots, names) < total or best[PLACE].split(".")[0] in TEXT_PARTS:
+            break
+        path.append(best[PLACE])
+        at = best
+    for name in ("article", "main"):
+        around = [k for k, x in enumerate(path) if x.split(".")[0] == name]
+        if around:
+            return path[: around[-1] + 1]
+    return path
+
+
+def _at(wrapper: list, path: list[str]) -> list:
+    for place in path:
+        wrapper = next(z for y in wrapper[CHILDREN] for z in ([y] if y[PLACE] else y[CHILDREN]) if z[PLACE] == place)
+    return wrapper
+
+
+def region(wrapper: list, names: bool = True) -> list[str]:
+    """Path of the article region; names break ties, if they are asked."""
+    slots = _weight(wrapper, True, False) > 0
+    path = _deepest(wrapper, slots, False)
+    if names:
+        unmarked = _deepest(wrapper, slots and _weight(wrapper, True, True) > 0, True)
+        own = _at(wrapper, path)
+        if unmarked and (2 * _weight(own, False, True) < _weight(own, False, False) or unmarked[: len(path)] == path):
+            return unmarked
+    return path
 
 
-def _hash(path: str, text: str) -> int:
-    return int.from_bytes(blake2b(f"{path}\0{text}".encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+def _hash(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=7).digest(), "little")
 
 
-def main_text(page: str | None, article: str | None, template: frozenset[int] = frozenset()) -> str:
-    """The slots of the article region (or, where the page has none, of the page)."""
+def main_text(page: str | None, article: list[str] | None, names: bool = True) -> str:
+    """The page's text in the region, without what names mark there; without the region, the page's unmarked text."""
     if not page:
         return ""
+    region_text: list[str] = []
+    page_text: list[str] = []
+    pieces: list[str] = []
     found = False
-    every: tuple[list[str], list[str]] = ([], [])  # of the page, of the region
-    slots: tuple[list[str], list[str]] = ([], [])
-    for path, text, _ in blocks(page):
-        inside = bool(article) and (path == article or path.startswith(f"{article}/"))
-        found = found or inside
-        if text:
-            slot = not template or _hash(path, text) not in template
-            for k in (0, 1) if inside else (0,):
-                every[k].append(text)
-                if slot:
-                    slots[k].append(text)
-    return "\n".join(slots[found] or every[found])
+    state = (False, False)
+
+    def flush() -> None:
+        if pieces:
+            if text := " ".join(html.unescape("".join(pieces)).split()):
+                (region_text if state[0] else page_text).append(text)
+            pieces.clear()
+
+    for t in walk(page, article):
+        if t[0] == "text":
+            if not (t[4] and names):
+                if (t[3], t[4]) != state:
+                    flush()
+                    state = (t[3], t[4])
+                pieces.append(t[1])
+        elif t[1] not in INLINE:
+            flush()
+            found = found or t[0] == "open" and t[3]
+    flush()
+    return "\n".join(region_text if found else page_text)
 
 
 def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1))
 
 
-def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of places and of texts that all pages of a place had so far, by host."""
-    held: dict[str, dict[str, list]] = {}
+def _expressions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hosts, pages = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        made = [json.dumps(expression(x), separators=(",", ":")) for x in pages]
+        place = [_hash(x) for x in pages]
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(place, pa.int64()), pa.array(made, pa.string())], ["host", "place", "wrapper"])
 
-    def rows() -> pa.RecordBatch:
-        out: list[tuple] = []
-        for h, places in held.items():
-            for path, (pages, size, bits, texts, most) in places.items():
-                out.append((h, path, None, pages, size, bits, most))
-                out += [(h, path, x, pages, pages * n, 0, 0) for x, n in texts.items()]
-        held.clear()
-        kinds = (pa.string(), *[pa.int64()] * 5)
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.string(), *kinds))], ["host", "path", "text", "pages", "size", "bits", "most"])
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each bucket's expressions, which come one after another, as one."""
+    held: tuple | None = None
+    wrapper: list | None = None
+    names = ["host", "place", "wrapper"]
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([held[0]], pa.string()), pa.array([held[1]], pa.int64()), pa.array([json.dumps(wrapper, separators=(",", ":"))], pa.string())], names)
 
     for batch in batches:
-        for h, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own: dict[str, dict[int, int]] = {}
-            times: dict[str, int] = {}
-            mixed = 0
-            for path, text, free in blocks(page):
-                if text:
-                    x = _hash(path, text)
-                    own.setdefault(path, {})[x] = len(text) if free else 0
-                    mixed = (31 * mixed + x) & 0xFFFFFFFFFFFFFFFF
-                else:
-                    times[path] = times.get(path, 0) + 1
-            bit = 1 << (mixed * 0x9E3779B97F4A7C15 >> 58 & 63)
-            bit -= 1 << 64 if bit >> 63 else 0
-            places = held.setdefault(h, {})
-            for path, texts in own.items():
-                if path in places:
-                    p = places[path]
-                    p[0] += 1
-                    p[1] += sum(texts.values())
-                    p[2] |= bit
-                    p[3] = {x: n for x, n in p[3].items() if x in texts}
-                    p[4] = max(p[4], times.get(path, 1))
-                else:
-                    places[path] = [1, sum(texts.values()), bit, texts, times.get(path, 1)]
-            if len(held) >= HELD_HOSTS:
-                yield rows()
-    yield rows()
+        for key, x in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), batch.column(2).to_pylist(), strict=True):
+            if key != held:
+                if held is not None:
+                    yield row()
+                held, wrapper = key, None
+            wrapper = infer([json.loads(x)] if wrapper is None else [wrapper, json.loads(x)])
+    if held is not None:
+        yield row()
 
 
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    group = pa.struct([("path", pa.string()), ("optional", pa.bool_()), ("repeated", pa.bool_()), ("slot", pa.bool_())])
     for batch in batches:
-        hosts = batch.column(1).to_pylist()
-        article = [region([("#", None, x["path"], False, False, x["size"]) for x in places]) for places in hosts]
-        template = [np.array(sorted(x or []), np.int64).tobytes() for x in batch.column(2).to_pylist()]
-        groups = [[{"path": x["path"], "optional": x["pages"] < n, "repeated": x["most"] > 1, "slot": x["size"] > 0} for x in sorted(places, key=lambda x: x["path"])] for places, n in zip(hosts, batch.column(3).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(article, pa.string()), pa.array(template, pa.binary()), pa.array(groups, pa.list_(group))], ["host", "article", "template", "groups"])
-
+        found = [json.loads(x) for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([region(x) for x in found], pa.list_(pa.string())), pa.array(map(notation, found), pa.string())], ["host", "article", "wrapper"])
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, article, template, groups) of each host, from all its pages.
 
-    template: hashes of its texts; groups: its places with text, whether they are optional, repeated, and have slots.
-    """
+def wrappers(pages: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(host, article, wrapper) of each host, from all its pages: the region's path and the expression in writing."""
+    spark = pages.sparkSession
     read = pages.where("html is not null and html <> ''").select(host(F.col("url")).alias("host"), "html")
-    partial = read.mapInArrow(_partial, "host string, path string, text long, pages long, size long, bits long, most long")
-    sums = keep(partial.groupBy("host", "path", "text").agg(F.sum("pages").alias("pages"), F.sum("size").alias("size"), F.bit_or("bits").alias("bits"), F.max("most").alias("most")), "wrapper_counts")
-    places = sums.where("text is null")
-    shown = places.where(F.bit_count("bits") >= TEMPLATE_PAGES).select("host", "path", "pages")
-    fixed = sums.where("text is not null").select("host", "path", "text", "pages", "size").join(shown, ["host", "path", "pages"])
-    fixed = fixed.groupBy("host", "path").agg(F.sum("size").alias("fixed"), F.collect_list("text").alias("texts"))
-    both = places.join(fixed, ["host", "path"], "left").withColumn("size", F.col("size") - F.coalesce("fixed", F.lit(0)))
-    # a host's places and template texts: the size of its template
-    whole = both.groupBy("host").agg(F.collect_list(F.struct("path", "size", "pages", "most")).alias("places"), F.flatten(F.collect_list("texts")).alias("texts"), F.max("pages").alias("n"))
-    return whole.mapInArrow(_regions, "host string, article string, template binary, groups array<struct<path:string,optional:boolean,repeated:boolean,slot:boolean>>")
-
-
-@lru_cache(64)
-def _texts(template: bytes | None) -> frozenset[int]:
-    return frozenset(np.frombuffer(template or b"", np.int64).tolist())
+    now = keep(read.mapInArrow(_expressions, "host string, place long, wrapper string"), "page_expressions")
+    # places are hashes: a host's buckets are ranges of them, as many as its pages need
+    counts = keep(now.groupBy("host").agg(F.ceil(F.count("*") / bucket).alias("buckets")), "host_buckets")
+    n = counts.agg(F.max("buckets")).first()[0] or 1
+    now = now.join(small(counts), "host").select("host", F.expr("pmod(place, buckets)").alias("run"), "place", "wrapper")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    while True:
+        aligned_runs = now.repartition(tasks, "host", "run").sortWithinPartitions("host", "run", "place", "wrapper").select("host", "run", "wrapper")
+        done = keep(aligned_runs.mapInArrow(_runs, "host string, place long, wrapper string"), "host_wrappers")
+        if n <= 1:
+            break
+        n = -(-n // bucket)
+        now = done.select("host", F.expr(f"place div {bucket}").alias("run"), "place", "wrapper")
+    return done.select("host", "wrapper").mapInArrow(_regions, "host string, article array<string>, wrapper string")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -448,17 +547,17 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, _ = utf8(batch.column(2))
         for i, j in slices(at):
             part = batch.slice(i, j - i)
-            text = [main_text(h, a, _texts(t)) for h, a, t in zip(*(part.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
+            text = [main_text(h, a) for h, a in zip(*(part.column(k).to_pylist() for k in (2, 3)), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars): the main text of each page."""
     held = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    known = keep(wrappers(held).select(F.col("host").alias("h"), "article", "template"), "wrappers")
+    known = keep(wrappers(held).select(F.col("host").alias("h"), "article"), "wrappers")
     # a host may hold a third of the pages: where the table of hosts is small, pages aren't moved
     rows = held.withColumn("host", host(F.col("url"))).join(small(known), F.col("host") == F.col("h"), "left")
-    return rows.select("page_id", "url", "html", "article", "template").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "html", "article").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
