@@ -40,6 +40,8 @@ BLOCK_SCORES = 4 << 20
 CLUSTER_LEAST, CLUSTER_MOST, CLUSTER_SAMPLE, CLUSTER_ROUNDS = 1024, 1024, 16, 3
 #: Added to angles and bounds, for rounding.
 BOUND_SLACK = 1e-7
+#: Most bytes of a library that the expression form takes.
+EXPRESSION_BYTES = 64 << 20
 #: Items in a row of the expression form.
 BLOCK_ITEMS = 512
 
@@ -93,15 +95,21 @@ def ranked(scored: DataFrame, keys: list[str], k: int, score: str = "score", tie
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def cosine_expressions(queries: DataFrame, items: DataFrame, k: int, digits: int | None = None) -> DataFrame:
-    """The expression form over (query_id, vector): each query meets blocks of items and keeps k of each."""
-    n = max(1, math.ceil(items.count() / BLOCK_ITEMS))
+def cosine_expressions(queries: DataFrame, items: DataFrame, k: int, digits: int | None = None, most: int = EXPRESSION_BYTES) -> DataFrame:
+    """The expression form over (query_id, vector): each query meets blocks of items and keeps k of each.
+
+    Blocks are copied to the queries, so a library of more than ``most`` bytes is an error.
+    """
+    size, dim = items.agg(F.count("*"), F.coalesce(F.max(F.size("item_vector")), F.lit(0))).first()
+    if size * (8 * dim + 64) > most:
+        raise ValueError(f"{size} items of {dim} dimensions are more than {most} bytes: use cosine_top_k")
+    n = max(1, math.ceil(size / BLOCK_ITEMS))
     units = items.select(F.expr(f"pmod(xxhash64(item_id), {n})").alias("block"), F.struct("item_id", V.normalise(F.col("item_vector")).alias("u")).alias("x"))
     blocks = units.groupBy("block").agg(F.collect_list("x").alias("items"))
     q = queries.select("query_id", V.normalise(F.col("vector")).alias("q")).where("q is not null")
     score = lambda x: F.round(V.dot(F.col("q"), x["u"]), digits) if digits is not None else V.dot(F.col("q"), x["u"])
     best = F.slice(F.sort_array(F.transform("items", lambda x: F.struct((-score(x)).alias("s"), x["item_id"].alias("item_id")))), 1, k)
-    found = q.join(blocks).select("query_id", F.explode(best).alias("x")).select("query_id", "x.item_id", (F.lit(0.0) - F.col("x.s")).alias("score"))
+    found = q.join(F.broadcast(blocks)).select("query_id", F.explode(best).alias("x")).select("query_id", "x.item_id", (F.lit(0.0) - F.col("x.s")).alias("score"))
     return ranked(found, ["query_id"], k).select("query_id", "rank", "item_id", "score")
 
 
@@ -452,6 +460,54 @@ def memory_top_k(queries: DataFrame, memory: DataFrame, k: int, rate: float | No
     return _merged(parts, ["query_id"], k, ("item_id", "memory_id"))
 
 
+def _label_side(shard: pa.Table | None) -> tuple[np.ndarray, dict[str, slice]] | None:
+    if shard is None or not shard.num_rows:
+        return None
+    labels = np.array(shard.column("item_id").to_pylist(), object)
+    start = np.flatnonzero(np.r_[True, labels[1:] != labels[:-1]])
+    return _units(_matrix(shard.column("context_vector").combine_chunks())), {labels[a]: slice(a, b) for a, b in zip(start, np.r_[start[1:], len(labels)], strict=True)}
+
+
+def _label_best(uri: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            side = held(uri, _label_side)
+            if side is None or not batch.num_rows:
+                continue
+            units, places = side
+            asked, labels = _units(_matrix(batch.column(2))), np.array(batch.column(1).to_pylist(), object)
+            best = np.full(batch.num_rows, np.nan)
+            for label in set(labels.tolist()) & places.keys():
+                own = np.flatnonzero(labels == label)
+                rows = units[places[label]]
+                step = max(1, BLOCK_SCORES // len(rows))
+                for i in range(0, len(own), step):
+                    best[own[i : i + step]] = np.fmax.reduce(asked[own[i : i + step]] @ rows.T, axis=1)
+            found = np.flatnonzero(~np.isnan(best))
+            at = pa.array(found)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.clip(best[found], 0, 1))], ["query_id", "item_id", "score"])
+
+    return run
+
+
+def best_of_label(queries: DataFrame, memory: DataFrame, most: int = LIBRARY_BYTES) -> DataFrame:
+    """(query_id, item_id, score): of each (query_id, item_id, vector) the best clipped cosine among that item's records.
+
+    Records lie in shards by their id, so a popular item is in all of them; queries meet its records
+    as matrices in tasks, and only a maximum of each query and shard is shuffled. Queries whose item has no record have no row.
+    """
+    records = keep(memory.select("item_id", "memory_id", "context_vector"), "label_records")
+    r = records.agg(F.count("*").alias("n"), F.max(F.size("context_vector")).alias("dim")).first()
+    shards = write_shards(records, "label_shards", r.n * (8 * (r.dim or 0) + 96), most, F.col("memory_id"), ["item_id", "memory_id"])
+    discard(records)
+    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("item_id").cast("string").alias("item_id"), F.col("vector").cast(V.DOUBLES).alias("vector"))
+    out = None
+    for uri in shards:
+        part = asked.mapInArrow(_label_best(uri), "query_id string, item_id string, score double")
+        out = part if out is None else out.unionByName(part)
+    return out if len(shards) == 1 else out.groupBy("query_id", "item_id").agg(F.max("score").alias("score"))
+
+
 def first_by(table: DataFrame, group: list[str], *order: Any) -> DataFrame:
     """The first row of each group."""
     return table.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where("_n = 1").drop("_n")

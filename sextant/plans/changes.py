@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.functions import scalars as S
-from sextant.functions import vectors as V
 from sextant.operators import evaluation as E
 from sextant.operators import memory as M
 from sextant.operators import metrics, policy, retrieval
@@ -170,10 +168,9 @@ def _corrupted(q: DataFrame, found: DataFrame, memory: DataFrame) -> DataFrame:
     Only the target's score (now 0) and the decoy's (now the better of both) differ from ``found``,
     rankings of K + 2 items under the right labels, so no query is ranked anew.
     """
-    of = q.join(M.decoys(memory).select(F.col("item_id").alias("target"), F.col("decoy_item_id").alias("decoy")), "target").select("query_id", "target", "decoy", V.normalise(F.col("vector")).alias("v"))
-    records = memory.select(F.col("item_id").alias("label"), V.normalise(F.col("context_vector")).alias("m"))
-    pairs = of.select("query_id", "decoy", "v", F.explode(F.array("target", "decoy")).alias("label")).join(records, "label")
-    best = pairs.groupBy("query_id", F.col("decoy").alias("item_id")).agg(F.round(F.max(S.unit_clip(V.dot(F.col("v"), F.col("m")))), 9).alias("score"))
+    of = q.join(M.decoys(memory).select(F.col("item_id").alias("target"), F.col("decoy_item_id").alias("decoy")), "target").select("query_id", "target", "decoy", "vector")
+    labels = retrieval.best_of_label(of.select("query_id", "vector", F.explode(F.array("target", "decoy")).alias("item_id")), memory)
+    best = labels.join(of.select("query_id", "decoy"), "query_id").groupBy("query_id", F.col("decoy").alias("item_id")).agg(F.round(F.max("score"), 9).alias("score"))
     others = found.join(of.select("query_id", "target", "decoy"), "query_id").where("item_id <> target and item_id <> decoy").select("query_id", "item_id", "score")
     own = of.select("query_id", F.col("target").alias("item_id"), F.lit(0.0).alias("score"))
     return retrieval.ranked(others.unionByName(own).unionByName(best), ["query_id"], K)

@@ -233,3 +233,20 @@ def test_pruned_memories_equal_the_brute_form(spark):
             got.setdefault(r.query_id, {})[r["rank"]] = r.memory_id
         for n in range(25):
             assert [got[f"q{n}"][i] for i in range(1, 7)] == names[np.lexsort((names, items_of, -score[n]))[:6]].tolist()
+
+
+def test_the_best_of_a_label_in_shards(spark):
+    v = clouds(400, 5, 9, 6)
+    labels = [f"i{0 if k % 3 else k % 7}" for k in range(400)]  # one label has two thirds
+    memory = spark.createDataFrame([(labels[k], f"m{k}", x.tolist()) for k, x in enumerate(v)], "item_id string, memory_id string, context_vector array<double>")
+    asked = clouds(30, 5, 9, 7)
+    q = spark.createDataFrame([(f"q{k}", f"i{k % 9}", x.tolist()) for k, x in enumerate(asked)], "query_id string, item_id string, vector array<double>")
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = np.clip(unit(asked) @ unit(v).T, 0, 1)
+    want = {f"q{k}": sims[k][[x == f"i{k % 9}" for x in labels]].max() for k in range(30) if k % 9 < 7}
+    for most in (1 << 27, 5000):
+        got = {r.query_id: r.score for r in retrieval.best_of_label(q.repartition(3), memory, most).collect()}
+        assert got == pytest.approx(want, abs=1e-12)
+    assert retrieval.best_of_label(q, memory.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        retrieval.cosine_expressions(q.select("query_id", "vector"), memory.select("item_id", F.col("context_vector").alias("item_vector")), 3, most=100)
