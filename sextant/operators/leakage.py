@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sextant.functions import vectors as V
 from sextant.operators import validation
+from sextant.sources.scratch import keep
 
 SPLITS = validation.SPLITS
 
@@ -31,8 +32,16 @@ def feature_key(*vectors: str) -> Column:
 
 
 def shared_features(events: DataFrame, vectors: tuple[str, ...] = ("text_vector", "image_vector", "audio_vector")) -> DataFrame:
-    """(fingerprint, splits) of features that occur in several splits; only keys are shuffled."""
-    keys = events.select(feature_key(*vectors).alias("fingerprint"), "split")
+    """(fingerprint, splits) of features that occur in several splits.
+
+    64-bit hashes of the raw features are counted first, with their least and greatest split. Only rows whose hash
+    several splits have are suspects: these alone are fingerprinted and confirmed, so what is
+    shuffled beyond the hashes follows the suspects and not the events.
+    """
+    raw = events.select("template_id", *vectors, "split", F.xxhash64("template_id", *vectors).alias("h"))
+    split = raw.groupBy("h").agg(F.min("split").alias("low"), F.max("split").alias("high")).where("low <> high").select("h")
+    suspects = raw.join(keep(split, "suspected_features"), "h", "left_semi")
+    keys = suspects.select(feature_key(*vectors).alias("fingerprint"), "split")
     return keys.groupBy("fingerprint").agg(F.countDistinct("split").alias("splits")).where("splits > 1")
 
 

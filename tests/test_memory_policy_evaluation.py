@@ -367,6 +367,15 @@ def test_the_audit_lists_every_violation(spark):
     assert r.duplicate_event_ids == sorted(f"e{k}" for k in range(250)) and r.n_duplicate_event_ids == 250 and r.duplicate_item_ids == [] and not r.passed
 
 
+def test_features_shared_by_splits(spark):
+    rows = [(k, "train" if k % 2 else "validation", k, [float(k)], [1.0], [2.0]) for k in range(40)]
+    rows += [(50, "ood_test", 3, [3.0], [1.0], [2.0]), (51, "train", 3, [3.0], [1.0], [2.0]), (52, "train", 5, [5.0], [1.0], [2.0]), (53, "validation", 7, [7.0], [1.0], [2.5]), (54, "validation", 90, None, [1.0], None), (55, "train", 90, None, [1.0], None)]
+    e = spark.createDataFrame(rows, "id int, split string, template_id int, text_vector array<double>, image_vector array<double>, audio_vector array<double>")
+    assert sorted(r.splits for r in leakage.shared_features(e).collect()) == [2, 2]  # 3 in train and ood_test, and the nulls of 90
+    assert leakage.shared_features(e.limit(0)).count() == 0
+
+
+@needs_data
 def test_export_needs_a_clean_audit_and_tampering_shows(spark, tmp_path):
     items, events = tables.items(spark, DATA), tables.events(spark, DATA).drop("fused")
     assert leakage.report(events, items).first().passed
