@@ -13,8 +13,10 @@ in its window. Each place is a row: from the window's shingles of the template,
 as many words as the template has (a quarter more where some were put in) that hold the share.
 Templates shorter than five words are one shingle of their words.
 
-Templates are a table (name, text), by default ``TEMPLATES``; tasks read it in shards of
-``TEMPLATE_BYTES`` from the shared folder, and texts are read once for each shard.
+Templates are a table (name, text), by default the notices ``TEMPLATES`` and the full texts in
+``licence_texts`` (named "<licence> text"); tasks read it in shards of ``TEMPLATE_BYTES`` from the
+shared folder, and texts are read once for each shard. Licences that share most of their words, as
+versions of one do, are each reported with their containment.
 
 Edge cases: null and empty texts and texts without words hold no license. Case is ignored for
 A-Z. Templates without words or with null text are never found; equal templates are each reported.
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +62,13 @@ TEMPLATES = (
     ("unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
+
+def full_texts() -> list[tuple[str, str]]:
+    """(name, text) of each file in ``licence_texts``."""
+    files = sorted((f for f in (resources.files(__package__) / "licence_texts").iterdir() if f.name.endswith(".txt")), key=lambda f: f.name)
+    return [(f"{f.name.removesuffix('.txt')} text", f.read_text(encoding="utf-8")) for f in files]
+
+
 _rng = np.random.default_rng(23)
 _A = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
@@ -180,7 +190,7 @@ def _scan(uri: str):
 def scan(docs: DataFrame, templates: DataFrame | None = None, most: int = TEMPLATE_BYTES) -> DataFrame:
     """(doc_id, license, containment, first_word, end_word) of each place of each template in each document."""
     if templates is None:
-        templates = docs.sparkSession.createDataFrame(list(TEMPLATES), "name string, text string")
+        templates = docs.sparkSession.createDataFrame([*TEMPLATES, *full_texts()], "name string, text string")
     given = templates.select(F.col("name").cast("string").alias("name"), F.col("text").cast("string").alias("text")).where("text is not null")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, license string, containment double, first_word long, end_word long"
     out = None

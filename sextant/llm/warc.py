@@ -3,7 +3,8 @@
 Writer: each task writes one ``.warc.gz`` file in which every record is a gzip member of its
 own. Of records with equal payloads of ``LEAST_BYTES`` or more, the one with the least page_id
 is a response and the others are revisits that name it and hold no payload. A file is written
-under an attempt's own name and renamed when complete, so a repeated task leaves one file.
+under an attempt's own name and renamed when complete, so a repeated task leaves one file. Pages
+of a payload that makes up much of the repeated rows aren't shuffled; the table of these has a bound.
 
 Reader: files are cut into byte ranges, and each task takes some. It looks for gzip's magic
 bytes from the start of its range, takes a candidate for a member only if it decompresses to a
@@ -38,8 +39,8 @@ LEAST_BYTES = 100
 SPLIT_BYTES = 4 << 20
 MAGIC = b"\x1f\x8b\x08"
 PIECE = 1 << 16
-#: Parts into which the rows of one payload are dealt when they meet its first page_id.
-SALTS = 8
+#: A payload with more than one in so many of the repeated rows is joined where its rows lie, by a broadcast.
+FREQUENT = 1000
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -103,14 +104,19 @@ def write(pages: DataFrame, folder: str, level: int = 6) -> DataFrame:
     long = F.octet_length("payload") >= LEAST_BYTES
     # ids and digests only; a table of the payloads that occur twice or more
     seen = held.where(long).select("page_id", digest.alias("digest")).groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first"))
-    firsts = keep(seen.where("n > 1 and first is not null").select("digest", "first"), "warc_firsts")
-    # short payloads meet nothing; the rows of one payload are dealt to several tasks
-    salted = firsts.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    mine = held.where(long).select("page_id", "url", "payload", digest.alias("digest"), F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int").alias("salt"))
-    joined = mine.join(salted, ["digest", "salt"], "left").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("first"))
+    firsts = keep(seen.where("n > 1 and first is not null"), "warc_firsts")
+    # payloads with more than 1 in FREQUENT of the repeated rows: fewer than FREQUENT, whatever the table's size
+    rows_of = firsts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    frequent = keep(firsts.where(F.col("n") * FREQUENT > rows_of).select("digest", F.col("first").alias("frequent_first")), "warc_frequent")
+    # pages of frequent payloads stay where they are, the rest meet their first page by a shuffle; short payloads meet nothing
+    mine = held.where(long).select("page_id", "url", "payload", digest.alias("digest")).join(F.broadcast(frequent), "digest", "left")
+    named = lambda c: F.when(~F.col("page_id").eqNullSafe(F.col(c)), F.col(c)).alias("first")
+    often = mine.where("frequent_first is not null").select("page_id", "url", "payload", named("frequent_first"))
+    seldom = mine.where("frequent_first is null").join(firsts.join(F.broadcast(frequent), "digest", "left_anti").select("digest", "first"), "digest", "left")
+    joined = often.unionByName(seldom.select("page_id", "url", "payload", named("first")))
     rows = joined.unionByName(held.where(~long).select("page_id", "url", "payload", F.lit(None).cast("long").alias("first")))
     manifest = keep(rows.mapInArrow(_write(folder, level), "file string, records long, bytes long"), "warc_manifest")
-    discard(firsts)
+    discard(firsts, frequent)
     return manifest
 
 

@@ -379,6 +379,18 @@ def test_warc_query_with_clashing_columns_and_a_lost_file(spark, tmp_path):
         warc.complete(warc.read(spark, folder), manifest)
 
 
+def test_warc_of_frequent_and_seldom_payloads(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FREQUENT", 4)
+    rows = [(k, "u", ("a" if k % 3 == 1 else "b" if k % 3 == 2 else f"c{k // 30}-") + "z" * 120) for k in range(300)] + [(None, "u", "a" + "z" * 120), (1, "u", "a" + "z" * 120)]
+    least = {}
+    for k, _, p in rows:
+        least[p] = min(k, least.get(p, k)) if k is not None else least[p]
+    folder = f"file://{tmp_path}/warc"
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, payload string").repartition(5), folder)
+    got = sorted((r.page_id if r.page_id is not None else -1, r.record_type, r.refers_to if r.refers_to is not None else -1) for r in warc.read(spark, folder).collect())
+    assert got == sorted((k if k is not None else -1, "response" if k == least[p] else "revisit", -1 if k == least[p] else least[p]) for k, _, p in rows)
+
+
 def test_warc_without_rows(spark, tmp_path):
     folder = f"file://{tmp_path}/none"
     warc.write(spark.createDataFrame([], "page_id long, url string, payload string"), folder)
@@ -555,6 +567,21 @@ def test_licenses_against_all_windows_of_a_template_table(spark):
     assert at(200, "t6") == [(0, 17), (17, 34), (34, 51)] and at(201, "t8") == [(0, 64), (264, 328)] and at(7, "t7") == at(7, "same")
 
 
+def test_full_licence_texts(spark):
+    texts = dict(licenses.full_texts())
+    assert {"MIT text", "Apache-2.0 text", "GPL-3.0 text", "BSD-3-Clause text"} <= set(texts) and all(len(t.split()) > 50 for t in texts.values())
+    body = lambda t, cut: " ".join(w for k, w in enumerate(t.split()) if not cut or k % 97)
+    rows = [(k, f"{words(k)} {body(t, cut)} {words(300, 700)}", "en", "a") for k, (cut, t) in enumerate((cut, t) for cut in (False, True) for t in texts.values())]
+    rows.append((99, body(texts["GPL-3.0 text"], False)[:9000], "en", "a"))  # a third of it is no copy
+    got = {}
+    for r in licenses.scan(docs_of(spark, rows)).collect():
+        got.setdefault(r.doc_id, {})[r.license] = r
+    for k, name in enumerate([*texts, *texts]):
+        r = got[k][name]
+        assert r.containment == 1.0 and (r.first_word, r.end_word) == (k, k + len(texts[name].split())) if k < len(texts) else r.containment >= 0.9
+    assert "GPL-3.0 text" not in got.get(99, {})
+
+
 def test_license_in_every_place(spark):
     t = dict(licenses.TEMPLATES)["isc"]
     d = docs_of(spark, [(k, f"{words(k)} {t} {words(100, 500)}", "en", "a") for k in range(130)])
