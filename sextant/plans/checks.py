@@ -218,6 +218,41 @@ def leakage_report(spark: SparkSession, d: str) -> DataFrame:
     return r.select("event_count", "target_count", "n_duplicate_event_ids", "duplicate_event_ids", "n_cross_split_features", "ood_family_overlap", "template_overlap", "n_inconsistent_targets", "n_missing_splits", "passed")
 
 
+_CHECKED = f"""WITH {_FAULTY}, fam AS (SELECT DISTINCT target_family_id AS f FROM faulty WHERE split <> 'ood_test' INTERSECT SELECT target_family_id FROM faulty WHERE split = 'ood_test'), known AS (SELECT item_id, CASE WHEN item_id LIKE '%7' THEN family_id + 1 ELSE family_id END AS family FROM items WHERE item_id NOT LIKE '%9'),
+    found AS (SELECT 'duplicate_event_ids' AS "check", event_id AS id FROM faulty GROUP BY event_id HAVING count(*) > 1 UNION ALL SELECT 'ood_family_overlap', CAST(f AS VARCHAR) FROM fam UNION ALL SELECT 'template_overlap', CAST(template_id AS VARCHAR) FROM faulty GROUP BY template_id HAVING count(DISTINCT split) > 1
+    UNION ALL SELECT 'inconsistent_targets', event_id FROM faulty LEFT JOIN known ON item_id = target_item_id WHERE family IS NULL OR family <> target_family_id UNION ALL SELECT 'cross_split_features', NULL FROM faulty GROUP BY template_id, text_vector, image_vector, audio_vector HAVING count(DISTINCT split) > 1)"""
+
+
+def _known(spark: SparkSession, d: str) -> DataFrame:
+    """Items of which some are gone and some moved to another family."""
+    i = T.items(spark, d).where("item_id not like '%9'")
+    return i.withColumn("family_id", F.when(F.col("item_id").like("%7"), F.col("family_id") + 1).otherwise(F.col("family_id")))
+
+
+@query(_CHECKED + """ SELECT (SELECT count(*) FROM faulty) AS event_count, (SELECT count(*) FROM known) AS target_count, count(*) FILTER (WHERE "check" = 'duplicate_event_ids') AS n_duplicate_event_ids, 0::BIGINT AS n_duplicate_item_ids, count(*) FILTER (WHERE "check" = 'cross_split_features') AS n_cross_split_features,
+    count(*) FILTER (WHERE "check" = 'ood_family_overlap') AS n_ood_family_overlap, count(*) FILTER (WHERE "check" = 'template_overlap') AS n_template_overlap, count(*) FILTER (WHERE "check" = 'inconsistent_targets') AS n_inconsistent_targets, 0::BIGINT AS n_missing_splits, FALSE AS passed FROM found""")
+def leakage_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The audit's counts without lists."""
+    return leakage.summary(_faulty(spark, d), _known(spark, d)).drop("split_counts")
+
+
+@query(_CHECKED + """ SELECT "check", (n + 4) // 5 AS page, list(id ORDER BY n) AS ids FROM (SELECT "check", id, row_number() OVER (PARTITION BY "check" ORDER BY id) AS n FROM found WHERE "check" <> 'cross_split_features') GROUP BY 1, 2""")
+def leakage_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The audit's violations, five ids on a page; fingerprints aside, as engines print numbers differently."""
+    return leakage.pages(leakage.violations(_faulty(spark, d), _known(spark, d)).where(F.col("check") != "cross_split_features"), 5)
+
+
+_WHOLE = ", ".join(f"'{m}_vector': list_transform({m}_vector, lambda x: CAST(floor(1000 * x) AS BIGINT))" for m in ("text", "image", "audio"))
+
+
+@query(f"SELECT event_id, sha256(CAST(to_json({{'template_id': template_id, {_WHOLE}}}) AS VARCHAR)) AS fingerprint FROM ev")
+def feature_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    """The fingerprint of each event's features, in whole thousandths, which all engines print alike."""
+    names = ("text_vector", "image_vector", "audio_vector")
+    whole = T.events(spark, d).withColumns({v: F.transform(v, lambda x: F.floor(1000 * x)) for v in names})
+    return whole.select("event_id", leakage.feature_key(*names).alias("fingerprint"))
+
+
 _PLACE = "row_number() OVER (ORDER BY sha256(concat_ws(':', '5', {g})), {g})"
 
 

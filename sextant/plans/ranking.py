@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sextant.functions import scalars as S
 from sextant.functions import vectors as V
 from sextant.operators import memory as M
-from sextant.operators import metrics, permutation, retrieval, ridge
+from sextant.operators import metrics, permutation, retrieval, ridge, validation
 from sextant.plans.register import query
 from sextant.sources import tables as T
 from sextant.sources.scratch import keep
@@ -130,6 +130,11 @@ def ranker_metrics(spark: SparkSession, d: str) -> DataFrame:
     return _judged(spark, d, _three(spark, d))
 
 
+@query(f"SELECT * FROM ({_METRICS}) WHERE ranker = 'mean_fusion' AND split = 'ood_test'")
+def metrics_of_one_cell(spark: SparkSession, d: str) -> DataFrame:
+    return validation.one_cell(keep(ranker_metrics(spark, d), "metrics"), ranker="mean_fusion", split="ood_test")
+
+
 #: Rankings from which some queries of one ranker, and one ranker as a whole, are missing.
 _GAPS = f"(SELECT * FROM {THREE} WHERE ranker <> 'random' AND NOT (ranker = 'ridge' AND query_id LIKE '%3'))"
 

@@ -35,7 +35,7 @@ def fingerprint(table: DataFrame, columns: list[str] | None = None) -> DataFrame
 
 def manifest(items: DataFrame, events: DataFrame) -> DataFrame:
     """One row: counts, counts by split, whether the audit passes, a fingerprint of each table."""
-    audit = leakage.report(events, items).select("event_count", F.col("target_count").alias("item_count"), "split_counts", "passed")
+    audit = leakage.summary(events, items).select("event_count", F.col("target_count").alias("item_count"), "split_counts", "passed")
     return audit.join(fingerprint(items).select(F.col("fingerprint").alias("items_fingerprint"))).join(fingerprint(events).select(F.col("fingerprint").alias("events_fingerprint")))
 
 

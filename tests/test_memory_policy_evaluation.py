@@ -365,6 +365,12 @@ def test_the_audit_lists_every_violation(spark):
     events = spark.range(250).select(F.concat(F.lit("e"), F.col("id")).alias("event_id"), F.lit("train").alias("split"), F.col("id").alias("template_id"), F.lit("i").alias("target_item_id"), F.lit(1).alias("target_family_id"), *(vector.alias(f"{m}_vector") for m in ("text", "image", "audio")))
     r = leakage.report(events.unionAll(events), spark.createDataFrame([("i", 1)], "item_id string, family_id int")).first()
     assert r.duplicate_event_ids == sorted(f"e{k}" for k in range(250)) and r.n_duplicate_event_ids == 250 and r.duplicate_item_ids == [] and not r.passed
+    items = spark.createDataFrame([("i", 1)], "item_id string, family_id int")
+    short = leakage.summary(events.unionAll(events), items).first()
+    assert all(short[c] == r[c] for c in short.asDict()) and not set(short.asDict()) & set(leakage._checks(events, items))
+    paged = leakage.pages(leakage.violations(events.unionAll(events), items), 100).where(F.col("check") == "duplicate_event_ids").orderBy("page").collect()
+    assert [len(p.ids) for p in paged] == [100, 100, 50] and [x for p in paged for x in p.ids] == r.duplicate_event_ids
+    assert leakage.pages(leakage.violations(events.limit(0), items.limit(0))).select("check").distinct().collect() == [("missing_splits",)]
 
 
 def test_features_shared_by_splits(spark):

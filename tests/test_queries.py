@@ -13,7 +13,7 @@ DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables aren't there")
 #: A part of the queries, one of each kind; the driver compares all of them.
-CHOSEN = "mean_fusion_validation_metrics hybrid_ranking memory_ranking ridge_gram random_ranking correction_history policy_conformance memory_as_of leakage_report paired_contrasts bootstrap_means distribution_shift table_fingerprint split_manifest_as_csv metrics_with_gaps ridge_metrics judged_corrections corrective_summary corrective_others ablation_mrr mmd_permutation_test bootstrap_poisson_intervals statistics_as_json correction_stream fitted_ablation_mrr table_hash_tree tampered_ranges corrective_targets decoys".split()
+CHOSEN = "mean_fusion_validation_metrics hybrid_ranking memory_ranking ridge_gram random_ranking correction_history policy_conformance memory_as_of leakage_report paired_contrasts bootstrap_means distribution_shift table_fingerprint split_manifest_as_csv metrics_with_gaps ridge_metrics judged_corrections corrective_summary corrective_others ablation_mrr mmd_permutation_test bootstrap_poisson_intervals statistics_as_json correction_stream fitted_ablation_mrr table_hash_tree tampered_ranges corrective_targets decoys leakage_summary leakage_pages feature_fingerprints metrics_of_one_cell".split()
 
 
 def plain(v):
