@@ -1,11 +1,15 @@
+import datetime as dt
 import math
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sextant.functions import vectors as V
 from sextant.operators import leakage, metrics, permutation, retrieval, ridge, validation
+from sextant.operators import memory as M
 
 LIBRARY = [("a", 0, [1.0, 0.0]), ("b", 1, [0.0, 1.0]), ("c", 2, [-1.0, 0.0])]
 
@@ -250,3 +254,59 @@ def test_the_best_of_a_label_in_shards(spark):
     assert retrieval.best_of_label(q, memory.limit(0)).count() == 0
     with pytest.raises(ValueError):
         retrieval.cosine_expressions(q.select("query_id", "vector"), memory.select("item_id", F.col("context_vector").alias("item_vector")), 3, most=100)
+
+
+def _hybrid_sides(monkeypatch, n, records, dim, seed=5):
+    rng = np.random.default_rng(seed)
+    ids, own = [f"i{x:05d}" for x in rng.permutation(n)], np.minimum(rng.exponential(n / 8, records).astype(int), n - 1)
+    rows = lambda x: pa.array(x.tolist(), pa.list_(pa.float64()))
+    items = pa.table({"item_id": ids, "item_vector": rows(np.round(rng.normal(size=(n, dim))) + 0.5)})
+    memory = {"item_id": [ids[x] for x in own], "context_vector": rows(np.round(rng.normal(size=(records, dim))) + 0.5), "strength": rng.uniform(0.1, 1, records), "updated": (rng.uniform(0, 60, records) * 86_400e6).astype(int)}
+    monkeypatch.setattr(retrieval, "read_shard", lambda uri: pa.table(memory))
+    side = retrieval._both_sides(items, "")
+    monkeypatch.setattr(retrieval, "held", lambda *x: side)
+    return rng, ids, own, items, memory, rows
+
+
+@pytest.mark.parametrize(("layers", "block"), [(64, 1 << 19), (2, 700), (0, 1)])
+def test_hybrid_by_layers_equals_a_plain_pass(monkeypatch, layers, block):
+    monkeypatch.setattr(retrieval, "LAYERS", layers)
+    monkeypatch.setattr(retrieval, "HYBRID_SCORES", block)
+    monkeypatch.setattr(retrieval, "HYBRID_ROWS", 50)
+    rng, ids, own, items, memory, rows = _hybrid_sides(monkeypatch, 120, 200, 3)
+    asked, projected, at = rng.normal(size=(9, 3)), rng.normal(size=(9, 3)), np.where(np.arange(9) % 2, 61, 70) * 86_400e6
+    batch = pa.record_batch([pa.array([f"q{x}" for x in range(9)]), rows(asked), rows(projected), pa.array(at.astype(int))], ["query_id", "vector", "projected", "as_of"])
+    # with a rate of 20, weights meet their floor
+    cells = [{"cell": f"{a}|{r}|{n}", "alpha": a, "rate": r, "days": n} for a in (0.0, 0.5, 1.0) for r in (None, 0.01, 20.0) for n in (0, 30)]
+    got = {(r["query_id"], r["cell"], r["rank"]): (r["item_id"], r["score"]) for b in retrieval._hybrid("", "", cells, 10, 9)(iter([batch])) for r in b.to_pylist()}
+    unit = lambda x: np.array(x, float) / np.sqrt((np.array(x, float) ** 2).sum(axis=1, keepdims=True))
+    by_item = np.clip(unit(projected) @ unit(items.column("item_vector").to_pylist()).T, 0, 1)
+    similar = np.clip(unit(asked) @ unit(memory["context_vector"].to_pylist()).T, 0, 1)
+    want = {}
+    for c in cells:
+        age = (at[:, None] + c["days"] * 86_400e6 - memory["updated"][None, :]) / 86_400e6
+        each = similar * memory["strength"] * (1 if c["rate"] is None else np.maximum(np.exp(-c["rate"] * age), 2.2250738585072014e-308))
+        best = np.zeros_like(by_item)
+        np.maximum.at(best, (slice(None), own), each)
+        total = np.round(c["alpha"] * by_item + (1 - c["alpha"]) * np.clip(best, 0, 1), 9)
+        for q in range(9):
+            for rank, x in enumerate(sorted(range(120), key=lambda x: (-total[q, x], ids[x]))[:10], 1):
+                want[f"q{q}", c["cell"], rank] = (ids[x], pytest.approx(total[q, x], abs=2e-9))
+    assert got == want
+
+
+def test_hybrid_blocks_are_small(monkeypatch):
+    rng, *_, rows = _hybrid_sides(monkeypatch, 2000, 2000, 16)
+    q = rows(rng.normal(size=(2000, 16)))
+    batch = pa.record_batch([pa.array([str(x) for x in range(2000)]), q, q, pa.array([61 * 86_400_000_000] * 2000)], ["query_id", "vector", "projected", "as_of"])
+    tracemalloc.start()
+    rows_out = sum(b.num_rows for b in retrieval._hybrid("", "", [{"cell": "c", "alpha": 0.5, "rate": 0.01, "days": 7}], 10, 9)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows_out == 20_000 and peak < 48 << 20
+
+
+def test_queries_of_one_file_are_ranked_by_all_cores(spark, items):
+    q = spark.createDataFrame([("q", [1.0, 0.0], [1.0, 0.0], dt.datetime(2024, 2, 1))], "query_id string, vector array<double>, projected array<double>, as_of timestamp").coalesce(1)
+    memory = spark.createDataFrame([], M.MEMORY)
+    assert retrieval.hybrid_top_k(q, items, memory, [{"cell": "c", "alpha": 0.5, "rate": None, "days": 0}], 3).rdd.getNumPartitions() >= 4
