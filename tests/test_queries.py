@@ -1,5 +1,6 @@
 """Every registered query runs, and those with SQL equal DuckDB on the smallest tables."""
 
+import hashlib
 import math
 import os
 from decimal import Decimal
@@ -8,6 +9,7 @@ import duckdb
 import pytest
 
 from sextant.plans import catalog
+from sextant.sources import tables
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -46,3 +48,10 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() == 1 and set(catalog.QUERIES) <= set(__spark_entry__.queries())
+
+
+def test_random_nested_rankings_order_the_whole_library(spark):
+    test_equals_sql(spark, "nested_rankings")
+    items = [r.item_id for r in tables.items(spark, DATA).select("item_id").collect()]
+    rows = catalog.QUERIES["nested_rankings"](spark, DATA).where("ranker = 'random'").collect()
+    assert rows and all(r.ranking == sorted(items, key=lambda x: hashlib.sha256(f"2026:{r.query_id}:{x}".encode()).digest())[:10] for r in rows)

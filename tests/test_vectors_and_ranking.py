@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import math
 import tracemalloc
 
@@ -310,3 +311,18 @@ def test_queries_of_one_file_are_ranked_by_all_cores(spark, items):
     q = spark.createDataFrame([("q", [1.0, 0.0], [1.0, 0.0], dt.datetime(2024, 2, 1))], "query_id string, vector array<double>, projected array<double>, as_of timestamp").coalesce(1)
     memory = spark.createDataFrame([], M.MEMORY)
     assert retrieval.hybrid_top_k(q, items, memory, [{"cell": "c", "alpha": 0.5, "rate": None, "days": 0}], 3).rdd.getNumPartitions() >= 4
+
+
+def test_shuffled_rankings_order_the_whole_library(spark):
+    ids = [f"i{k:03d}" for k in range(60)] + ["ä", "x y"]
+    lib = spark.createDataFrame([(x, 0, [1.0, float(n)]) for n, x in enumerate(ids)], "item_id string, family_id int, item_vector array<double>")
+    q = spark.createDataFrame([(f"q{k}", f"k{k % 7}") for k in range(30)], "query_id string, key string")
+    order = lambda key: sorted(ids, key=lambda x: hashlib.sha256(f"5:{key}:{x}".encode()).digest())
+    for k, most, parts in ((4, 1 << 30, 1), (4, 2000, 5), (100, 2000, 2)):
+        rows = retrieval.shuffled_top_k(q.repartition(parts), lib, k, 5, "key", most).collect()
+        got = {(r.query_id, r["rank"]): r.item_id for r in rows}
+        assert got == {(f"q{n}", at): x for n in range(30) for at, x in enumerate(order(f"k{n % 7}")[:k], 1)} and len(rows) == len(got)
+    with pytest.raises(ValueError):
+        retrieval.shuffled_top_k(q, lib, 0, 5)
+    with pytest.raises(ValueError):
+        retrieval.shuffled_top_k(q, lib.union(lib), 3, 5)
